@@ -19,6 +19,17 @@ URL_RULES = [
 ]
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from tessera.llm.quality import QualityClassifier, held_out
+
+    docs = plain(table(spark, sf_dir, "documents"), "doc_id", "text", "n_chars")
+    labels = plain(table(spark, sf_dir, "labels"), "doc_id", "quality")
+    fitted = QualityClassifier(metadata=("n_chars",)).fit(docs, labels, "quality", ~held_out(F.col("doc_id")))
+    return fitted.score(docs).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.fingerprint import compare_edited
 
@@ -37,6 +48,12 @@ def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(plain(table(spark, sf_dir, "pages"), "page_id", "url", "html"), URL_RULES)
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.substring_dedup import dedup_substrings
+
+    return dedup_substrings(plain(table(spark, sf_dir, "documents"), "doc_id", "text"), digest_only=True)
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -45,6 +62,12 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(plain(table(spark, sf_dir, "documents"), "doc_id", "text"), public_tokenizers.path(TOKENIZER))
 
 
+def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.jaccard import jaccard_components
+
+    return jaccard_components(plain(table(spark, sf_dir, "documents"), "doc_id", "text"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -64,10 +87,13 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op3_fingerprints": op3_fingerprints,
     "op4_topk": op4_topk,
     "op5_urls": op5_urls,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_token_counts": op7_token_counts,
+    "op8_jaccard": op8_jaccard,
     "op9_warc": op9_warc,
 }
 
@@ -134,6 +160,40 @@ FROM judged j LEFT JOIN blocked b ON j.host = b.host
 """
 
 
+_WORDS = r"[^\x20\x09-\x0D]+"
+
+
+def _op6_sql() -> str:
+    from tessera.llm.substring_dedup import SPAN
+
+    return f"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORDS}') AS ws FROM documents),
+starts AS (SELECT doc_id, unnest(range(1, len(ws) - {SPAN - 2})) AS i, ws FROM w WHERE len(ws) >= {SPAN} AND doc_id IS NOT NULL),
+windows AS (SELECT doc_id, i, array_to_string(ws[i:i + {SPAN - 1}], ' ') AS g FROM starts),
+bad AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS least FROM windows),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + {SPAN})) AS p FROM bad WHERE least < doc_id),
+lost AS (SELECT doc_id, list(p) AS ps FROM gone GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0) AS BIGINT) AS n_removed,
+       sha256(array_to_string(CASE WHEN ps IS NULL THEN ws ELSE list_filter(ws, lambda x, j: NOT list_contains(ps, j)) END, ' ')) AS kept_sha256
+FROM w LEFT JOIN lost ON w.doc_id = lost.doc_id
+"""
+
+
+def _op8_sql() -> str:
+    return f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORDS}') AS ws FROM documents
+), g AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))
+                                      WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS s FROM w
+), n AS (SELECT w.doc_id, count(g.s) AS n FROM w LEFT JOIN g ON w.doc_id = g.doc_id GROUP BY w.doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM g a JOIN g b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM pairs JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * k >= 75 * (x.n + y.n - k)),
+reach(doc_id, c) AS (SELECT doc_id, doc_id FROM n UNION SELECT l.b, r.c FROM reach r JOIN links l ON r.doc_id = l.a WHERE r.c < l.b)
+SELECT n.doc_id, CAST(n AS BIGINT) AS n_shingles, min(c) AS component_id FROM n JOIN reach ON n.doc_id = reach.doc_id GROUP BY ALL
+"""
+
+
 def _op9_sql() -> str:
     # base32 of the SHA-1: the digest is cut into eight groups of 20 bits, four letters each
     letter = lambda shift: f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((g >> {shift}) & 31) + 1, 1)"
@@ -152,4 +212,4 @@ FROM r
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_topk": _op4_sql(), "op5_urls": _op5_sql(), "op9_warc": _op9_sql()}
+    return {"op6_substring_dedup": _op6_sql(), "op8_jaccard": _op8_sql(), "op4_topk": _op4_sql(), "op5_urls": _op5_sql(), "op9_warc": _op9_sql()}

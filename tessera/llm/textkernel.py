@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 1 << 20
+SLICE_ROWS = 1 << 15
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
@@ -82,7 +83,7 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
     n, lo = len(offsets) - 1, 0
     while lo < n:
         hi = int(np.searchsorted(offsets, offsets[lo] + limit, side="right")) - 1
-        hi = min(n, max(hi, lo + 1))
+        hi = min(n, max(hi, lo + 1), lo + SLICE_ROWS)
         yield lo, hi
         lo = hi
 
