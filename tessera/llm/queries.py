@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.llm.shared import Scratch, plain, table
 
 TOKENIZER = "byte_bpe_50k.json"
+PIECE_MODEL = "piece_bpe_32k.model"
 
 URL_RULES = [
     ("com", "/", "allow"),
@@ -30,6 +31,14 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fitted.score(docs).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op2_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tessera.llm.piece_dropout import round_trip
+
+    return round_trip(plain(table(spark, sf_dir, "documents"), "doc_id", "text"), public_tokenizers.path(PIECE_MODEL))
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.fingerprint import compare_edited
 
@@ -88,6 +97,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
+    "op2_merge_dropout": op2_merge_dropout,
     "op3_fingerprints": op3_fingerprints,
     "op4_topk": op4_topk,
     "op5_urls": op5_urls,
