@@ -1,12 +1,97 @@
-"""The corpus pipeline: documents in, encoded documents out."""
+"""The corpus pipeline: documents in, encoded documents out.
+
+1. Quality: documents that the factorisation machine scores below 0.3 go.
+2. Near duplicates: of each component of the n-gram Jaccard join (five words, similarity 0.75) the
+   document with the smallest doc_id stays.
+3. Repeated passages: words covered by a 13-word window that also starts in a document with a
+   smaller doc_id go; the text is what is left, joined by one space. The document stays.
+4. Mixing: rates that bring the expected words of each domain to their target shares. Languages
+   are only ever raised (the total is chosen so), toxic text goes to rate 0; a document is
+   repeated as often as its rate says.
+5. Encoding: every document's pieces under seeded merge dropout, decoded again as proof.
+
+Every stage reads all that its predecessor kept. All but the last return doc_id,
+text, lang, source, n_chars. Rows with a null doc_id pass stages 1, 3 and 4 and count as
+one document each in stage 2. A doc_id that occurs more than once is reduced to one row by
+stage 2. An empty table gives an empty result.
+
+SQL can't express the classifier; the pipeline's stages are tested against brute force.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm.jaccard import jaccard_components
+from tessera.llm.mixing import copies, mixing_rates
+from tessera.llm.piece_dropout import round_trip
+from tessera.llm.quality import QualityClassifier, held_out
+from tessera.llm.queries import MIX, PIECE_MODEL, mix_labels
+from tessera.llm.shared import BROADCAST_KEYS, Scratch, plain, table
+from tessera.llm.substring_dedup import dedup_substrings
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+KEEP_FROM = 0.3
+#: The wanted total is so much above the least one at which no wanted domain shrinks.
+UPSAMPLE = 1.15
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    docs = plain(docs, *COLUMNS)
+    labels = plain(table(spark, sf_dir, "labels"), "doc_id", "quality")
+    fitted = QualityClassifier(metadata=("n_chars",)).fit(docs, labels, "quality", ~held_out(F.col("doc_id")))
+    return fitted.score(docs, COLUMNS[1:]).filter(F.col("score") >= KEEP_FROM).select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    docs = plain(docs, *COLUMNS)
+    found = Scratch(spark, "near").save(jaccard_components(docs), "found")
+    gone = found.filter("component_id <> doc_id").select("doc_id").distinct()
+    if found.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").limit(1).count():
+        docs = docs.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null"))
+    if gone.count() <= BROADCAST_KEYS:
+        return docs.join(F.broadcast(gone), "doc_id", "left_anti").select(*COLUMNS)
+    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*COLUMNS)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    left = dedup_substrings(plain(docs, *COLUMNS), keep=("lang", "source"))
+    return left.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.char_length("kept_text").cast("long").alias("n_chars"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    docs = plain(docs, *COLUMNS)
+    labels = plain(table(spark, sf_dir, "labels"), "doc_id", "toxic")
+    rated = mixing_rates(docs, mix_labels(docs, labels), MIX, UPSAMPLE, keep=COLUMNS[1:])
+    times = rated.withColumn("times", copies(F.col("rate"), F.coalesce("doc_id", F.lit(-1)))).filter("times > 0")
+    return times.withColumn("copy", F.explode(F.sequence(F.lit(1), "times"))).select(*COLUMNS)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return round_trip(plain(docs, *COLUMNS), public_tokenizers.path(PIECE_MODEL), with_ids=True)
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("n-gram Jaccard join", near_duplicates),
+    ("substring dedup", repeated_passages),
+    ("mixing sources to target weights", mixing),
+    ("SentencePiece encoding and decoding", encoding),
+]
 
-STAGES: list = []
+#: The classifier and the mixing fit can't be said in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``; each stage's result is written to the shared folder and read again."""
+    scratch = Scratch(spark, "pipeline")
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = scratch.save(docs, f"stage-{i}")
+    return docs

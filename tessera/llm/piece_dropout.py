@@ -368,8 +368,8 @@ def decode(encoded: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
     return encoded.select(key, "ids").mapInArrow(run, f"`{key}` {encoded.schema[key].dataType.simpleString()}, text string")
 
 
-def round_trip(docs: DataFrame, path: str, seed: int = SEED, dropout: float = DROPOUT, variants: int = VARIANTS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key``, n_chars, n_pieces, ids_sha256 (of the int32 ids), decoded_sha256, lossless: every text encoded, and decoded from its ids."""
+def round_trip(docs: DataFrame, path: str, seed: int = SEED, dropout: float = DROPOUT, variants: int = VARIANTS, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
+    """``key``, n_chars, n_pieces, with ``with_ids`` the ids, ids_sha256 (of the int32 ids), decoded_sha256, lossless: every text encoded, and decoded from its ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(path, seed, dropout, variants)
@@ -379,12 +379,16 @@ def round_trip(docs: DataFrame, path: str, seed: int = SEED, dropout: float = DR
             for at, texts in _runs(batch.column(1)):
                 got = c.encode(texts, keys[at : at + len(texts)])
                 back = [c.decode(g) for g in got]
+                ids = []
+                if with_ids:
+                    offsets = np.concatenate([[0], np.cumsum([len(g) // 4 for g in got])]).astype(np.int32)
+                    ids = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(got), "<i4")))]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(at, len(texts)), pa.array([len(t) for t in texts], pa.int64()), pa.array([len(g) // 4 for g in got], pa.int64()),
+                        batch.column(0).slice(at, len(texts)), pa.array([len(t) for t in texts], pa.int64()), pa.array([len(g) // 4 for g in got], pa.int64()), *ids,
                         pa.array([sha(g) for g in got], pa.string()), pa.array([sha(b) for b in back], pa.string()), pa.array([b == t.encode() for b, t in zip(back, texts)], pa.bool_()),
                     ],
-                    [key, "n_chars", "n_pieces", "ids_sha256", "decoded_sha256", "lossless"],
+                    [key, "n_chars", "n_pieces", *(["ids"] * with_ids), "ids_sha256", "decoded_sha256", "lossless"],
                 )
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, n_chars bigint, n_pieces bigint, ids_sha256 string, decoded_sha256 string, lossless boolean")
+    return docs.select(key, text).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, n_chars bigint, n_pieces bigint,{' ids array<int>,' * with_ids} ids_sha256 string, decoded_sha256 string, lossless boolean")

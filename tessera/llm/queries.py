@@ -39,6 +39,25 @@ def op2_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(plain(table(spark, sf_dir, "documents"), "doc_id", "text"), public_tokenizers.path(PIECE_MODEL))
 
 
+#: Wanted shares of words by domain.
+MIX = {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2, "toxic": 0.0}
+
+
+def mix_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, domain of the labelled table: toxic, or else the document's language."""
+    from pyspark.sql import functions as F
+
+    marks = labels.filter("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    return docs.select("doc_id", "lang").join(marks, "doc_id").select("doc_id", F.when(F.col("toxic") == 1, "toxic").otherwise(F.col("lang")).alias("domain"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.mixing import mixing_rates
+
+    docs, labels = plain(table(spark, sf_dir, "documents"), "doc_id", "text", "lang"), plain(table(spark, sf_dir, "labels"), "doc_id", "toxic")
+    return mixing_rates(docs, mix_labels(docs, labels), MIX)
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.fingerprint import compare_edited
 
@@ -105,6 +124,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_token_counts": op7_token_counts,
     "op8_jaccard": op8_jaccard,
     "op9_warc": op9_warc,
+    "op10_mixing": op10_mixing,
 }
 
 
