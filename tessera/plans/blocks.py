@@ -31,15 +31,17 @@ def block_numbers(c: Column, size: int, halo: int) -> Column:
     return F.sequence(F.floor((c - halo) / size).cast("int"), F.floor((c + halo) / size).cast("int"))
 
 
-def spread(vox: DataFrame, block: Shape, halo: Shape) -> DataFrame:
-    rows = vox.select("vol_id", *[F.col(a).cast("int").alias(a) for a in "xyz"], "v").filter("x is not null and y is not null and z is not null and v is not null")
+def spread(vox: DataFrame, block: Shape, halo: Shape, more: tuple[str, ...] = ()) -> DataFrame:
+    rows = vox.select("vol_id", *[F.col(a).cast("int").alias(a) for a in "xyz"], "v", *more).filter("x is not null and y is not null and z is not null and v is not null")
     for a, size, h in zip("xyz", block, halo):
         rows = rows.withColumn(f"b{a}", F.explode(block_numbers(F.col(a), size, h)) if h else F.floor(F.col(a) / size).cast("int"))
     return rows
 
 
-def map_blocks(vox: DataFrame, kernel: Kernel, out: dict[str, str], block: Shape = BLOCK, halo: Shape = (1, 1, 1), dtype: str = "int64") -> DataFrame:
-    """vol_id, x, y, z and the kernel's columns ``out`` (name: SQL type) of every owned voxel, or of the rows the kernel gives."""
+def map_blocks(vox: DataFrame, kernel: Kernel, out: dict[str, str], block: Shape = BLOCK, halo: Shape = (1, 1, 1), dtype: str = "int64", more: tuple[str, ...] = ()) -> DataFrame:
+    """With ``more`` value columns the kernel gets them stacked behind v on a last axis.
+
+    vol_id, x, y, z and the kernel's columns ``out`` (name: SQL type) of every owned voxel, or of the rows the kernel gives."""
     kind = vox.schema["vol_id"].dataType.simpleString()
 
     def run(key, table):
@@ -50,6 +52,13 @@ def map_blocks(vox: DataFrame, kernel: Kernel, out: dict[str, str], block: Shape
         values, stored = np.zeros(shape, dtype), np.zeros(shape, bool)
         values[x - lo[0], y - lo[1], z - lo[2]] = v
         stored[x - lo[0], y - lo[1], z - lo[2]] = True
+        if more:
+            layers = [values]
+            for c in more:
+                layer = np.zeros(shape, dtype)
+                layer[x - lo[0], y - lo[1], z - lo[2]] = table[c].to_numpy()
+                layers.append(layer)
+            values = np.stack(layers, axis=-1)
         begin = np.maximum(at * np.array(block) - lo, 0)
         end = np.minimum((at + 1) * np.array(block) - lo, shape)
         owned = tuple(slice(int(a), int(max(a, b))) for a, b in zip(begin, end))
@@ -79,7 +88,7 @@ def map_blocks(vox: DataFrame, kernel: Kernel, out: dict[str, str], block: Shape
         return pa.Table.from_arrays([a.cast(k) for a, k in zip(arrays, kinds)], names=["vol_id", "x", "y", "z", *out])
 
     schema = f"vol_id {kind}, x int, y int, z int, " + ", ".join(f"{c} {t}" for c, t in out.items())
-    return spread(vox, block, halo).groupBy("vol_id", "bx", "by", "bz").applyInArrow(run, schema)
+    return spread(vox, block, halo, more).groupBy("vol_id", "bx", "by", "bz").applyInArrow(run, schema)
 
 
 def gather(values: np.ndarray, stored: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -88,8 +97,6 @@ def gather(values: np.ndarray, stored: np.ndarray, offsets: np.ndarray) -> tuple
     width = [(int(p), int(p)) for p in pad]
     v, s = np.pad(values, width), np.pad(stored, width)
     nx, ny, nz = values.shape
-    cut = [(slice(int(p + d), int(p + d) + n)) for p, d, n in zip(pad, (0, 0, 0), (nx, ny, nz))]
-    del cut
     out_v = np.empty((*values.shape, len(offsets)), values.dtype)
     out_s = np.empty((*values.shape, len(offsets)), bool)
     for i, (dx, dy, dz) in enumerate(offsets):

@@ -67,17 +67,20 @@ HIERARCHY_SQL = """tree AS (
 
 
 def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(vertices, edges) of a sparse graph: suppliers joined to every part of theirs with a large quantity."""
-    pairs = read(spark, sf_dir, "lineitem").filter("l_quantity >= 49").select(F.col("l_suppkey").cast("long").alias("src"), (F.col("l_partkey") + 1000000).cast("long").alias("dst"), F.col("l_extendedprice").cast("double").alias("length"))
-    edges = pairs.groupBy("src", "dst").agg(F.max("length").alias("length")).withColumn("radius", F.pmod("dst", F.lit(7)).cast("double"))
+    """(vertices, edges): customers and suppliers joined to their nations, nations to their regions."""
+    part = lambda name, key, other, a, b: read(spark, sf_dir, name).select((F.col(key) + a).cast("long").alias("src"), (F.col(other) + b).cast("long").alias("dst"))
+    pairs = part("customer", "c_custkey", "c_nationkey", 10000000, 100).unionByName(part("supplier", "s_suppkey", "s_nationkey", 1000, 100)).unionByName(part("nation", "n_nationkey", "n_regionkey", 100, 0))
+    edges = pairs.select("src", "dst", (F.pmod("src", F.lit(37)) + 1).cast("double").alias("length"), F.pmod("src", F.lit(7)).cast("double").alias("radius"))
     ends = edges.select(F.col("src").alias("vid")).union(edges.select("dst")).distinct()
     vertices = ends.select("vid", F.pmod("vid", F.lit(97)).cast("double").alias("x"), F.pmod("vid", F.lit(89)).cast("double").alias("y"), F.pmod("vid", F.lit(83)).cast("double").alias("z"), F.pmod("vid", F.lit(5)).cast("double").alias("radius"), (F.pmod("vid", F.lit(11)) == 0).alias("label"))
     return vertices, edges
 
 
-GRAPH_SQL = """edges AS (
-  SELECT CAST(l_suppkey AS BIGINT) AS src, CAST(l_partkey + 1000000 AS BIGINT) AS dst, max(CAST(l_extendedprice AS DOUBLE)) AS length, CAST((l_partkey + 1000000) % 7 AS DOUBLE) AS radius
-  FROM lineitem WHERE l_quantity >= 49 GROUP BY ALL
+GRAPH_SQL = """pairs_ AS (
+  SELECT CAST(c_custkey + 10000000 AS BIGINT) AS src, CAST(c_nationkey + 100 AS BIGINT) AS dst FROM customer
+  UNION ALL SELECT CAST(s_suppkey + 1000 AS BIGINT), CAST(s_nationkey + 100 AS BIGINT) FROM supplier
+  UNION ALL SELECT CAST(n_nationkey + 100 AS BIGINT), CAST(n_regionkey AS BIGINT) FROM nation
+), edges AS (SELECT src, dst, CAST(src % 37 + 1 AS DOUBLE) AS length, CAST(src % 7 AS DOUBLE) AS radius FROM pairs_
 ), vertices AS (
   SELECT vid, CAST(vid % 97 AS DOUBLE) AS x, CAST(vid % 89 AS DOUBLE) AS y, CAST(vid % 83 AS DOUBLE) AS z, CAST(vid % 5 AS DOUBLE) AS radius, vid % 11 = 0 AS label
   FROM (SELECT src AS vid FROM edges UNION SELECT dst FROM edges)

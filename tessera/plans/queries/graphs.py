@@ -31,9 +31,9 @@ def _info(spark, sf_dir):
     return _graph(spark, sf_dir).info()
 
 
-@register("graph_sub_graph", f"{_G} SELECT src, dst FROM edges WHERE length > 50000 AND src IN (SELECT vid FROM vertices WHERE radius < 4) AND dst IN (SELECT vid FROM vertices WHERE radius < 4)")
+@register("graph_sub_graph", f"{_G} SELECT src, dst FROM edges WHERE length > 20 AND src IN (SELECT vid FROM vertices WHERE radius < 4) AND dst IN (SELECT vid FROM vertices WHERE radius < 4)")
 def _sub(spark, sf_dir):
-    return _graph(spark, sf_dir).sub_graph(F.col("radius") < 4, F.col("length") > 50000).edge_connectivity()
+    return _graph(spark, sf_dir).sub_graph(F.col("radius") < 4, F.col("length") > 20).edge_connectivity()
 
 
 @register("graph_sub_slice", f"{_G} SELECT vid FROM vertices WHERE x >= 10 AND x < 60 AND y >= 0 AND y < 50")
@@ -155,9 +155,9 @@ def _vectors(spark, sf_dir):
     return _graph(spark, sf_dir).edge_vectors()
 
 
-@register("graph_expand_length", f"{_G} SELECT src, dst, CAST(part AS INTEGER) AS part, round(length / n, 6) AS length FROM (SELECT *, greatest(CAST(ceil(length / 20000) AS BIGINT), 1) AS n FROM edges), LATERAL (SELECT unnest(range(n)) AS part)")
+@register("graph_expand_length", f"{_G} SELECT src, dst, CAST(part AS INTEGER) AS part, round(length / n, 6) AS length FROM (SELECT *, greatest(CAST(ceil(length / 5) AS BIGINT), 1) AS n FROM edges), LATERAL (SELECT unnest(range(n)) AS part)")
 def _expand(spark, sf_dir):
-    return _graph(spark, sf_dir).expand_length("length", 20000.0).withColumn("length", F.round("length", 6))
+    return _graph(spark, sf_dir).expand_length("length", 5.0).withColumn("length", F.round("length", 6))
 
 
 @register("graph_clean", f"""WITH RECURSIVE {fx.GRAPH_SQL}, d AS (SELECT vid FROM ends GROUP BY vid HAVING count(*) >= 3), inner_ AS (SELECT src, dst FROM edges WHERE src IN (SELECT vid FROM d) AND dst IN (SELECT vid FROM d)),
@@ -187,19 +187,26 @@ def _coloring(spark, sf_dir):
     return g.edges.join(at("src"), "src").join(at("dst"), "dst").agg(F.count_if(F.col("c_src") == F.col("c_dst")).alias("conflicts"))
 
 
-_SKELETON = f"WITH {fx.VOX_SQL}, s AS (SELECT x, y, z FROM vox WHERE vol_id = 3 AND v > 100)"
+_SKELETON = f"WITH {fx.VOX_SQL}, s AS (SELECT CAST(x + vol_id * 6 AS INTEGER) AS x, y, z FROM vox WHERE v > 100)"
+
+
+def _bright(spark, sf_dir):
+    """All volumes side by side along x, bright voxels 1."""
+    v = fx.vox(spark, sf_dir)
+    return v.select((F.col("x") + F.col("vol_id") * 6).cast("int").alias("x"), "y", "z", (F.col("v") > 100).cast("int").alias("v"))
+
 
 
 @register("graph_from_skeleton", f"""{_SKELETON} SELECT a.x AS ax, a.y AS ay, a.z AS az, b.x AS bx, b.y AS by, b.z AS bz FROM s a JOIN s b ON abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 AND abs(a.z - b.z) <= 1 AND (b.x, b.y, b.z) > (a.x, a.y, a.z)""")
 def _skeleton(spark, sf_dir):
-    g = G.graph_from_skeleton(fx.vox(spark, sf_dir).filter("vol_id = 3").withColumn("v", (F.col("v") > 100).cast("int")))
+    g = G.graph_from_skeleton(_bright(spark, sf_dir))
     at = lambda end, p: g.vertices.select(F.col("vid").alias(end), *[F.col(c).alias(f"{p}{c}") for c in "xyz"])
     return g.edges.join(at("src", "a"), "src").join(at("dst", "b"), "dst").drop("src", "dst")
 
 
 @register("graph_to_skeleton", f"{_SKELETON} SELECT x, y, z, 1 AS v FROM s")
 def _to_skeleton(spark, sf_dir):
-    return G.graph_to_skeleton(G.graph_from_skeleton(fx.vox(spark, sf_dir).filter("vol_id = 3").withColumn("v", (F.col("v") > 100).cast("int"))))
+    return G.graph_to_skeleton(G.graph_from_skeleton(_bright(spark, sf_dir)))
 
 
 @register("index_neighbours", "WITH k AS (SELECT DISTINCT CAST(l_orderkey AS BIGINT) AS idx FROM lineitem) SELECT a.idx AS i, b.idx AS j FROM k a JOIN k b ON b.idx = a.idx + 7")

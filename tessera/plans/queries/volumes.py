@@ -93,14 +93,14 @@ def _count(spark, sf_dir):
     return C.count_cells(fx.cells(spark, sf_dir))
 
 
-_SAMPLES = f"""WITH {fx.CELLS_SQL}, k AS (SELECT sample, id, CASE hemisphere WHEN 0 THEN 'LH' ELSE 'RH' END AS hemisphere, count(name) AS counts FROM cells WHERE hemisphere IS NOT NULL AND sample <= 3 GROUP BY ALL),
-g AS (SELECT id, hemisphere, {', '.join(f"CAST(coalesce(sum(counts) FILTER (sample = {s}), 0) AS BIGINT) AS counts_{s}" for s in (1, 2, 3))} FROM k GROUP BY ALL)"""
+_SAMPLES = f"""WITH {fx.CELLS_SQL}, k AS (SELECT sample, id, CASE hemisphere WHEN 0 THEN 'LH' ELSE 'RH' END AS hemisphere, count(name) AS counts FROM cells WHERE hemisphere IS NOT NULL GROUP BY ALL),
+g AS (SELECT id, hemisphere, {', '.join(f"CAST(coalesce(sum(counts) FILTER (sample = {s}), 0) AS BIGINT) AS counts_{s}" for s in range(1, 8))} FROM k GROUP BY ALL)"""
 
 
 def _samples(spark, sf_dir):
-    c = fx.cells(spark, sf_dir).filter("sample <= 3").withColumn("hemisphere", C.side(F.col("hemisphere"))).filter("hemisphere is not null")
+    c = fx.cells(spark, sf_dir).withColumn("hemisphere", C.side(F.col("hemisphere"))).filter("hemisphere is not null")
     counts = c.groupBy("sample", "id", "hemisphere").agg(F.count("name").alias("counts"))
-    return C.group_counts(counts.withColumn("sample", F.col("sample").cast("string")), ["1", "2", "3"])
+    return C.group_counts(counts.withColumn("sample", F.col("sample").cast("string")), [str(s) for s in range(1, 8)])
 
 
 @register("group_counts", f"{_SAMPLES} SELECT * FROM g")
@@ -108,7 +108,7 @@ def _group(spark, sf_dir):
     return _samples(spark, sf_dir)
 
 
-@register("collapse_structures", f"{_SAMPLES} SELECT CASE WHEN id <= 40 THEN id % 4 ELSE id END AS id, hemisphere, CAST(sum(counts_1) AS BIGINT) AS counts_1, CAST(sum(counts_2) AS BIGINT) AS counts_2, CAST(sum(counts_3) AS BIGINT) AS counts_3 FROM g GROUP BY 1, 2")
+@register("collapse_structures", f"{_SAMPLES} SELECT CASE WHEN id <= 40 THEN id % 4 ELSE id END AS id, hemisphere, {', '.join(f'CAST(sum(counts_{s}) AS BIGINT) AS counts_{s}' for s in range(1, 8))} FROM g GROUP BY 1, 2")
 def _collapse(spark, sf_dir):
     mapping = spark.range(1, 41).select(F.col("id").alias("child"), (F.col("id") % 4).alias("parent"))
     return C.collapse_structures(_samples(spark, sf_dir), mapping)
@@ -245,9 +245,9 @@ def _child(spark, sf_dir):
     return H.child_to_parent(_paths(spark, sf_dir), [0, 2, 105])
 
 
-@register("label_points", f"{_V}, a AS (SELECT x, y, z, v AS id FROM vox WHERE vol_id = 0), {fx.POINTS_SQL} SELECT p.x, p.y, p.z, CAST(coalesce(a.id, 0) AS BIGINT) AS id FROM points p LEFT JOIN a ON CAST(p.x AS INTEGER) = a.x AND CAST(p.y AS INTEGER) = a.y AND CAST(p.z AS INTEGER) = a.z")
+@register("label_points", f"{_V}, a AS (SELECT x, y, z, max(v) AS id FROM vox GROUP BY ALL), {fx.POINTS_SQL} SELECT p.x, p.y, p.z, CAST(coalesce(a.id, 0) AS BIGINT) AS id FROM points p LEFT JOIN a ON CAST(p.x AS INTEGER) = a.x AND CAST(p.y AS INTEGER) = a.y AND CAST(p.z AS INTEGER) = a.z")
 def _label_points(spark, sf_dir):
-    atlas = fx.vox(spark, sf_dir).filter("vol_id = 0").select("x", "y", "z", F.col("v").alias("id"))
+    atlas = fx.vox(spark, sf_dir).groupBy("x", "y", "z").agg(F.max("v").alias("id"))
     return H.label_points(fx.points(spark, sf_dir).select("x", "y", "z"), atlas)
 
 
