@@ -7,7 +7,7 @@ Sharding. Searching every document in every shard would cost documents times
 shards. Instead text is cut by minimizers: of the ``anchor``-word sequences inside a
 window, the one with the smallest hash is the window's anchor. Equal windows
 have equal anchors, so all occurrences of a window are in the shard that owns its anchor,
-and each stretch of windows with one anchor (a segment, at most 2 * span words) goes to one shard.
+and each stretch of windows with one anchor (a segment) goes to one shard.
 
 1. Anchors: (anchor, key) rows are shuffled by anchor; anchors that occur under
    one key only are settled there.
@@ -51,6 +51,8 @@ ANCHOR = 5
 BROADCAST_ANCHORS = 4_000_000
 #: Words of one FM-index.
 INDEX_WORDS = 1_500_000
+#: Windows of one segment.
+RUN = 256
 _HELD = 5  # bytes of a word in a segment
 
 
@@ -75,10 +77,13 @@ def window_anchors(data: np.ndarray, offsets: np.ndarray, span: int, anchor: int
 
 
 def _segments(owner: np.ndarray, at: np.ndarray, best: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first window, number of windows) of each run of windows with one anchor occurrence."""
+    """(first window, number of windows) of each run of windows with one anchor, at most ``RUN``: a text that repeats one
+    word has one long segment, not one for each window."""
     if not len(at):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    edge = np.flatnonzero(np.concatenate([[True], (where[1:] != where[:-1]) | (owner[1:] != owner[:-1])]))
+    new = np.concatenate([[True], (best[1:] != best[:-1]) | (owner[1:] != owner[:-1])])
+    inside = np.arange(len(at)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+    edge = np.flatnonzero(inside % RUN == 0)
     return edge, np.diff(np.append(edge, len(at)))
 
 
