@@ -10,9 +10,10 @@ A text's set is its distinct word n-gram hashes. Two sets link when
    the order changes speed, never results.
 2. A second pass emits each distinct set's prefix: two sets that link share an
    n-gram of their prefixes. Index lists are shuffled by n-gram; singletons end there.
-3. Set relations. In each list, sets are first compared with their list's
-   leader of similar size and with their neighbour only (linear). Verified links
-   give classes of highly similar sets.
+3. Set relations. In each list a set is paired with the list's leader of similar size
+   and with its neighbour only (linear). Each set tests the pair that met in most lists, then
+   in a few rounds each class tests its most promising pair to another class;
+   verified links make larger classes of highly similar sets.
 4. Between classes, lists are scanned by block: a block of entries is skipped
    when its sizes or positions rule out enough overlap. In long lists a set's answers
    are derived from its class pivot's: the pivot's bitmap distances, corrected by
@@ -42,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import connected_components
-from tessera.llm.shared import Scratch, semi_by_key
+from tessera.llm.shared import BROADCAST_KEYS, Scratch, semi_by_key
 from tessera.llm.textkernel import column_bytes, distinct_sorted, mix64, shingles, slices, word_hashes, words
 
 #: Entries of a task's heavy-hitter summary while it runs, and rows it hands on.
@@ -55,6 +56,8 @@ FREQUENT_FROM = 30
 #: Lists from this length on are scanned by block with bitmaps.
 LONG_LIST = 64
 BLOCK = 64
+#: Rounds of growing classes of similar sets before classes are compared in full.
+ROUNDS = 3
 #: Bits of a parity bitmap per n-gram, rounded up to a power of two.
 BITS_PER_GRAM = 4
 
@@ -225,8 +228,14 @@ def _pair_batch(a: list[np.ndarray], b: list[np.ndarray]) -> Iterator[pa.RecordB
             yield pa.RecordBatch.from_arrays([pa.array(p[:, 0].copy()), pa.array(p[:, 1].copy())], ["a", "b"])
 
 
-def index_lists(rows: DataFrame) -> DataFrame:
-    """Entries of lists with at least two sets, with the list's length; one entry per (n-gram, set)."""
+def index_lists(rows: DataFrame, percent: int) -> DataFrame:
+    """Two kinds of rows from one shuffle by n-gram.
+
+    0: gram, sid, n, pos, size: entries of lists with at least two sets, one per (n-gram, set).
+    1: sid, other, c: how many lists of the task pair the set with ``other``, its list's leader of
+    similar size or its neighbour there; linear in the entries.
+    """
+    names = ["kind", "gram", "sid", "n", "pos", "size", "other", "c"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = _table(batches)
@@ -242,41 +251,56 @@ def index_lists(rows: DataFrame) -> DataFrame:
         length = np.diff(np.append(edge, len(gram)))
         size = np.repeat(length, length)
         at = np.flatnonzero(size >= 2)
+        gram, sid, n, pos, size = gram[at], sid[at], n[at], pos[at], size[at]
         for lo in range(0, len(at), 100_000):
-            i = at[lo : lo + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(gram[i]), pa.array(sid[i]), pa.array(n[i]), pa.array(pos[i]), pa.array(size[i].astype(np.int32))], ["gram", "sid", "n", "pos", "size"])
-
-    return rows.repartition("gram").mapInArrow(run, "gram bigint, sid bigint, n int, pos int, size int")
-
-
-def leader_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """Pairs of each entry with its list's leader of similar size, and with its neighbour: linear in the entries."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = _table(batches)
-        if t is None:
+            i = slice(lo, lo + 100_000)
+            m = len(gram[i])
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), pa.array(gram[i]), pa.array(sid[i]), pa.array(n[i]), pa.array(pos[i]), pa.array(size[i].astype(np.int32)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32())], names)
+        if not len(at):
             return
-        gram, sid, n, pos = (t[c].to_numpy() for c in ("gram", "sid", "n", "pos"))
-        order = np.lexsort((sid, n, gram))
-        gram, sid, n, pos = gram[order], sid[order], n[order].astype(np.int64), pos[order].astype(np.int64)
+        n, pos = n.astype(np.int64), pos.astype(np.int64)
         step = np.floor(np.log(n) / np.log(100 / percent)).astype(np.int64)
         new = np.concatenate([[True], (gram[1:] != gram[:-1]) | (step[1:] != step[:-1])])
         lead = np.flatnonzero(new)[np.cumsum(new) - 1]
         me = np.arange(len(gram))
-        a, b = [], []
+        pairs = []
         for other, ok in ((lead, lead != me), (np.maximum(me - 1, 0), np.concatenate([[False], gram[1:] == gram[:-1]]))):
             i = np.flatnonzero(ok)
             i = i[_open(n[i], pos[i], n[other[i]], pos[other[i]], percent)]
-            a.append(sid[i])
-            b.append(sid[other[i]])
-        yield from _pair_batch(a, b)
+            pairs.append(np.stack([sid[i], sid[other[i]]], axis=1))
+        both, count = np.unique(np.concatenate(pairs), axis=0, return_counts=True)
+        for lo in range(0, len(both), 100_000):
+            p, c = both[lo : lo + 100_000], count[lo : lo + 100_000]
+            m = len(p)
+            none = [pa.nulls(m, k) for k in (pa.int32(), pa.int32(), pa.int32())]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.nulls(m, pa.int64()), pa.array(p[:, 0].copy()), *none, pa.array(p[:, 1].copy()), pa.array(c.astype(np.int32))], names)
+
+    return rows.repartition("gram").mapInArrow(run, "kind int, gram bigint, sid bigint, n int, pos int, size int, other bigint, c int")
+
+
+def paired(counted: DataFrame) -> DataFrame:
+    """a, b, c: in how many lists a set met another as its leader or neighbour; linear in the entries."""
+    ends = counted.select(F.least("sid", "other").alias("a"), F.greatest("sid", "other").alias("b"), "c")
+    return ends.groupBy("a", "b").agg(F.sum("c").alias("c"))
+
 
-    return lists.repartition("gram").mapInArrow(run, "a bigint, b bigint").distinct()
+def leader_pairs(pairs: DataFrame) -> DataFrame:
+    """a, b: for each set the pair that met in most lists, and the one with the smallest id (a hub that many sets choose)."""
+    both = pairs.select(F.col("a").alias("sid"), F.col("b").alias("o"), "c").unionByName(pairs.select(F.col("b").alias("sid"), F.col("a").alias("o"), "c"))
+    best = both.groupBy("sid").agg(F.max_by("o", F.struct("c", "o")).alias("o1"), F.min("o").alias("o2"))
+    ends = best.select("sid", F.explode(F.array("o1", "o2")).alias("o"))
+    return ends.select(F.least("sid", "o").alias("a"), F.greatest("sid", "o").alias("b")).distinct()
 
 
-def _long_list(sid, n, pos, comp, maps: list[np.ndarray], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Open pairs of different classes in one long list, sorted by size. Scans block by block."""
-    m = len(sid)
+def in_classes(entries: DataFrame, classes: DataFrame, few: bool) -> DataFrame:
+    """entries with comp, the set's class. Few classes are broadcast and the lists stay where they were written; else lists are shuffled anew."""
+    out = entries.join(F.broadcast(classes) if few else classes, "sid", "left").withColumn("comp", F.coalesce("component", "sid")).drop("component")
+    return out if few else out.repartition("gram")
+
+
+def _long_list(n, pos, comp, maps: list[np.ndarray], percent: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(entry, open partners of other classes, how far each is inside the bound) in one long list, sorted by size. Scans block by block."""
+    m = len(n)
     words_of = np.array([len(x) for x in maps])
     heads = np.arange(0, m, BLOCK)
     least_n = n[heads]
@@ -315,25 +339,29 @@ def _long_list(sid, n, pos, comp, maps: list[np.ndarray], percent: int) -> Itera
             keep = far[j] - far[i] <= allowed  # triangle inequality on differing bits
             j, allowed = j[keep], allowed[keep]
         if len(j):
-            keep = np.bitwise_count(table[j] ^ table[i]).sum(1) <= allowed
+            margin = allowed - np.bitwise_count(table[j] ^ table[i]).sum(1)
+            keep = margin >= 0
             if keep.any():
-                yield np.full(int(keep.sum()), sid[i]), sid[j[keep]]
+                yield i, j[keep], margin[keep]
+
 
+def _sorted(t: pa.Table) -> tuple[np.ndarray, ...]:
+    gram, sid, n, pos, comp = (t[c].to_numpy() for c in ("gram", "sid", "n", "pos", "comp"))
+    order = np.lexsort((sid, n, gram))
+    return order, gram[order], sid[order], n[order].astype(np.int64), pos[order].astype(np.int64), comp[order]
 
-def class_pairs(entries: DataFrame, percent: int) -> DataFrame:
-    """Open pairs between different classes. ``entries``: gram, sid, n, pos, size, comp, bitmap (of long lists only)."""
+
+def short_list_pairs(entries: DataFrame, percent: int) -> DataFrame:
+    """Open pairs between different classes in lists below ``LONG_LIST``: all lists of a task at once, one shift at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = _table(batches)
         if t is None:
             return
-        gram, sid, n, pos, comp, size = (t[c].to_numpy() for c in ("gram", "sid", "n", "pos", "comp", "size"))
-        order = np.lexsort((sid, n, gram))
-        gram, sid, comp, size = gram[order], sid[order], comp[order], size[order]
-        n, pos = n[order].astype(np.int64), pos[order].astype(np.int64)
+        _, gram, sid, n, pos, comp = _sorted(t)
         a: list[np.ndarray] = []
         b: list[np.ndarray] = []
-        i = np.flatnonzero(size < LONG_LIST)  # short lists: all of them at once, one shift at a time
+        i = np.arange(len(gram))
         for shift in range(1, LONG_LIST):
             i = i[i + shift < len(gram)]
             i = i[(gram[i + shift] == gram[i]) & (n[i + shift] * percent <= n[i] * 100)]
@@ -343,21 +371,62 @@ def class_pairs(entries: DataFrame, percent: int) -> DataFrame:
             k = np.flatnonzero((comp[i] != comp[j]) & _open(n[i], pos[i], n[j], pos[j], percent))
             a.append(sid[i[k]])
             b.append(sid[j[k]])
-        longer = np.flatnonzero(size >= LONG_LIST)
-        if len(longer):
-            maps = t["bitmap"].combine_chunks()
-            cuts = np.flatnonzero(np.concatenate([[True], gram[longer][1:] != gram[longer][:-1], [True]]))
-            for lo, hi in zip(cuts, cuts[1:]):
-                at = longer[lo:hi]
-                if (comp[at] == comp[at[0]]).all():
-                    continue
-                bits = [np.frombuffer(maps[int(x)].as_py(), "<u8") for x in order[at]]
-                for x, y in _long_list(sid[at], n[at], pos[at], comp[at], bits, percent):
-                    a.append(x)
-                    b.append(y)
         yield from _pair_batch(a, b)
 
-    return entries.repartition("gram").mapInArrow(run, "a bigint, b bigint").distinct()
+    return entries.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def _each_long_list(t: pa.Table, percent: int):
+    """(set ids, classes, entry, partners, margins) over the long lists of a task."""
+    order, gram, sid, n, pos, comp = _sorted(t)
+    maps = t["bitmap"].combine_chunks()
+    cuts = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1], [True]]))
+    for lo, hi in zip(cuts, cuts[1:]):
+        c = comp[lo:hi]
+        if (c == c[0]).all():
+            continue
+        bits = [np.frombuffer(maps[int(x)].as_py(), "<u8") for x in order[lo:hi]]
+        for i, j, margin in _long_list(n[lo:hi], pos[lo:hi], c, bits, percent):
+            yield sid[lo:hi], c, i, j, margin
+
+
+def long_list_pairs(entries: DataFrame, percent: int) -> DataFrame:
+    """Open pairs between different classes in long lists (entries carry bitmaps)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = _table(batches)
+        if t is None:
+            return
+        a, b = [], []
+        for sid, _, i, j, _ in _each_long_list(t, percent):
+            a.append(np.full(len(j), sid[i]))
+            b.append(sid[j])
+        yield from _pair_batch(a, b)
+
+    return entries.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def best_class_pairs(entries: DataFrame, percent: int, tested: DataFrame) -> DataFrame:
+    """a, b: for each class its most promising open pair to another class in long lists. One row per class and task before the shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = _table(batches)
+        if t is None:
+            return
+        best: dict[int, tuple[int, int, int]] = {}
+        for sid, comp, i, j, margin in _each_long_list(t, percent):
+            for k in (int(margin.argmax()), 0):
+                a, b = int(sid[i]), int(sid[j[k]])
+                found = (int(margin[k]), min(a, b), max(a, b))
+                for c in (int(comp[i]), int(comp[j[k]])):
+                    if c not in best or found > best[c]:
+                        best[c] = found
+        if best:
+            yield pa.RecordBatch.from_arrays([pa.array(list(best), pa.int64()), *[pa.array([x[k] for x in best.values()], pa.int64()) for k in range(3)]], ["cls", "margin", "a", "b"])
+
+    found = entries.mapInArrow(run, "cls bigint, margin bigint, a bigint, b bigint").join(tested, ["a", "b"], "left_anti")
+    best = found.groupBy("cls").agg(F.max_by(F.struct("a", "b"), F.struct("margin", "a", "b")).alias("e"))
+    return best.select("e.a", "e.b").distinct()
 
 
 def thin(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -423,16 +492,28 @@ def jaccard_components(docs: DataFrame, percent: int = 75, n: int = 5, key: str
     holders = rows.filter("n > 0").groupBy("sid").agg(F.min("key").alias("key"))
     top = measured.filter("kind = 2").groupBy("gram").agg(F.sum("c").alias("c")).filter(F.col("c") >= FREQUENT_FROM).orderBy(F.desc("c"), "gram").limit(FREQUENT).select("gram").toArrow()
     last = np.sort(top["gram"].to_numpy().view(np.uint64)) if top.num_rows else np.zeros(0, np.uint64)
-    lists = scratch.save(index_lists(prefixes(docs, n, percent, last)), "lists")
-    links = scratch.save(verify(scratch.save(thin(leader_pairs(lists, percent), sets, percent), "near"), docs, holders, n, percent), "links-0")
-    classes = connected_components(links, scratch, "classes").select(F.col("node").alias("sid"), "component")
-    entries = lists.join(classes, "sid", "left").withColumn("comp", F.coalesce("component", "sid")).drop("component")
-    short = entries.filter(F.col("size") < LONG_LIST).withColumn("bitmap", F.lit(None).cast("binary"))
-    longer = entries.filter(F.col("size") >= LONG_LIST).join(sets.select("sid", "bitmap"), "sid")
-    open_pairs = scratch.save(thin(class_pairs(short.unionByName(longer), percent), sets, percent), "open")
-    more = scratch.save(verify(open_pairs, docs, holders, n, percent), "links-1")
+    indexed = scratch.save(index_lists(prefixes(docs, n, percent, last), percent), "indexed", whole_files=True)
+    lists = indexed.filter("kind = 0").select("gram", "sid", "n", "pos", "size")
+    short = lists.filter(F.col("size") < LONG_LIST)
+    # lists are written once with their bitmaps; later rounds read them in place
+    longer = scratch.save(lists.filter(F.col("size") >= LONG_LIST).join(sets.select("sid", "bitmap"), "sid").repartition("gram"), "long", whole_files=True)
+    links = classes = tested = None
+    for r in range(ROUNDS):
+        few = classes is None or classes.count() <= BROADCAST_KEYS
+        chosen = leader_pairs(paired(indexed.filter("kind = 1"))) if classes is None else best_class_pairs(in_classes(longer, classes, few), percent, tested)
+        chosen = scratch.save(chosen, f"chosen-{r}")
+        new = scratch.save(verify(scratch.save(thin(chosen, sets, percent), f"near-{r}"), docs, holders, n, percent), f"links-{r}")
+        links = new if links is None else links.unionByName(new)
+        tested = chosen if tested is None else tested.unionByName(chosen)
+        if r and not new.take(1):
+            break
+        classes = scratch.save(connected_components(links, scratch, f"classes-{r}").select(F.col("node").alias("sid"), "component"), f"class-{r}")
+    few = classes.count() <= BROADCAST_KEYS
+    open_pairs = short_list_pairs(in_classes(short, classes, few), percent).unionByName(long_list_pairs(in_classes(longer, classes, few), percent)).distinct()
+    open_pairs = scratch.save(thin(open_pairs.join(tested, ["a", "b"], "left_anti"), sets, percent), "open")
+    more = scratch.save(verify(open_pairs, docs, holders, n, percent), "links-more")
     nodes = connected_components(links.unionByName(more), scratch, "all").select(F.col("node").alias("sid"), "component")
-    scratch.drop("lists", "near", "open")
+    scratch.drop("indexed", "long", "open")
     member = rows.join(nodes, "sid", "left").withColumn("group", F.coalesce("component", "sid"))
     least = member.filter("n > 0").groupBy("group").agg(F.min("key").alias("least"))
     out = member.join(least, "group", "left")

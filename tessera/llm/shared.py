@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Largest number of 8-byte keys that is sent to every executor; more keys are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
+#: Row group size that no task's output reaches.
+WHOLE = 2_000_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,9 +46,11 @@ class Scratch:
         self.path = f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
         atexit.register(self._end)
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, whole_files: bool = False) -> DataFrame:
+        """``whole_files``: each file is one row group, so a later scan never divides what one task wrote."""
         path = f"{self.path}/{name}"
-        df.write.parquet(path)
+        writer = df.write.option("parquet.block.size", WHOLE) if whole_files else df.write
+        writer.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
