@@ -49,9 +49,10 @@ def structure_element_offsets(shape: tuple[int, ...]) -> list[tuple[int, int]]:
 
 
 def filter_kernel(ftype: str = "Gaussian", shape: tuple[int, ...] = (5, 5, 5), sigma=None, sigma2=None) -> np.ndarray:
-    """mean, gaussian, sphere, disk, log (Laplacian of Gaussian, zero sum) or dog (difference of Gaussians, zero sum)."""
+    """mean, gaussian, sphere, disk, log (Laplacian of Gaussian, zero sum) or dog (narrow ``sigma`` less wide ``sigma2``, zero sum)."""
     ftype = ftype.lower()
-    sigma = tuple(np.broadcast_to(sigma, len(shape))) if sigma is not None else tuple(n / 2 / np.sqrt(2 * np.log(2)) for n in shape)
+    wide = tuple(n / 2 / np.sqrt(2 * np.log(2)) for n in shape)
+    given = lambda s, default: tuple(np.broadcast_to(s, len(shape))) if s is not None else default
     grid = _grid(shape)
 
     def gaussian(s) -> np.ndarray:
@@ -61,16 +62,17 @@ def filter_kernel(ftype: str = "Gaussian", shape: tuple[int, ...] = (5, 5, 5), s
     if ftype == "mean":
         return np.full(shape, 1 / np.prod(shape))
     if ftype == "gaussian":
-        return gaussian(sigma)
+        return gaussian(given(sigma, wide))
     if ftype in ("sphere", "disk"):
         w = structure_element(shape, ftype).astype(float)
         return w / w.sum()
     if ftype == "log":
+        sigma = given(sigma, tuple(a / 2 for a in wide))
         g = gaussian(sigma) * sum(x**2 / a**4 - 1 / a**2 for x, a in zip(grid, sigma))
         return -(g - g.mean())
     if ftype == "dog":
-        narrow = tuple(np.broadcast_to(sigma2, len(shape))) if sigma2 is not None else tuple(a / 1.5 for a in sigma)
-        k = gaussian(narrow) - gaussian(sigma)
+        outer = given(sigma2, wide)
+        k = gaussian(given(sigma, tuple(a / 1.5 for a in outer))) - gaussian(outer)
         return k - k.mean()
     raise ValueError(f"unknown kernel {ftype}")
 

@@ -231,11 +231,13 @@ def best_shift(pre: np.ndarray, post: np.ndarray, max_shift: int) -> tuple[tuple
     """(shift, quality) of two arrays: the shift with the least mean squared difference of their overlap, by FFT correlations; quality is minus that."""
     a, b = pre.astype(float), post.astype(float)
     size = [m + n for m, n in zip(a.shape, b.shape)]
-    fa, fb = np.fft.rfftn(a, size), np.fft.rfftn(b, size)
-    one_a, one_b = np.fft.rfftn(np.ones(a.shape), size), np.fft.rfftn(np.ones(b.shape), size)
-    back = lambda f: np.fft.irfftn(f, size, axes=range(a.ndim))
+    axes = tuple(range(a.ndim))
+    to = lambda x: np.fft.rfftn(x, size, axes)
+    fa, fb = to(a), to(b)
+    one_a, one_b = to(np.ones(a.shape)), to(np.ones(b.shape))
+    back = lambda f: np.fft.irfftn(f, size, axes)
     n = np.rint(back(one_a * one_b.conj()))
-    ssd = back(np.fft.rfftn(a**2, size) * one_b.conj()) + back(one_a * np.fft.rfftn(b**2, size).conj()) - 2 * back(fa * fb.conj())
+    ssd = back(to(a**2) * one_b.conj()) + back(one_a * to(b**2).conj()) - 2 * back(fa * fb.conj())
     best: tuple[tuple[int, ...], float] | None = None
     for s in np.ndindex(*[2 * max_shift + 1] * a.ndim):
         d = tuple(i - max_shift for i in s)
