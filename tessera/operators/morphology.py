@@ -142,7 +142,8 @@ def _lines(vox: DataFrame, axis: str) -> DataFrame:
     def run(df: pd.DataFrame) -> pd.DataFrame:
         x, d = df[axis].to_numpy(), df["d2"].to_numpy()
         out = df.copy()
-        out["d2"] = (d[None, :] + (x[:, None] - x[None, :]) ** 2.0).min(1)
+        # 256 positions against the line at a time
+        out["d2"] = np.concatenate([(d[None, :] + (x[i : i + 256, None] - x[None, :]) ** 2.0).min(1) for i in range(0, len(x), 256)])
         return out
 
     # planes, not single lines, are the groups, so that groups are few
