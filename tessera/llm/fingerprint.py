@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.textkernel import column_bytes, distinct_sorted, shingles, slices, word_hashes, words
+from tessera.llm.textkernel import column_bytes, distinct_sorted, shingles, slices, tidied, word_hashes, words
 
 _ALL = (1 << 64) - 1
 #: Words of a shingle.
@@ -95,7 +95,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", one_i
             got = list(sketches(*column_bytes(batch.column(1)), one_in))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[0] for g in got], pa.int64()), pa.array([to_text(g) for g in got], pa.string())], [key, "n_shingles", "fingerprint"])
 
-    return docs.mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, n_shingles bigint, fingerprint string")
+    return docs.mapInArrow(tidied(run), f"`{key}` {docs.schema[key].dataType.simpleString()}, n_shingles bigint, fingerprint string")
 
 
 def _range_of(key: Column, starts: list, lo: int = 0) -> Column:
@@ -174,4 +174,4 @@ def compare_edited(docs: DataFrame, key: str = "doc_id", text: str = "text", one
                     yield finish(keys, texts)
                     keys, texts, size = keys[-1:], texts[-1:], len(t)
 
-    return rows.mapInArrow(run, f"`{key}` {kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return rows.mapInArrow(tidied(run), f"`{key}` {kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

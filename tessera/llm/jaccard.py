@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.components import connected_components
 from tessera.llm.shared import BROADCAST_KEYS, Scratch, semi_by_key
-from tessera.llm.textkernel import column_bytes, distinct_sorted, mix64, shingles, slices, word_hashes, words
+from tessera.llm.textkernel import column_bytes, distinct_sorted, mix64, shingles, slices, tidied, word_hashes, words
 
 #: Entries of a task's heavy-hitter summary while it runs, and rows it hands on.
 SUMMARY = 200_000
@@ -165,7 +165,7 @@ def measure(docs: DataFrame, n: int) -> DataFrame:
             m = len(grams)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(m, 2, np.int32)), pa.nulls(m, key_type), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array(grams.view(np.int64)), pa.array(counts)], names)
 
-    return docs.mapInArrow(run, f"kind int, key {kind.simpleString()}, n int, sid bigint, bitmap binary, gram bigint, c bigint")
+    return docs.mapInArrow(tidied(run), f"kind int, key {kind.simpleString()}, n int, sid bigint, bitmap binary, gram bigint, c bigint")
 
 
 def prefixes(docs: DataFrame, n: int, percent: int, last: np.ndarray) -> DataFrame:
@@ -201,7 +201,7 @@ def prefixes(docs: DataFrame, n: int, percent: int, last: np.ndarray) -> DataFra
                 v, o, pos = v[front], o[front], pos[front]
                 yield pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)), pa.array(ids[o]), pa.array(sizes[o].astype(np.int32)), pa.array(pos.astype(np.int32))], ["gram", "sid", "n", "pos"])
 
-    return docs.select("text").mapInArrow(run, "gram bigint, sid bigint, n int, pos int")
+    return docs.select("text").mapInArrow(tidied(run), "gram bigint, sid bigint, n int, pos int")
 
 
 def _need(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -275,7 +275,7 @@ def index_lists(rows: DataFrame, percent: int) -> DataFrame:
             none = [pa.nulls(m, k) for k in (pa.int32(), pa.int32(), pa.int32())]
             yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.nulls(m, pa.int64()), pa.array(p[:, 0].copy()), *none, pa.array(p[:, 1].copy()), pa.array(c.astype(np.int32))], names)
 
-    return rows.repartition("gram").mapInArrow(run, "kind int, gram bigint, sid bigint, n int, pos int, size int, other bigint, c int")
+    return rows.repartition("gram").mapInArrow(tidied(run), "kind int, gram bigint, sid bigint, n int, pos int, size int, other bigint, c int")
 
 
 def paired(counted: DataFrame) -> DataFrame:
@@ -373,7 +373,7 @@ def short_list_pairs(entries: DataFrame, percent: int) -> DataFrame:
             b.append(sid[j[k]])
         yield from _pair_batch(a, b)
 
-    return entries.mapInArrow(run, "a bigint, b bigint").distinct()
+    return entries.mapInArrow(tidied(run), "a bigint, b bigint").distinct()
 
 
 def _each_long_list(t: pa.Table, percent: int):
@@ -403,7 +403,7 @@ def long_list_pairs(entries: DataFrame, percent: int) -> DataFrame:
             b.append(sid[j])
         yield from _pair_batch(a, b)
 
-    return entries.mapInArrow(run, "a bigint, b bigint").distinct()
+    return entries.mapInArrow(tidied(run), "a bigint, b bigint").distinct()
 
 
 def best_class_pairs(entries: DataFrame, percent: int, tested: DataFrame) -> DataFrame:
@@ -424,7 +424,7 @@ def best_class_pairs(entries: DataFrame, percent: int, tested: DataFrame) -> Dat
         if best:
             yield pa.RecordBatch.from_arrays([pa.array(list(best), pa.int64()), *[pa.array([x[k] for x in best.values()], pa.int64()) for k in range(3)]], ["cls", "margin", "a", "b"])
 
-    found = entries.mapInArrow(run, "cls bigint, margin bigint, a bigint, b bigint").join(tested, ["a", "b"], "left_anti")
+    found = entries.mapInArrow(tidied(run), "cls bigint, margin bigint, a bigint, b bigint").join(tested, ["a", "b"], "left_anti")
     best = found.groupBy("cls").agg(F.max_by(F.struct("a", "b"), F.struct("margin", "a", "b")).alias("e"))
     return best.select("e.a", "e.b").distinct()
 
@@ -445,7 +445,7 @@ def thin(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     keep.append(i)
             yield batch.take(pa.array(keep, pa.int64())).select(["a", "b"])
 
-    return rows.mapInArrow(run, "a bigint, b bigint")
+    return rows.mapInArrow(tidied(run), "a bigint, b bigint")
 
 
 def verify(pairs: DataFrame, docs: DataFrame, keys: DataFrame, n: int, percent: int) -> DataFrame:
@@ -464,7 +464,7 @@ def verify(pairs: DataFrame, docs: DataFrame, keys: DataFrame, n: int, percent:
                 ids = set_ids(values, begin)[at]
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([values[begin[i] : begin[i + 1]].tobytes() for i in at], pa.binary())], ["sid", "grams"])
 
-    sets = rows.mapInArrow(full, "sid bigint, grams binary").join(ids.hint("shuffle_hash"), "sid", "left_semi").dropDuplicates(["sid"])
+    sets = rows.mapInArrow(tidied(full), "sid bigint, grams binary").join(ids.hint("shuffle_hash"), "sid", "left_semi").dropDuplicates(["sid"])
     side = lambda s: sets.select(F.col("sid").alias(s), F.col("grams").alias(f"g_{s}"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -479,7 +479,7 @@ def verify(pairs: DataFrame, docs: DataFrame, keys: DataFrame, n: int, percent:
                     keep.append(i)
             yield batch.take(pa.array(keep, pa.int64())).select(["a", "b"])
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "g_a", "g_b").mapInArrow(check, "a bigint, b bigint")
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "g_a", "g_b").mapInArrow(tidied(check), "a bigint, b bigint")
 
 
 def jaccard_components(docs: DataFrame, percent: int = 75, n: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:

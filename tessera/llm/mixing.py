@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.shared import Scratch
-from tessera.llm.textkernel import column_bytes, slices, word_hashes, words
+from tessera.llm.textkernel import column_bytes, slices, tidied, word_hashes, words
 
 SAMPLE_PER_DOMAIN = 6_000
 #: Domains at most; they are columns of the fit.
@@ -99,7 +99,7 @@ class DomainClassifier:
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array([bucket[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary())], ["k", "d", "bucket"])
 
         kind = docs.schema[self.key].dataType.simpleString()
-        got = texts.mapInArrow(run, f"k {kind}, d string, bucket binary").toArrow()
+        got = texts.mapInArrow(tidied(run), f"k {kind}, d string, bucket binary").toArrow()
         parts = [np.frombuffer(b.as_py(), np.int32) for b in got["bucket"]]
         number = {d: i for i, d in enumerate(self.domains)}
         y = np.array([number[d] for d in got["d"].to_pylist()], dtype=np.int64)
@@ -135,12 +135,14 @@ class DomainClassifier:
         """``key``, the columns in ``keep``, n_words, and p (posteriors in the order of ``domains``)."""
         model = docs.sparkSession.sparkContext.broadcast((self.weights, self.bias))
         k, n_keep = len(self.domains), 1 + len(keep)
-        rows = docs.select(F.col(self.key), *[F.col(f"`{c}`") for c in keep], F.col(self.text).alias("_text"))
+        at = 1 + keep.index(self.text) if self.text in keep else n_keep
+        own = [] if self.text in keep else [F.col(self.text).alias("_text")]
+        rows = docs.select(F.col(self.key), *[F.col(f"`{c}`") for c in keep], *own)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             w, b = model.value
             for batch in batches:
-                data, offsets = column_bytes(batch.column(n_keep))
+                data, offsets = column_bytes(batch.column(at))
                 sizes, post = [np.zeros(0, np.int64)], [np.zeros((0, k))]
                 for lo, hi in slices(offsets):
                     o = offsets[lo : hi + 1]
@@ -153,7 +155,7 @@ class DomainClassifier:
                 yield pa.RecordBatch.from_arrays([*batch.columns[:n_keep], pa.array(np.concatenate(sizes)), lists], [*batch.schema.names[:n_keep], "n_words", "p"])
 
         out = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in (self.key, *keep)]
-        return rows.mapInArrow(run, ", ".join([*out, "n_words bigint", "p array<double>"]))
+        return rows.mapInArrow(tidied(run), ", ".join([*out, "n_words bigint", "p array<double>"]))
 
 
 def _rate(steps: list[np.ndarray]) -> Column:

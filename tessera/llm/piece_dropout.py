@@ -35,14 +35,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.textkernel import mix64
+from tessera.llm.textkernel import mix64, tidied
 
 MARK = "▁"
 DROPOUT = 0.1
 SEED = 17
 VARIANTS = 8
 #: (chunk, variant) results that a worker keeps; emptied when full.
-CACHE_SIZE = 800_000
+CACHE_SIZE = 600_000
 #: Longest chunk (in characters) that is merged in the batch; also the longest that is cached.
 BATCH_CHARS = 40
 _M = (1 << 64) - 1
@@ -287,9 +287,7 @@ class MergeDropout:
                         fresh[item] = self.encode_one(*item)
             fresh.update(zip(batch, self.encode_batch(batch)))
             if self.cached + len(batch) > CACHE_SIZE:
-                for d in cache:
-                    d.clear()
-                self.cached = 0
+                self.forget()
             for item in batch:
                 cache[item[1]][item[0]] = fresh[item]
             self.cached += len(batch)
@@ -312,6 +310,13 @@ class MergeDropout:
         return self.blob[index].tobytes()[1:]  # without the dummy space
 
 
+    def forget(self) -> None:
+        """Empty the cache; a task's end does."""
+        for d in self.cache:
+            d.clear()
+        self.cached = 0
+
+
 _coders: dict[tuple, MergeDropout] = {}
 
 
@@ -352,8 +357,9 @@ def encode(docs: DataFrame, path: str, seed: int = SEED, dropout: float = DROPOU
                 offsets = np.concatenate([[0], np.cumsum([len(g) // 4 for g in got])]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(got), "<i4")))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), ids], [key, "ids"])
+        c.forget()
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, ids array<int>")
+    return docs.select(key, text).mapInArrow(tidied(run), f"`{key}` {docs.schema[key].dataType.simpleString()}, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
@@ -365,7 +371,7 @@ def decode(encoded: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
             texts = [c.decode(b"" if not x.is_valid else np.array(x.as_py(), "<i4").tobytes()).decode() for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], [key, "text"])
 
-    return encoded.select(key, "ids").mapInArrow(run, f"`{key}` {encoded.schema[key].dataType.simpleString()}, text string")
+    return encoded.select(key, "ids").mapInArrow(tidied(run), f"`{key}` {encoded.schema[key].dataType.simpleString()}, text string")
 
 
 def round_trip(docs: DataFrame, path: str, seed: int = SEED, dropout: float = DROPOUT, variants: int = VARIANTS, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
@@ -390,5 +396,6 @@ def round_trip(docs: DataFrame, path: str, seed: int = SEED, dropout: float = DR
                     ],
                     [key, "n_chars", "n_pieces", *(["ids"] * with_ids), "ids_sha256", "decoded_sha256", "lossless"],
                 )
+        c.forget()
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, n_chars bigint, n_pieces bigint,{' ids array<int>,' * with_ids} ids_sha256 string, decoded_sha256 string, lossless boolean")
+    return docs.select(key, text).mapInArrow(tidied(run), f"`{key}` {docs.schema[key].dataType.simpleString()}, n_chars bigint, n_pieces bigint,{' ids array<int>,' * with_ids} ids_sha256 string, decoded_sha256 string, lossless boolean")

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from tessera.llm.textkernel import column_bytes, mix64, shingles, slices, word_hashes, words
+from tessera.llm.textkernel import column_bytes, mix64, shingles, slices, tidied, word_hashes, words
 
 SAMPLE_PER_CLASS = 6_000
 BUCKETS = 1 << 16
@@ -231,7 +231,7 @@ class QualityClassifier:
                     )
 
         kind = docs.schema[self.key].dataType.simpleString()
-        got = texts.mapInArrow(run, f"k {kind}, y int, stats binary, bucket binary, value binary").toArrow()
+        got = texts.mapInArrow(tidied(run), f"k {kind}, y int, stats binary, bucket binary, value binary").toArrow()
         order = np.lexsort(([s.as_py() for s in got["stats"]], got["k"].to_numpy())) if got.num_rows else []
         got = got.take(pa.array(order, pa.int64()))
         stats = np.array([np.frombuffer(s.as_py()) for s in got["stats"]]) if got.num_rows else np.zeros((0, len(STATISTICS)))
@@ -245,22 +245,25 @@ class QualityClassifier:
         """``key``, the columns in ``keep``, and score (0 to 1, higher: label 1 likelier)."""
         model = docs.sparkSession.sparkContext.broadcast(self.model)
         hashed, names = self._hashed(docs), self.metadata
-        rows = docs.select(F.col(self.key), *[F.col(f"`{c}`") for c in keep], F.col(self.text).alias("_text"), *[F.col(m).alias(f"_m{j}") for j, m in enumerate(names)])
         n_keep = 1 + len(keep)
+        at = 1 + keep.index(self.text) if self.text in keep else n_keep  # a text that is kept crosses to Python once
+        own = [] if self.text in keep else [F.col(self.text).alias("_text")]
+        first_m = n_keep + len(own)
+        rows = docs.select(F.col(self.key), *[F.col(f"`{c}`") for c in keep], *own, *[F.col(m).alias(f"_m{j}") for j, m in enumerate(names)])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                data, offsets = column_bytes(batch.column(n_keep))
+                data, offsets = column_bytes(batch.column(at))
                 scores = [np.zeros(0)]
                 for lo, hi in slices(offsets):
                     o = offsets[lo : hi + 1]
                     stats, *rest = features(data[o[0] : o[-1]], o - o[0])
-                    stats = np.column_stack([stats, *_metadata(batch, n_keep + 1, names, lo, hi, hashed)]) if names else stats
+                    stats = np.column_stack([stats, *_metadata(batch, first_m, names, lo, hi, hashed)]) if names else stats
                     scores.append(model.value.score(stats, *rest))
                 yield pa.RecordBatch.from_arrays([*batch.columns[:n_keep], pa.array(np.concatenate(scores), pa.float64())], [*batch.schema.names[:n_keep], "score"])
 
         out = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in (self.key, *keep)]
-        return rows.mapInArrow(run, ", ".join([*out, "score double"]))
+        return rows.mapInArrow(tidied(run), ", ".join([*out, "score double"]))
 
 
 

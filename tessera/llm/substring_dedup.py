@@ -43,14 +43,14 @@ from pyspark.sql import functions as F
 
 from tessera.llm.fm_index import FMIndex
 from tessera.llm.shared import Scratch
-from tessera.llm.textkernel import column_bytes, shingles, slices, word_hashes, words
+from tessera.llm.textkernel import column_bytes, shingles, slices, tidied, word_hashes, words
 
 SPAN = 13
 ANCHOR = 5
 #: Shared anchors (8 bytes each) that may be broadcast.
 BROADCAST_ANCHORS = 4_000_000
 #: Words of one FM-index.
-INDEX_WORDS = 1_500_000
+INDEX_WORDS = 400_000
 #: Windows of one segment.
 RUN = 256
 _HELD = 5  # bytes of a word in a segment
@@ -119,8 +119,8 @@ def shared_anchors(docs: DataFrame, span: int, anchor: int) -> DataFrame:
         for at in range(0, len(a), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(a[at : at + 100_000]), pa.array(rid[at : at + 100_000])], ["anchor", "rid"])
 
-    rows = docs.select("rid", "key", "text").mapInArrow(emit, "anchor bigint, rid bigint, key bigint")
-    return rows.repartition("anchor").mapInArrow(shared, "anchor bigint, rid bigint")
+    rows = docs.select("rid", "key", "text").mapInArrow(tidied(emit), "anchor bigint, rid bigint, key bigint")
+    return rows.repartition("anchor").mapInArrow(tidied(shared), "anchor bigint, rid bigint")
 
 
 def segments(docs: DataFrame, span: int, anchor: int, allowed: np.ndarray | None) -> DataFrame:
@@ -161,7 +161,7 @@ def segments(docs: DataFrame, span: int, anchor: int, allowed: np.ndarray | None
                     [pa.array(best[edge].view(np.int64)), pa.array(rid[w + lo]), pa.array(key[w + lo]), pa.array((at[edge] - first[w]).astype(np.int32)), body], ["anchor", "rid", "key", "start", "words"]
                 )
 
-    return docs.mapInArrow(emit, "anchor bigint, rid bigint, key bigint, start int, words binary")
+    return docs.mapInArrow(tidied(emit), "anchor bigint, rid bigint, key bigint, start int, words binary")
 
 
 def _unpack(body: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -236,7 +236,7 @@ def covered(shards: DataFrame, span: int) -> DataFrame:
         last = np.append(new[1:], len(row)) - 1
         yield pa.RecordBatch.from_arrays([pa.array(rid[row[new]]), pa.array(first[new].astype(np.int32)), pa.array((first[last] + span).astype(np.int32))], ["rid", "a", "b"])
 
-    return shards.repartition("anchor").mapInArrow(run, "rid bigint, a int, b int")
+    return shards.repartition("anchor").mapInArrow(tidied(run), "rid bigint, a int, b int")
 
 
 def _cut(text: bytes, runs: list[tuple[int, int]]) -> tuple[list[bytes], int]:
@@ -291,4 +291,4 @@ def dedup_substrings(docs: DataFrame, span: int = SPAN, anchor: int = ANCHOR, ke
                 [batch.column(0), *batch.columns[2 : 2 + n_keep], pa.array(n_words, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], [key, *keep, "n_words", "n_removed", out.split()[0]]
             )
 
-    return joined.select("key", "text", *[f"keep_{i}" for i in range(n_keep)], "runs").mapInArrow(assemble, ", ".join([f"`{key}` bigint", *kinds, "n_words bigint", "n_removed bigint", out]))
+    return joined.select("key", "text", *[f"keep_{i}" for i in range(n_keep)], "runs").mapInArrow(tidied(assemble), ", ".join([f"`{key}` bigint", *kinds, "n_words bigint", "n_removed bigint", out]))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tessera.llm.textkernel import column_bytes
+from tessera.llm.textkernel import column_bytes, tidied
 
 #: Entries of the broadcast table; about 1 MB.
 TABLE_SIZE = 65_536
@@ -143,4 +143,4 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, key: str = "doc_
                 [key, "n_bytes", "n_tokens", "over_limit"],
             )
 
-    return docs.mapInArrow(count, schema)
+    return docs.mapInArrow(tidied(count), schema)
