@@ -87,10 +87,9 @@ def correlate(vox: DataFrame, kernel: np.ndarray, block: Shape = BLOCK) -> DataF
 
     def run(values, stored, _, owned):
         out = np.zeros(values.shape)
-        for o, w in zip(offsets, weights):
-            if w:
-                v, s = gather(values, stored, o[None, :])
-                out += np.where(s[..., 0], v[..., 0], 0) * w
+        for i in range(0, len(offsets), 32):
+            v, _ = gather(values, stored, offsets[i : i + 32])  # what is not stored is 0
+            out += v @ weights[i : i + 32]
         return {"v": out}
 
     return map_blocks(vox, run, {"v": "double"}, block, _halo(kernel.shape), "float64")

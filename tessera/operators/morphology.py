@@ -136,23 +136,11 @@ def smooth_binary_iterated(vox: DataFrame, iterations: int = 1, low: int = 5, hi
 
 
 def _lines(vox: DataFrame, axis: str) -> DataFrame:
-    """d2 along one axis: min over the line of d2(i) + (x - i)^2. A line is one group."""
+    """d2 along one axis: min over the line of d2(i) + (x - i)^2, in built-in array functions. A line is one row, as long as the volume's extent."""
     rest = [c for c in ("vol_id", *AXES) if c != axis]
-
-    def run(df: pd.DataFrame) -> pd.DataFrame:
-        x, d = df[axis].to_numpy(), df["d2"].to_numpy()
-        out = df.copy()
-        # 256 positions against the line at a time
-        out["d2"] = np.concatenate([(d[None, :] + (x[i : i + 256, None] - x[None, :]) ** 2.0).min(1) for i in range(0, len(x), 256)])
-        return out
-
-    # planes, not single lines, are the groups, so that groups are few
-    plane = rest[:-1]
-
-    def per_plane(df: pd.DataFrame) -> pd.DataFrame:
-        return pd.concat([run(g) for _, g in df.groupby(rest[-1], sort=False)])
-
-    return vox.groupBy(*plane).applyInPandas(per_plane, vox.schema)
+    lines = vox.groupBy(*rest).agg(F.collect_list(F.struct(F.col(axis).alias("p"), "d2")).alias("l"))
+    least = lambda e: F.array_min(F.transform("l", lambda f: f["d2"] + (e["p"] - f["p"]).cast("double") * (e["p"] - f["p"]).cast("double")))
+    return lines.select(*rest, F.explode(F.transform("l", lambda e: F.struct(e["p"].alias("p"), least(e).alias("d2")))).alias("e")).select("vol_id", *[F.col("e.p").alias(a) if a == axis else F.col(a) for a in AXES], F.col("e.d2").alias("d2"))
 
 
 def distance_transform(vox: DataFrame) -> DataFrame:

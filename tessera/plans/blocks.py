@@ -3,17 +3,18 @@
 A voxel table has vol_id, x, y, z, v: one row per stored voxel. A kernel
 that needs a neighbourhood runs on blocks: each voxel goes to its own block and, if it lies
 within ``halo`` of the border, to the neighbours that need it (a native explode
-of the few block numbers). One shuffle by (vol_id, block) later every block is a small dense array
-in one Arrow group, and the kernel's result is cut back to the owned voxels.
+of the few block numbers). One shuffle by (vol_id, block) later the blocks of a task stream through
+an Arrow function in order; each is a small dense array, and the kernel's result is cut back to the
+owned voxels.
 
 The shuffle carries (1 + 2 halo / block)^3 of the input, where the join with a table of offsets
-would carry one row per offset. Memory is bounded by the block. A voxel
+would carry one row per offset. Memory is bounded by one block and one batch. A voxel
 that is not stored counts as outside the volume. Null coordinates or values are left out.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,52 +44,70 @@ def map_blocks(vox: DataFrame, kernel: Kernel, out: dict[str, str], block: Shape
 
     vol_id, x, y, z and the kernel's columns ``out`` (name: SQL type) of every owned voxel, or of the rows the kernel gives."""
     kind = vox.schema["vol_id"].dataType.simpleString()
-
-    def run(key, table):
-        at = np.array([k.as_py() for k in key[1:]])
-        x, y, z, v = (table[c].to_numpy() for c in ("x", "y", "z", "v"))
-        lo = np.array([x.min(), y.min(), z.min()])
-        shape = np.array([x.max(), y.max(), z.max()]) - lo + 1
-        values, stored = np.zeros(shape, dtype), np.zeros(shape, bool)
-        values[x - lo[0], y - lo[1], z - lo[2]] = v
-        stored[x - lo[0], y - lo[1], z - lo[2]] = True
-        if more:
-            layers = [values]
-            for c in more:
-                layer = np.zeros(shape, dtype)
-                layer[x - lo[0], y - lo[1], z - lo[2]] = table[c].to_numpy()
-                layers.append(layer)
-            values = np.stack(layers, axis=-1)
-        begin = np.maximum(at * np.array(block) - lo, 0)
-        end = np.minimum((at + 1) * np.array(block) - lo, shape)
-        owned = tuple(slice(int(a), int(max(a, b))) for a, b in zip(begin, end))
-        got = kernel(values, stored, lo, owned)
+    target = {"bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "int": pa.int32(), "array<bigint>": pa.list_(pa.int64()), "array<double>": pa.list_(pa.float64())}
+
+    def one(columns: dict[str, np.ndarray], lo: int, hi: int) -> dict[str, np.ndarray]:
+        """Result columns of the block in rows lo..hi."""
+        at = np.array([columns[f"b{a}"][lo] for a in "xyz"])
+        x, y, z = (columns[c][lo:hi] for c in "xyz")
+        low = np.array([x.min(), y.min(), z.min()])
+        shape = np.array([x.max(), y.max(), z.max()]) - low + 1
+        place = (x - low[0], y - low[1], z - low[2])
+        stored = np.zeros(shape, bool)
+        stored[place] = True
+        layers = []
+        for c in ("v", *more):
+            layer = np.zeros(shape, dtype)
+            layer[place] = columns[c][lo:hi]
+            layers.append(layer)
+        values = np.stack(layers, axis=-1) if more else layers[0]
+        begin = np.maximum(at * np.array(block) - low, 0)
+        end = np.minimum((at + 1) * np.array(block) - low, shape)
+        owned = tuple(slice(int(i), int(max(i, j))) for i, j in zip(begin, end))
+        got = kernel(values, stored, low, owned)
         if "x" in got:
-            n = len(got["x"])
-            columns = {c: got[c] for c in ("x", "y", "z")}
-            columns |= {c: got[c] for c in out}
-        else:
-            inside = stored[owned]
-            where = np.argwhere(inside) + np.array([s.start for s in owned]) + lo
-            n = len(where)
-            columns = {c: where[:, i] for i, c in enumerate("xyz")}
-            columns |= {c: got[c][owned][inside] for c in out}
-        arrays = [pa.repeat(key[0], n)]
-        for c in "xyz":
-            arrays.append(pa.array(columns[c].astype(np.int32)))
+            return got
+        inside = stored[owned]
+        where = np.argwhere(inside) + np.array([s.start for s in owned]) + low
+        return {c: where[:, i] for i, c in enumerate("xyz")} | {c: got[c][owned][inside] for c in out}
+
+    def finish(rows: pa.Table, cuts: np.ndarray) -> pa.RecordBatch:
+        columns = {c: rows[c].to_numpy() for c in rows.column_names if c != "vol_id"}
+        parts = [one(columns, int(lo), int(hi)) for lo, hi in zip(cuts, cuts[1:])]
+        n = [len(p["x"]) for p in parts]
+        vol = rows["vol_id"].combine_chunks().take(pa.array(np.repeat(cuts[:-1], n)))
+        arrays = [vol, *[pa.array(np.concatenate([p[c] for p in parts]).astype(np.int32)) for c in "xyz"]]
         for c, t in out.items():
-            a = columns[c]
+            values = np.concatenate([p[c] for p in parts])
             if t.startswith("array"):
-                flat = pa.array(a.reshape(-1))
-                arrays.append(pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * (a.shape[1] if a.ndim > 1 else 0)), flat))
+                size = values.shape[1] if values.ndim > 1 else 0
+                arrays.append(pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1, dtype=np.int32) * size), pa.array(values.reshape(-1))).cast(target[t]))
             else:
-                arrays.append(pa.array(a))
-        target = {"bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "int": pa.int32(), "array<bigint>": pa.list_(pa.int64()), "array<double>": pa.list_(pa.float64())}
-        kinds = [table["vol_id"].type, pa.int32(), pa.int32(), pa.int32(), *[target[t] for t in out.values()]]
-        return pa.Table.from_arrays([a.cast(k) for a, k in zip(arrays, kinds)], names=["vol_id", "x", "y", "z", *out])
+                arrays.append(pa.array(values).cast(target[t]))
+        return pa.RecordBatch.from_arrays(arrays, ["vol_id", "x", "y", "z", *out])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by block; the last block of what has arrived waits for the next batch."""
+        held: pa.Table | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch])
+            rows = rows if held is None else pa.concat_tables([held, rows]).combine_chunks()
+            keys = [rows[c].to_numpy() for c in ("vol_id", "bx", "by", "bz")]
+            change = np.zeros(rows.num_rows - 1, bool)
+            for k in keys:
+                change |= k[1:] != k[:-1]
+            cuts = np.concatenate([[0], np.flatnonzero(change) + 1])
+            if len(cuts) > 1:
+                yield finish(rows, cuts)
+            held = rows.slice(int(cuts[-1]))
+        if held is not None:
+            yield finish(held, np.array([0, held.num_rows]))
 
     schema = f"vol_id {kind}, x int, y int, z int, " + ", ".join(f"{c} {t}" for c, t in out.items())
-    return spread(vox, block, halo, more).groupBy("vol_id", "bx", "by", "bz").applyInArrow(run, schema)
+    keys = ["vol_id", "bx", "by", "bz"]
+    return spread(vox, block, halo, more).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
 def gather(values: np.ndarray, stored: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
