@@ -32,9 +32,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.shared import Scratch
-from tessera.llm.textkernel import column_bytes, slices, tidied, word_hashes, words
+from tessera.llm.textkernel import column_bytes, release, slices, tidied, word_hashes, words
 
-SAMPLE_PER_DOMAIN = 6_000
+SAMPLE_PER_DOMAIN = 3_000
 #: Domains at most; they are columns of the fit.
 MAX_DOMAINS = 64
 BUCKETS = 1 << 17
@@ -104,7 +104,10 @@ class DomainClassifier:
         number = {d: i for i, d in enumerate(self.domains)}
         y = np.array([number[d] for d in got["d"].to_pylist()], dtype=np.int64)
         order = sorted(range(len(parts)), key=lambda i: (str(got["k"][i]), parts[i].tobytes()))
+        del got
         self._learn([parts[i] for i in order], y[order] if len(y) else y, np.array([counts[d] for d in self.domains], float))
+        del parts
+        release()  # the driver goes on with other work
         return self
 
     def _learn(self, parts: list[np.ndarray], y: np.ndarray, counts: np.ndarray) -> None:

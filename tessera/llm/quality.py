@@ -30,9 +30,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from tessera.llm.textkernel import column_bytes, mix64, shingles, slices, tidied, word_hashes, words
+from tessera.llm.textkernel import column_bytes, mix64, release, shingles, slices, tidied, word_hashes, words
 
-SAMPLE_PER_CLASS = 6_000
+SAMPLE_PER_CLASS = 4_000
 BUCKETS = 1 << 16
 BINS = 16
 RANK = 8
@@ -238,7 +238,13 @@ class QualityClassifier:
         parts = [np.frombuffer(b.as_py(), np.int32) for b in got["bucket"]]
         owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts]) if parts else np.zeros(0, np.int64)
         join = lambda xs, t: np.concatenate(xs) if xs else np.zeros(0, t)
-        self.model = fit_model(stats, owner, join(parts, np.int32).astype(np.int64), join([np.frombuffer(b.as_py(), np.float32) for b in got["value"]], np.float32).astype(float), got["y"].to_numpy().astype(float))
+        bucket = join(parts, np.int32)
+        value = join([np.frombuffer(b.as_py(), np.float32) for b in got["value"]], np.float32)
+        label_ = got["y"].to_numpy().astype(float)
+        del got, parts
+        self.model = fit_model(stats, owner, bucket.astype(np.int64), value.astype(float), label_)
+        del owner, bucket, value
+        release()  # the driver goes on with other work
         return self
 
     def score(self, docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
