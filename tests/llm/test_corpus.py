@@ -400,7 +400,7 @@ def test_archives_are_valid_and_come_back(spark):
     captures = {r.metadata.fields["page-id"]: r for r in warc.assemble(records).collect()}
     assert sorted(captures) == ["1", "2", "3", "4", "5"]
     c = captures["4"]
-    assert bytes(c.response.payload).decode() in ("other", rows[3][2]) and c.request.concurrent_to == c.response.record_id
+    assert bytes(c.response.payload).decode() in ("other", rows[3][2]) and c.request.target == c.metadata.target == "http://c/" and c.capture_id == c.response.record_id
     assert captures["1"].response.type == "revisit" and captures["1"].response.refers_to == captures["2"].response.record_id
     assert bytes(captures["2"].response.payload) == b"same" and len(captures["5"].response.payload) == 200_000
     assert captures["3"].response.payload_bytes == 0 and captures["3"].response.payload_digest == "3I42H3S6NNFQ2MSVX7XZKYAYSCX5QBYJ"
