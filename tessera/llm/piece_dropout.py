@@ -2,18 +2,20 @@
 
 The model is a merge-type (BPE) sentencepiece model with byte fallback. Merges
 run from an agenda, best score first and leftmost on ties. When a candidate
-comes up it is skipped with probability ``dropout``: a keyed hash of (seed, variant,
-chunk, position, merged piece) decides, so a run can be repeated exactly. A skipped candidate
+comes up it is skipped with probability ``dropout``: a keyed hash of (seed, key of the text,
+number of the chunk, position, merged piece) decides, so a run can be repeated exactly. A skipped candidate
 is gone unless a neighbouring merge makes a new pair. Without dropout the result is the
 model's own segmentation.
 
 No piece has a space mark after another character (checked when the model is
 loaded), so texts are cut into chunks at word starts and chunks are encoded on their
-own. Each occurrence of a chunk takes one of ``variants`` hash variants, drawn
-by (seed, key of the text, number of the chunk): segmentations vary between occurrences, and
-(chunk, variant) results are kept in a bounded cache per worker. Misses are merged
-together in numpy, one agenda step of all of them at a time; very long chunks use
-a heap each.
+own. Every occurrence of a chunk draws for itself. What is cached does not limit that: a
+trace is a chunk, the candidates skipped so far, the candidates that come up after them if
+none of those is skipped, and the pieces that this gives. An occurrence starts at its
+chunk's plain trace; the first candidate that its own hashes skip leads to another trace,
+until none is skipped. Traces are kept in a bounded cache per worker. Missing ones are
+merged together in numpy, one agenda step of all of them at a time; very long chunks use
+a heap for each occurrence.
 
 Decoding concatenates the pieces' bytes. A space mark that is literally in the
 text is written in bytes, so every text comes back unchanged.
@@ -40,14 +42,15 @@ from tessera.llm.textkernel import mix64, tidied
 MARK = "▁"
 DROPOUT = 0.1
 SEED = 17
-VARIANTS = 8
-#: (chunk, variant) results that a worker keeps; emptied when full.
+#: Traces that a worker keeps; emptied when there are more.
 CACHE_SIZE = 600_000
+#: Occurrences that are walked at a time.
+SLICE = 100_000
 #: Longest chunk (in characters) that is merged in the batch; also the longest that is cached.
 BATCH_CHARS = 40
 _M = (1 << 64) - 1
 _CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-_CHAR_BASE = 0x2545F4914F6CDD1D
+_AT, _PIECE = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
 _NEVER = np.iinfo(np.int64).max
 
 
@@ -60,14 +63,34 @@ def _mix(x: int) -> int:
     return x ^ x >> 31
 
 
+class _Column:
+    """An array that grows at its end."""
+
+    def __init__(self, dtype: type) -> None:
+        self.room, self.n = np.zeros(1024, dtype), 0
+
+    def add(self, values: np.ndarray) -> None:
+        n = self.n + len(values)
+        if n > len(self.room):
+            self.room = np.concatenate([self.room[: self.n], np.zeros(max(n, 2 * self.n) - self.n, self.room.dtype)])
+        self.room[self.n : n] = values
+        self.n = n
+
+
+def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of every (start, size), in one array."""
+    ends = np.cumsum(size)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - size), size)
+
+
 class MergeDropout:
     """Encoder and decoder; kept for the life of a Python worker."""
 
-    def __init__(self, path: str, seed: int = SEED, dropout: float = DROPOUT, variants: int = VARIANTS) -> None:
+    def __init__(self, path: str, seed: int = SEED, dropout: float = DROPOUT) -> None:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.seed, self.variants = seed, max(1, variants)
+        self.seed = seed
         self.bar = int(min(max(dropout, 0.0), 1.0) * 2**53)
         n = model.get_piece_size()
         self.bytes_of: list[bytes] = [b""] * n
@@ -117,17 +140,10 @@ class MergeDropout:
         self.blob = np.frombuffer(b"".join(self.bytes_of), np.uint8)
         self.size = np.array([len(b) for b in self.bytes_of], dtype=np.int64)
         self.start = np.concatenate([[0], np.cumsum(self.size)])[:-1]
-        self.cache: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
-        self.cached = 0
-
-    def _chunk_key(self, chunk: str, variant: int) -> int:
-        h, power = 0, 1
-        for c in chunk:
-            h, power = h + (ord(c) + 1) * power & _M, power * _CHAR_BASE & _M
-        return _mix(h ^ _mix(self.seed * 0x9E3779B97F4A7C15 + variant + 1))
+        self.forget()
 
     def _skip(self, key: int, at: int, piece: int) -> bool:
-        return _mix(key + at * 0xD6E8FEB86659FD93 + piece * 0xA0761D6478BD642F) >> 11 < self.bar
+        return _mix(key + at * _AT + piece * _PIECE) >> 11 < self.bar
 
     def _ids(self, pieces: list[tuple[int, str]]) -> bytes:
         out: list[int] = []
@@ -135,9 +151,8 @@ class MergeDropout:
             out += [i] if 0 <= i < len(self.bytes_of) else [self.byte_id[b] for b in text.encode()]
         return np.array(out, dtype="<i4").tobytes()
 
-    def encode_one(self, chunk: str, variant: int) -> bytes:
-        """One chunk by a heap: for long chunks, and what the batch is tested against."""
-        key = self._chunk_key(chunk, variant)
+    def encode_one(self, chunk: str, key: int) -> bytes:
+        """One occurrence by a heap: for long chunks, and what the batch is tested against."""
         sym = [self.chars.get(c, self.other) for c in chunk]
         n = len(sym)
         end, left, right, alive = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1)), [True] * n
@@ -176,27 +191,31 @@ class MergeDropout:
         return np.where(ok, self.pair_rank[at], _NEVER), np.where(ok, self.pair_id[at], -1)
 
     def encode_batch(self, items: list[tuple[str, int]]) -> list[bytes]:
-        """Many short chunks; one agenda step of every chunk at a time. Symbols of a chunk are a linked list in its row."""
-        out: list[bytes] = [b""] * len(items)
-        by_size = sorted(range(len(items)), key=lambda i: len(items[i][0]))
+        """Short chunks, each with the key of its occurrence."""
+        return self._merge([c for c, _ in items], np.array([k for _, k in items], dtype=np.uint64), np.full(len(items), _NEVER))[0]
+
+    def _merge(self, chunks: list[str], keys: np.ndarray, last: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """Pieces of many short chunks whose keys decide up to agenda step ``last``, after which nothing is skipped; how many
+        candidates each has after that step, and their parts of the hash."""
+        out: list[bytes] = [b""] * len(chunks)
+        owner, parts = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        by_size = np.argsort([len(c) for c in chunks], kind="stable")
         for lo in range(0, len(by_size), 10_000):
             part = by_size[lo : lo + 10_000]
-            self._merge_rows([items[i][0] for i in part], np.array([items[i][1] for i in part], dtype=np.uint64), part, out)
-        return out
-
-    def _merge_rows(self, chunks: list[str], variants: np.ndarray, part: list[int], out: list[bytes]) -> None:
+            for rows, more in self._merge_rows([chunks[i] for i in part], keys[part], last[part], part.tolist(), out):
+                owner.append(part[rows])
+                parts.append(more)
+        owned = np.concatenate(owner)
+        return out, np.bincount(owned, minlength=len(chunks)), np.concatenate(parts)[np.argsort(owned, kind="stable")]
+
+    def _merge_rows(self, chunks: list[str], key: np.ndarray, last: np.ndarray, part: list[int], out: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """One agenda step of every chunk at a time. Symbols of a chunk are a linked list in its row."""
         m, sizes = len(chunks), np.array([len(c) for c in chunks])
         width = int(sizes.max())
         points = np.frombuffer("".join(chunks).encode("utf-32-le"), "<u4").astype(np.int64)
         inside = np.arange(width) < sizes[:, None]
         sym = np.full((m, width), -1, np.int64)
         sym[inside] = self.symbol_of[np.minimum(points, len(self.symbol_of) - 1)]
-        code = np.zeros((m, width), np.uint64)
-        code[inside] = points.astype(np.uint64) + np.uint64(1)
-        powers = np.full(width, np.uint64(_CHAR_BASE), dtype=np.uint64)
-        powers[0] = 1
-        text_key = (code * np.multiply.accumulate(powers)).sum(axis=1, dtype=np.uint64)
-        key = mix64(text_key ^ mix64(np.uint64(self.seed * 0x9E3779B97F4A7C15 & _M) + variants + np.uint64(1)))
         nxt = np.tile(np.arange(1, width + 1), (m, 1))
         nxt[np.arange(1, width + 1) >= sizes[:, None]] = width  # width: none
         prev = np.tile(np.arange(-1, width - 1), (m, 1))
@@ -206,16 +225,19 @@ class MergeDropout:
         if both.any():
             r, q = self._lookup(sym[:, :-1][both], sym[:, 1:][both])
             rank[:, :-1][both], piece[:, :-1][both] = r, q
-        rows = np.arange(m)
+        rows, step, seen = np.arange(m), -1, []
         while len(rows):
             best = rank[rows].argmin(axis=1)
             live = rank[rows, best] != _NEVER
             rows, best = rows[live], best[live]
             merged = piece[rows, best]
             i, c = rows, best
+            step += 1
             if self.bar:
-                h = mix64(key[i] + c.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + merged.astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
-                drop = (h >> np.uint64(11)) < np.uint64(self.bar)
+                part_of_hash = c.astype(np.uint64) * np.uint64(_AT) + merged.astype(np.uint64) * np.uint64(_PIECE)
+                free = step > last[i]
+                seen.append((i[free], part_of_hash[free]))
+                drop = self._skips(key[i] + part_of_hash) & ~free
                 rank[i[drop], c[drop]] = _NEVER
                 i, c, merged = i[~drop], c[~drop], merged[~drop]
             if not len(i):
@@ -244,10 +266,56 @@ class MergeDropout:
             places = np.flatnonzero(alive[x]).tolist()
             cuts = [*places, len(chunks[x])]
             out[part[x]] = self._ids([(int(sym[x, y]), chunks[x][y:z]) for y, z in zip(places, cuts[1:])])
+        return seen
+
+    def _skips(self, h: np.ndarray) -> np.ndarray:
+        return (mix64(h) >> np.uint64(11)) < np.uint64(self.bar)
+
+    def _add(self, pieces: list[bytes], counts: np.ndarray, parts: np.ndarray, step: np.ndarray) -> np.ndarray:
+        """Numbers of new traces; ``step``: the agenda step of the first of a trace's candidates."""
+        size = np.array([len(p) // 4 for p in pieces], dtype=np.int64)
+        first = self.step.n
+        for column, values in (
+            (self.ids_start, self.ids.n + np.cumsum(size) - size), (self.ids_size, size), (self.ids, np.frombuffer(b"".join(pieces), "<i4")),
+            (self.cand_start, self.cand.n + np.cumsum(counts) - counts), (self.cand_size, counts), (self.cand, parts), (self.child, np.full(len(parts), -1)), (self.step, step),
+        ):
+            column.add(values)
+        return np.arange(first, self.step.n)
+
+    def _walk(self, chunks: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Piece ids of all occurrences in one array, and how many each has."""
+        if self.step.n > CACHE_SIZE:
+            self.forget()
+        trace = np.array([self.roots.get(c, -1) for c in chunks], dtype=np.int64)
+        missing = np.flatnonzero(trace < 0).tolist()
+        if missing:
+            fresh = list(dict.fromkeys(chunks[i] for i in missing if len(chunks[i]) <= BATCH_CHARS))
+            none = np.zeros(len(fresh), np.int64)
+            self.roots.update(zip(fresh, self._add(*self._merge(fresh, none.view(np.uint64), none - 1), none).tolist()))
+            long = [i for i in missing if len(chunks[i]) > BATCH_CHARS]
+            none = np.zeros(len(long), np.int64)
+            trace[missing] = [self.roots.get(chunks[i], -1) for i in missing]
+            trace[long] = self._add([self.encode_one(chunks[i], int(keys[i])) for i in long], none, np.zeros(0, np.uint64), none)
+        at = np.arange(len(chunks)) if self.bar else np.zeros(0, np.int64)
+        while len(at):
+            size = self.cand_size.room[trace[at]]
+            index = _spread(self.cand_start.room[trace[at]], size)
+            owner = np.repeat(np.arange(len(at)), size)
+            hit = np.flatnonzero(self._skips(keys[at][owner] + self.cand.room[index]))
+            hit = hit[np.diff(owner[hit], prepend=-1) > 0]  # the first of each occurrence
+            at, index = at[owner[hit]], index[hit]
+            lost = self.child.room[index] < 0
+            if lost.any():
+                new, one = np.unique(index[lost], return_index=True)
+                one = at[lost][one]  # an occurrence that comes here: its key gives the skips so far
+                step = self.step.room[trace[one]] + new - self.cand_start.room[trace[one]]
+                self.child.room[new] = self._add(*self._merge([chunks[i] for i in one], keys[one], step), step + 1)
+            trace[at] = self.child.room[index]
+        size = self.ids_size.room[trace]
+        return self.ids.room[_spread(self.ids_start.room[trace], size)], size
 
     def encode(self, texts: list[str], keys: np.ndarray) -> list[bytes]:
         """Piece ids (int32, little-endian) of each text; ``keys``: uint64 of each text."""
-        literal = np.array([self.byte_id[b] for b in MARK.encode()], dtype="<i4").tobytes()
         chunks: list[str] = []
         ends: list[int] = []
         for t in texts:
@@ -268,36 +336,11 @@ class MergeDropout:
         owner = np.searchsorted(ends_a, number, side="right")
         begin = np.concatenate([[0], ends_a])[:-1] if len(ends_a) else np.zeros(0, np.int64)
         base = mix64(keys ^ np.uint64(self.seed * 0x9E3779B97F4A7C15 & _M)) if len(keys) else keys
-        which = (mix64(base[owner] + (number - begin[owner]).astype(np.uint64)) % np.uint64(self.variants)).tolist() if self.bar else [0] * len(chunks)
-        cache = self.cache
-        parts = [cache[v].get(c) for v, c in zip(which, chunks)]
-        missing = [i for i, p in enumerate(parts) if p is None]
-        if missing:
-            fresh: dict[tuple[str, int], bytes] = {}
-            batch: list[tuple[str, int]] = []
-            for i in missing:
-                item = (chunks[i], which[i])
-                if item not in fresh:
-                    fresh[item] = b""
-                    if item[0] == "":
-                        fresh[item] = literal
-                    elif len(item[0]) <= BATCH_CHARS:
-                        batch.append(item)
-                    else:
-                        fresh[item] = self.encode_one(*item)
-            fresh.update(zip(batch, self.encode_batch(batch)))
-            if self.cached + len(batch) > CACHE_SIZE:
-                self.forget()
-            for item in batch:
-                cache[item[1]][item[0]] = fresh[item]
-            self.cached += len(batch)
-            for i in missing:
-                parts[i] = fresh[chunks[i], which[i]]
-        out, at = [], 0
-        for e in ends:
-            out.append(b"".join(parts[at:e]))
-            at = e
-        return out
+        own = mix64(base[owner] + (number - begin[owner]).astype(np.uint64)) if len(keys) else keys
+        got = [self._walk(chunks[lo : lo + SLICE], own[lo : lo + SLICE]) for lo in range(0, len(chunks), SLICE)]
+        ids = np.concatenate([np.zeros(0, "<i4"), *[g for g, _ in got]])
+        cuts = np.concatenate([np.zeros(1, np.int64), np.cumsum(np.concatenate([np.zeros(0, np.int64), *[n for _, n in got]]))])
+        return [ids[cuts[b] : cuts[e]].tobytes() for b, e in zip(begin.tolist(), ends)]
 
     def decode(self, ids: bytes) -> bytes:
         """UTF-8 of the text."""
@@ -312,9 +355,12 @@ class MergeDropout:
 
     def forget(self) -> None:
         """Empty the cache; a task's end does."""
-        for d in self.cache:
-            d.clear()
-        self.cached = 0
+        self.roots: dict[str, int] = {}
+        self.ids, self.cand = _Column(np.int32), _Column(np.uint64)
+        self.ids_start, self.ids_size, self.cand_start, self.cand_size, self.child, self.step = (_Column(np.int64) for _ in range(6))
+        none = np.zeros(1, np.int64)
+        literal = np.array([self.byte_id[b] for b in MARK.encode()], dtype="<i4").tobytes()
+        self.roots[""] = int(self._add([literal], none, np.zeros(0, np.uint64), none)[0])
 
 
 _coders: dict[tuple, MergeDropout] = {}
@@ -345,11 +391,11 @@ def _runs(texts: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, list[str
         yield at, held
 
 
-def encode(docs: DataFrame, path: str, seed: int = SEED, dropout: float = DROPOUT, variants: int = VARIANTS, key: str = "doc_id", text: str = "text") -> DataFrame:
+def encode(docs: DataFrame, path: str, seed: int = SEED, dropout: float = DROPOUT, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key`` and ids (array of piece ids) of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = coder(path, seed, dropout, variants)
+        c = coder(path, seed, dropout)
         for batch in batches:
             keys = _keys(batch.column(0))
             for at, texts in _runs(batch.column(1)):
@@ -366,7 +412,7 @@ def decode(encoded: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
     """``key`` and text of every encoded row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = coder(path, SEED, 0.0, 1)
+        c = coder(path, SEED, 0.0)
         for batch in batches:
             texts = [c.decode(b"" if not x.is_valid else np.array(x.as_py(), "<i4").tobytes()).decode() for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], [key, "text"])
@@ -374,11 +420,11 @@ def decode(encoded: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
     return encoded.select(key, "ids").mapInArrow(tidied(run), f"`{key}` {encoded.schema[key].dataType.simpleString()}, text string")
 
 
-def round_trip(docs: DataFrame, path: str, seed: int = SEED, dropout: float = DROPOUT, variants: int = VARIANTS, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
+def round_trip(docs: DataFrame, path: str, seed: int = SEED, dropout: float = DROPOUT, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
     """``key``, n_chars, n_pieces, with ``with_ids`` the ids, ids_sha256 (of the int32 ids), decoded_sha256, lossless: every text encoded, and decoded from its ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = coder(path, seed, dropout, variants)
+        c = coder(path, seed, dropout)
         sha = lambda b: hashlib.sha256(b).hexdigest()
         for batch in batches:
             keys = _keys(batch.column(0))

@@ -126,6 +126,34 @@ def test_batch_merging_is_the_agenda(pieces):
     assert c.encode_batch(items) == [c.encode_one(*i) for i in items]
 
 
+def test_every_occurrence_draws_for_itself(pieces):
+    c = piece_dropout.MergeDropout(pieces)
+    n = 4000
+    keys = np.arange(n, dtype=np.uint64)
+    for word in ("the", "international"):
+        got = c.encode([word] * n, keys)
+        free = [c.encode_one("▁" + word, random.Random(i).getrandbits(64)) for i in range(n)]
+        for kind in set(free):
+            assert got.count(kind) / n == pytest.approx(free.count(kind) / n, abs=0.04)
+    assert len(set(got)) > 8
+
+
+def test_traces_give_what_the_agenda_gives(pieces, monkeypatch):
+    monkeypatch.setattr(piece_dropout, "SLICE", 700)
+    monkeypatch.setattr(piece_dropout, "CACHE_SIZE", 900)
+    r = random.Random(4)
+    c = piece_dropout.MergeDropout(pieces, dropout=0.3)
+    vocabulary = ["".join(r.choice("theinga中é.") for _ in range(r.randint(1, 45))) for _ in range(60)] + ["the", "and", ""]
+    texts = [" ".join(r.choice(vocabulary) for _ in range(r.randint(0, 90))) for _ in range(60)]
+    keys = np.array([r.getrandbits(64) for _ in texts], dtype=np.uint64)
+    base = piece_dropout.mix64(keys ^ np.uint64(c.seed * 0x9E3779B97F4A7C15 & piece_dropout._M))
+    want = []
+    for t, b in zip(texts, base.tolist()):
+        chunks = piece_dropout._CHUNK.findall("▁" + t.replace(" ", "▁")) if t else []
+        want.append(b"".join(c.encode_one(x, piece_dropout._mix(b + i)) for i, x in enumerate(chunks)))
+    assert c.encode(texts, keys) == want
+
+
 def test_dropout_round_trip(spark, odd, none, pieces):
     encoded = piece_dropout.encode(odd, pieces, dropout=0.3)
     back = {(r.doc_id, r.text) for r in piece_dropout.decode(encoded, pieces).collect()}
