@@ -10,8 +10,10 @@ Personalised PageRank carries trust along links and distrust against them (a
 page that links to a blocked host is suspect). A host is blocked if its distrust exceeds
 ``ratio`` times its trust; hosts that neither reaches are allowed.
 
-Ranks are whole numbers (a budget of ``UNITS`` split by integer division), so
-the result does not depend on the order of summation.
+Ranks are doubles, so a share keeps its value however many seeds and links it is
+divided by. They are summed as decimals, by classes of 12 powers of ten, so the result
+does not depend on the order of summation. Ranks that differ by less than rounding
+(``TIE``) count as equal.
 
 Scale: pages are reduced to distinct (source host, target host) edges with
 counts, by partial aggregation, before anything is joined; each round moves the host graph
@@ -32,12 +34,14 @@ from pyspark.sql import functions as F
 
 from tessera.llm.shared import Scratch
 
-#: Rank that is shared out, in whole units.
+#: Rank that is shared out (in the reference query in whole units).
 UNITS = 1_000_000_000_000
 #: Rounds of propagation; what further rounds would move is below 0.85 ** 12 of the budget.
 ROUNDS = 12
 #: Percent of a host's rank that flows on; the rest returns to the seeds.
 DAMPING = 85
+#: Relative difference that rounding can make in ``ROUNDS`` rounds.
+TIE = 1e-13
 
 Rule = tuple[str, str, str]
 
@@ -71,22 +75,29 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return found.select("src", host_of(target).alias("dst")).filter("src <> dst and src <> '' and dst <> ''").groupBy("src", "dst").agg(F.count("*").alias("w"))
 
 
+def _sum_by_host(parts: DataFrame) -> DataFrame:
+    """host, rank: the sum of ``got``, in any order the same. A host has one row for every class of 12 powers of ten."""
+    power = F.floor(F.log10("got") / 12).cast("int")
+    digits = F.expr("cast(got * pow(10D, -12 * power) as decimal(29,16))")
+    sums = parts.filter("got > 0").withColumn("power", power).groupBy("host", "power").agg(F.sum(digits).alias("digits"))
+    return sums.groupBy("host").agg(F.expr("aggregate(array_sort(collect_list(struct(power, digits))), 0D, (a, x) -> a + cast(x.digits as double) * pow(10D, 12 * x.power))").alias("rank"))
+
+
 def _propagate(edges: DataFrame, seeds: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """host, rank after ``ROUNDS`` rounds. edges: src, dst, w; seeds: host, n."""
     total = seeds.agg(F.sum("n")).first()[0] or 0
     if not total:
-        return seeds.select("host", F.lit(0).cast("long").alias("rank")).limit(0)
-    home = seeds.select("host", F.expr(f"cast(n as decimal(38,0)) * {UNITS} div {total}").alias("home"))
+        return seeds.select("host", F.lit(0.0).alias("rank")).limit(0)
+    home = seeds.select("host", (F.col("n") / F.lit(float(total)) * F.lit(float(UNITS))).alias("home"))
     outs = edges.groupBy("src").agg(F.sum("w").alias("out"))
     shares = scratch.save(edges.join(outs, "src"), f"{name}-shares")
     rank = home.select("host", F.col("home").alias("rank"))
     if not shares.take(1):
         return rank  # no link leaves any host: rank stays with the seeds
     for i in range(ROUNDS):
-        sent = shares.join(rank, shares.src == rank.host).select(F.col("dst").alias("host"), F.expr(f"cast(rank * {DAMPING} div 100 as decimal(38,0)) * w div out").cast("long").alias("got"), F.lit(0).cast("long").alias("home"))
-        kept = home.select("host", F.lit(0).cast("long").alias("got"), "home")
-        rank = sent.unionByName(kept).groupBy("host").agg(F.expr(f"sum(got) + sum(home) * {100 - DAMPING} div 100").alias("rank"))
-        rank = scratch.save(rank, f"{name}-{i}")
+        sent = shares.join(rank, shares.src == rank.host).select(F.col("dst").alias("host"), (F.col("rank") * DAMPING / 100 * F.col("w") / F.col("out")).alias("got"))
+        kept = home.select("host", (F.col("home") * (100 - DAMPING) / 100).alias("got"))
+        rank = scratch.save(_sum_by_host(sent.unionByName(kept)), f"{name}-{i}")
         if i:
             scratch.drop(f"{name}-{i - 1}")
     return rank
@@ -104,7 +115,7 @@ def judge_urls(pages: DataFrame, rules: list[Rule], ratio: int = 1, key: str = "
     trust = _propagate(edges, hosts.filter("allowed > 0").select("host", F.col("allowed").alias("n")), scratch, "trust")
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")
     distrust = _propagate(back, hosts.filter("blocked > 0").select("host", F.col("blocked").alias("n")), scratch, "distrust")
-    blocked = distrust.filter("host <> ''").select("host", F.col("rank").alias("distrust")).join(trust.select("host", F.col("rank").alias("trust")), "host", "left").filter(F.col("distrust") > ratio * F.coalesce("trust", F.lit(0)))
+    blocked = distrust.filter("host <> ''").select("host", F.col("rank").alias("distrust")).join(trust.select("host", F.col("rank").alias("trust")), "host", "left").filter(F.col("distrust") > ratio * F.coalesce("trust", F.lit(0.0)) * (1 + TIE))
     blocked = scratch.save(blocked.select("host", F.lit("block").alias("by_host")), "blocked")
     # only hosts that distrust reached; joined by a shuffle of narrow rows unless Spark finds it small enough to send around
     out = judged.join(blocked, "host", "left")

@@ -268,6 +268,25 @@ def test_propagation_as_matrix_product(spark):
     assert [got.get(h, 0) for h in hosts] == pytest.approx(p.tolist(), abs=1e-9)
 
 
+def test_small_shares_of_distrust_arrive(spark):
+    blocked = spark.range(1_000_000).select(F.concat(F.lit("http://many.net/fr/"), "id").alias("url"), F.lit("").alias("html"))
+    one = spark.createDataFrame([("http://one.net/fr/", ""), ("http://quiet.org/", '<a href="http://one.net/">'), ("http://far.org/", '<a href="//quiet.org/">'), ("http://clean.org/", "")], "url string, html string")
+    heavy = spark.range(1000).select(F.lit("http://heavy.org/").alias("url"), F.repeat(F.lit('<a href="//one.net/">'), 1000).alias("html"))
+    linked = spark.range(1000).select(F.concat(F.lit("http://h"), "id", F.lit(".org/")).alias("url"), F.lit('<a href="//far.org/">').alias("html"))
+    pages = blocked.unionByName(one).unionByName(heavy).unionByName(linked).withColumn("page_id", F.monotonically_increasing_id())
+    got = {(r.host, r.verdict) for r in url_filter.judge_urls(pages, queries.URL_RULES).select("host", "verdict").distinct().collect()}
+    assert {h for h, v in got if v == "allow"} == {"clean.org"} and len(got) == 1006
+
+
+def test_sums_of_shares_in_any_order(spark):
+    r = random.Random(6)
+    rows = [(h, 10 ** r.uniform(-90, 12)) for h in "ab" for _ in range(500)] + [("c", 1e-100), ("c", 0.1), ("c", 0.2)]
+    sums = lambda rows, n: {r.host: r.rank for r in url_filter._sum_by_host(spark.createDataFrame(rows, "host string, got double").repartition(n)).collect()}
+    got = sums(rows, 2)
+    assert got == sums(r.sample(rows, len(rows)), 7)
+    assert got == pytest.approx({h: sum(x for k, x in rows if k == h) for h in "abc"}, rel=1e-13)
+
+
 # 6 substrings
 def _dedup(rows, span=13):
     first = {}
