@@ -198,7 +198,8 @@ def fit_rates(members: DataFrame, targets: np.ndarray, rounds: int = ROUNDS) ->
 
 
 def target_tokens(members: DataFrame, domains: list[str], weights: dict[str, float], upsample: float | None = None) -> np.ndarray:
-    """Tokens wanted of each domain. The total is the present one; with ``upsample``, so large that no wanted domain shrinks, times ``upsample``."""
+    """Tokens wanted of each domain. The total is the present one; with ``upsample``, so large that no wanted domain shrinks, times ``upsample``;
+    domains that ``weights`` doesn't name then keep their tokens, besides that total."""
     k = len(domains)
     row = members.agg(*[F.sum(F.col("n_words") * F.col("p")[d]).alias(f"s{d}") for d in range(k)]).first() if k else {}
     now = np.array([row[f"s{d}"] or 0.0 for d in range(k)])
@@ -207,7 +208,7 @@ def target_tokens(members: DataFrame, domains: list[str], weights: dict[str, flo
         return now
     want /= want.sum()
     total = now.sum() if upsample is None else upsample * max((n / w for n, w in zip(now, want) if w > 0), default=0.0)
-    return want * total
+    return want * total if upsample is None else np.where([d in weights for d in domains], want * total, now)
 
 
 def mixing_rates(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], upsample: float | None = None, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

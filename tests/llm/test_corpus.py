@@ -489,6 +489,14 @@ def test_rates_as_a_dense_projected_gradient(spark):
     assert np.abs(now - targets).max() < 0.05 * targets.sum()
 
 
+def test_unnamed_domains_keep_their_tokens(spark):
+    members = spark.createDataFrame([(100, [1.0, 0.0, 0.0, 0.0]), (60, [0.0, 1.0, 0.0, 0.0]), (30, [0.0, 0.0, 1.0, 0.0]), (10, [0.0, 0.0, 0.0, 1.0])], "n_words bigint, p array<double>")
+    want = mixing.target_tokens(members, ["en", "de", "it", "toxic"], {"en": 0.5, "de": 0.5, "toxic": 0.0}, 1.1)
+    assert want.tolist() == pytest.approx([110, 110, 30, 0])
+    steps, got = mixing.fit_rates(members, want)
+    assert got.tolist() == pytest.approx([110, 110, 30, 0], abs=0.1)
+
+
 def test_mixing_edges(spark, odd, none):
     labelled = spark.createDataFrame([(i, "a" if i % 2 else "b") for i in range(50)] + [(3, "c"), (None, "a"), (4, None)], "doc_id bigint, domain string")
     got = mixing.mixing_rates(odd, labelled, {"a": 1.0, "b": 1.0, "absent": 3.0}, keep=("text", "kind")).collect()
