@@ -8,11 +8,19 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Row group size that no task's output reaches.
+WHOLE = 2_000_000_000
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only where it is unset (tests, local mode)."""
+    """``spark.checkpoint.dir`` of the session; a temporary folder only where it is unset and the master is local.
+
+    On a cluster a folder of one machine would lose tables, so an unset folder is an error there.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = getattr(spark, "_tessera_dir", None)
         if not base:
             base = "file://" + tempfile.mkdtemp(prefix="tessera-")
@@ -40,9 +48,11 @@ class Scratch:
         self.path = f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
         atexit.register(self._end)
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, whole_files: bool = False, by: str | None = None) -> DataFrame:
+        """``whole_files``: each file is one row group, so a later scan never divides what one task wrote; ``by``: a folder for each value of that column."""
         path = f"{self.path}/{name}"
-        df.write.parquet(path)
+        writer = df.write.option("parquet.block.size", WHOLE) if whole_files else df.write
+        (writer.partitionBy(by) if by else writer).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

@@ -152,12 +152,31 @@ def columns_of_tiles(files: DataFrame, by: list[str], order: str) -> DataFrame:
     return files.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, "path"))), lambda s: s["path"]).alias("paths"))
 
 
-#: The artefacts of a sample and their file names.
+#: File names of a sample's artefacts; those of all samples, and what samples of vessels and of cells have besides or instead.
 ARTEFACTS = {
-    "raw": "/raw/raw_<X,2>_<Y,2>.npy", "autofluorescence": "/autofluorescence/auto_<X,2>_<Y,2>.npy", "stitched": "stitched.npy", "layout": "layout.lyt", "background": "background.npy",
-    "resampled": "resampled.tif", "resampled_to_auto": "elastix_resampled_to_auto", "auto_to_reference": "elastix_auto_to_reference", "cells": "cells.npy", "binary": "binary.npy",
-    "skeleton": "skeleton.npy", "graph": "graph.gt", "density": "density.tif", "debug": "debug.npy",
-}
+    "raw": "Raw/raw_<X,2>_<Y,2>.npy",
+    "autofluorescence": "Autofluorescence/auto_<X,2>_<Y,2>.npy",
+    "stitched": "stitched.npy",
+    "layout": "layout.lyt",
+    "background": "background.npy",
+    "resampled": "resampled.tif",
+    "resampled_to_auto": "elastix_resampled_to_auto",
+    "auto_to_reference": "elastix_auto_to_reference",
+}
+TUBE_MAP_ARTEFACTS = {
+    "arteries": "Raw/arteries_<X,2>_Y,2>.npy",
+    "binary": "binary.npy",
+    "binary_status": "binary_status.npy",
+    "skeleton": "skeleton.npy",
+    "graph": "graph.gt",
+    "density": "density.tif",
+}
+CELL_MAP_ARTEFACTS = {
+    "raw": "Raw/Z<Z,4>.tif",
+    "autofluorescence": "Autofluorescence/Z<Z,4>.tif",
+    "cells": "cells.npy",
+    "density": "density.tif",
+}
 
 
 class Workspace:
@@ -165,7 +184,7 @@ class Workspace:
 
     def __init__(self, directory: str, prefix: str | None = None, artefacts: dict[str, str] | None = None) -> None:
         self.directory, self.prefix = directory.rstrip("/"), prefix
-        self.artefacts = dict(artefacts or ARTEFACTS)
+        self.artefacts = dict(artefacts or {**ARTEFACTS, **TUBE_MAP_ARTEFACTS, "cells": CELL_MAP_ARTEFACTS["cells"]})
         self.debug: str | None = None
 
     def filename(self, kind: str, values: dict | None = None, postfix: str | list[str] | None = None, extension: str | None = None) -> str:
@@ -199,4 +218,4 @@ def parameter_entries(text: DataFrame) -> DataFrame:
     line = F.regexp_extract("value", r"^\s*\((.*)\)\s*$", 1)
     rows = text.withColumn("_l", line).filter("_l <> ''")
     parts = F.split("_l", r"\s+")
-    return rows.select(parts[0].alias("key"), F.transform(F.slice(parts, 2, 10_000), lambda p: F.regexp_replace(p, '"', "")).alias("values"))
+    return rows.select(parts[0].alias("key"), F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda p: F.regexp_replace(p, '"', "")).alias("values"))
