@@ -1,67 +1,18 @@
-"""Scratch tables in the folder that the driver and all executors share."""
+"""What the corpus operators share: table access, and joins whose small side is checked."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Largest number of 8-byte keys that is sent to every executor; more keys are joined by a shuffle.
-BROADCAST_KEYS = 1_000_000
-#: Row group size that no task's output reaches.
-WHOLE = 2_000_000_000
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only where it is unset (tests, local mode)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = getattr(spark, "_tessera_dir", None)
-        if not base:
-            base = "file://" + tempfile.mkdtemp(prefix="tessera-")
-            spark._tessera_dir = base
-            spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
+from tessera.plans.scratch import Scratch
 
+__all__ = ["BROADCAST_KEYS", "Scratch", "join_hot", "plain", "semi_by_key", "table"]
 
-def delete(spark: SparkSession, path: str) -> None:
-    """Delete a folder through Hadoop's file system, so any shared store works."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
-class Scratch:
-    """Written tables of one operator call.
-
-    ``save`` cuts the lineage: the table is in the shared folder, so losing an
-    executor costs a reread. Tables that the result still reads stay until the
-    session ends; ``drop`` deletes the others early.
-    """
-
-    def __init__(self, spark: SparkSession, name: str) -> None:
-        self.spark = spark
-        self.path = f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
-        atexit.register(self._end)
-
-    def save(self, df: DataFrame, name: str, whole_files: bool = False) -> DataFrame:
-        """``whole_files``: each file is one row group, so a later scan never divides what one task wrote."""
-        path = f"{self.path}/{name}"
-        writer = df.write.option("parquet.block.size", WHOLE) if whole_files else df.write
-        writer.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, *names: str) -> None:
-        for name in names:
-            delete(self.spark, f"{self.path}/{name}")
-
-    def _end(self) -> None:
-        try:
-            delete(self.spark, self.path)
-        except Exception:  # the session has ended, and its context with it
-            pass
+#: Largest number of 8-byte keys that is sent to every executor; more keys are joined by a shuffle.
+BROADCAST_KEYS = 1_000_000
+#: A key is hot if it has more than one in so many of all rows; so there are at most so many hot keys.
+HOT_SHARE = 4_096
 
 
 def semi_by_key(df: DataFrame, keys: DataFrame, key: str, count: int) -> DataFrame:
@@ -71,6 +22,21 @@ def semi_by_key(df: DataFrame, keys: DataFrame, key: str, count: int) -> DataFra
     return df.join(keys.hint("shuffle_hash"), key, "left_semi")
 
 
+def join_hot(rows: DataFrame, facts: DataFrame, key: str, scratch: Scratch, name: str) -> DataFrame:
+    """``rows`` (a written table) left-joined to ``facts`` (one narrow row for each key), whatever share of the rows one key has.
+
+    Keys with more than 1 / ``HOT_SHARE`` of the rows are at most ``HOT_SHARE`` many by that definition: their facts
+    are broadcast and their rows stay where they are. The other rows are shuffled.
+    """
+    total = rows.count()
+    hot = scratch.save(rows.groupBy(key).count().filter(F.col("count") * HOT_SHARE > total).filter(F.col(key).isNotNull()).select(key, F.lit(True).alias("_hot")), name)
+    marked = rows.join(F.broadcast(hot), key, "left")
+    few = facts.join(F.broadcast(hot.select(key)), key, "left_semi")
+    near = marked.filter("_hot").drop("_hot").join(F.broadcast(few), key, "left")
+    far = marked.filter("_hot is null").drop("_hot").join(facts, key, "left")
+    return near.unionByName(far)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,8 +1,10 @@
 """The corpus operators against SQL, brute force, libraries and round trips; edge cases of each."""
 
 import hashlib
+import math
 import random
 import re
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tessera.llm import fingerprint, jaccard, mixing, piece_dropout, quality, queries, substring_dedup, token_counts, topk, url_filter, warc
-from tessera.llm.components import connected_components, stars
+from tessera.operators.components import connected_components, stars
 from tessera.llm.fm_index import FMIndex
 from tessera.llm.shared import Scratch
 from tessera.llm.textkernel import column_bytes, shingles, word_hashes, words
@@ -225,16 +227,51 @@ def test_topk_is_exact(spark):
     assert topk.top_k(df.limit(0)).count() == 0
 
 
-def test_coordinate_pruning_loses_nothing():
+def _exact_top(rows, k=20, every=20):
+    q = [(i, [math.floor(Fraction(a) * 64) for a in v]) for i, v in rows]
+    out = []
+    for i in {i for i, _ in q if i % every == 0}:
+        scores = [(-min(max(sum(a * b for a, b in zip(u, v)), -(2**63)), 2**63 - 1), j) for h, u in q if h == i for j, v in q if j != i and len(v) == len(u)]
+        out += [(i, n + 1, j, -s) for n, (s, j) in enumerate(sorted(scores)[:k])]
+    return sorted(out)
+
+
+def test_topk_of_large_components_and_repeated_ids(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(a) for a in v]) for i, v in enumerate(rng.normal(size=(60, 3)))]
+    rows += [(100, [1e12, 1.0, -1.0]), (101, [-1e12, 1.0, 2.0]), (120, [1e300, 0.0, 1e-300]), (121, [1.7e308, -1.7e308, 0.0]), (140, [3e7, 2.5, 1.0]), (141, [2.0**40 + 0.5, 0.0, 1.0])]
+    rows += [(20, [0.5, 0.25, -3.0]), (40, rows[40][1]), (7, [9.0, 9.0, 9.0])]
+    df = spark.createDataFrame([(i, v, "x", 1) for i, v in rows], "vec_id bigint, embedding array<double>, level string, part int")
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(df).collect()) == _exact_top(rows)
+
+
+def test_topk_over_levels_and_chunks(spark, monkeypatch):
+    """Small buckets, chunks and levels give the same; lengths differ, so that each kind of pruning excludes something."""
+    for name, value in (("BLOCK", 16), ("CHUNK", 7), ("TILE", 3), ("GROWTH", 3), ("HELD", 50)):
+        monkeypatch.setattr(topk, name, value)
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(12, 5))[rng.integers(0, 12, 900)] + rng.normal(size=(900, 5)) * 0.05
+    x *= rng.gamma(4, 2, size=(900, 1))
+    x[300:420] = x[300]
+    rows = [(i, [float(a) for a in v]) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(df, k=5).collect()) == _exact_top(rows, 5)
+    counts = topk.pruning(df, k=5)
+    assert counts["skipped"] > 0 and counts["by_length"] > 0 and counts["by_coordinate"] > 0
+    assert counts["verified"] < counts["pairs"] == 900 * 45
+
+
+def test_coordinate_and_length_pruning_lose_nothing():
     rng = np.random.default_rng(6)
-    m = rng.integers(-60, 60, (500, 8))
-    b = topk._Bucket(8, np.arange(500).tobytes(), m.astype(np.int64).tobytes())
-    for q in rng.integers(-60, 60, (60, 8)):
+    m = rng.integers(-60, 60, (500, 8)).astype(float)
+    b = topk.Bucket(np.arange(500), m, 1)
+    for q in rng.integers(-60, 60, (60, 8)).astype(float):
+        size = np.sqrt((q**2).sum())
         s = m @ q
         for bound in (1.0, float(np.sort(s)[-3]), float(np.sort(s)[-40])):
-            at = b.candidates(q, float(np.sqrt((q**2).sum())), bound)
-            kept = set(range(500)) if at is None else set(b.ids[at].tolist())
-            assert set(np.flatnonzero(s >= max(bound, 1e-9)).tolist()) <= kept
+            local, short = b.local(np.array([size]), np.array([bound]))[0], int(b.reach(np.array([size]), np.array([bound]))[0])
+            want = set(np.flatnonzero(s >= bound).tolist())
+            assert want <= set(b.rows.ids[:short].tolist()) and want <= set(b.rows.ids[b.near(q, size, local, short)].tolist())
 
 
 # 5 urls
