@@ -97,21 +97,11 @@ def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import functions as F
-
-    from tessera.llm.warc import assemble, read_warc, write_warc
+    from tessera.llm.warc import assemble, page_facts, read_warc, write_warc
 
     scratch = Scratch(spark, "warc")
     write_warc(plain(table(spark, sf_dir, "pages"), "page_id", "url", "html"), f"{scratch.path}/archive")
-    captures = assemble(read_warc(spark, f"{scratch.path}/archive", payload=False))
-    number = lambda c: F.regexp_extract(c, r"(-?\d+)>$", 1).cast("long")
-    return captures.select(
-        F.col("metadata.fields")["page-id"].cast("long").alias("page_id"),
-        F.col("metadata.fields")["payload-bytes"].cast("long").alias("payload_bytes"),
-        F.col("response.payload_digest").alias("payload_digest"),
-        F.col("response.type").alias("record_type"),
-        number(F.col("response.refers_to")).alias("refers_to"),
-    )
+    return page_facts(assemble(read_warc(spark, f"{scratch.path}/archive", payload=False)))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -228,15 +218,15 @@ def _op9_sql() -> str:
     # base32 of the SHA-1: the digest is cut into eight groups of 20 bits, four letters each
     letter = lambda shift: f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((g >> {shift}) & 31) + 1, 1)"
     return f"""
-WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages WHERE page_id IS NOT NULL),
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 d AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS hex FROM p),
 e AS (
   SELECT page_id, payload_bytes, array_to_string(list_transform(list_transform(range(8), lambda i: CAST('0x' || substr(hex, CAST(5 * i + 1 AS BIGINT), 5) AS BIGINT)),
          lambda g: {letter(15)} || {letter(10)} || {letter(5)} || {letter(0)}), '') AS payload_digest FROM d
-), r AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS best FROM e)
+), r AS (SELECT *, row_number() OVER w AS n, first_value(page_id) OVER w AS best FROM e WINDOW w AS (PARTITION BY payload_digest ORDER BY page_id DESC NULLS LAST))
 SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
-       CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN page_id = best THEN NULL ELSE best END AS refers_to
+       CASE WHEN n = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN n = 1 THEN NULL ELSE best END AS refers_to
 FROM r
 """
 

@@ -481,10 +481,12 @@ def test_archives_are_valid_and_come_back(spark):
     path = Scratch(spark, "warc-test").path
     warc.write_warc(df, f"{path}/a")
     records = warc.read_warc(spark, f"{path}/a")
-    captures = {r.metadata.fields["page-id"]: r for r in warc.assemble(records).collect()}
-    assert sorted(captures) == ["1", "2", "3", "4", "5"]
-    c = captures["4"]
-    assert bytes(c.response.payload).decode() in ("other", rows[3][2]) and c.request.target == c.metadata.target == "http://c/" and c.capture_id == c.response.record_id
+    found = warc.assemble(records).collect()
+    assert sorted(r.metadata.fields["page-id"] for r in found) == ["1", "2", "3", "4", "4", "5", "null"]
+    captures = {r.metadata.fields["page-id"]: r for r in found}
+    fours = [r for r in found if r.metadata.fields["page-id"] == "4"]
+    assert {bytes(c.response.payload).decode() for c in fours} == {"other", rows[3][2]}
+    assert all(c.request.target == c.metadata.target == "http://c/" and c.capture_id == c.response.record_id for c in fours)
     assert captures["1"].response.type == "revisit" and captures["1"].response.refers_to == captures["2"].response.record_id
     assert bytes(captures["2"].response.payload) == b"same" and len(captures["5"].response.payload) == 200_000
     assert captures["3"].response.payload_bytes == 0 and captures["3"].response.payload_digest == "3I42H3S6NNFQ2MSVX7XZKYAYSCX5QBYJ"
@@ -496,8 +498,30 @@ def test_archives_are_valid_and_come_back(spark):
 
 def test_min_bytes(spark):
     df = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abcd"), (4, "u", "abcd")], "page_id bigint, url string, html string")
-    got = {r.page_id: r.refers_to for r in warc.mark_revisits(df, 3).collect()}
-    assert got == {1: None, 2: None, 3: 4, 4: None}
+    path = Scratch(spark, "warc-min").path
+    warc.write_warc(df, path, min_bytes=3)
+    got = {r.page_id: (r.record_type, r.refers_to, r.payload_bytes) for r in warc.page_facts(warc.assemble(warc.read_warc(spark, path, payload=False))).collect()}
+    assert got == {1: ("response", None, 2), 2: ("response", None, 2), 3: ("revisit", 4, 4), 4: ("response", None, 4)}
+
+
+def test_every_row_is_archived(spark, duck, tmp_path, monkeypatch):
+    """Rows that repeat a page_id, are equal, or have no page_id; and pages of very different sizes. The same as the SQL."""
+    monkeypatch.setattr(warc, "LONG_PAGE", 100)
+    rows = [(1, "u", "aaaa"), (1, "u", "b"), (2, "u", "aaaa"), (2, "u", "aaaa"), (2, "v", "aaaa"), (None, "w", "z"), (None, "w", "z"), (None, None, None), (-3, "u", "é" * 400), (7, "u", "é" * 400), (8, "u", "q" * 150)]
+    spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("page", F.lit("clash")).withColumn("tag", F.lit(1)).write.parquet(f"{tmp_path}/pages.parquet")
+    cursor = duck.cursor()
+    cursor.sql(f"create or replace temp view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    same_as_sql(spark, cursor, queries.op9_warc, queries.oracle_sql()["op9_warc"], str(tmp_path))
+
+
+def test_a_damaged_payload_is_an_error(spark, tmp_path):
+    warc.write_warc(spark.createDataFrame([(1, "u", "abcdef")], "page_id bigint, url string, html string"), f"{tmp_path}/a", compression="none")
+    for f in (tmp_path / "a").glob("part-*"):
+        data = f.read_bytes()
+        f.write_bytes(data.replace(b"abcdef", b"abcdeg"))
+        (tmp_path / "a" / f".{f.name}.crc").unlink(missing_ok=True)
+    with pytest.raises(Exception, match="does not have its digest"):
+        warc.read_warc(spark, f"{tmp_path}/a").collect()
 
 
 # 10 mixing
