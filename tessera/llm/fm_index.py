@@ -1,10 +1,10 @@
 """A compressed FM-index over word ids, searched for many patterns at once.
 
-The Burrows-Wheeler sequence of a depth-limited suffix order is held in a wavelet matrix (one
-bit vector per bit of the word id, with block ranks). Suffixes are sorted by
-their first ``depth`` words: enough for backward search of patterns of up to that
-many words, since an interval only depends on that order. Capped longest common prefixes
-let a search drop its last word by widening its interval.
+What is kept: the Burrows-Wheeler sequence in a wavelet matrix (one bit vector for each bit of the
+word id, with block ranks), longest common prefixes capped at ``depth`` in a byte a row, and one
+suffix position in ``SAMPLE``, with those of sequence starts. The longest common prefixes
+let a search drop its last word by widening its interval, so matching statistics go up to ``depth`` words.
+``locate`` walks LF steps to the next sampled position; it never has to cross a separator.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from __future__ import annotations
 import numpy as np
 
 _BLOCK = 64
+#: One suffix position in so many is kept.
+SAMPLE = 32
 
 
 class WaveletMatrix:
@@ -51,6 +53,16 @@ class WaveletMatrix:
         m = len(c)
         return both[m : 2 * m] - both[:m], both[2 * m :] - both[:m]
 
+    def symbols(self, i: np.ndarray) -> np.ndarray:
+        """The symbols at these places."""
+        at, out = i.astype(np.int64), np.zeros(len(i), np.int64)
+        for k in range(self.levels):
+            one = (self.bits[k][at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+            ones = self._ones(k, at)
+            at = np.where(one, self.zeros[k] + ones, at - ones)
+            out = out << 1 | one
+        return out
+
     def nbytes(self) -> int:
         return sum(x.nbytes for x in (*self.bits, *self.ranks))
 
@@ -61,20 +73,21 @@ class FMIndex:
     def __init__(self, sequence: np.ndarray, sigma: int, depth: int = 16) -> None:
         n = len(sequence)
         self.n, self.sigma, self.depth = n, sigma, depth
-        ranks = [sequence.astype(np.int64)]  # of runs of 1, 2, 4, ... symbols
-        length = 1
-        while length < depth:
-            prev = ranks[-1]
+        ranks = [sequence.astype(np.int32)]  # of runs of 1, 2, 4, ... symbols
+        length, last = 1, ranks[0]
+        while length < depth or int(last.max(initial=0)) + 1 < n:
+            prev = last.astype(np.int64)
             after = np.zeros(n, np.int64)
             after[: max(0, n - length)] = prev[length:] + 1
-            key = prev * (int(prev.max(initial=0)) + 2) + after
-            ranks.append(np.unique(key, return_inverse=True)[1])
+            last = np.unique(prev * (int(prev.max(initial=0)) + 2) + after, return_inverse=True)[1].astype(np.int32)
             length *= 2
-        self.sa = np.argsort(ranks[-1], kind="stable")
-        lcp = np.zeros(n, dtype=np.int16)  # of neighbours in suffix order, capped at depth
-        a, b = self.sa[:-1].copy(), self.sa[1:].copy()
+            if length <= depth:
+                ranks.append(last)
+        sa = np.argsort(last, kind="stable")
+        lcp = np.zeros(n, dtype=np.uint8)  # of neighbours in suffix order, capped at depth
+        a, b = sa[:-1].copy(), sa[1:].copy()
         got = np.zeros(max(0, n - 1), dtype=np.int64)
-        whole = ranks[-1][self.sa[:-1]] == ranks[-1][self.sa[1:]]
+        whole = ranks[-1][sa[:-1]] == ranks[-1][sa[1:]]
         for step in range(len(ranks) - 2, -1, -1):
             inside = (a < n) & (b < n)
             same = np.zeros(len(a), dtype=bool)
@@ -85,18 +98,22 @@ class FMIndex:
             lcp[1:] = np.where(whole, depth, got)
         self.lcp = lcp
         self.first = np.concatenate([[0], np.cumsum(np.bincount(sequence, minlength=sigma))]).astype(np.int64)
-        self.wavelet = WaveletMatrix(sequence[self.sa - 1], sigma)  # position -1 wraps to the last separator
-        self._groups: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.wavelet = WaveletMatrix(sequence[sa - 1], sigma)  # position -1 wraps to the last separator
+        self.sampled = np.flatnonzero((sa % SAMPLE == 0) | (sequence[sa - 1] == 0)).astype(np.int32)
+        self.position = sa[self.sampled].astype(np.int32)
+        self._edges: dict[int, np.ndarray] = {}
 
-    def groups(self, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(group of each row, first row, end row of each group) of suffixes that share their first ``d`` words."""
-        if d not in self._groups:
+    def nbytes(self) -> int:
+        return self.wavelet.nbytes() + self.lcp.nbytes + self.sampled.nbytes + self.position.nbytes + self.first.nbytes
+
+    def edges(self, d: int) -> np.ndarray:
+        """First rows of the groups of suffixes that share their first ``d`` words."""
+        if d not in self._edges:
             edge = self.lcp < d
             if self.n:
                 edge[0] = True
-            starts = np.flatnonzero(edge)
-            self._groups[d] = (np.cumsum(edge, dtype=np.int64) - 1, starts, np.append(starts[1:], self.n))
-        return self._groups[d]
+            self._edges[d] = np.flatnonzero(edge).astype(np.int32)
+        return self._edges[d]
 
     def extend(self, c: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """One backward step: intervals of c followed by what [lo, hi) stands for."""
@@ -111,14 +128,15 @@ class FMIndex:
             if depth == 0:
                 new_lo[at], new_hi[at] = 0, self.n
             else:
-                group, starts, ends = self.groups(int(depth))
-                g = group[lo[at]]
-                new_lo[at], new_hi[at] = starts[g], ends[g]
+                edges = self.edges(int(depth))
+                g = np.searchsorted(edges, lo[at], side="right")
+                new_lo[at] = edges[g - 1]
+                new_hi[at] = np.where(g < len(edges), edges[np.minimum(g, len(edges) - 1)], self.n)
         return new_lo, new_hi
 
     def matching_statistics(self, words: np.ndarray, begin: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray]:
         """For each position of the streamed sequences: (length of the longest match that starts
-        there, at most ``cap``; a row of the index inside that match's interval, -1 for none).
+        there, at most ``cap``; the first row of that match's interval, -1 for none).
 
         ``words``: word ids, 0 for a word that the index lacks; ``begin``: where each
         sequence starts (with the total at the end). All sequences advance together, from right to left.
@@ -155,3 +173,21 @@ class FMIndex:
             have = np.where(ok, have + 1, 0)
             length[at], row[at] = have, np.where(have > 0, lo, -1)
         return length, row
+
+    def locate(self, rows: np.ndarray) -> np.ndarray:
+        """Positions in the sequence of these rows' suffixes (rows that start with a word, not with a separator)."""
+        rows = rows.astype(np.int64).copy()
+        out = np.full(len(rows), -1, np.int64)
+        todo = np.arange(len(rows))
+        steps = np.zeros(len(rows), np.int64)
+        while len(todo):
+            r = rows[todo]
+            g = np.minimum(np.searchsorted(self.sampled, r), len(self.sampled) - 1)
+            hit = self.sampled[g] == r
+            out[todo[hit]] = self.position[g[hit]] + steps[todo[hit]]
+            todo, r = todo[~hit], r[~hit]
+            c = self.wavelet.symbols(r)
+            lo, _ = self.extend(c, r, r)
+            rows[todo] = lo
+            steps[todo] += 1
+        return out

@@ -350,10 +350,61 @@ def test_substrings_as_brute_force(spark, odd, none, limit):
     assert substring_dedup.dedup_substrings(none, broadcast_anchors=limit).count() == 0
 
 
+def test_substrings_with_hot_anchors_and_other_keys(spark, monkeypatch):
+    """All shared anchors hot; equal words with other white space; keys as text; rows that repeat a key with other texts."""
+    monkeypatch.setattr(substring_dedup, "HOT", 0)
+    r = random.Random(3)
+    phrase = [r.choice("abcdefgh") * r.randint(1, 3) for _ in range(30)]
+    rows = [(i, " \t"[i % 2].join(phrase[i % 5 : 20 + i % 9]) + "".join(" " + r.choice("abcdefgh") for _ in range(r.randint(0, 40)))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = _dedup(rows)
+    assert {x.doc_id: (x.n_words, x.n_removed, x.kept_text) for x in substring_dedup.dedup_substrings(df).collect()} == want
+    named = df.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    assert {int(x.doc_id): x.n_removed for x in substring_dedup.dedup_substrings(named).collect()} == {k: v[1] for k, v in want.items()}
+    odd_keys = df.select(F.concat(F.lit("k"), "doc_id").alias("doc_id"), "text")
+    assert substring_dedup.dedup_substrings(odd_keys).filter("n_removed = 0").count() == 60
+    twice = spark.createDataFrame([(1, " ".join(phrase)), (2, " ".join(phrase)), (2, "x " + " ".join(phrase[:20])), (2, "y")], "doc_id bigint, text string")
+    assert sorted((x.doc_id, x.n_words, x.n_removed) for x in substring_dedup.dedup_substrings(twice).collect()) == [(1, 30, 0), (2, 1, 0), (2, 21, 20), (2, 30, 30)]
+
+
+def test_passages_name_a_source(spark, odd):
+    """Every interval repeats, window by window, a text with a smaller key; the source holds the first of them."""
+    rows = {r.doc_id: WORD.findall(r.text or "") for r in odd.filter("doc_id is not null").collect()}
+    got = substring_dedup.repeated_passages(odd.dropDuplicates(["doc_id"])).collect()
+    assert got
+    for x in got:
+        assert x.source < x.doc_id and x.end_word - x.first_word >= 13
+        first, held = rows[x.doc_id][x.first_word : x.first_word + 13], rows[x.source]
+        assert any(held[i : i + 13] == first for i in range(len(held) - 12))
+
+
+def test_indexed_and_streamed_texts_differ(monkeypatch):
+    """Each segment is streamed against others only: an index that holds the streamed text itself is never searched."""
+    seen = []
+
+    class Spy(FMIndex):
+        def __init__(self, sequence, sigma, depth=16):
+            super().__init__(sequence, sigma, depth)
+            seen.append((len(sequence), self.nbytes()))
+
+    monkeypatch.setattr(substring_dedup, "FMIndex", Spy)
+    rng = np.random.default_rng(2)
+    texts = [rng.integers(0, 3, rng.integers(13, 30)) for _ in range(80)]
+    begin = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    shard, key = rng.integers(0, 4, 80), rng.integers(0, 25, 80)
+    found, source = substring_dedup.search_shard(np.concatenate(texts), begin, shard, key, 5, True)
+    for i, t in enumerate(texts):
+        for j in range(len(t) - 4):
+            holders = {int(key[k]) for k, u in enumerate(texts) if shard[k] == shard[i] and key[k] < key[i] and any(np.array_equal(u[m : m + 5], t[j : j + 5]) for m in range(len(u) - 4))}
+            assert found[begin[i] + j] == bool(holders) and (not holders or source[begin[i] + j] in holders)
+    assert seen and all(size < sum(map(len, texts)) for size, _ in seen)
+
+
 def test_matching_statistics():
     rng = np.random.default_rng(8)
     for _ in range(6):
         parts = [rng.integers(1, 5, rng.integers(1, 40)) for _ in range(8)]
+        parts.append(np.tile([1, 2], 60))
         seq = np.concatenate([np.append(p, 0) for p in parts])
         index = FMIndex(seq, 6)
         stream = [rng.integers(0, 6, rng.integers(1, 40)) for _ in range(5)]
@@ -365,7 +416,7 @@ def test_matching_statistics():
                 want = max((k for k in range(1, min(13, len(s) - i) + 1) if tuple(s[i : i + k]) in held), default=0)
                 assert length[b + i] == want
                 if want:
-                    at = index.sa[row[b + i]]
+                    at = int(index.locate(row[b + i : b + i + 1])[0])
                     assert np.array_equal(seq[at : at + want], s[i : i + want])
 
 
