@@ -20,7 +20,9 @@ A text's set is its distinct word n-gram hashes. Two sets link when
    the set's own distance from the pivot, exclude most entries without comparing them.
    Pairs inside a class are never formed.
 5. Candidates are thinned by the parity bitmaps (|A ^ B| is at least the number of
-   differing bits: exact exclusion), then verified on the full sets. Connected
+   differing bits: exact exclusion). Where several sets of a class are to be compared with the same other
+   set, the class pivot's answer is computed first: its overlap with the other set, corrected by what each member lacks of the
+   pivot or has besides it, decides most members without their sets. What stays open is verified on the full sets. Connected
    components of all links are the result.
 
 No candidate is dropped by a cap. Full sets are moved only for pairs
@@ -39,11 +41,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.components import connected_components
-from tessera.llm.shared import BROADCAST_KEYS, Scratch, semi_by_key
+from tessera.llm.shared import BROADCAST_KEYS, Scratch, join_hot, semi_by_key
 from tessera.llm.textkernel import column_bytes, distinct_sorted, mix64, shingles, slices, tidied, word_hashes, words
 
 #: Entries of a task's heavy-hitter summary while it runs, and rows it hands on.
@@ -56,6 +58,10 @@ FREQUENT_FROM = 30
 #: Lists from this length on are scanned by block with bitmaps.
 LONG_LIST = 64
 BLOCK = 64
+#: Pivots of one list whose answers are held at a time.
+ANSWERS = 256
+#: From so many members on, a class is compared with another set by its pivot's answer.
+DERIVE_FROM = 3
 #: Rounds of growing classes of similar sets before classes are compared in full.
 ROUNDS = 3
 #: Bits of a parity bitmap per n-gram, rounded up to a power of two.
@@ -334,6 +340,8 @@ def _long_list(n, pos, comp, maps: list[np.ndarray], percent: int) -> Iterator[t
         p = pivot_of[int(comp[i])]
         if p != i and words_of[p] >= w:
             if (p, w) not in answers:
+                if len(answers) >= ANSWERS:
+                    answers.clear()
                 answers[p, w] = np.bitwise_count(table ^ table[p]).sum(1).astype(np.int64)
             far = answers[p, w]
             keep = far[j] - far[i] <= allowed  # triangle inequality on differing bits
@@ -448,8 +456,8 @@ def thin(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(tidied(run), "a bigint, b bigint")
 
 
-def verify(pairs: DataFrame, docs: DataFrame, keys: DataFrame, n: int, percent: int) -> DataFrame:
-    """Pairs whose full sets link. ``keys``: sid, key of a row that holds the set."""
+def overlaps(pairs: DataFrame, docs: DataFrame, keys: DataFrame, n: int) -> DataFrame:
+    """a, b, both, n_a, n_b: the overlap and the sizes of the full sets. ``keys``: sid, key of a row that holds the set."""
     ids = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
     wanted = keys.join(ids, "sid").select("key").distinct()
     count = wanted.count()
@@ -469,17 +477,53 @@ def verify(pairs: DataFrame, docs: DataFrame, keys: DataFrame, n: int, percent:
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep, last, x = [], None, None
-            for i, (a, g, h) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3))):
+            out, last, x = [], None, None
+            for a, g, h in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3)):
                 if a != last:
                     last, x = a, np.frombuffer(g.as_py(), np.uint64)
                 y = np.frombuffer(h.as_py(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * both >= percent * (len(x) + len(y) - both):
-                    keep.append(i)
-            yield batch.take(pa.array(keep, pa.int64())).select(["a", "b"])
+                out.append((len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)))
+            numbers = np.array(out, np.int64).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(numbers[:, i].copy()) for i in range(3)]], ["a", "b", "both", "n_a", "n_b"])
+
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "g_a", "g_b").mapInArrow(tidied(check), "a bigint, b bigint, both bigint, n_a bigint, n_b bigint")
+
+
+def _linked(percent: int) -> Column:
+    return F.col("both") * 100 >= percent * (F.col("n_a") + F.col("n_b") - F.col("both"))
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "g_a", "g_b").mapInArrow(tidied(check), "a bigint, b bigint")
+
+def verify(pairs: DataFrame, docs: DataFrame, keys: DataFrame, n: int, percent: int) -> DataFrame:
+    """Pairs whose full sets link."""
+    return overlaps(pairs, docs, keys, n).filter(_linked(percent)).select("a", "b")
+
+
+def verify_by_pivots(pairs: DataFrame, classes: DataFrame, docs: DataFrame, keys: DataFrame, n: int, percent: int, scratch: Scratch) -> DataFrame:
+    """The same for pairs between classes (sid, component: the class's pivot), where a pivot's answers decide what they can.
+
+    For a member S of pivot P and another set X, |S & X| lies between |P & X| - |P - S| and |P & X| + |S - P|.
+    """
+    pivot = lambda s: classes.filter("sid <> component").select(F.col("sid").alias(s), F.col("component").alias(f"p_{s}"))
+    rows = pairs.join(pivot("a"), "a", "left").join(pivot("b"), "b", "left")
+    turned = F.col("p_a").isNull()
+    rows = rows.select("a", "b", F.when(turned, F.col("b")).otherwise(F.col("a")).alias("s"), F.when(turned, F.col("a")).otherwise(F.col("b")).alias("x"), F.coalesce("p_a", "p_b").alias("p"))
+    many = rows.filter("p is not null").groupBy("p", "x").count().filter(F.col("count") >= DERIVE_FROM).select("p", "x")
+    derived = scratch.save(rows.join(many, ["p", "x"]), "derived")
+    plain_ = scratch.save(pairs.join(derived.select("a", "b"), ["a", "b"], "left_anti"), "plain")
+    if not derived.take(1):
+        return verify(plain_, docs, keys, n, percent)
+    ordered = lambda u, v: (F.least(u, v).alias("a"), F.greatest(u, v).alias("b"))
+    asked = derived.select(*ordered("p", "x")).unionByName(derived.select(*ordered("s", "p"))).unionByName(plain_).distinct()
+    known = scratch.save(overlaps(asked, docs, keys, n), "known")
+    answer = known.select(F.col("a").alias("p"), F.col("b").alias("x"), F.col("both").alias("p_x"), F.col("n_a").alias("n_p"), F.col("n_b").alias("n_x"))
+    answer = answer.unionByName(known.select(F.col("b").alias("p"), F.col("a").alias("x"), F.col("both").alias("p_x"), F.col("n_b").alias("n_p"), F.col("n_a").alias("n_x")))
+    own = answer.select(F.col("p").alias("s"), F.col("x").alias("p"), F.col("p_x").alias("s_p"), F.col("n_p").alias("n_s"))
+    bounds = derived.join(answer, ["p", "x"]).join(own, ["s", "p"])
+    low, high = F.col("p_x") - (F.col("n_p") - F.col("s_p")), F.col("p_x") + (F.col("n_s") - F.col("s_p"))
+    links = lambda both: both * 100 >= percent * (F.col("n_s") + F.col("n_x") - both)
+    decided = scratch.save(bounds.select("a", "b", F.when(links(low), True).when(~links(high), False).alias("linked")), "decided")
+    rest = verify(scratch.save(decided.filter("linked is null").select("a", "b"), "rest"), docs, keys, n, percent)
+    return known.join(plain_, ["a", "b"], "left_semi").filter(_linked(percent)).select("a", "b").unionByName(decided.filter("linked").select("a", "b")).unionByName(rest)
 
 
 def jaccard_components(docs: DataFrame, percent: int = 75, n: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -489,7 +533,7 @@ def jaccard_components(docs: DataFrame, percent: int = 75, n: int = 5, key: str
     measured = scratch.save(measure(docs, n), "measured")
     rows = measured.filter("kind = 0").select("key", "n", "sid")
     sets = scratch.save(measured.filter("kind = 1").groupBy("sid").agg(F.first("n").alias("n"), F.first("bitmap").alias("bitmap")), "sets")
-    holders = rows.filter("n > 0").groupBy("sid").agg(F.min("key").alias("key"))
+    holders = scratch.save(rows.filter("n > 0").groupBy("sid").agg(F.min("key").alias("key")), "holders")
     top = measured.filter("kind = 2").groupBy("gram").agg(F.sum("c").alias("c")).filter(F.col("c") >= FREQUENT_FROM).orderBy(F.desc("c"), "gram").limit(FREQUENT).select("gram").toArrow()
     last = np.sort(top["gram"].to_numpy().view(np.uint64)) if top.num_rows else np.zeros(0, np.uint64)
     indexed = scratch.save(index_lists(prefixes(docs, n, percent, last), percent), "indexed", whole_files=True)
@@ -511,10 +555,12 @@ def jaccard_components(docs: DataFrame, percent: int = 75, n: int = 5, key: str
     few = classes.count() <= BROADCAST_KEYS
     open_pairs = short_list_pairs(in_classes(short, classes, few), percent).unionByName(long_list_pairs(in_classes(longer, classes, few), percent)).distinct()
     open_pairs = scratch.save(thin(open_pairs.join(tested, ["a", "b"], "left_anti"), sets, percent), "open")
-    more = scratch.save(verify(open_pairs, docs, holders, n, percent), "links-more")
-    nodes = connected_components(links.unionByName(more), scratch, "all").select(F.col("node").alias("sid"), "component")
+    more = scratch.save(verify_by_pivots(open_pairs, classes, docs, holders, n, percent, scratch), "links-more")
+    nodes = scratch.save(connected_components(links.unionByName(more), scratch, "all").select(F.col("node").alias("sid"), "component"), "nodes")
     scratch.drop("indexed", "long", "open")
-    member = rows.join(nodes, "sid", "left").withColumn("group", F.coalesce("component", "sid"))
-    least = member.filter("n > 0").groupBy("group").agg(F.min("key").alias("least"))
-    out = member.join(least, "group", "left")
+    # a component's smallest key is found among its sets, and given to rows by set: a component or set may hold a third of all rows
+    least = nodes.join(holders, "sid").groupBy("component").agg(F.min("key").alias("least"))
+    of_set = join_hot(nodes, least, "component", scratch, "hot-components").select("sid", "least")
+    facts = holders.join(of_set, "sid", "left").select("sid", F.coalesce("least", "key").alias("least"))
+    out = join_hot(rows, facts, "sid", scratch, "hot-sets")
     return out.select(F.col("key").alias(key), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("key")).alias("component_id"))
