@@ -8,12 +8,12 @@
 4. Mixing: rates that bring the expected words of each domain to their target shares. Languages
    are only ever raised (the total is chosen so), toxic text goes to rate 0; a document is
    repeated as often as its rate says.
-5. Encoding: every document's pieces under seeded merge dropout, decoded again as proof.
+5. Encoding: every document's pieces under seeded merge dropout, decoded again as proof. Equal rows are
+   numbered, so that copies made by stage 4 get segmentations of their own.
 
 Every stage reads all that its predecessor kept. All but the last return doc_id,
 text, lang, source, n_chars. Rows with a null doc_id pass stages 1, 3 and 4 and count as
-one document each in stage 2. A doc_id that occurs more than once is reduced to one row by
-stage 2. An empty table gives an empty result.
+one document each in stage 2. Of rows that repeat a doc_id stage 2 keeps the one with the smallest text (then lang, source). An empty table gives an empty result.
 
 SQL can't express the classifier; the pipeline's stages are tested against brute force.
 """
@@ -49,7 +49,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = Scratch(spark, "near").save(jaccard_components(docs), "found")
     gone = found.filter("component_id <> doc_id").select("doc_id").distinct()
     if found.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").limit(1).count():
-        docs = docs.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null"))
+        first = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("r")).select("doc_id", "r.*")
+        docs = first.select(*COLUMNS).unionByName(docs.filter("doc_id is null"))
     if gone.count() <= BROADCAST_KEYS:
         return docs.join(F.broadcast(gone), "doc_id", "left_anti").select(*COLUMNS)
     return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*COLUMNS)
@@ -71,7 +72,9 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return round_trip(plain(docs, *COLUMNS), public_tokenizers.path(PIECE_MODEL), with_ids=True)
+    copies_of = plain(docs, *COLUMNS).groupBy(*COLUMNS).agg(F.count("*").alias("n"))
+    numbered = copies_of.select("doc_id", "text", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy"))
+    return round_trip(numbered, public_tokenizers.path(PIECE_MODEL), with_ids=True, copy="copy")
 
 
 STAGES = [

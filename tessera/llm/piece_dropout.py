@@ -420,14 +420,18 @@ def decode(encoded: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
     return encoded.select(key, "ids").mapInArrow(tidied(run), f"`{key}` {encoded.schema[key].dataType.simpleString()}, text string")
 
 
-def round_trip(docs: DataFrame, path: str, seed: int = SEED, dropout: float = DROPOUT, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
-    """``key``, n_chars, n_pieces, with ``with_ids`` the ids, ids_sha256 (of the int32 ids), decoded_sha256, lossless: every text encoded, and decoded from its ids."""
+def round_trip(docs: DataFrame, path: str, seed: int = SEED, dropout: float = DROPOUT, key: str = "doc_id", text: str = "text", with_ids: bool = False, copy: str | None = None) -> DataFrame:
+    """``copy`` names a column of whole numbers that tells copies of a document apart (1: the first); each draws for itself.
+
+    ``key``, the copy, n_chars, n_pieces, with ``with_ids`` the ids, ids_sha256 (of the int32 ids), decoded_sha256, lossless: every text encoded, and decoded from its ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(path, seed, dropout)
         sha = lambda b: hashlib.sha256(b).hexdigest()
         for batch in batches:
             keys = _keys(batch.column(0))
+            if copy:
+                keys = keys + (batch.column(2).to_numpy().astype(np.uint64) - np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
             for at, texts in _runs(batch.column(1)):
                 got = c.encode(texts, keys[at : at + len(texts)])
                 back = [c.decode(g) for g in got]
@@ -437,11 +441,12 @@ def round_trip(docs: DataFrame, path: str, seed: int = SEED, dropout: float = DR
                     ids = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(got), "<i4")))]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(at, len(texts)), pa.array([len(t) for t in texts], pa.int64()), pa.array([len(g) // 4 for g in got], pa.int64()), *ids,
+                        batch.column(0).slice(at, len(texts)), *([batch.column(2).slice(at, len(texts))] if copy else []), pa.array([len(t) for t in texts], pa.int64()), pa.array([len(g) // 4 for g in got], pa.int64()), *ids,
                         pa.array([sha(g) for g in got], pa.string()), pa.array([sha(b) for b in back], pa.string()), pa.array([b == t.encode() for b, t in zip(back, texts)], pa.bool_()),
                     ],
-                    [key, "n_chars", "n_pieces", *(["ids"] * with_ids), "ids_sha256", "decoded_sha256", "lossless"],
+                    [key, *[copy] * bool(copy), "n_chars", "n_pieces", *(["ids"] * with_ids), "ids_sha256", "decoded_sha256", "lossless"],
                 )
         c.forget()
 
-    return docs.select(key, text).mapInArrow(tidied(run), f"`{key}` {docs.schema[key].dataType.simpleString()}, n_chars bigint, n_pieces bigint,{' ids array<int>,' * with_ids} ids_sha256 string, decoded_sha256 string, lossless boolean")
+    number = f" `{copy}` {docs.schema[copy].dataType.simpleString()}," if copy else ""
+    return docs.select(key, text, *[copy] * bool(copy)).mapInArrow(tidied(run), f"`{key}` {docs.schema[key].dataType.simpleString()},{number} n_chars bigint, n_pieces bigint,{' ids array<int>,' * with_ids} ids_sha256 string, decoded_sha256 string, lossless boolean")
