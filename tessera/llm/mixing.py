@@ -5,15 +5,16 @@
    Fitting uses at most ``SAMPLE_PER_DOMAIN`` rows of each domain, the smallest by
    hash of the key; class shares of the whole labelled table are its prior.
 2. Nonnegative document rates r are fitted so that the expected tokens of each domain,
-   sum_i r_i * tokens_i * p_id, match the targets: least squares by projected
-   gradient. A step is r_i <- max(0, r_i + p_i . m), where m = G^-1 (target - now), and G is
-   the tokens-weighted Gram matrix of the posteriors (one step is exact while no rate is
-   clipped). Distances between rates are weighted by tokens, so a
+   sum_i r_i * tokens_i * p_id, match the targets: least squares, with a pull of weight ``RIDGE`` towards
+   rate 1 that makes the solution unique, by projected gradient. The gradient of every document is p_i . (target - now), so
+   the sum m of all steps so far is one vector, and a step projects 1 + p_i . m onto the
+   nonnegative rates: r_i = max(0, 1 + p_i . m). Steps are scaled by the Gram matrix of the posteriors of documents
+   whose rate is not 0, and halved until the objective falls enough; about ten passes reach the optimum. What targets
+   can't be reached by soft membership is given as residual with the result. Distances between rates are weighted by tokens, so a
    rate depends on a document's posteriors, not on its length.
 
-Each round is one aggregation to D sums over the written (tokens, posteriors)
-table; the rates of a round are recomputed from the few step vectors, so no rate is
-ever collected or rewritten.
+A pass adds up D + D^2 + 1 sums over the written (tokens, posteriors) table, in
+tasks and then by Spark; rates are recomputed from m, so no rate is ever collected or rewritten. Tokens are words, or a column that the caller names.
 
 Edge cases: a null text has no tokens; it gets a rate, and no weight. A target
 domain that no label names is left out (the others share its weight); a domain
@@ -28,36 +29,36 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.shared import Scratch
 from tessera.llm.textkernel import column_bytes, release, slices, tidied, word_hashes, words
 
 SAMPLE_PER_DOMAIN = 3_000
-#: Domains at most; they are columns of the fit.
-MAX_DOMAINS = 64
+#: Buckets of whole words and of beginnings; halved until the weights of all domains are at most WEIGHTS numbers.
 BUCKETS = 1 << 17
+WEIGHTS = 1 << 24
 EPOCHS = 6
 BATCH = 128
 RATE = 0.1
 PENALTY = 1e-4
 SEED = 11
-ROUNDS = 40
-TOLERANCE = 1e-6
-#: The fit ends when a round takes less than this share off the residual (targets that soft membership can't reach).
-STALL = 0.02
+#: The fit ends when no domain's gradient is above this share of all tokens.
+TOLERANCE = 1e-7
+#: Weight of (rate - 1)^2 against the squared miss of the targets.
+RIDGE = 1e-4
 
 
-def presence(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def presence(data: np.ndarray, offsets: np.ndarray, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(words of each text, owner, bucket): hashed words and hashed four-byte word beginnings that occur, once each."""
     starts, ends, first = words(data, offsets)
     n_words = np.diff(first)
     owner = np.repeat(np.arange(len(n_words)), n_words)
-    whole = (word_hashes(data, starts, ends, lower=True) & np.uint64(BUCKETS - 1)).astype(np.int64)
-    front = (word_hashes(data, starts, np.minimum(ends, starts + 4), lower=True) & np.uint64(BUCKETS - 1)).astype(np.int64) + BUCKETS
-    key = np.unique(np.concatenate([owner, owner]) * (2 * BUCKETS) + np.concatenate([whole, front]))
-    return n_words, key // (2 * BUCKETS), key % (2 * BUCKETS)
+    whole = (word_hashes(data, starts, ends, lower=True) & np.uint64(buckets - 1)).astype(np.int64)
+    front = (word_hashes(data, starts, np.minimum(ends, starts + 4), lower=True) & np.uint64(buckets - 1)).astype(np.int64) + buckets
+    key = np.unique(np.concatenate([owner, owner]) * (2 * buckets) + np.concatenate([whole, front]))
+    return n_words, key // (2 * buckets), key % (2 * buckets)
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -71,22 +72,22 @@ class DomainClassifier:
     def __init__(self, key: str = "doc_id", text: str = "text", sample_per_domain: int = SAMPLE_PER_DOMAIN) -> None:
         self.key, self.text, self.sample_per_domain = key, text, sample_per_domain
         self.domains: list[str] = []
+        self.buckets = BUCKETS
         self.weights, self.bias = np.zeros((2 * BUCKETS, 0), np.float32), np.zeros(0)
 
     def fit(self, docs: DataFrame, labelled: DataFrame) -> DomainClassifier:
         """``labelled``: key, domain (text)."""
         rows = labelled.select(F.col(self.key).alias("k"), F.col("domain").cast("string").alias("d")).filter("k is not null and d is not null")
         clean = rows.groupBy("k").agg(F.min("d").alias("d"), F.max("d").alias("e")).filter("d = e").select("k", "d")
-        counts = {r["d"]: r["n"] for r in clean.groupBy("d").agg(F.count("*").alias("n")).limit(MAX_DOMAINS + 1).collect()}
-        if len(counts) > MAX_DOMAINS:
-            raise ValueError(f"more than {MAX_DOMAINS} domains")
+        counts = {r["d"]: r["n"] for r in clean.groupBy("d").agg(F.count("*").alias("n")).collect()}  # a row for each domain
         self.domains = sorted(counts)
         if not self.domains:
             return self
-        picked = None
-        for d in self.domains:
-            one = clean.filter(F.col("d") == d).orderBy(F.xxhash64("k"), "k").limit(self.sample_per_domain)
-            picked = one if picked is None else picked.unionByName(one)
+        while self.buckets > 1024 and 2 * self.buckets * len(self.domains) > WEIGHTS:
+            self.buckets //= 2
+        place = Window.partitionBy("d").orderBy(F.xxhash64("k"), "k")
+        picked = clean.withColumn("_n", F.row_number().over(place)).filter(F.col("_n") <= self.sample_per_domain).drop("_n")
+        buckets = self.buckets
         texts = docs.select(F.col(self.key).alias("k"), F.col(self.text).alias("t")).join(F.broadcast(picked), "k")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,7 +95,7 @@ class DomainClassifier:
                 data, offsets = column_bytes(batch.column(1))
                 for lo, hi in slices(offsets):
                     o = offsets[lo : hi + 1]
-                    _, owner, bucket = presence(data[o[0] : o[-1]], o - o[0])
+                    _, owner, bucket = presence(data[o[0] : o[-1]], o - o[0], buckets)
                     cut, bucket = np.searchsorted(owner, np.arange(hi - lo + 1)), bucket.astype(np.int32)
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array([bucket[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary())], ["k", "d", "bucket"])
 
@@ -112,7 +113,7 @@ class DomainClassifier:
 
     def _learn(self, parts: list[np.ndarray], y: np.ndarray, counts: np.ndarray) -> None:
         n, k = len(parts), len(self.domains)
-        w, b, g = np.zeros((2 * BUCKETS, k)), np.zeros(k), np.full((2 * BUCKETS, k), 1e-4)
+        w, b, g = np.zeros((2 * self.buckets, k)), np.zeros(k), np.full((2 * self.buckets, k), 1e-4)
         seen = np.bincount(y, minlength=k) if n else np.zeros(k)
         weight = n / (k * np.maximum(seen, 1))
         rng = np.random.default_rng(SEED)
@@ -137,7 +138,7 @@ class DomainClassifier:
     def members(self, docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         """``key``, the columns in ``keep``, n_words, and p (posteriors in the order of ``domains``)."""
         model = docs.sparkSession.sparkContext.broadcast((self.weights, self.bias))
-        k, n_keep = len(self.domains), 1 + len(keep)
+        k, n_keep, buckets = len(self.domains), 1 + len(keep), self.buckets
         at = 1 + keep.index(self.text) if self.text in keep else n_keep
         own = [] if self.text in keep else [F.col(self.text).alias("_text")]
         rows = docs.select(F.col(self.key), *[F.col(f"`{c}`") for c in keep], *own)
@@ -149,7 +150,7 @@ class DomainClassifier:
                 sizes, post = [np.zeros(0, np.int64)], [np.zeros((0, k))]
                 for lo, hi in slices(offsets):
                     o = offsets[lo : hi + 1]
-                    n_words, owner, bucket = presence(data[o[0] : o[-1]], o - o[0])
+                    n_words, owner, bucket = presence(data[o[0] : o[-1]], o - o[0], buckets)
                     z = np.stack([np.bincount(owner, w[bucket, d], minlength=hi - lo) for d in range(k)], axis=1) + b if k else np.zeros((hi - lo, 0))
                     sizes.append(n_words)
                     post.append(_softmax(z) if k else z)
@@ -161,48 +162,63 @@ class DomainClassifier:
         return rows.mapInArrow(tidied(run), ", ".join([*out, "n_words bigint", "p array<double>"]))
 
 
-def _rate(steps: list[np.ndarray]) -> Column:
-    """The rate after these steps, from the posteriors."""
-    r: Column = F.lit(1.0)
-    for m in steps:
-        r = F.greatest(F.lit(0.0), r + sum((F.col("p")[d] * F.lit(float(x)) for d, x in enumerate(m)), F.lit(0.0)))
-    return r
+def _rate(m: np.ndarray) -> Column:
+    """The rate, from the posteriors."""
+    dot = sum((F.col("p")[d] * F.lit(float(x)) for d, x in enumerate(m)), F.lit(0.0))
+    return F.greatest(F.lit(0.0), 1.0 + dot)
 
 
-def fit_rates(members: DataFrame, targets: np.ndarray, rounds: int = ROUNDS) -> tuple[list[np.ndarray], np.ndarray]:
-    """(steps, expected tokens of each domain reached). ``members``: a written table with n_words and p; ``targets``: tokens of each domain."""
+def _sums(members: DataFrame, m: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """(expected tokens of each domain, Gram matrix of documents whose rate is not 0, half the sum of tokens times squared rates)."""
+    k = len(m)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, gram, square = np.zeros(k), np.zeros((k, k)), 0.0
+        for batch in batches:
+            n = batch.column(0).to_numpy(zero_copy_only=False).astype(float)
+            p = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
+            r = np.maximum(0.0, 1.0 + p @ m)
+            total += (n * r) @ p
+            gram += (p * (n * (r > 0))[:, None]).T @ p
+            square += float(n @ (r * r)) / 2
+        values = np.concatenate([total, gram.ravel(), [square]])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values), dtype=np.int32)), pa.array(values)], ["at", "value"])
+
+    rows = members.select("n_words", "p").mapInArrow(run, "at int, value double").groupBy("at").agg(F.sum("value").alias("value")).toArrow()  # D + D^2 + 1 rows
+    values = np.zeros(k + k * k + 1)
+    values[rows["at"].to_numpy()] = rows["value"].to_numpy()
+    return values[:k], values[k:-1].reshape(k, k), float(values[-1])
+
+
+def fit_rates(members: DataFrame, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(m, expected tokens of each domain reached). ``members``: a written table with n_words and p; ``targets``: tokens of each domain."""
     k = len(targets)
-    p = [F.col("p")[d] for d in range(k)]
+    m = np.zeros(k)
     if k < 1:
-        return [], np.zeros(0)
-    row = members.agg(*[F.sum(F.col("n_words") * p[a] * p[b]).alias(f"g{a}_{b}") for a in range(k) for b in range(a, k)]).first()
-    gram = np.zeros((k, k))
-    for a in range(k):
-        for b in range(a, k):
-            gram[a, b] = gram[b, a] = row[f"g{a}_{b}"] or 0.0
-    back = np.linalg.pinv(gram, hermitian=True)
-    steps: list[np.ndarray] = []
-    now, before = np.zeros(k), np.inf
-    for _ in range(rounds):
-        r = _rate(steps)
-        got = members.agg(*[F.sum(F.col("n_words") * p[d] * r).alias(f"s{d}") for d in range(k)]).first()
-        now = np.array([got[f"s{d}"] or 0.0 for d in range(k)])
-        if np.abs(targets - now).max() <= TOLERANCE * max(1.0, float(targets.sum())):
-            break
-        left = float((targets - now) @ back @ (targets - now))
-        if left > before * (1 - STALL) ** 2:
-            break
-        before = left
-        steps.append(back @ (targets - now))
-    return steps, now
+        return m, m
+    now, some, square = _sums(members, m)
+    every = some
+    cost = lambda m, square: RIDGE / 2 * m @ every @ m + square - targets @ m
+    while True:
+        gradient = RIDGE * every @ m + now - targets
+        if np.abs(gradient).max() <= TOLERANCE * max(1.0, float(targets.sum())):
+            return m, now
+        step, share = -np.linalg.pinv(RIDGE * every + some, hermitian=True) @ gradient, 1.0
+        while True:
+            got = _sums(members, m + share * step)
+            if cost(m + share * step, got[2]) <= cost(m, square) + 1e-4 * share * gradient @ step:
+                break
+            share /= 2
+            if share < 1e-6:  # as near as doubles come
+                return m, now
+        m = m + share * step
+        now, some, square = got
 
 
 def target_tokens(members: DataFrame, domains: list[str], weights: dict[str, float], upsample: float | None = None) -> np.ndarray:
     """Tokens wanted of each domain. The total is the present one; with ``upsample``, so large that no wanted domain shrinks, times ``upsample``;
     domains that ``weights`` doesn't name then keep their tokens, besides that total."""
-    k = len(domains)
-    row = members.agg(*[F.sum(F.col("n_words") * F.col("p")[d]).alias(f"s{d}") for d in range(k)]).first() if k else {}
-    now = np.array([row[f"s{d}"] or 0.0 for d in range(k)])
+    now = _sums(members, np.zeros(len(domains)))[0] if domains else np.zeros(0)
     want = np.array([max(0.0, weights.get(d, 0.0)) for d in domains])
     if want.sum() <= 0:
         return now
@@ -211,19 +227,26 @@ def target_tokens(members: DataFrame, domains: list[str], weights: dict[str, flo
     return want * total if upsample is None else np.where([d in weights for d in domains], want * total, now)
 
 
-def mixing_rates(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], upsample: float | None = None, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """``key``, the columns in ``keep``, n_words, domain (likeliest), p and rate of every row."""
+def mixing_rates(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], upsample: float | None = None, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), tokens: str | None = None) -> DataFrame:
+    """``key``, the columns in ``keep``, n_words, domain (likeliest), p and rate of every row, and residual: the largest share of all tokens by
+    which a domain's expected tokens miss their target.
+
+    ``tokens`` names a column of token counts (for example those of ``token_counts``); without it words are counted.
+    """
     scratch = Scratch(docs.sparkSession, "mixing")
     classifier = DomainClassifier(key, text).fit(docs, labelled)
-    members = scratch.save(classifier.members(docs, keep), "members")
+    extra = (tokens,) if tokens and tokens not in keep else ()
+    members = scratch.save(classifier.members(docs, keep + extra), "members")
     k = len(classifier.domains)
-    steps: list[np.ndarray] = []
+    m, residual = np.zeros(k), 0.0
     if k >= 2:
-        facts = members.select("n_words", "p")
-        steps, _ = fit_rates(facts, target_tokens(facts, classifier.domains, weights, upsample))
+        facts = members.select(F.coalesce(F.col(f"`{tokens}`") if tokens else F.col("n_words"), F.lit(0)).alias("n_words"), "p")
+        wanted = target_tokens(facts, classifier.domains, weights, upsample)
+        m, reached = fit_rates(facts, wanted)
+        residual = float(np.abs(wanted - reached).max() / max(1.0, float(wanted.sum())))
     names = F.array(*[F.lit(d) for d in classifier.domains]).cast("array<string>")
     likeliest = F.element_at(names, F.array_position("p", F.array_max("p")).cast("int")) if k else F.lit(None).cast("string")
-    return members.select(key, *[F.col(f"`{c}`") for c in keep], "n_words", likeliest.alias("domain"), "p", _rate(steps).alias("rate"))
+    return members.select(key, *[F.col(f"`{c}`") for c in keep], "n_words", likeliest.alias("domain"), "p", _rate(m).alias("rate"), F.lit(residual).alias("residual"))
 
 
 def copies(rate: Column, key: Column) -> Column:
