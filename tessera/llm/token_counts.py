@@ -6,7 +6,7 @@ of frequent pre-tokens, broadcast once (at most ``TABLE_SIZE`` entries). Tier tw
 bounded cache in each Python worker, filled by encoding the misses. No
 pre-token is shuffled: the job is a single narrow stage.
 
-The table is filled from a bounded sample of texts (``SAMPLE_DOCS``, by hash of
+The table is filled from a bounded sample of texts (``SAMPLE_DOCS`` of at most 20,000 characters, by hash of
 the text's key). It only decides where a length is looked up; counts don't
 depend on it.
 
@@ -109,6 +109,17 @@ def unpack_table(packed: tuple[bytes, np.ndarray, np.ndarray]) -> dict[str, int]
     return out
 
 
+_kept: list = [None, None]
+
+
+def kept_counter(path: str, packed: tuple[bytes, np.ndarray, np.ndarray]) -> PreTokenCounter:
+    """The worker's counter for this file and table: its cache lives as long as the worker does."""
+    name = (path, hash(packed[0]), len(packed[1]))
+    if _kept[0] != name:
+        _kept[:] = [name, PreTokenCounter(path, unpack_table(packed))]
+    return _kept[1]
+
+
 def frequent_lengths(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> dict[str, int]:
     """Lengths of the most frequent pre-tokens in at most ``SAMPLE_DOCS`` texts of at most 20,000 characters (only the table's fill)."""
     n = docs.count()
@@ -133,7 +144,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, key: str = "doc_
     schema = f"`{key}` {kind.simpleString()}, n_bytes bigint, n_tokens bigint, over_limit boolean"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = PreTokenCounter(path, unpack_table(packed.value))
+        counter = kept_counter(path, packed.value)
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1)
             sizes = np.diff(column_bytes(texts)[1])
