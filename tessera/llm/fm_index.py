@@ -36,6 +36,14 @@ class WaveletMatrix:
             flag = b.astype(bool)
             self.zeros.append(self.n - int(flag.sum()))
             x = np.concatenate([x[~flag], x[flag]])
+        self.base = self._down(np.arange(sigma), np.zeros(sigma, np.int64))  # where each symbol's run begins below the last level
+
+    def _down(self, c: np.ndarray, at: np.ndarray) -> np.ndarray:
+        for k in range(self.levels):
+            one = (c >> (self.levels - 1 - k) & 1).astype(bool)
+            ones = self._ones(k, at)
+            at = np.where(one, self.zeros[k] + ones, at - ones)
+        return at
 
     def _ones(self, level: int, i: np.ndarray) -> np.ndarray:
         block, off = i >> 6, (i & 63).astype(np.uint64)
@@ -43,15 +51,10 @@ class WaveletMatrix:
         return self.ranks[level][block].astype(np.int64) + np.bitwise_count(self.bits[level][block] & below)
 
     def rank2(self, c: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(rank(c, lo), rank(c, hi)); the common start of c's run is followed alongside."""
-        both = np.concatenate([np.zeros_like(lo), lo, hi])
-        three = np.concatenate([c, c, c])
-        for k in range(self.levels):
-            one = (three >> (self.levels - 1 - k) & 1).astype(bool)
-            ones = self._ones(k, both)
-            both = np.where(one, self.zeros[k] + ones, both - ones)
-        m = len(c)
-        return both[m : 2 * m] - both[:m], both[2 * m :] - both[:m]
+        """(rank(c, lo), rank(c, hi))."""
+        both = self._down(np.concatenate([c, c]), np.concatenate([lo, hi]))
+        m, base = len(c), self.base[c]
+        return both[:m] - base, both[m:] - base
 
     def symbols(self, i: np.ndarray) -> np.ndarray:
         """The symbols at these places."""
@@ -64,7 +67,7 @@ class WaveletMatrix:
         return out
 
     def nbytes(self) -> int:
-        return sum(x.nbytes for x in (*self.bits, *self.ranks))
+        return sum(x.nbytes for x in (*self.bits, *self.ranks, self.base))
 
 
 class FMIndex:

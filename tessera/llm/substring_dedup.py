@@ -22,7 +22,7 @@ and each stretch of windows with one anchor (a segment) goes to one shard.
    backward search; only ranks that agree above that bit can match (the index's letters are pairs of that group and a word).
    So the indexed and the streamed texts are always different ones, every pair of keys meets
    exactly once, the indexed key is the smaller one, and a matching statistic of ``span`` words or more
-   is a repeated window. Segments that are found whole are not looked at for later bits.
+   is a repeated window. Bits share an index up to its size; segments that are found whole are not looked at for later ones.
 4. Intervals meet their texts by (key, SHA-256 of the text), and the kept words are joined.
 
 A shard's partition is cut into indexes of at most ``INDEX_WORDS`` words (or one anchor's
@@ -55,8 +55,9 @@ ANCHOR = 5
 BROADCAST_ANCHORS = 4_000_000
 #: Words of one FM-index.
 INDEX_WORDS = 400_000
-#: Windows of one segment.
+#: Windows of one segment, and of the pieces that a segment is streamed in.
 RUN = 256
+PIECE = 12
 #: Texts from which an anchor is hot.
 HOT = 1_000
 #: Hot windows that a task remembers; forgotten together when there are more.
@@ -248,6 +249,30 @@ def search_shard(ids: np.ndarray, begin: np.ndarray, shard: np.ndarray, key: np.
     owner = np.repeat(np.arange(n), size)
     alphabet = int(ids.max(initial=0)) + 1
     is_window = np.arange(len(ids)) - begin[owner] < windows[owner]
+    held: list[tuple[np.ndarray, ...]] = []  # letters and segments of an index; letters, places and piece sizes of what is streamed
+    words_held, base = 0, 0
+
+    def search() -> None:
+        nonlocal words_held, base
+        letters, numbers = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
+        index, size_ = np.concatenate([h[1] for h in held]), np.concatenate([size[h[1]] for h in held])
+        starts = np.cumsum(size_) - size_ + np.arange(len(index))  # one separator after each segment
+        sequence = np.zeros(len(numbers) + len(index), np.int64)
+        sequence[np.arange(len(numbers)) + np.repeat(np.arange(len(index)), size_)] = numbers + 1
+        fm = FMIndex(sequence, len(letters) + 1)
+        wanted, at = np.concatenate([h[2] for h in held]), np.concatenate([h[3] for h in held])
+        seek = np.minimum(np.searchsorted(letters, wanted), len(letters) - 1)
+        seek = np.where(letters[seek] == wanted, seek + 1, 0)
+        edges = np.concatenate([[0], np.cumsum(np.concatenate([h[4] for h in held]))])
+        length, row = fm.matching_statistics(seek, edges, span)
+        hit = np.flatnonzero(length >= span)
+        found[at[hit]] = True
+        if sources and len(hit):
+            position = fm.locate(row[hit])
+            np.minimum.at(source, at[hit], key[index[np.searchsorted(starts, position, side="right") - 1]])
+        held.clear()
+        words_held, base = 0, 0
+
     for bit in range(int(rank.max(initial=0)).bit_length() - 1, -1, -1):
         left = np.bincount(owner[is_window & ~found], minlength=n) > 0  # what is found whole is also held by a smaller key
         together = group << 32 | rank >> (bit + 1)
@@ -257,25 +282,30 @@ def search_shard(ids: np.ndarray, begin: np.ndarray, shard: np.ndarray, key: np.
         index, stream = np.flatnonzero(inside & ~upper), np.flatnonzero(inside & upper)
         if not len(stream):
             continue
-        letter = np.searchsorted(both, together[owner]) * alphabet + ids  # of words in ``inside`` segments
-        held, at = _words_of(begin, index), _words_of(begin, stream)
-        letters, numbers = np.unique(letter[held], return_inverse=True)
-        cuts = np.concatenate([[0], np.cumsum(size[index])])
-        sequence = np.zeros(len(held) + len(index), np.int64)
-        place = np.arange(len(held)) + np.repeat(np.arange(len(index)), size[index])  # one separator after each segment
-        sequence[place] = numbers + 1
-        fm = FMIndex(sequence, len(letters) + 1)
-        seek = np.minimum(np.searchsorted(letters, letter[at]), len(letters) - 1)
-        seek = np.where(letters[seek] == letter[at], seek + 1, 0)
-        length, row = fm.matching_statistics(seek, np.concatenate([[0], np.cumsum(size[stream])]), span)
-        hit = np.flatnonzero(length >= span)
-        found[at[hit]] = True
-        if sources and len(hit):
-            position = fm.locate(row[hit])
-            source[at[hit]] = np.minimum(source[at[hit]], key[index[np.searchsorted(cuts + np.arange(len(cuts)), position, side="right") - 1]])
+        letter = (base + np.searchsorted(both, together[owner])) * alphabet + ids  # of words in ``inside`` segments
+        at = _words_of(begin, index)
+        places, sizes = _pieces(begin, stream, span)
+        held.append((letter[at], index, letter[places], places, sizes))
+        base += len(both)
+        words_held += len(at)
+        if words_held > INDEX_WORDS:
+            search()
+    if held:
+        search()
     return found, source
 
 
+def _pieces(begin: np.ndarray, which: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """Word positions of pieces of at most ``PIECE`` windows of these segments, and the pieces' sizes."""
+    size = begin[which + 1] - begin[which]
+    n = np.maximum(1, -(-(size - span + 1) // PIECE))
+    first = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    start = np.repeat(begin[which], n) + first * PIECE
+    length = np.minimum(np.repeat(size, n) - first * PIECE, PIECE + span - 1)
+    ends = np.cumsum(length)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - length), length), length
+
+
 def _words_of(begin: np.ndarray, which: np.ndarray) -> np.ndarray:
     """Positions of all words of these segments."""
     size = begin[which + 1] - begin[which]
