@@ -36,6 +36,8 @@ from tessera.llm.shared import Scratch
 from tessera.llm.textkernel import column_bytes, release, slices, tidied, word_hashes, words
 
 SAMPLE_PER_DOMAIN = 3_000
+#: Domains up to which each is sampled by a query of its own.
+FEW = 64
 #: Buckets of whole words and of beginnings; halved until the weights of all domains are at most WEIGHTS numbers.
 BUCKETS = 1 << 17
 WEIGHTS = 1 << 24
@@ -85,8 +87,14 @@ class DomainClassifier:
             return self
         while self.buckets > 1024 and 2 * self.buckets * len(self.domains) > WEIGHTS:
             self.buckets //= 2
-        place = Window.partitionBy("d").orderBy(F.xxhash64("k"), "k")
-        picked = clean.withColumn("_n", F.row_number().over(place)).filter(F.col("_n") <= self.sample_per_domain).drop("_n")
+        picked = None
+        if len(self.domains) <= FEW:  # each domain's smallest hashes: no task gets a whole domain
+            for d in self.domains:
+                one = clean.filter(F.col("d") == d).orderBy(F.xxhash64("k"), "k").limit(self.sample_per_domain)
+                picked = one if picked is None else picked.unionByName(one)
+        else:
+            place = Window.partitionBy("d").orderBy(F.xxhash64("k"), "k")
+            picked = clean.withColumn("_n", F.row_number().over(place)).filter(F.col("_n") <= self.sample_per_domain).drop("_n")
         buckets = self.buckets
         texts = docs.select(F.col(self.key).alias("k"), F.col(self.text).alias("t")).join(F.broadcast(picked), "k")
 
