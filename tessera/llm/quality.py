@@ -275,5 +275,5 @@ class QualityClassifier:
 
 
 def held_out(key: Column) -> Column:
-    """True where crc32(key as text) mod 5 is 0: those labels are never learned from."""
-    return F.crc32(key.cast("string").cast("binary")) % 5 == 0
+    """True where crc32(key as text) mod 5 is 0: those labels are never learned from. A null key is not held out (and has no label)."""
+    return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 5 == 0, F.lit(False))
