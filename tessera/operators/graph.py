@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.components import connected_components
@@ -110,10 +110,12 @@ class Graph:
 
     def renumbered(self) -> Graph:
         """Vertex ids 0..n-1 in the order of the old ids, with an equi-join for each end. Numbers come from a range sort: one count per partition, no single task."""
-        s = self.vertices.sparkSession
-        schema = f"vid {self.vertices.schema['vid'].dataType.simpleString()}, new bigint"
-        ids = self.vertices.select("vid").orderBy("vid").rdd.map(lambda r: r[0]).zipWithIndex()
-        new = s.createDataFrame(ids, schema)
+        scratch = Scratch(self.vertices.sparkSession, "renumbered")
+        at = self.vertices.select("vid").repartitionByRange("vid").sortWithinPartitions("vid").withColumn("_id", F.monotonically_increasing_id())
+        ids = scratch.save(at.select("vid", F.shiftright("_id", 33).alias("_part"), F.col("_id").bitwiseAND((1 << 33) - 1).alias("_row")), "ids")
+        counts = ids.groupBy("_part").agg(F.count("*").alias("_n"))  # one row for each partition
+        begin = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_begin"))
+        new = ids.join(F.broadcast(begin), "_part").select("vid", (F.col("_begin") + F.col("_row")).alias("new"))
         e = self.edges
         for end in ("src", "dst"):
             e = e.join(new.select(F.col("vid").alias(end), F.col("new").alias(f"_{end}")), end).drop(end).withColumnRenamed(f"_{end}", end)
@@ -192,13 +194,17 @@ class Graph:
     def vertex_close(self, label: str, steps: int = 1) -> DataFrame:
         return self._with(self.vertex_dilate(label, steps), label).vertex_erode(label, steps)
 
+    def _numbered_edges(self, scratch: Scratch) -> DataFrame:
+        """Edges with a number ``eid``; written, so that the numbers stay."""
+        return scratch.save(self.edges.drop("eid").withColumn("eid", F.monotonically_increasing_id()), "edges")
+
     def edge_graph(self) -> Graph:
-        """The line graph: a vertex per edge (vid: a hash of its ends), joined where edges share a vertex.
+        """The line graph: a vertex per edge (vid: a number of its own, so parallel edges stay apart), joined where edges share a vertex.
 
         A hub of degree d would give d^2 / 2 pairs; each vertex's edges are joined to the first of them only (a
         star), which has the same components and the same reach through the vertex in two steps.
         """
-        e = self.edges.withColumn("eid", F.xxhash64("src", "dst"))
+        e = self._numbered_edges(Scratch(self.edges.sparkSession, "edge-graph"))
         ends = e.select(F.col("src").alias("vid"), "eid").unionByName(e.select(F.col("dst").alias("vid"), "eid")).distinct()
         first = ends.groupBy("vid").agg(F.min("eid").alias("hub"))
         links = ends.join(first, "vid").filter("eid <> hub").select(F.col("hub").alias("src"), F.col("eid").alias("dst")).distinct()
@@ -289,6 +295,63 @@ class Graph:
         n = F.greatest(F.ceil(F.col(length) / step), F.lit(1)).cast("int")
         return self.edges.select("src", "dst", F.explode(F.sequence(F.lit(0), n - 1)).alias("part"), (F.col(length) / n).alias("length"))
 
+    def expand_vertex_filter(self, label: str, steps: int = 1) -> DataFrame:
+        """vid of vertices with a true label, and of those within ``steps`` edges of one."""
+        return self.vertex_dilate(label, steps).filter(F.col(label)).select("vid")
+
+    def transform_properties(self, matrix, offset) -> Graph:
+        """Coordinates of vertices, and of edge polylines, moved by an affine map."""
+        move = lambda get: [sum((float(matrix[i][j]) * get(c) for j, c in enumerate(COORDINATES)), F.lit(float(offset[i]))) for i in range(3)]
+        v = self.vertices.withColumns(dict(zip(COORDINATES, move(F.col))))
+        e = self.edges
+        if "geometry" in e.columns:
+            e = e.withColumn("geometry", F.transform("geometry", lambda p: p.withField("x", move(lambda c: p[c])[0]).withField("y", move(lambda c: p[c])[1]).withField("z", move(lambda c: p[c])[2])))
+        return Graph(v, e)
+
+    def scale(self, factors) -> Graph:
+        return self.transform_properties([[factors[i] if i == j else 0.0 for j in range(3)] for i in range(3)], (0.0, 0.0, 0.0))
+
+    def sample_vertices(self, vox: DataFrame, name: str, default=None) -> Graph:
+        """Vertices with ``name``: the value of the voxel (x, y, z, v) they lie in; ``default`` outside."""
+        at = vox.select(*[F.col(c).cast("int").alias(f"_{c}") for c in COORDINATES], F.col("v").alias(name))
+        v = self.vertices.drop(name).withColumns({f"_{c}": F.round(c).cast("int") for c in COORDINATES}).join(at, [f"_{c}" for c in COORDINATES], "left").drop(*[f"_{c}" for c in COORDINATES])
+        return Graph(v if default is None else v.fillna({name: default}), self.edges)
+
+    def edge_mean_of_vertices(self, name: str, to: str) -> Graph:
+        """Edges with ``to``: the mean of their ends' values."""
+        at = lambda end: self.vertices.select(F.col("vid").alias(end), F.col(name).cast("double").alias(f"_{end}"))
+        e = self.edges.drop(to).join(at("src"), "src").join(at("dst"), "dst").withColumn(to, (F.col("_src") + F.col("_dst")) / 2).drop("_src", "_dst")
+        return Graph(self.vertices, e)
+
+    def small_components(self, least_edges: int) -> DataFrame:
+        """vid of vertices whose component has fewer than ``least_edges`` edges."""
+        labels = self.label_components()
+        sizes = self.edges.join(labels.select(F.col("vid").alias("src"), "component"), "src").groupBy("component").agg(F.count("*").alias("n"))
+        big = sizes.filter(F.col("n") >= least_edges).select("component")
+        return labels.join(big, "component", "left_anti").select("vid")
+
+    def structure_sub_graph(self, structures: DataFrame, annotation: str = "annotation") -> Graph:
+        """The part of the graph whose vertices are annotated with one of the structures (id), for example all descendants of one."""
+        inside = self.vertices.join(structures.select(F.col("id").alias(annotation)).distinct(), annotation, "left_semi")
+        e = self.edges
+        for end in ("src", "dst"):
+            e = e.join(inside.select(F.col("vid").alias(end)), end, "left_semi")
+        return Graph(inside, e)
+
+    def expand(self, length: str = "length", step: float = 1.0) -> Graph:
+        """Every edge as a chain of ceil(length / step) equal edges over new vertices (negative vids), on the straight line between its ends."""
+        scratch = Scratch(self.edges.sparkSession, "expand")
+        e = self._numbered_edges(scratch).withColumn("_n", F.greatest(F.ceil(F.col(length) / step), F.lit(1)).cast("int"))
+        most = F.lit(int(e.agg(F.max("_n")).first()[0] or 1))
+        vid = lambda i: -(F.col("eid") * most + i) - 1
+        at = lambda end: self.vertices.select(F.col("vid").alias(end), *[F.col(c).alias(f"_{end}_{c}") for c in COORDINATES])
+        inner = e.filter("_n > 1").join(at("src"), "src").join(at("dst"), "dst").withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n") - 1)))
+        new = inner.select(vid(F.col("_i")).alias("vid"), *[(F.col(f"_src_{c}") + (F.col(f"_dst_{c}") - F.col(f"_src_{c}")) * F.col("_i") / F.col("_n")).alias(c) for c in COORDINATES])
+        parts = e.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n"))))
+        a, b = F.when(F.col("_i") == 1, F.col("src")).otherwise(vid(F.col("_i") - 1)), F.when(F.col("_i") == F.col("_n"), F.col("dst")).otherwise(vid(F.col("_i")))
+        rest = [c for c in self.edges.columns if c not in ("src", "dst", "eid", length)]
+        return Graph(self.vertices.unionByName(new, allowMissingColumns=True), parts.select(a.alias("src"), b.alias("dst"), (F.col(length) / F.col("_n")).alias(length), *rest))
+
     # cleaning and reduction
     def clean(self, coordinates: tuple[str, ...] = COORDINATES, radius: str = "radius") -> Graph:
         """Connected groups of vertices of degree >= 3 become one vertex (mean coordinates, largest radius, smallest vid);
@@ -318,7 +381,7 @@ class Graph:
         """
         scratch = Scratch(self.edges.sparkSession, "reduce")
         degree = scratch.save(self.vertex_degrees(), "degree")
-        e = scratch.save(self.edges.withColumn("eid", F.xxhash64("src", "dst", length)), "edges")
+        e = self._numbered_edges(scratch)
         ends = e.select(F.col("src").alias("vid"), "eid").unionByName(e.select(F.col("dst").alias("vid"), "eid"))
         pass_through = ends.join(degree.filter("degree = 2").select("vid"), "vid", "left_semi")
         links = pass_through.groupBy("vid").agg(F.min("eid").alias("a"), F.max("eid").alias("b"))
@@ -333,12 +396,19 @@ class Graph:
 
 
 def graph_from_skeleton(vox: DataFrame) -> Graph:
-    """Vertices: foreground voxels (vid: position packed in 21 bits an axis). Edges: the 13 orientations of the
-    26-neighbourhood, each an equi-join on exact positions, as one exploded join."""
-    pack = lambda x, y, z: (x.cast("long") * (1 << 42)) + (y.cast("long") * (1 << 21)) + z.cast("long")
-    v = vox.filter("v > 0").select(pack(F.col("x"), F.col("y"), F.col("z")).alias("vid"), "x", "y", "z")
+    """Vertices: foreground voxels. Edges: the 13 orientations of the 26-neighbourhood, each an equi-join on exact
+    positions, as one exploded join. Without a column vol_id there is one volume, and vid is the position packed in 21 bits an axis;
+    with it volumes stay apart, vertices carry vol_id, and vid is a number."""
     half = [(dx, dy, dz) for dx in (-1, 0, 1) for dy in (-1, 0, 1) for dz in (-1, 0, 1) if (dx, dy, dz) > (0, 0, 0)]
     offsets = F.array(*[F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy"), F.lit(c).alias("dz")) for a, b, c in half])
+    if "vol_id" in vox.columns:
+        at = ["vol_id", *COORDINATES]
+        v = vox.filter("v > 0").select("vol_id", *[F.col(c).cast("int").alias(c) for c in COORDINATES]).distinct().withColumn("vid", F.monotonically_increasing_id())
+        v = Scratch(vox.sparkSession, "skeleton").save(v, "voxels")
+        near = v.select(F.col("vid").alias("src"), *at, F.explode(offsets).alias("o")).select("src", "vol_id", *[(F.col(c) + F.col(f"o.d{c}")).alias(c) for c in COORDINATES])
+        return Graph(v.select("vid", *at), near.join(v.withColumnRenamed("vid", "dst"), at).select("src", "dst"))
+    pack = lambda x, y, z: (x.cast("long") * (1 << 42)) + (y.cast("long") * (1 << 21)) + z.cast("long")
+    v = vox.filter("v > 0").select(pack(F.col("x"), F.col("y"), F.col("z")).alias("vid"), "x", "y", "z")
     near = v.select(F.col("vid").alias("src"), "x", "y", "z", F.explode(offsets).alias("o")).select("src", pack(F.col("x") + F.col("o.dx"), F.col("y") + F.col("o.dy"), F.col("z") + F.col("o.dz")).alias("dst"))
     return Graph(v, near.join(v.select(F.col("vid").alias("dst")), "dst", "left_semi").select("src", "dst"))
 

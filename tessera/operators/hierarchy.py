@@ -8,11 +8,11 @@ lookups are equi-joins that Spark broadcasts while the tree is small.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_DEPTH = 64
-
 
 def with_paths(tree: DataFrame) -> DataFrame:
     """tree with level (root 0), path (ids from the root to the label) and preorder (0 for the root; siblings by id).
@@ -21,7 +21,7 @@ def with_paths(tree: DataFrame) -> DataFrame:
     """
     level = tree.filter("parent_id is null").withColumn("level", F.lit(0)).withColumn("path", F.array("id"))
     out = level
-    for i in range(1, MAX_DEPTH):
+    for i in count(1):  # ends at the deepest level: a cycle can't be reached from a root
         above = level.select(F.col("id").alias("_p"), F.col("path").alias("_path"))
         level = tree.join(above, tree.parent_id == above["_p"]).withColumn("level", F.lit(i)).withColumn("path", F.concat("_path", F.array("id"))).drop("_p", "_path")
         if not level.take(1):

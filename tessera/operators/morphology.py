@@ -22,7 +22,6 @@ from tessera.plans.blocks import BLOCK, Shape, box, gather, map_blocks
 from tessera.plans.scratch import Scratch
 
 AXES = ("x", "y", "z")
-#: Coordinates are packed 20 bits each, and 3 bits less than that are left for the volume number modulo 8.
 FACES = [(1, 0, 0), (0, 1, 0), (0, 0, 1)]
 HALF = [d for d in product((-1, 0, 1), repeat=3) if d > (0, 0, 0)]
 
@@ -30,13 +29,13 @@ HALF = [d for d in product((-1, 0, 1), repeat=3) if d > (0, 0, 0)]
 def label_voxels(mask: DataFrame, faces_only: bool = True) -> DataFrame:
     """vol_id, x, y, z, label (one number per connected component) of the listed voxels."""
     scratch = Scratch(mask.sparkSession, "voxels")
-    key = lambda v, x, y, z: F.xxhash64(v, x, y, z)
-    m = scratch.save(mask.select("vol_id", *[F.col(a).cast("int").alias(a) for a in AXES]).distinct(), "mask")
+    at = ["vol_id", *AXES]
+    m = scratch.save(mask.select("vol_id", *[F.col(a).cast("int").alias(a) for a in AXES]).distinct().withColumn("node", F.monotonically_increasing_id()), "mask")
     steps = F.array(*[F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy"), F.lit(c).alias("dz")) for a, b, c in (FACES if faces_only else HALF)])
-    near = m.withColumn("o", F.explode(steps)).select("vol_id", (F.col("x") + F.col("o.dx")).alias("x"), (F.col("y") + F.col("o.dy")).alias("y"), (F.col("z") + F.col("o.dz")).alias("z"), key(F.col("vol_id"), F.col("x"), F.col("y"), F.col("z")).alias("a"))
-    links = near.join(m, ["vol_id", *AXES]).select("a", key(F.col("vol_id"), F.col("x"), F.col("y"), F.col("z")).alias("b"))
+    near = m.withColumn("o", F.explode(steps)).select("vol_id", *[(F.col(a) + F.col(f"o.d{a}")).alias(a) for a in AXES], F.col("node").alias("a"))
+    links = near.join(m.withColumnRenamed("node", "b"), at).select("a", "b")
     found = connected_components(links, scratch)
-    return m.withColumn("node", key(*[F.col(c) for c in ("vol_id", *AXES)])).join(found, "node", "left").select("vol_id", *AXES, F.coalesce("component", "node").alias("label"))
+    return m.join(found, "node", "left").select(*at, F.coalesce("component", "node").alias("label"))
 
 
 def fill_holes(vox: DataFrame) -> DataFrame:
@@ -82,20 +81,19 @@ def reconstruct(vox: DataFrame, method: str = "dilation", offsets: np.ndarray |
             new = np.where(stored, np.minimum(np.where(s, v, -np.inf).max(-1), mask), -np.inf)
             new = np.maximum(new, seed)
             if np.array_equal(new, seed):
-                return {"v": np.where(stored, seed * sign, 0.0), "mask": values[..., 1]}
+                return {"v": np.where(stored, seed * sign, 0.0), "mask": values[..., 1], "changed": (stored & (seed * sign != values[..., 0])).astype(np.int64)}
             seed = new
 
     scratch = Scratch(vox.sparkSession, "reconstruct")
     now = scratch.save(vox.select("vol_id", *AXES, F.col("seed").cast("double").alias("v"), F.col("mask").cast("double").alias("mask")), "0")
     halo = tuple(int(a) for a in np.abs(offs).max(0))
-    before, i = None, 0
+    i = 0
     while True:
         i += 1
-        now = scratch.save(map_blocks(now, kernel, {"v": "double", "mask": "double"}, block, halo, "float64", ("mask",)), str(i))
-        total = now.agg(F.sum("v"), F.count("*")).first()
-        if total == before:
+        now = scratch.save(map_blocks(now, kernel, {"v": "double", "mask": "double", "changed": "bigint"}, block, halo, "float64", ("mask",)), str(i))
+        scratch.drop(str(i - 1))
+        if not now.filter("changed = 1").limit(1).count():
             return now.select("vol_id", *AXES, "v")
-        before = total
 
 
 def h_max(vox: DataFrame, h: float, block: Shape = BLOCK) -> DataFrame:

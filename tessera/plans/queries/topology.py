@@ -116,7 +116,9 @@ def _equalize(spark, sf_dir):
     return M.equalize_local(fx.vox(spark, sf_dir), 0.5, 0.95, 1.5, (2, 2, 2), (2, 2, 2))
 
 
-@register("threshold_isodata")
+@register("threshold_isodata", f"""WITH {fx.VOX_SQL}, h AS (SELECT vol_id, v, count(*) AS n FROM vox GROUP BY ALL),
+c AS (SELECT vol_id, v, lead(v) OVER w AS nxt, CAST(sum(n) OVER w AS DOUBLE) AS c, CAST(sum(n * v) OVER w AS DOUBLE) AS s, sum(n) OVER (PARTITION BY vol_id) AS tc, sum(n * v) OVER (PARTITION BY vol_id) AS ts FROM h WINDOW w AS (PARTITION BY vol_id ORDER BY v))
+SELECT vol_id, CAST(coalesce(max(v) FILTER (c < tc AND (s / c + (ts - s) / nullif(tc - c, 0)) / 2 >= v AND (s / c + (ts - s) / nullif(tc - c, 0)) / 2 < nxt), 1) AS DOUBLE) AS level FROM c GROUP BY vol_id""")
 def _isodata(spark, sf_dir):
     return M.threshold_isodata(fx.vox(spark, sf_dir))
 
