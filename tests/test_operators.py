@@ -179,7 +179,7 @@ def test_tags():
     found = tags.detect(["t_01_x.tif", "t_02_x.tif", "t_13_x.tif"], ["Z"])
     assert found.text == "t_<Z,I,2>_x.tif"
     w = tags.Workspace("/data/s1", "s1")
-    assert w.filename("raw", {"X": 1, "Y": 2}) == "/data/s1/raw/s1_raw_01_02.npy"
+    assert w.filename("raw", {"X": 1, "Y": 2}) == "/data/s1/Raw/s1_raw_01_02.npy"
 
 
 def test_parameters():
