@@ -35,6 +35,8 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 KEEP_FROM = 0.3
 #: The wanted total is so much above the least one at which no wanted domain shrinks.
 UPSAMPLE = 1.15
+#: Pull of rates towards 1: with less, clean documents that the classifier gives a few percent of toxic would leave too.
+RIDGE = 0.01
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,7 +66,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = plain(docs, *COLUMNS)
     labels = plain(table(spark, sf_dir, "labels"), "doc_id", "toxic")
-    rated = mixing_rates(docs, mix_labels(docs, labels), MIX, UPSAMPLE, keep=COLUMNS[1:])
+    rated = mixing_rates(docs, mix_labels(docs, labels), MIX, UPSAMPLE, keep=COLUMNS[1:], ridge=RIDGE)
     times = rated.withColumn("times", copies(F.col("rate"), F.coalesce("doc_id", F.lit(-1)))).filter("times > 0")
     return times.withColumn("copy", F.explode(F.sequence(F.lit(1), "times"))).select(*COLUMNS)
 

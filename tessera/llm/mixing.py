@@ -48,7 +48,7 @@ PENALTY = 1e-4
 SEED = 11
 #: The fit ends when no domain's gradient is above this share of all tokens.
 TOLERANCE = 1e-7
-#: Weight of (rate - 1)^2 against the squared miss of the targets.
+#: Weight of (rate - 1)^2 against the squared miss of the targets. More of it spares documents that only may belong to an unwanted domain.
 RIDGE = 1e-4
 
 
@@ -198,7 +198,7 @@ def _sums(members: DataFrame, m: np.ndarray) -> tuple[np.ndarray, np.ndarray, fl
     return values[:k], values[k:-1].reshape(k, k), float(values[-1])
 
 
-def fit_rates(members: DataFrame, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def fit_rates(members: DataFrame, targets: np.ndarray, ridge: float = RIDGE) -> tuple[np.ndarray, np.ndarray]:
     """(m, expected tokens of each domain reached). ``members``: a written table with n_words and p; ``targets``: tokens of each domain."""
     k = len(targets)
     m = np.zeros(k)
@@ -206,12 +206,12 @@ def fit_rates(members: DataFrame, targets: np.ndarray) -> tuple[np.ndarray, np.n
         return m, m
     now, some, square = _sums(members, m)
     every = some
-    cost = lambda m, square: RIDGE / 2 * m @ every @ m + square - targets @ m
+    cost = lambda m, square: ridge / 2 * m @ every @ m + square - targets @ m
     while True:
-        gradient = RIDGE * every @ m + now - targets
+        gradient = ridge * every @ m + now - targets
         if np.abs(gradient).max() <= TOLERANCE * max(1.0, float(targets.sum())):
             return m, now
-        step, share = -np.linalg.pinv(RIDGE * every + some, hermitian=True) @ gradient, 1.0
+        step, share = -np.linalg.pinv(ridge * every + some, hermitian=True) @ gradient, 1.0
         while True:
             got = _sums(members, m + share * step)
             if cost(m + share * step, got[2]) <= cost(m, square) + 1e-4 * share * gradient @ step:
@@ -235,7 +235,7 @@ def target_tokens(members: DataFrame, domains: list[str], weights: dict[str, flo
     return want * total if upsample is None else np.where([d in weights for d in domains], want * total, now)
 
 
-def mixing_rates(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], upsample: float | None = None, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), tokens: str | None = None) -> DataFrame:
+def mixing_rates(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], upsample: float | None = None, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), tokens: str | None = None, ridge: float = RIDGE) -> DataFrame:
     """``key``, the columns in ``keep``, n_words, domain (likeliest), p and rate of every row, and residual: the largest share of all tokens by
     which a domain's expected tokens miss their target.
 
@@ -250,7 +250,7 @@ def mixing_rates(docs: DataFrame, labelled: DataFrame, weights: dict[str, float]
     if k >= 2:
         facts = members.select(F.coalesce(F.col(f"`{tokens}`") if tokens else F.col("n_words"), F.lit(0)).alias("n_words"), "p")
         wanted = target_tokens(facts, classifier.domains, weights, upsample)
-        m, reached = fit_rates(facts, wanted)
+        m, reached = fit_rates(facts, wanted, ridge)
         residual = float(np.abs(wanted - reached).max() / max(1.0, float(wanted.sum())))
     names = F.array(*[F.lit(d) for d in classifier.domains]).cast("array<string>")
     likeliest = F.element_at(names, F.array_position("p", F.array_max("p")).cast("int")) if k else F.lit(None).cast("string")
