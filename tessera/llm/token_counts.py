@@ -4,11 +4,12 @@ A tokenizer with a byte-level pre-tokenizer never merges across pre-tokens, so a
 text's count is the sum of its pre-tokens' lengths. Tier one is a compact table
 of frequent pre-tokens, broadcast once (at most ``TABLE_SIZE`` entries). Tier two is a
 bounded cache in each Python worker, filled by encoding the misses. No
-pre-token is shuffled: the job is a single narrow stage.
+pre-token is shuffled: counting is a single narrow stage.
 
-The table is filled from a bounded sample of texts (``SAMPLE_DOCS`` of at most 20,000 characters, by hash of
-the text's key). It only decides where a length is looked up; counts don't
-depend on it.
+The table is filled from a first pass over all whole texts. Each task keeps a mergeable
+summary of frequent pre-tokens (at most ``SUMMARY_SIZE`` entries, lower-bound counts) and hands on its
+``HANDED_ON`` most frequent ones; only those rows meet. The table decides where a length
+is looked up; counts don't depend on it.
 
 Edge cases: a null text counts as an empty one (0 tokens). Special strings in a
 text are one token each, as the tokenizer's default is. Repeated rows give
@@ -33,8 +34,11 @@ from tessera.llm.textkernel import column_bytes, tidied
 
 #: Entries of the broadcast table; about 1 MB.
 TABLE_SIZE = 65_536
-#: Texts that the table is filled from.
-SAMPLE_DOCS = 2_000
+#: Entries of a task's summary of frequent pre-tokens, and rows that it hands on.
+SUMMARY_SIZE = 65_536
+HANDED_ON = 8_192
+#: Longer pre-tokens (in characters) are not kept in tables or caches.
+LONGEST = 64
 #: Entries of a worker's cache; it is emptied when full.
 CACHE_SIZE = 400_000
 
@@ -89,7 +93,7 @@ class PreTokenCounter:
             if len(cache) + len(new) > CACHE_SIZE:
                 cache.clear()
             fresh = dict(zip(new, lengths))
-            cache.update((k, v) for k, v in fresh.items() if len(k) <= 64)
+            cache.update((k, v) for k, v in fresh.items() if len(k) <= LONGEST)
             total += sum(fresh[p] for p in missed)
         return total
 
@@ -120,16 +124,52 @@ def kept_counter(path: str, packed: tuple[bytes, np.ndarray, np.ndarray]) -> Pre
     return _kept[1]
 
 
-def frequent_lengths(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> dict[str, int]:
-    """Lengths of the most frequent pre-tokens in at most ``SAMPLE_DOCS`` texts of at most 20,000 characters (only the table's fill)."""
-    n = docs.count()
-    share = max(1, n // SAMPLE_DOCS)
-    rows = docs.filter((F.pmod(F.xxhash64(F.col(key)), F.lit(share)) == 0) & (F.length(text) <= 20_000)).select(text).limit(SAMPLE_DOCS).toArrow()
-    counter, seen = PreTokenCounter(path, {}), Counter()
-    for t in rows.column(0).to_pylist():
-        seen.update(counter.pre_tokens(t))
-    top = [k for k, _ in seen.most_common(TABLE_SIZE) if len(k) <= 64]
-    return dict(zip(top, (len(e.ids) for e in counter.tokenizer.encode_batch(top, add_special_tokens=False))))
+class FrequentPieces:
+    """A mergeable summary of frequent pre-tokens: bounded, counts are lower bounds."""
+
+    def __init__(self, counter: PreTokenCounter, size: int = SUMMARY_SIZE) -> None:
+        self.counter, self.size = counter, size
+        self.counts: Counter[str] = Counter()
+
+    def add(self, texts: Iterator[str]) -> None:
+        """Words are counted first, since a space begins a pre-token (but for runs of white space); then each distinct word is cut once."""
+        words: Counter[str] = Counter()
+        for text in texts:
+            first, *rest = text.split(" ")
+            words.update([first])
+            words.update([f" {w}" for w in rest])
+        for word, n in words.items():
+            for piece in self.counter.pre_tokens(word):
+                if len(piece) <= LONGEST:
+                    self.counts[piece] += n
+            if len(self.counts) >= 2 * self.size:
+                self._thin()
+        self._thin()
+
+    def _thin(self) -> None:
+        """Keep ``size`` entries: the largest count that must go is taken from all."""
+        if len(self.counts) > self.size:
+            cut = sorted(self.counts.values(), reverse=True)[self.size]
+            self.counts = Counter({k: n - cut for k, n in self.counts.items() if n > cut})
+
+    def top(self, n: int) -> list[tuple[str, int]]:
+        return sorted(self.counts.items(), key=lambda e: (-e[1], e[0]))[:n]
+
+
+def frequent_lengths(docs: DataFrame, path: str, text: str = "text") -> dict[str, int]:
+    """Lengths of the most frequent pre-tokens of all texts, by their summaries; at most ``TABLE_SIZE``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        summary = FrequentPieces(kept_counter(path, pack_table({})))
+        for batch in batches:
+            summary.add(t for x in batch.column(0) if (t := x.as_py()))
+        top = summary.top(HANDED_ON)
+        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["piece", "n"])
+
+    summed = docs.select(text).mapInArrow(tidied(run), "piece string, n bigint").groupBy("piece").agg(F.sum("n").alias("n"))
+    top = summed.orderBy(F.desc("n"), "piece").limit(TABLE_SIZE).toArrow().column("piece").to_pylist()
+    tokenizer = PreTokenCounter(path, {}).tokenizer
+    return dict(zip(top, (len(e.ids) for e in tokenizer.encode_batch(top, add_special_tokens=False))))
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 1024, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -139,7 +179,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, key: str = "doc_
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(key), F.col(text))
-    packed = spark.sparkContext.broadcast(pack_table(frequent_lengths(docs, path, key, text)))
+    packed = spark.sparkContext.broadcast(pack_table(frequent_lengths(docs, path, text)))
     kind = docs.schema[key].dataType
     schema = f"`{key}` {kind.simpleString()}, n_bytes bigint, n_tokens bigint, over_limit boolean"
 

@@ -1,5 +1,6 @@
 """The corpus operators against SQL, brute force, libraries and round trips; edge cases of each."""
 
+import collections
 import hashlib
 import math
 import random
@@ -439,6 +440,29 @@ def test_token_counts_as_the_library(spark, odd, none):
     assert token_counts.token_counts(none, path).count() == 0
 
 
+def test_frequent_pre_tokens_cover_all_texts(spark, none):
+    """The table is filled from every whole text, long ones and those without a key included; a small summary keeps lower bounds."""
+    import public_tokenizers
+
+    path = public_tokenizers.path(queries.TOKENIZER)
+    counter = token_counts.PreTokenCounter(path, {})
+    texts = ["aa bb, cc\ndd it's"] * 40 + ["Zz" + " yy" * 30_000 + " " + "x" * 500] + ["日本 語"] * 3 + ["ee"]
+    want = collections.Counter(p for t in texts for p in counter.pre_tokens(t))
+    summary = token_counts.FrequentPieces(counter)
+    summary.add(iter(texts))
+    assert dict(summary.counts) == {p: n for p, n in want.items() if len(p) <= token_counts.LONGEST}
+    small = token_counts.FrequentPieces(counter, 4)
+    for t in texts:
+        small.add(iter([t]))
+    assert len(small.counts) <= 4 and all(n <= want[p] for p, n in small.counts.items())
+    assert small.counts[" yy"] >= want[" yy"] - sum(want.values()) / 5
+    docs = spark.createDataFrame([(None if i % 2 else i, t) for i, t in enumerate(texts)] + [(900, None), (901, "")], "doc_id bigint, text string").repartition(3)
+    got = token_counts.frequent_lengths(docs, path)
+    assert set(got) == set(summary.counts)
+    assert all(got[p] == len(counter.tokenizer.encode(p, add_special_tokens=False).ids) for p in got)
+    assert token_counts.frequent_lengths(none, path) == {}
+
+
 # 8 Jaccard
 def _components(sets, percent=75):
     ids = list(sets)
