@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.plans.scratch import Scratch
+
 
 def _log_gamma(x: np.ndarray) -> np.ndarray:
     return np.array([math.lgamma(a) for a in np.atleast_1d(x)])
@@ -85,18 +87,49 @@ def t_test(df: DataFrame, keys: list[str], group: str, value: str, first, second
     return out.select(*keys, "m1", "m2", F.sqrt("v1").alias("sd1"), F.sqrt("v2").alias("sd2"), "t", "p", *(["p_sign"] if signed else []))
 
 
+#: Ranges that a single family of p-values is cut into.
+RANGES = 256
+
+
 def correct_p_values(df: DataFrame, p: str = "p", method: str = "BH", keys: list[str] | None = None) -> DataFrame:
-    """df with q: Benjamini-Hochberg or Bonferroni within ``keys`` (one family of tests by default; a family is one window)."""
-    keys = keys or []
+    """df with q: Benjamini-Hochberg or Bonferroni within ``keys``. A null p has a null q and is not counted.
+
+    Without keys all rows are one family of any size: see ``_correct_one_family``. With keys a family is one window.
+    """
+    if method not in ("BH", "Bonferroni"):
+        raise ValueError(f"unknown method {method}")
+    if not keys:
+        return _correct_one_family(df, p, method)
     n = F.count(p).over(Window.partitionBy(*keys))
     if method == "Bonferroni":
-        return df.withColumn("q", F.least(F.col(p) * n, F.lit(1.0)))
-    if method != "BH":
-        raise ValueError(f"unknown method {method}")
+        return df.withColumn("q", F.least(F.col(p) * n, F.when(F.col(p).isNotNull(), 1.0)))
     up = Window.partitionBy(*keys).orderBy(p)
-    out = df.withColumn("_r", F.rank().over(up) + F.count(p).over(Window.partitionBy(*keys, p)) - 1).withColumn("_q", F.col(p) * n / F.col("_r"))
+    out = df.withColumn("_r", F.rank().over(up) + F.count(p).over(Window.partitionBy(*keys, p)) - 1 - F.count_if(F.col(p).isNull()).over(Window.partitionBy(*keys)))
+    out = out.withColumn("_q", F.col(p) * n / F.col("_r"))
     down = Window.partitionBy(*keys).orderBy(F.desc(p)).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    return out.withColumn("q", F.least(F.min("_q").over(down), F.lit(1.0))).drop("_r", "_q")
+    return out.withColumn("q", F.when(F.col(p).isNotNull(), F.least(F.min("_q").over(down), F.lit(1.0)))).drop("_r", "_q")
+
+
+def _correct_one_family(df: DataFrame, p: str, method: str) -> DataFrame:
+    """Equal values are counted first, then cut into ``RANGES`` ranges of about equally many distinct values. Ranks and minima run inside
+    each range; what the ranges add to one another is a table of that many rows."""
+    if method == "Bonferroni":
+        n = df.select(F.count(p)).first()[0]
+        return df.withColumn("q", F.when(F.col(p).isNotNull(), F.least(F.col(p) * n, F.lit(1.0))))
+    values = Scratch(df.sparkSession, "p-values").save(df.filter(F.col(p).isNotNull()).groupBy(F.col(p).cast("double").alias("_p")).agg(F.count("*").alias("_k")), "values")
+    cuts = values.agg(F.percentile_approx("_p", [i / RANGES for i in range(1, RANGES)], 10_000)).first()[0] or []
+    bounds = F.array(*[F.lit(c) for c in sorted(set(cuts))]) if cuts else F.array().cast("array<double>")
+    ranged = values.withColumn("_b", F.size(F.filter(bounds, lambda c: c < F.col("_p"))))
+    sizes = ranged.groupBy("_b").agg(F.sum("_k").alias("_size"))  # at most RANGES rows, so these two windows are small
+    before = sizes.select("_b", (F.sum("_size").over(Window.orderBy("_b")) - F.col("_size")).alias("_before"), F.sum("_size").over(Window.partitionBy()).alias("_n"))
+    inside = ranged.join(F.broadcast(before), "_b").withColumn("_r", F.col("_before") + F.sum("_k").over(Window.partitionBy("_b").orderBy("_p")))
+    scored = inside.withColumn("_q", F.col("_p") * F.col("_n") / F.col("_r"))
+    after = Window.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    later = scored.groupBy("_b").agg(F.min("_q").alias("_least")).select("_b", F.min("_least").over(after).alias("_later"))
+    up = Window.partitionBy("_b").orderBy(F.desc("_p"))
+    done = scored.withColumn("_m", F.min("_q").over(up)).join(F.broadcast(later), "_b")
+    done = done.select("_p", F.least("_m", "_later", F.lit(1.0)).alias("q"))
+    return df.withColumn("_p", F.col(p).cast("double")).drop("q").join(done, "_p", "left").drop("_p")
 
 
 def estimate_q_values(df: DataFrame, p: str = "p", pi0: float | None = None) -> DataFrame:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.operators import connect as C
 from tessera.operators import graph as G
+from tessera.operators import morphology as M
 from tessera.operators import vessels as V
 from tessera.plans import fixtures as fx
 from tessera.registry import register
@@ -118,3 +120,29 @@ def _status(spark, sf_dir):
 @register("clean_open_branches")
 def _branches(spark, sf_dir):
     return V.clean_open_branches(fx.vox(spark, sf_dir).filter("v > 110"), 2)
+
+
+def _broken(spark, sf_dir):
+    """Bright voxels are the mask, and their own skeleton."""
+    on = F.col("v") > 112
+    return fx.vox(spark, sf_dir).select("vol_id", "x", "y", "z", (F.col("v") / 100).alias("score"), on.alias("mask"), on.alias("skeleton"))
+
+
+@register("connect_ends")
+def _connect(spark, sf_dir):
+    v = _broken(spark, sf_dir)
+    ends = M.skeleton_ends(v.filter("skeleton"))
+    return C.connect_ends(v, ends, radius=3, block=(2, 2, 2)).withColumn("cost", F.round("cost", 9))
+
+
+@register("trace_to_mask")
+def _trace(spark, sf_dir):
+    v = _broken(spark, sf_dir)
+    return C.trace_to_mask(v, v.filter("x = 0 and y = 0 and z = 0"), radius=3).withColumn("cost", F.round("cost", 9))
+
+
+@register("add_connections", f"""WITH {fx.VOX_SQL} SELECT DISTINCT w.vol_id, w.x, w.y, w.z FROM vox w JOIN vox p ON w.vol_id = p.vol_id
+WHERE w.v > 112 OR (p.x = 0 AND p.v > 105 AND abs(w.x - p.x) <= 1 AND abs(w.y - p.y) <= 1 AND abs(w.z - p.z) <= 1)""")
+def _add(spark, sf_dir):
+    v = fx.vox(spark, sf_dir)
+    return C.add_connections(v.filter("v > 112"), v.filter("x = 0 and v > 105"), v)
