@@ -210,15 +210,15 @@ class Graph:
         links = ends.join(first, "vid").filter("eid <> hub").select(F.col("hub").alias("src"), F.col("eid").alias("dst")).distinct()
         return Graph(e.withColumnRenamed("eid", "vid"), links)
 
-    def edge_propagate(self, label: str, value, steps: int = 1) -> DataFrame:
-        """src, dst, label: edges that share a vertex with an edge of the value take it, ``steps`` times; through vertices, so hubs don't square."""
-        at = self.edges.select("src", "dst", label)
+    def edge_propagate(self, label: str, value, steps: int = 1, keep: tuple[str, ...] = ()) -> DataFrame:
+        """src, dst, the columns in ``keep``, label, a row for each edge: edges that share a vertex with an edge of the value take it, ``steps`` times; through vertices, so hubs don't square."""
+        at = self.edges.select("src", "dst", *keep, label)
         for _ in range(steps):
             on = at.filter(F.col(label) == value)
             hit = on.select(F.col("src").alias("vid")).union(on.select("dst")).distinct()
             for end in ("src", "dst"):
                 at = at.join(hit.select(F.col("vid").alias(end), F.lit(True).alias(f"_{end}")), end, "left")
-            at = at.select("src", "dst", F.when(F.col("_src") | F.col("_dst"), F.lit(value)).otherwise(F.col(label)).alias(label))
+            at = at.select("src", "dst", *keep, F.when(F.col("_src") | F.col("_dst"), F.lit(value)).otherwise(F.col(label)).alias(label))
         return at
 
     def edge_dilate(self, label: str, steps: int = 1) -> DataFrame:
@@ -249,21 +249,26 @@ class Graph:
             i += 1
         return self.vertices.select("vid").join(reached.withColumn(label, F.lit(True)), "vid", "left").fillna(False, [label])
 
-    def trace_edges(self, label: str, condition: Column, max_iterations: int | None = None) -> DataFrame:
-        """src, dst, label: the same over edges that share a vertex."""
+    def trace_edges(self, label: str, condition: Column, max_iterations: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+        """src, dst, the columns in ``keep``, label, a row for each edge: the same over edges that share a vertex. Edges are known by a number of their own, so parallel ones are
+        tested apart. A round writes the edges that it reaches and nothing else."""
         scratch = Scratch(self.edges.sparkSession, "trace")
-        open_edges = scratch.save(self.edges.filter(condition & ~F.col(label)).select("src", "dst"), "open")
-        reached = scratch.save(self.edges.filter(F.col(label)).select("src", "dst"), "start")
-        front, i = reached, 0
-        while max_iterations is None or i < max_iterations:
-            at = front.select(F.col("src").alias("vid")).union(front.select("dst")).distinct()
-            new = open_edges.join(at.withColumnRenamed("vid", "src"), "src", "left_semi").union(open_edges.join(at.withColumnRenamed("vid", "dst"), "dst", "left_semi").select("src", "dst")).distinct()
-            front = scratch.save(new.join(reached, ["src", "dst"], "left_anti"), f"front-{i}")
-            if not front.take(1):
-                break
-            reached = scratch.save(reached.unionByName(front), f"reached-{i}")
+        e = self._numbered_edges(scratch).withColumn("_on", F.coalesce(F.col(label), F.lit(False)))
+        ends = lambda df: df.select(F.col("src").alias("vid")).union(df.select("dst")).distinct()
+        pool = e.filter(condition & ~F.col("_on")).select("eid", "src", "dst")
+        front, i = scratch.save(ends(e.filter("_on")), "front"), 0
+        while (max_iterations is None or i < max_iterations) and front.take(1):
+            # an edge of the pool is reached once, since the pool shrinks
+            at = lambda end: front.select(F.col("vid").alias(end), F.lit(True).alias(f"_{end}"))  # noqa: E731, B023
+            met = scratch.save(pool.join(at("src"), "src", "left").join(at("dst"), "dst", "left").select("eid", "src", "dst", (F.coalesce("_src", F.lit(False)) | F.coalesce("_dst", F.lit(False))).alias("hit")), f"met-{i}", by="hit")
+            pool = met.filter("not hit").select("eid", "src", "dst")
+            new = met.filter("hit").select("eid", "src", "dst")
+            front = scratch.save(ends(new), f"front-{i}")
+            hits = new.select("eid") if i == 0 else hits.unionByName(new.select("eid"))
             i += 1
-        return self.edges.select("src", "dst").join(reached.distinct().withColumn(label, F.lit(True)), ["src", "dst"], "left").fillna(False, [label])
+        if not i:
+            return e.select("src", "dst", *keep, F.col("_on").alias(label))
+        return e.join(hits.withColumn("_hit", F.lit(True)), "eid", "left").select("src", "dst", *keep, (F.col("_on") | F.coalesce("_hit", F.lit(False))).alias(label))
 
     # geometry
     def edge_vectors(self, normalize: bool = False) -> DataFrame:
@@ -312,9 +317,19 @@ class Graph:
         return self.transform_properties([[factors[i] if i == j else 0.0 for j in range(3)] for i in range(3)], (0.0, 0.0, 0.0))
 
     def sample_vertices(self, vox: DataFrame, name: str, default=None) -> Graph:
-        """Vertices with ``name``: the value of the voxel (x, y, z, v) they lie in; ``default`` outside."""
-        at = vox.select(*[F.col(c).cast("int").alias(f"_{c}") for c in COORDINATES], F.col("v").alias(name))
-        v = self.vertices.drop(name).withColumns({f"_{c}": F.round(c).cast("int") for c in COORDINATES}).join(at, [f"_{c}" for c in COORDINATES], "left").drop(*[f"_{c}" for c in COORDINATES])
+        """Vertices with ``name``: the value of the voxel (x, y, z, v) they lie in; ``default`` outside.
+
+        If both have a vol_id, a vertex looks into its own volume. Vertices without one belong to the only volume: a place that several volumes
+        hold is an error then.
+        """
+        at = vox.withColumnsRenamed({c: f"_{c}" for c in COORDINATES}).withColumns({f"_{c}": F.col(f"_{c}").cast("int") for c in COORDINATES})
+        places = [f"_{c}" for c in COORDINATES]
+        if "vol_id" in vox.columns and "vol_id" in self.vertices.columns:
+            places.append("vol_id")
+        elif "vol_id" in vox.columns:
+            one = F.when(F.min("vol_id") == F.max("vol_id"), F.first("v")).otherwise(F.raise_error(F.lit("voxels of several volumes, and vertices without vol_id")))
+            at = at.groupBy(*places).agg(one.alias("v"))
+        v = self.vertices.drop(name).withColumns({f"_{c}": F.round(c).cast("int") for c in COORDINATES}).join(at.select(*places, F.col("v").alias(name)), places, "left").drop(*[f"_{c}" for c in COORDINATES])
         return Graph(v if default is None else v.fillna({name: default}), self.edges)
 
     def edge_mean_of_vertices(self, name: str, to: str) -> Graph:

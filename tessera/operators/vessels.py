@@ -1,11 +1,12 @@
 """Steps of a vessel graph's post-processing, on ``Graph`` tables: measures from volumes, arteries and veins, small parts.
 
-Every step is a fixed number of equi-joins, or a traversal that writes each round.
+Every step is a fixed number of equi-joins, or a traversal that writes each round. Edges are judged row by row, so parallel edges
+stay apart. Where voxels and vertices both have a vol_id, a vertex looks into its own volume only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import morphology as M
@@ -14,9 +15,14 @@ from tessera.operators.graph import Graph
 AXES = ("x", "y", "z")
 
 
+def _at(vox: DataFrame, value: Column) -> DataFrame:
+    """Voxels by place, with vol_id where there is one."""
+    return vox.select(*[c for c in ("vol_id", *AXES) if c in vox.columns], value.alias("v"))
+
+
 def measure_radii(g: Graph, binary: DataFrame, name: str = "radius") -> Graph:
     """Vertices with the distance of their voxel to the nearest background voxel; edges with the larger of their ends' radii."""
-    radii = M.distance_transform(binary).select(*AXES, "v")
+    radii = _at(M.distance_transform(binary), F.col("v"))
     out = g.sample_vertices(radii, name, 0.0)
     at = lambda end: out.vertices.select(F.col("vid").alias(end), F.col(name).alias(f"_{end}"))
     return Graph(out.vertices, out.edges.drop(name).join(at("src"), "src").join(at("dst"), "dst").withColumn(name, F.greatest("_src", "_dst")).drop("_src", "_dst"))
@@ -24,14 +30,14 @@ def measure_radii(g: Graph, binary: DataFrame, name: str = "radius") -> Graph:
 
 def set_artery_binary(g: Graph, mask: DataFrame, name: str = "artery_binary") -> Graph:
     """Vertices and edges marked where the mask (x, y, z, v) is positive: an edge needs both ends."""
-    out = g.sample_vertices(mask.select(*AXES, (F.col("v") > 0).alias("v")), name, False)
+    out = g.sample_vertices(_at(mask, F.col("v") > 0), name, False)
     at = lambda end: out.vertices.select(F.col("vid").alias(end), F.col(name).alias(f"_{end}"))
     return Graph(out.vertices, out.edges.drop(name).join(at("src"), "src").join(at("dst"), "dst").withColumn(name, F.col("_src") & F.col("_dst")).drop("_src", "_dst"))
 
 
 def set_arteriness(g: Graph, vox: DataFrame, name: str = "artery_raw") -> Graph:
     """Vertices with the channel's value at their voxel; edges with the mean of their ends."""
-    return g.sample_vertices(vox.select(*AXES, F.col("v").cast("double").alias("v")), name, 0.0).edge_mean_of_vertices(name, name)
+    return g.sample_vertices(_at(vox, F.col("v").cast("double")), name, 0.0).edge_mean_of_vertices(name, name)
 
 
 def distance_to_surface(g: Graph, distances: DataFrame, name: str = "distance_to_surface") -> Graph:
@@ -41,7 +47,7 @@ def distance_to_surface(g: Graph, distances: DataFrame, name: str = "distance_to
 
 def annotate(g: Graph, atlas: DataFrame, name: str = "annotation") -> Graph:
     """Vertices with the atlas label (x, y, z, id) of their voxel; 0 outside."""
-    return g.sample_vertices(atlas.select(*AXES, F.col("id").alias("v")), name, 0)
+    return g.sample_vertices(_at(atlas, F.col("id")), name, 0)
 
 
 def pre_filter_veins(g: Graph, min_radius: float, max_arteriness: float, radius: str = "radius", arteriness: str = "artery_raw") -> DataFrame:
@@ -49,12 +55,17 @@ def pre_filter_veins(g: Graph, min_radius: float, max_arteriness: float, radius:
     return g.edges.select("src", "dst", ((F.col(radius) >= min_radius) & (F.col(arteriness) <= max_arteriness)).alias("vein"))
 
 
+def _without(g: Graph, label: str, on: Column, small: DataFrame) -> Graph:
+    """Edges with ``label``: those that are ``on``, but for parts of the small components (vid)."""
+    gone = small.select(F.col("vid").alias("src"), F.lit(True).alias("_small"))
+    return Graph(g.vertices, g.edges.join(gone, "src", "left").withColumn(label, F.coalesce(on & F.col("_small").isNull(), F.lit(False))).drop("_small"))
+
+
 def pre_filter_arteries(g: Graph, huge_vein: str = "vein", artery: str = "artery_binary", least_edges: int = 4) -> Graph:
     """Edges with ``artery``: marked ones that are no vein, in connected groups of at least ``least_edges`` of them."""
     on = Graph(g.vertices, g.edges.filter(F.col(artery) & ~F.col(huge_vein)))
     small = on.small_components(least_edges)
-    kept = on.edges.join(small.withColumnRenamed("vid", "src"), "src", "left_anti").select("src", "dst").distinct().withColumn("_on", F.lit(True))
-    return Graph(g.vertices, g.edges.drop(artery).join(kept, ["src", "dst"], "left").withColumn(artery, F.coalesce("_on", F.lit(False))).drop("_on"))
+    return _without(g, artery, F.col(artery) & ~F.col(huge_vein), small)
 
 
 def post_filter_veins(g: Graph, min_radius: float, radius: str = "radius", artery: str = "artery") -> Graph:
@@ -69,15 +80,14 @@ def trace_arteries(g: Graph, min_arteriness: float, max_iterations: int | None =
 
 def trace_veins(g: Graph, min_distance_to_artery: int, min_radius: float, max_iterations: int | None = 5, vein: str = "vein", artery: str = "artery", radius: str = "radius") -> DataFrame:
     """src, dst, vein: grown from marked edges over edges of at least ``min_radius`` that are more than ``min_distance_to_artery`` steps from an artery."""
-    near = g.edge_dilate(artery, min_distance_to_artery).withColumnRenamed(artery, "_near").distinct()
-    return Graph(g.vertices, g.edges.join(near, ["src", "dst"])).trace_edges(vein, (F.col(radius) >= min_radius) & ~F.col("_near"), max_iterations)
+    near = g.define_edge_property("_near", F.col(artery)).edge_propagate("_near", True, min_distance_to_artery, keep=(vein, radius))
+    return Graph(g.vertices, near).trace_edges(vein, (F.col(radius) >= min_radius) & ~F.col("_near"), max_iterations)
 
 
 def remove_small_components(g: Graph, label: str, least_edges: int) -> Graph:
     """Edges of a label in connected groups of fewer than ``least_edges`` lose it."""
     on = Graph(g.vertices, g.edges.filter(F.col(label)))
-    kept = on.edges.join(on.small_components(least_edges).withColumnRenamed("vid", "src"), "src", "left_anti").select("src", "dst").distinct().withColumn("_on", F.lit(True))
-    return Graph(g.vertices, g.edges.drop(label).join(kept, ["src", "dst"], "left").withColumn(label, F.coalesce("_on", F.lit(False))).drop("_on"))
+    return _without(g, label, F.col(label), on.small_components(least_edges))
 
 
 def clean_open_branches(skeleton: DataFrame, length: int) -> DataFrame:

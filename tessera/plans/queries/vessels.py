@@ -102,6 +102,26 @@ def _parallel(spark, sf_dir):
     return _rings(spark, sf_dir).reduce().edges
 
 
+@register("graph_trace_edges_parallel", """SELECT CAST(c_custkey * 3 + a AS BIGINT) AS src, CAST(c_custkey * 3 + b AS BIGINT) AS dst, n, on_ OR (c_custkey % 2 = 0 AND n >= 2) AS label
+FROM customer, (VALUES (0, 1, 1, true), (0, 1, 0, false), (0, 2, 2, false), (2, 1, 3, false)) t(a, b, n, on_)""")
+def _trace_parallel(spark, sf_dir):
+    """One of two parallel edges is marked, the other one never passes; the way round passes in every other ring."""
+    c = fx.read(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") * 3).cast("long").alias("a"))
+    e = c.select("c_custkey", F.explode(F.array(*[F.struct((F.col("a") + p).alias("src"), (F.col("a") + q).alias("dst"), F.lit(n).alias("n"), F.lit(on).alias("label")) for p, q, n, on in ((0, 1, 1, True), (0, 1, 0, False), (0, 2, 2, False), (2, 1, 3, False))])).alias("e")).select("c_custkey", "e.*")
+    g = G.Graph(e.select(F.col("src").alias("vid")).union(e.select("dst")).distinct(), e)
+    return g.trace_edges("label", (F.col("c_custkey") % 2 == 0) & (F.col("n") >= 2), keep=("n",))
+
+
+@register("vessel_remove_small_parallel", """SELECT CAST(c_custkey * 3 + a AS BIGINT) AS src, CAST(c_custkey * 3 + b AS BIGINT) AS dst, n, n > 0 AND c_custkey % 2 = 0 AS artery
+FROM customer, (VALUES (0, 1, 1), (0, 1, 0), (0, 2, 2), (2, 1, 3)) t(a, b, n)""")
+def _small_parallel(spark, sf_dir):
+    """Three marked edges stay a component, a single marked one is too small; the unmarked parallel edge stays unmarked."""
+    c = fx.read(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") * 3).cast("long").alias("a"))
+    e = c.select("c_custkey", F.explode(F.array(*[F.struct((F.col("a") + p).alias("src"), (F.col("a") + q).alias("dst"), F.lit(n).alias("n")) for p, q, n in ((0, 1, 1), (0, 1, 0), (0, 2, 2), (2, 1, 3))])).alias("e")).select("c_custkey", "e.*")
+    g = G.Graph(e.select(F.col("src").alias("vid")).union(e.select("dst")).distinct(), e.withColumn("artery", F.when(F.col("c_custkey") % 2 == 0, F.col("n") > 0).otherwise(F.col("n") == 1)))
+    return V.remove_small_components(g, "artery", 3).edges.select("src", "dst", "n", "artery")
+
+
 @register("graph_edge_graph", "SELECT count(*) * 4 AS vertices, count(*) * 4 AS edges FROM customer")
 def _edge_graph(spark, sf_dir):
     """Vertices: four edges a customer. Links: the first edge to each other one, and the two that meet at the third vertex."""

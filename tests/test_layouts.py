@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.operators import alignment as A
 from tessera.operators import graph as G
@@ -118,6 +119,37 @@ def test_vessel_radii_and_traces(spark):
     assert V.status_to_description(0) == "Background" and V.status_to_description(5) == "High,Deconvolved"
 
 
+def test_volumes_stay_apart(spark):
+    """Two volumes with the same places: no vertex and no edge is repeated, and each sees its own values."""
+    binary = spark.createDataFrame([(vol, x, y, z, int(1 <= y <= 2 + vol and 1 <= z <= 3)) for vol in (1, 2) for x in range(5) for y in range(7) for z in range(5)], "vol_id bigint, x int, y int, z int, v int")
+    v = spark.createDataFrame([(10 * vol + i, vol, float(i), 2.0, 2.0) for vol in (1, 2) for i in range(4)], "vid bigint, vol_id bigint, x double, y double, z double")
+    e = spark.createDataFrame([(10 * vol + i, 10 * vol + i + 1) for vol in (1, 2) for i in range(3)], "src bigint, dst bigint")
+    g = V.measure_radii(G.Graph(v, e), binary)
+    want = {(r.vol_id, r.x, r.y, r.z): r.v for r in M.distance_transform(binary).collect()}
+    got = g.vertices.collect()
+    assert len(got) == 8 and all(r.radius == want[r.vol_id, r.x, r.y, r.z] for r in got) and len(g.edges.collect()) == 6
+    mask = binary.withColumn("v", F.col("vol_id") - 1)
+    assert {(r.vid, r.artery_binary) for r in V.set_artery_binary(G.Graph(v, e), mask).vertices.collect()} == {(r.vid, r.vol_id == 2) for r in got}
+    marked = V.annotate(G.Graph(v, e), binary.withColumn("id", F.col("vol_id"))).vertices.collect()
+    assert len(marked) == 8 and all(r.annotation == r.vol_id for r in marked)
+    assert V.distance_to_surface(V.annotate(G.Graph(v, e), binary.withColumn("id", F.col("vol_id"))), binary).edges.count() == 6
+    with pytest.raises(Exception, match="several volumes"):
+        V.annotate(G.Graph(v.drop("vol_id"), e), binary.withColumn("id", F.col("vol_id"))).vertices.collect()
+
+
+def test_parallel_edges_are_judged_apart(spark):
+    rows = [(1, 2, True, 5.0, False), (1, 2, False, 0.0, False), (2, 3, False, 5.0, False), (2, 3, False, 0.0, False), (3, 4, True, 5.0, False), (7, 8, True, 5.0, False), (7, 8, False, 5.0, True)]
+    e = spark.createDataFrame(rows, "src bigint, dst bigint, artery boolean, radius double, vein boolean")
+    g = G.Graph(spark.range(1, 9).select(F.col("id").alias("vid")), e)
+    marks = lambda df, c: sorted((r.src, r.dst, r[c]) for r in df.select("src", "dst", c).collect())
+    assert marks(g.trace_edges("artery", F.col("radius") > 1), "artery") == [(1, 2, False), (1, 2, True), (2, 3, False), (2, 3, True), (3, 4, True), (7, 8, True), (7, 8, True)]
+    assert marks(V.remove_small_components(g, "artery", 1).edges, "artery") == sorted((r[0], r[1], r[2]) for r in rows)
+    assert not any(m[2] for m in marks(V.remove_small_components(g, "artery", 2).edges, "artery"))
+    assert marks(V.pre_filter_arteries(g, artery="artery", least_edges=1).edges, "artery") == sorted((r[0], r[1], r[2] and not r[4]) for r in rows)
+    assert marks(V.trace_veins(g, 0, 1.0), "vein") == [(1, 2, False)] * 2 + [(2, 3, False)] * 2 + [(3, 4, False), (7, 8, False), (7, 8, True)]
+    assert len(V.trace_veins(g, 1, 1.0).collect()) == len(rows) and g.trace_edges("artery", F.lit(True), 0).count() == len(rows)
+
+
 def _p(a, b, equal):
     """Two-sided p of a t-test by numerical integration."""
     m, n = len(a), len(b)
