@@ -526,8 +526,21 @@ def verify_by_pivots(pairs: DataFrame, classes: DataFrame, docs: DataFrame, keys
     return known.join(plain_, ["a", "b"], "left_semi").filter(_linked(percent)).select("a", "b").unionByName(decided.filter("linked").select("a", "b")).unionByName(rest)
 
 
-def jaccard_components(docs: DataFrame, percent: int = 75, n: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key``, n_shingles and component_id (smallest key of the row's component) of every row."""
+def with_set_ids(docs: DataFrame, n: int = 5, text: str = "text") -> DataFrame:
+    """``docs`` with set_id, as ``jaccard_components`` names the sets; null without words."""
+    names = docs.columns
+    at = names.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = [pa.array(set_ids(values, begin), mask=np.diff(begin) == 0) for _, _, values, begin in _batches(batch, at, n)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.concat_arrays(ids) if ids else pa.array([], pa.int64())], [*names, "set_id"])
+
+    return docs.mapInArrow(tidied(run), ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema], "set_id bigint"]))
+
+
+def jaccard_components(docs: DataFrame, percent: int = 75, n: int = 5, key: str = "doc_id", text: str = "text", with_sets: bool = False) -> DataFrame:
+    """``key``, n_shingles and component_id (smallest key of the row's component) of every row, and with ``with_sets`` its set_id."""
     scratch = Scratch(docs.sparkSession, "jaccard")
     docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     measured = scratch.save(measure(docs, n), "measured")
@@ -563,4 +576,4 @@ def jaccard_components(docs: DataFrame, percent: int = 75, n: int = 5, key: str
     of_set = join_hot(nodes, least, "component", scratch, "hot-components").select("sid", "least")
     facts = holders.join(of_set, "sid", "left").select("sid", F.coalesce("least", "key").alias("least"))
     out = join_hot(rows, facts, "sid", scratch, "hot-sets")
-    return out.select(F.col("key").alias(key), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("key")).alias("component_id"))
+    return out.select(F.col("key").alias(key), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("key")).alias("component_id"), *([F.col("sid").alias("set_id")] if with_sets else []))

@@ -3,7 +3,7 @@
 1. A softmax classifier, fitted on a labelled table (key, domain), predicts each
    document's domain posteriors from the words and word beginnings that occur in it.
    Fitting uses at most ``SAMPLE_PER_DOMAIN`` rows of each domain, the smallest by
-   hash of the key; class shares of the whole labelled table are its prior.
+   hash of the key (of rows that repeat a key the smallest text, and no text above ``FITTED_BYTES``); class shares of the whole labelled table are its prior.
 2. Nonnegative document rates r are fitted so that the expected tokens of each domain,
    sum_i r_i * tokens_i * p_id, match the targets: least squares, with a pull of weight ``RIDGE`` towards
    rate 1 that makes the solution unique, by projected gradient. The gradient of every document is p_i . (target - now), so
@@ -14,7 +14,7 @@
    rate depends on a document's posteriors, not on its length.
 
 A pass adds up D + D^2 + 1 sums over the written (tokens, posteriors) table, in
-tasks and then by Spark; rates are recomputed from m, so no rate is ever collected or rewritten. Tokens are words, or a column that the caller names.
+tasks and then by Spark; rates are recomputed from m, so no rate is ever collected or rewritten. Tokens are those of a tokenizer file, a column that the caller names, or words.
 
 Edge cases: a null text has no tokens; it gets a rate, and no weight. A target
 domain that no label names is left out (the others share its weight); a domain
@@ -32,15 +32,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.encoders import ByteBpe, kept
 from tessera.llm.shared import Scratch
 from tessera.llm.textkernel import column_bytes, release, slices, tidied, word_hashes, words
 
 SAMPLE_PER_DOMAIN = 3_000
 #: Domains up to which each is sampled by a query of its own.
 FEW = 64
-#: Buckets of whole words and of beginnings; halved until the weights of all domains are at most WEIGHTS numbers.
+#: Buckets of whole words and of beginnings, whatever the number of domains.
 BUCKETS = 1 << 17
-WEIGHTS = 1 << 24
+#: Most weights of all domains together (float32): with the default buckets 128 domains. More are refused, not fitted otherwise.
+WEIGHTS = 1 << 25
+#: Longer texts (in bytes) are rated but not fitted on, which bounds what the driver takes.
+FITTED_BYTES = 1 << 20
 EPOCHS = 6
 BATCH = 128
 RATE = 0.1
@@ -71,11 +75,11 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 class DomainClassifier:
     """``fit`` on a labelled table, then ``members`` of any table of texts."""
 
-    def __init__(self, key: str = "doc_id", text: str = "text", sample_per_domain: int = SAMPLE_PER_DOMAIN) -> None:
+    def __init__(self, key: str = "doc_id", text: str = "text", sample_per_domain: int = SAMPLE_PER_DOMAIN, buckets: int = BUCKETS) -> None:
         self.key, self.text, self.sample_per_domain = key, text, sample_per_domain
         self.domains: list[str] = []
-        self.buckets = BUCKETS
-        self.weights, self.bias = np.zeros((2 * BUCKETS, 0), np.float32), np.zeros(0)
+        self.buckets = buckets
+        self.weights, self.bias = np.zeros((2 * buckets, 0), np.float32), np.zeros(0)
 
     def fit(self, docs: DataFrame, labelled: DataFrame) -> DomainClassifier:
         """``labelled``: key, domain (text)."""
@@ -85,8 +89,8 @@ class DomainClassifier:
         self.domains = sorted(counts)
         if not self.domains:
             return self
-        while self.buckets > 1024 and 2 * self.buckets * len(self.domains) > WEIGHTS:
-            self.buckets //= 2
+        if 2 * self.buckets * len(self.domains) > WEIGHTS:
+            raise ValueError(f"{len(self.domains)} domains: the classifier holds at most {WEIGHTS // (2 * self.buckets)}; choose fewer buckets for more domains")
         picked = None
         if len(self.domains) <= FEW:  # each domain's smallest hashes: no task gets a whole domain
             for d in self.domains:
@@ -96,7 +100,8 @@ class DomainClassifier:
             place = Window.partitionBy("d").orderBy(F.xxhash64("k"), "k")
             picked = clean.withColumn("_n", F.row_number().over(place)).filter(F.col("_n") <= self.sample_per_domain).drop("_n")
         buckets = self.buckets
-        texts = docs.select(F.col(self.key).alias("k"), F.col(self.text).alias("t")).join(F.broadcast(picked), "k")
+        named = docs.select(F.col(self.key).alias("k"), F.col(self.text).alias("t")).filter(F.coalesce(F.octet_length("t"), F.lit(0)) <= FITTED_BYTES).join(F.broadcast(picked), "k")
+        texts = named.groupBy("k", "d").agg(F.min("t").alias("t")).select("k", "t", "d")  # one row a key, found task by task before the shuffle
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -143,8 +148,8 @@ class DomainClassifier:
         self.weights = w.astype(np.float32)
         self.bias = b + np.log(np.maximum(counts, 1) / max(1.0, counts.sum()))
 
-    def members(self, docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-        """``key``, the columns in ``keep``, n_words, and p (posteriors in the order of ``domains``)."""
+    def members(self, docs: DataFrame, keep: tuple[str, ...] = (), tokenizer: str | None = None) -> DataFrame:
+        """``key``, the columns in ``keep``, n_words, p (posteriors in the order of ``domains``), and with ``tokenizer`` (a byte-level BPE file) n_tokens."""
         model = docs.sparkSession.sparkContext.broadcast((self.weights, self.bias))
         k, n_keep, buckets = len(self.domains), 1 + len(keep), self.buckets
         at = 1 + keep.index(self.text) if self.text in keep else n_keep
@@ -156,6 +161,7 @@ class DomainClassifier:
             for batch in batches:
                 data, offsets = column_bytes(batch.column(at))
                 sizes, post = [np.zeros(0, np.int64)], [np.zeros((0, k))]
+                tokens = [pa.array(kept(ByteBpe, tokenizer).count([t or "" for t in batch.column(at).to_pylist()]), pa.int64())] if tokenizer else []
                 for lo, hi in slices(offsets):
                     o = offsets[lo : hi + 1]
                     n_words, owner, bucket = presence(data[o[0] : o[-1]], o - o[0], buckets)
@@ -164,10 +170,11 @@ class DomainClassifier:
                     post.append(_softmax(z) if k else z)
                 p = np.concatenate(post)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1, dtype=np.int32) * k), pa.array(p.ravel()))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:n_keep], pa.array(np.concatenate(sizes)), lists], [*batch.schema.names[:n_keep], "n_words", "p"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:n_keep], pa.array(np.concatenate(sizes)), lists, *tokens], [*batch.schema.names[:n_keep], "n_words", "p", *counted])
 
+        counted = ["n_tokens"] if tokenizer else []
         out = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in (self.key, *keep)]
-        return rows.mapInArrow(tidied(run), ", ".join([*out, "n_words bigint", "p array<double>"]))
+        return rows.mapInArrow(tidied(run), ", ".join([*out, "n_words bigint", "p array<double>", *[f"{c} bigint" for c in counted]]))
 
 
 def _rate(m: np.ndarray) -> Column:
@@ -235,16 +242,18 @@ def target_tokens(members: DataFrame, domains: list[str], weights: dict[str, flo
     return want * total if upsample is None else np.where([d in weights for d in domains], want * total, now)
 
 
-def mixing_rates(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], upsample: float | None = None, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), tokens: str | None = None, ridge: float = RIDGE) -> DataFrame:
+def mixing_rates(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], upsample: float | None = None, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), tokens: str | None = None, ridge: float = RIDGE, tokenizer: str | None = None) -> DataFrame:
     """``key``, the columns in ``keep``, n_words, domain (likeliest), p and rate of every row, and residual: the largest share of all tokens by
     which a domain's expected tokens miss their target.
 
-    ``tokens`` names a column of token counts (for example those of ``token_counts``); without it words are counted.
+    ``tokenizer`` names a byte-level BPE file: its tokens are counted (n_tokens, also returned) in the pass that predicts. ``tokens`` names a column of counts
+    instead; without both, words are counted.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
     classifier = DomainClassifier(key, text).fit(docs, labelled)
     extra = (tokens,) if tokens and tokens not in keep else ()
-    members = scratch.save(classifier.members(docs, keep + extra), "members")
+    members = scratch.save(classifier.members(docs, keep + extra, tokenizer), "members")
+    tokens, counted = ("n_tokens", ("n_tokens",)) if tokenizer else (tokens, ())
     k = len(classifier.domains)
     m, residual = np.zeros(k), 0.0
     if k >= 2:
@@ -254,7 +263,7 @@ def mixing_rates(docs: DataFrame, labelled: DataFrame, weights: dict[str, float]
         residual = float(np.abs(wanted - reached).max() / max(1.0, float(wanted.sum())))
     names = F.array(*[F.lit(d) for d in classifier.domains]).cast("array<string>")
     likeliest = F.element_at(names, F.array_position("p", F.array_max("p")).cast("int")) if k else F.lit(None).cast("string")
-    return members.select(key, *[F.col(f"`{c}`") for c in keep], "n_words", likeliest.alias("domain"), "p", _rate(m).alias("rate"), F.lit(residual).alias("residual"))
+    return members.select(key, *[F.col(f"`{c}`") for c in keep], "n_words", *counted, likeliest.alias("domain"), "p", _rate(m).alias("rate"), F.lit(residual).alias("residual"))
 
 
 def copies(rate: Column, key: Column) -> Column:

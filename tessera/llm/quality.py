@@ -8,7 +8,7 @@ The pairwise sum is scored in time linear in the number of inputs:
     sum_{i<j} <v_i, v_j> x_i x_j = 1/2 sum_f [(sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2]
 
 Fitting uses a bounded sample of the labelled rows: at most ``SAMPLE_PER_CLASS``
-of each class, the smallest by hash of the key. Both classes weigh the same in the loss. Only
+of each class, the smallest by hash of the key; of rows that repeat a key the smallest text, and no text above ``FITTED_BYTES``. Both classes weigh the same in the loss. Only
 that sample is broadcast and only its features come to the driver. Scoring is one
 narrow stage over all texts; the model (about 3 MB) is sent to the workers.
 
@@ -30,9 +30,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from tessera.llm.textkernel import column_bytes, mix64, release, shingles, slices, tidied, word_hashes, words
+from tessera.llm.textkernel import column_bytes, release, shingles, slices, tidied, word_hashes, words
 
 SAMPLE_PER_CLASS = 4_000
+#: Longer texts (in bytes) are scored but not fitted on, which bounds what the driver takes: samples times this.
+FITTED_BYTES = 1 << 20
 BUCKETS = 1 << 16
 BINS = 16
 RANK = 8
@@ -188,9 +190,13 @@ def _metadata(batch: pa.RecordBatch, at: int, names: tuple[str, ...], lo: int, h
     for j, h in enumerate(hashed):
         col = batch.column(at + j).slice(lo, hi - lo)
         if h:
-            raw = [None if v is None else float(mix64(np.array([len(str(v)) * 1_000_003 + sum((i + 1) * ord(c) for i, c in enumerate(str(v)))], np.uint64))[0] % np.uint64(BINS - 1)) for v in col.to_pylist()]
-        else:
-            raw = [None if v is None else float(v) for v in col.to_pylist()]
+            texts = col.cast(pa.string())
+            data, offsets = column_bytes(texts)
+            bins = (word_hashes(data, offsets[:-1], offsets[1:]) % np.uint64(BINS - 1)).astype(float)
+            bins[~texts.is_valid().to_numpy(zero_copy_only=False)] = np.nan
+            out.append(bins)
+            continue
+        raw = [None if v is None else float(v) for v in col.to_pylist()]
         out.append(np.array([np.nan if v is None else v for v in raw], dtype=float))
     return out
 
@@ -210,7 +216,10 @@ class QualityClassifier:
         clean = rows.filter(F.col(label).isin(0, 1) & F.col(self.key).isNotNull()).groupBy(F.col(self.key).alias("k")).agg(F.min(label).cast("int").alias("y"), F.max(label).cast("int").alias("z")).filter("y = z")
         picked = [clean.filter(F.col("y") == c).select("k", "y").orderBy(F.xxhash64("k"), "k").limit(self.sample_per_class) for c in (0, 1)]
         sample = F.broadcast(picked[0].unionByName(picked[1]))
-        texts = docs.select(F.col(self.key).alias("k"), F.col(self.text).alias("t"), *[F.col(m).alias(f"m{j}") for j, m in enumerate(self.metadata)]).join(sample, "k")
+        meta = [F.col(m).alias(f"m{j}") for j, m in enumerate(self.metadata)]
+        named = docs.select(F.col(self.key).alias("k"), F.col(self.text).alias("t"), *meta).filter(F.coalesce(F.octet_length("t"), F.lit(0)) <= FITTED_BYTES).join(sample, "k")
+        # rows that repeat a sampled key give one row, the smallest; found task by task before the shuffle
+        texts = named.groupBy("k").agg(F.min(F.struct("t", *[f"m{j}" for j in range(len(meta))], "y")).alias("r")).select("k", "r.*")
         hashed, names = self._hashed(docs), self.metadata
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

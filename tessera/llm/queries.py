@@ -39,7 +39,7 @@ def op2_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(plain(table(spark, sf_dir, "documents"), "doc_id", "text"), public_tokenizers.path(PIECE_MODEL))
 
 
-#: Wanted shares of words by domain.
+#: Wanted shares of tokens by domain.
 MIX = {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2, "toxic": 0.0}
 
 
@@ -52,10 +52,12 @@ def mix_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
     from tessera.llm.mixing import mixing_rates
 
     docs, labels = plain(table(spark, sf_dir, "documents"), "doc_id", "text", "lang"), plain(table(spark, sf_dir, "labels"), "doc_id", "toxic")
-    return mixing_rates(docs, mix_labels(docs, labels), MIX)
+    return mixing_rates(docs, mix_labels(docs, labels), MIX, tokenizer=public_tokenizers.path(TOKENIZER))
 
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

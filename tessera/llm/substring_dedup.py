@@ -29,7 +29,7 @@ A shard's partition is cut into indexes of at most ``INDEX_WORDS`` words (or one
 distinct segments), so memory follows the shuffle partition size. Hashes only decide where segments go: in
 a shard words are compared as words.
 
-Edge cases: a null text has no words. Rows with a null key, or with a key that is no whole number, remove nothing and lose nothing. Rows that repeat a
+Edge cases: a null text has no words. Rows with a null key remove nothing and lose nothing; a key that is no whole number is an error. Rows that repeat a
 key don't count as smaller than each other. Texts shorter than ``span`` words
 keep all. Empty tables give empty results. Other columns are carried through
 ``keep`` only.
@@ -388,8 +388,9 @@ def _cut(text: bytes, runs: list[tuple[int, int]]) -> tuple[list[bytes], int]:
 
 
 def _numbered(docs: DataFrame, key: str, text: str, *more) -> DataFrame:
-    """key (whole numbers, else null), text, and tid, by which rows that repeat a key are told apart."""
+    """key, text, and tid, by which rows that repeat a key are told apart."""
     whole = F.col(key).try_cast("long")
+    whole = F.when(whole.isNull() & F.col(key).isNotNull(), F.raise_error(F.lit(f"{key}: keys must be whole numbers, since the smaller one keeps a passage"))).otherwise(whole)
     return docs.select(whole.alias("key"), F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256)).alias("tid"), F.coalesce(F.col(text), F.lit("")).alias("text"), *more)
 
 

@@ -17,12 +17,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 SLICE_BYTES = 1 << 20
 SLICE_ROWS = 1 << 15
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
+_SEED = 0x1F83D9ABFB41BD6B
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -63,24 +65,8 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE = mix64(np.arange(1, 257, dtype=_U) * _U(0xD1342543DE82EF95))
-_powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, dtype=_U), np.ones(1, dtype=_U))
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0..n-1 of the base and of its inverse modulo 2**64; the usual size is kept per worker."""
-    global _powers
-    if len(_powers[0]) >= n:
-        return _powers
-    inverse = pow(_BASE, -1, 1 << 64)
-    tables = []
-    for b in (_BASE, inverse):
-        t = np.full(n, _U(b), dtype=_U)
-        t[0] = 1
-        tables.append(np.multiply.accumulate(t))
-    if n <= 4 * SLICE_BYTES:
-        _powers = (tables[0], tables[1])
-    return tables[0], tables[1]
+#: Words up to so many bytes are hashed together, eight bytes at a time; longer ones one by one.
+_TOGETHER = 64
 
 
 def column_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -129,7 +115,10 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    """A 64-bit hash of each word's bytes; ``lower`` maps A-Z to a-z first."""
+    """A 64-bit hash of each word's bytes; ``lower`` maps A-Z to a-z first.
+
+    Every eight bytes are mixed into the state by a non-linear bijection, so no family of words collides by construction.
+    """
     out = np.empty(len(starts), dtype=_U)
     i = 0
     while i < len(starts):
@@ -138,11 +127,23 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
         part = data[base : int(ends[j - 1])]
         if lower:
             part = _LOWER[part]
-        up, down = _power_tables(len(part) + 1)
-        run = np.zeros(len(part) + 1, dtype=_U)
-        np.cumsum(_BYTE[part] * up[: len(part)], out=run[1:])
-        s, e = starts[i:j] - base, ends[i:j] - base
-        out[i:j] = mix64((run[e] - run[s]) * down[s] + (e - s).astype(_U) * _U(0xA0761D6478BD642F))
+        s, size = starts[i:j] - base, ends[i:j] - starts[i:j]
+        padded = np.concatenate([part, np.zeros(8, np.uint8)])
+        eight = np.ndarray((len(part) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each place on
+        state = mix64(size.astype(_U) * _U(0xA0761D6478BD642F) + _U(_SEED))
+        live = np.flatnonzero((size > 0) & (size <= _TOGETHER))
+        at = 0
+        while len(live):
+            left = np.minimum(size[live] - at, 8).astype(_U)
+            taken = eight[s[live] + at] & (_U(_MASK) >> (_U(64) - _U(8) * left))
+            state[live] = mix64((state[live] ^ taken) * _U(_BASE) + _U(at))
+            at += 8
+            live = live[size[live] > at]
+        raw = None
+        for w in np.flatnonzero(size > _TOGETHER).tolist():
+            raw = part.tobytes() if raw is None else raw
+            state[w] = xxhash.xxh3_64_intdigest(raw[s[w] : s[w] + size[w]], _SEED)
+        out[i:j] = state
         i = j
     return out
 

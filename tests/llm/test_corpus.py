@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import fingerprint, jaccard, mixing, piece_dropout, quality, queries, substring_dedup, token_counts, topk, url_filter, warc
+from tessera.llm import encoders, fingerprint, jaccard, mixing, piece_dropout, quality, queries, substring_dedup, token_counts, topk, url_filter, warc
 from tessera.operators.components import connected_components, stars
 from tessera.llm.fm_index import FMIndex
 from tessera.llm.shared import Scratch
@@ -71,6 +71,55 @@ def test_word_hashes_do_not_depend_on_place():
 
 
 # 1 quality
+def test_words_that_collide_in_a_polynomial_do_not_here(spark):
+    """Words of two letters in Thue-Morse order collide under every polynomial hash modulo 2^64."""
+    a = "".join("ab"[i.bit_count() & 1] for i in range(1024))
+    b = a.translate(str.maketrans("ab", "ba"))
+    for u, v in ((a, b), (a[:64], b[:64]), (a[:63], a[:64]), ("x" * 65, "x" * 66), ("a", "b")):
+        data = np.frombuffer(f"{u} {v}".encode(), np.uint8)
+        h = word_hashes(data, np.array([0, len(u) + 1]), np.array([len(u), len(data)]))
+        assert h[0] != h[1]
+    docs = spark.createDataFrame([(1, a), (2, b), (3, a.upper())], "doc_id bigint, text string")
+    assert {r.doc_id: r.component_id for r in jaccard.jaccard_components(docs).collect()} == {1: 1, 2: 2, 3: 1}
+
+
+def test_fits_take_one_row_a_key(spark):
+    """A labelled id that thousands of rows repeat gives the driver one row."""
+    docs = spark.createDataFrame([(1, f"good plain words number {i}") for i in range(3000)] + [(i, "bad " * i) for i in range(2, 40)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i == 1), str(i == 1)) for i in range(1, 40)], "doc_id bigint, quality int, domain string")
+    fits = []
+    for module, name in ((quality, "fit_model"), (mixing.DomainClassifier, "_learn")):
+        real = getattr(module, name)
+
+        def seen(*args, real=real):
+            fits.append(max(len(x) for x in args if isinstance(x, (list, np.ndarray)) and len(x) <= 3100))
+            return real(*args)
+
+        setattr(module, name, seen)
+        try:
+            if name == "fit_model":
+                quality.QualityClassifier().fit(docs, labels)
+            else:
+                mixing.DomainClassifier().fit(docs, labels.select("doc_id", "domain"))
+        finally:
+            setattr(module, name, real)
+    assert fits[1] == 39 and fits[0] < 3000
+
+
+def test_encoders_give_the_libraries_tokens(odd):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(queries.TOKENIZER)
+    own, library = encoders.ByteBpe(path), Tokenizer.from_file(path)
+    texts = [r.text or "" for r in odd.collect()] + ["<|endoftext|> a<|endoftext|>", "don't I'LL we've  \n\n x\u00a0y\u3000z\u2028", "\u0130\u0307 \U0001f600 \u0e01\u0e33", "\x00\x1f\x7f\x85 \r\n"]
+    assert own.quick is not None
+    assert own.count(texts) == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    library.encode_special_tokens = True
+    assert own.encode(texts) == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert all(b"".join(own.table[i] for i in ids) == t.encode() for t, ids in zip(texts, own.encode(texts)))
+
+
 def test_quality_held_out_accuracy(spark, sf_dir):
     got = queries.op1_quality(spark, sf_dir)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality is not null")
@@ -363,7 +412,8 @@ def test_substrings_with_hot_anchors_and_other_keys(spark, monkeypatch):
     named = df.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
     assert {int(x.doc_id): x.n_removed for x in substring_dedup.dedup_substrings(named).collect()} == {k: v[1] for k, v in want.items()}
     odd_keys = df.select(F.concat(F.lit("k"), "doc_id").alias("doc_id"), "text")
-    assert substring_dedup.dedup_substrings(odd_keys).filter("n_removed = 0").count() == 60
+    with pytest.raises(Exception, match="whole numbers"):  # no order of keys, so nothing is left as it is in silence
+        substring_dedup.dedup_substrings(odd_keys).count()
     twice = spark.createDataFrame([(1, " ".join(phrase)), (2, " ".join(phrase)), (2, "x " + " ".join(phrase[:20])), (2, "y")], "doc_id bigint, text string")
     assert sorted((x.doc_id, x.n_words, x.n_removed) for x in substring_dedup.dedup_substrings(twice).collect()) == [(1, 30, 0), (2, 1, 0), (2, 21, 20), (2, 30, 30)]
 
@@ -523,7 +573,7 @@ def test_jaccard_edges(spark, odd, none):
 
 
 def test_components(spark, monkeypatch):
-    import tessera.llm.components as module
+    import tessera.operators.components as module
 
     r = random.Random(13)
     pairs = [(r.randrange(400), r.randrange(400)) for _ in range(300)] + [(i, i + 1) for i in range(1000, 1050)] + [(5, 5), (None, 3)]
@@ -603,7 +653,7 @@ def test_a_damaged_payload_is_an_error(spark, tmp_path):
 # 10 mixing
 def test_rates_meet_the_targets(spark, sf_dir):
     out = queries.op10_mixing(spark, sf_dir).collect()
-    p, w, r = np.array([x.p for x in out]), np.array([x.n_words for x in out]), np.array([x.rate for x in out])
+    p, w, r = np.array([x.p for x in out]), np.array([x.n_tokens for x in out]), np.array([x.rate for x in out])
     names = sorted(queries.MIX)
     got = (p * (w * r)[:, None]).sum(0)
     want = np.array([queries.MIX[n] for n in names]) * w.sum()
@@ -692,4 +742,9 @@ def test_pipeline_edges(spark, sf_dir, odd, none):
         assert {r.doc_id for r in got.collect()} <= {r.doc_id for r in odd.collect()}
     same = spark.createDataFrame([(1, "b c d e f g", "en", "s", 11), (1, "a b c d e f", "en", "s", 11), (2, None, None, None, None), (2, None, None, None, None)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
     kept = corpus_pipeline.near_duplicates(spark, same, sf_dir).collect()
-    assert sorted((r.doc_id, r.text) for r in kept) == [(1, "a b c d e f"), (2, None)]
+    # rows of one id with different texts are different documents; rows without words are copies of nothing
+    assert sorted((r.doc_id, r.text or "") for r in kept) == [(1, "a b c d e f"), (1, "b c d e f g"), (2, ""), (2, "")]
+    rows = [(3, "one two three four five six"), (5, "something quite of its own here"), (5, "one two three four five six"), (5, "something  quite of its own here"), (7, "something quite of its own here"), (None, "one two three four five six")]
+    planted = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = corpus_pipeline.near_duplicates(spark, planted, sf_dir).collect()
+    assert sorted((r.doc_id or -1, r.text) for r in kept) == [(-1, rows[0][1]), (3, rows[0][1]), (5, "something  quite of its own here")]
