@@ -5,7 +5,7 @@
    document with the smallest doc_id stays.
 3. Repeated passages: words covered by a 13-word window that also starts in a document with a
    smaller doc_id go; the text is what is left, joined by one space. The document stays.
-4. Mixing: rates that bring the expected words of each domain to their target shares. Languages
+4. Mixing: rates that bring the expected tokens of each domain to their target shares. Languages
    are only ever raised (the total is chosen so), toxic text goes to rate 0; a document is
    repeated as often as its rate says.
 5. Encoding: every document's pieces under seeded merge dropout, decoded again as proof. Equal rows are
@@ -13,7 +13,9 @@
 
 Every stage reads all that its predecessor kept. All but the last return doc_id,
 text, lang, source, n_chars. Rows with a null doc_id pass stages 1, 3 and 4 and count as
-one document each in stage 2. Of rows that repeat a doc_id stage 2 keeps the one with the smallest text (then lang, source). An empty table gives an empty result.
+one document each in stage 2. Rows that repeat a doc_id
+are told apart by their sets of n-grams: stage 2 keeps one row of each set (the smallest text, then lang, source) unless the set
+links with a smaller doc_id; those without words all stay. An empty table gives an empty result.
 
 SQL can't express the classifier; the pipeline's stages are tested against brute force.
 """
@@ -23,11 +25,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.jaccard import jaccard_components
+from tessera.llm.jaccard import jaccard_components, with_set_ids
 from tessera.llm.mixing import copies, mixing_rates
 from tessera.llm.piece_dropout import round_trip
 from tessera.llm.quality import QualityClassifier, held_out
-from tessera.llm.queries import MIX, PIECE_MODEL, mix_labels
+from tessera.llm.queries import MIX, PIECE_MODEL, TOKENIZER, mix_labels
 from tessera.llm.shared import BROADCAST_KEYS, Scratch, plain, table
 from tessera.llm.substring_dedup import dedup_substrings
 
@@ -48,14 +50,26 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = plain(docs, *COLUMNS)
-    found = Scratch(spark, "near").save(jaccard_components(docs), "found")
+    scratch = Scratch(spark, "near")
+    found = scratch.save(jaccard_components(docs, with_sets=True), "found")
+    repeated = scratch.save(found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
     gone = found.filter("component_id <> doc_id").select("doc_id").distinct()
-    if found.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").limit(1).count():
-        first = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("r")).select("doc_id", "r.*")
-        docs = first.select(*COLUMNS).unionByName(docs.filter("doc_id is null"))
-    if gone.count() <= BROADCAST_KEYS:
-        return docs.join(F.broadcast(gone), "doc_id", "left_anti").select(*COLUMNS)
-    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*COLUMNS)
+    many = repeated.count()
+    if many:
+        # rows of a repeated id are told apart by their sets: of each set one row stays, if nothing smaller links with the set
+        of_set = found.join(_hinted(repeated, many), "doc_id", "left_semi").filter("set_id is not null").groupBy("doc_id", "set_id").agg(F.first("component_id").alias("component_id"))
+        several = with_set_ids(docs.join(_hinted(repeated, many), "doc_id", "left_semi").select(*COLUMNS))
+        first = several.filter("set_id is not null").groupBy("doc_id", "set_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("r"))
+        stay = first.join(of_set.filter("component_id = doc_id"), ["doc_id", "set_id"], "left_semi").select("doc_id", "r.*")
+        gone = gone.unionByName(repeated).distinct()
+        extra = stay.select(*COLUMNS).unionByName(several.filter("set_id is null").select(*COLUMNS))
+    gone = scratch.save(gone, "gone")
+    kept = docs.join(_hinted(gone, gone.count()), "doc_id", "left_anti").select(*COLUMNS)
+    return kept.unionByName(extra) if many else kept
+
+
+def _hinted(keys: DataFrame, count: int) -> DataFrame:
+    return F.broadcast(keys) if count <= BROADCAST_KEYS else keys.hint("shuffle_hash")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,10 +78,12 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
     docs = plain(docs, *COLUMNS)
     labels = plain(table(spark, sf_dir, "labels"), "doc_id", "toxic")
-    rated = mixing_rates(docs, mix_labels(docs, labels), MIX, UPSAMPLE, keep=COLUMNS[1:], ridge=RIDGE)
-    times = rated.withColumn("times", copies(F.col("rate"), F.coalesce("doc_id", F.lit(-1)))).filter("times > 0")
+    rated = mixing_rates(docs, mix_labels(docs, labels), MIX, UPSAMPLE, keep=COLUMNS[1:], ridge=RIDGE, tokenizer=public_tokenizers.path(TOKENIZER))
+    times = rated.withColumn("times", copies(F.col("rate"), F.xxhash64("doc_id", "text"))).filter("times > 0")
     return times.withColumn("copy", F.explode(F.sequence(F.lit(1), "times"))).select(*COLUMNS)
 
 
