@@ -106,6 +106,14 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_facts(assemble(read_warc(spark, f"{scratch.path}/archive", payload=False)))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tessera.llm.token_alignment import align_tokens
+
+    return align_tokens(plain(table(spark, sf_dir, "documents"), "doc_id", "text"), public_tokenizers.path(TOKENIZER), public_tokenizers.path(PIECE_MODEL))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_merge_dropout": op2_merge_dropout,
@@ -117,6 +125,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard": op8_jaccard,
     "op9_warc": op9_warc,
     "op10_mixing": op10_mixing,
+    "op11_token_alignment": op11_token_alignment,
 }
 
 
