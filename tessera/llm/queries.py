@@ -114,6 +114,20 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_tokens(plain(table(spark, sf_dir, "documents"), "doc_id", "text"), public_tokenizers.path(TOKENIZER), public_tokenizers.path(PIECE_MODEL))
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from tessera.llm.merkle import leaf_hash, manifest, verified
+
+    docs = plain(table(spark, sf_dir, "documents"), "doc_id", "source", "lang", "n_chars", "text")
+    even = F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0)
+    cut = F.when(even, F.translate("text", "\n", "")).otherwise(F.col("text"))
+    fields = ("doc_id", "source", "lang", "n_chars")
+    leaves = docs.select("source", "doc_id", leaf_hash(*fields, "text").alias("leaf"), F.when(even & F.col("text").contains("\n"), leaf_hash(*fields, cut)).alias("tampered"))
+    out = verified(manifest(leaves), F.coalesce("tampered", "leaf"))
+    return out.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_merge_dropout": op2_merge_dropout,
@@ -126,6 +140,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc": op9_warc,
     "op10_mixing": op10_mixing,
     "op11_token_alignment": op11_token_alignment,
+    "op13_merkle": op13_merkle,
 }
 
 
@@ -242,5 +257,50 @@ FROM r
 """
 
 
+def _op13_sql() -> str:
+    field = lambda c: f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+    leaf = lambda text: "sha256(" + " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    # crc32 byte by byte: eight shifts each, and the polynomial where a one falls out
+    bits = "list_reduce(list_prepend(x, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)"
+    crc = f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT))), lambda r, b: list_transform([xor(r, b)], lambda x: {bits})[1]), 4294967295)"
+    return f"""
+WITH RECURSIVE l AS (
+  SELECT row_number() OVER () AS row_no, doc_id, source, {leaf('text')} AS leaf, CASE WHEN doc_id IS NOT NULL AND {crc} % 2 = 0 THEN {leaf("replace(text, chr(10), '')")} END AS tampered FROM documents
+), n AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, row_no) - 1 AS i, count(*) OVER (PARTITION BY source) AS c FROM l
+), tree(tree, lvl, i, c, h) AS (
+  SELECT source, 0, i, c, leaf FROM n
+  UNION ALL
+  SELECT tree, lvl + 1, i // 3, (c + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM tree WHERE c > 1 GROUP BY tree, lvl, i // 3, c
+), sub AS (
+  SELECT tree, h, row_number() OVER (ORDER BY tree NULLS FIRST) - 1 AS i, count(*) OVER () AS c FROM tree WHERE c = 1
+), top(lvl, i, c, h) AS (
+  SELECT 0, i, c, h FROM sub
+  UNION ALL
+  SELECT lvl + 1, i // 3, (c + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM top WHERE c > 1 GROUP BY lvl, i // 3, c
+), path(row_no, tree, lvl, i, c) AS (
+  SELECT row_no, source, 0, i, c FROM n UNION ALL SELECT row_no, tree, lvl + 1, i // 3, (c + 2) // 3 FROM path WHERE c > 1
+), up(row_no, lvl, i, c) AS (
+  SELECT n.row_no, 0, s.i, s.c FROM n JOIN sub s ON n.source IS NOT DISTINCT FROM s.tree UNION ALL SELECT row_no, lvl + 1, i // 3, (c + 2) // 3 FROM up WHERE c > 1
+), steps AS (
+  SELECT p.row_no, p.lvl AS k, list(t.h ORDER BY t.i) FILTER (t.i < p.i) AS before, list(t.h ORDER BY t.i) FILTER (t.i > p.i) AS after
+  FROM path p JOIN tree t ON p.tree IS NOT DISTINCT FROM t.tree AND p.lvl = t.lvl AND p.i // 3 = t.i // 3 WHERE p.c > 1 GROUP BY ALL
+  UNION ALL
+  SELECT p.row_no, 1000 + p.lvl, list(t.h ORDER BY t.i) FILTER (t.i < p.i), list(t.h ORDER BY t.i) FILTER (t.i > p.i)
+  FROM up p JOIN top t ON p.lvl = t.lvl AND p.i // 3 = t.i // 3 WHERE p.c > 1 GROUP BY ALL
+), numbered AS (
+  SELECT row_no, row_number() OVER (PARTITION BY row_no ORDER BY k) AS k, coalesce(array_to_string(before, ''), '') AS before, coalesce(array_to_string(after, ''), '') AS after FROM steps
+), proof AS (SELECT row_no, sha256(string_agg(before || after, '' ORDER BY k)) AS proof_sha256, max(k) AS depth FROM numbered GROUP BY row_no),
+folded(row_no, k, h) AS (
+  SELECT row_no, 0, coalesce(tampered, leaf) FROM n
+  UNION ALL
+  SELECT f.row_no, f.k + 1, sha256(s.before || f.h || s.after) FROM folded f JOIN numbered s ON f.row_no = s.row_no AND s.k = f.k + 1
+)
+SELECT n.doc_id, n.leaf, s.h AS subroot, r.h AS root, coalesce(p.proof_sha256, sha256('')) AS proof_sha256, f.h AS folded_root, f.h = r.h AS verified
+FROM n JOIN sub s ON n.source IS NOT DISTINCT FROM s.tree CROSS JOIN (SELECT h FROM top WHERE c = 1) r
+LEFT JOIN proof p ON n.row_no = p.row_no JOIN folded f ON n.row_no = f.row_no AND f.k = coalesce(p.depth, 0)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_substring_dedup": _op6_sql(), "op8_jaccard": _op8_sql(), "op4_topk": _op4_sql(), "op5_urls": _op5_sql(), "op9_warc": _op9_sql()}
+    return {"op6_substring_dedup": _op6_sql(), "op8_jaccard": _op8_sql(), "op4_topk": _op4_sql(), "op5_urls": _op5_sql(), "op9_warc": _op9_sql(), "op13_merkle": _op13_sql()}
