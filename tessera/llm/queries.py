@@ -114,6 +114,12 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_tokens(plain(table(spark, sf_dir, "documents"), "doc_id", "text"), public_tokenizers.path(TOKENIZER), public_tokenizers.path(PIECE_MODEL))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.suffix_dedup import dedup_bytes
+
+    return dedup_bytes(plain(table(spark, sf_dir, "documents"), "doc_id", "text"), digest_only=True)
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -140,6 +146,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc": op9_warc,
     "op10_mixing": op10_mixing,
     "op11_token_alignment": op11_token_alignment,
+    "op12_suffix_dedup": op12_suffix_dedup,
     "op13_merkle": op13_merkle,
 }
 
