@@ -2,8 +2,8 @@
 smoothing, skeletons, watersheds, maxima, gridded local statistics, minimum-cost paths.
 
 Neighbour relations are equi-joins on exact coordinates, so nothing wraps at a
-border. Kernels that are sequential by nature (skeleton, watershed, paths) run one
-volume per Arrow group; their docstrings say so.
+border. Skeletons and watersheds have modules of their own (``thinning``, ``flooding``) and go by this one's name too. The cheapest path of one volume runs in one
+Arrow group; its docstring says so.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 from tessera.operators.components import connected_components
 from tessera.operators.convolve import local_max
+from tessera.operators.flooding import watershed as watershed
+from tessera.operators.thinning import skeletonize as skeletonize
 from tessera.plans.blocks import BLOCK, Shape, box, gather, map_blocks
 from tessera.plans.scratch import Scratch
 
@@ -164,90 +166,6 @@ def _per_volume(vox: DataFrame, function, schema: str) -> DataFrame:
     return vox.groupBy("vol_id").applyInPandas(run, f"vol_id {vox.schema['vol_id'].dataType.simpleString()}, {schema}")
 
 
-def _count_parts(cells: list[tuple[int, int, int]], adjacent) -> int:
-    left, n = set(cells), 0
-    while left:
-        n += 1
-        stack = [left.pop()]
-        while stack:
-            p = stack.pop()
-            near = [q for q in left if adjacent(p, q)]
-            left.difference_update(near)
-            stack += near
-    return n
-
-
-def is_simple(cube: np.ndarray) -> bool:
-    """Whether removing the centre keeps topology: one 26-component of foreground around it, and one face-connected
-    component of background among the 18 nearest that touches its faces."""
-    fore = [p for p in np.ndindex(3, 3, 3) if cube[p] and p != (1, 1, 1)]
-    if _count_parts(fore, lambda p, q: max(abs(a - b) for a, b in zip(p, q)) <= 1) != 1:
-        return False
-    near = [p for p in np.ndindex(3, 3, 3) if not cube[p] and p != (1, 1, 1) and sum(c != 1 for c in p) <= 2]
-    faces = {p for p in near if sum(c != 1 for c in p) == 1}
-    if not faces:
-        return False
-    start = next(iter(faces))
-    seen, stack = {start}, [start]
-    left = set(near) - seen
-    while stack:
-        p = stack.pop()
-        hit = [q for q in left if sum(abs(a - b) for a, b in zip(p, q)) == 1]
-        left.difference_update(hit)
-        seen.update(hit)
-        stack += hit
-    return faces <= seen
-
-
-def skeletonize(vox: DataFrame) -> DataFrame:
-    """Thinning by six border directions: border voxels that are simple and no curve ends are removed one after the other until nothing
-    changes. One volume per group. Gives the voxels that stay."""
-
-    def thin(a: np.ndarray, lo: np.ndarray, _) -> pd.DataFrame:
-        s = np.pad(a > 0, 1)
-        changed = True
-        while changed:
-            changed = False
-            for d in [(0, 0, 1), (0, 0, -1), (0, 1, 0), (0, -1, 0), (1, 0, 0), (-1, 0, 0)]:
-                border = [tuple(p) for p in np.argwhere(s) if not s[tuple(np.array(p) + d)]]
-                for p in border:
-                    cube = s[p[0] - 1 : p[0] + 2, p[1] - 1 : p[1] + 2, p[2] - 1 : p[2] + 2]
-                    if cube.sum() > 2 and is_simple(cube):
-                        s[p] = False
-                        changed = True
-        return pd.DataFrame(np.argwhere(s) - 1 + lo, columns=list(AXES)).astype("int32")
-
-    return _per_volume(vox, thin, "x int, y int, z int")
-
-
-def watershed(vox: DataFrame, seeds: DataFrame, level: float) -> DataFrame:
-    """vol_id, x, y, z, label: flooding of -v from the seeds (vol_id, x, y, z, label) over voxels above the level, by
-    faces, highest first. One volume per group."""
-    both = vox.join(seeds.select("vol_id", *AXES, F.col("label").alias("seed")), ["vol_id", *AXES], "left").select("vol_id", *AXES, F.col("v").cast("double").alias("v"), F.coalesce("seed", F.lit(0)).cast("long").alias("seed"))
-
-    def flood(a: np.ndarray, lo: np.ndarray, df: pd.DataFrame) -> pd.DataFrame:
-        label = np.zeros(a.shape, np.int64)
-        heap, n = [], 0
-        for x, y, z, s in df.loc[df["seed"] > 0, [*AXES, "seed"]].sort_values("seed").to_numpy():
-            p = (x - lo[0], y - lo[1], z - lo[2])
-            label[p] = s
-            heapq.heappush(heap, (-a[p], n, p))
-            n += 1
-        while heap:
-            _, _, p = heapq.heappop(heap)
-            for d in FACES:
-                for sign in (1, -1):
-                    q = tuple(c + sign * e for c, e in zip(p, d))
-                    if all(0 <= c < m for c, m in zip(q, a.shape)) and not label[q] and a[q] > level:
-                        label[q] = label[p]
-                        heapq.heappush(heap, (-a[q], n, q))
-                        n += 1
-        at = np.argwhere(label > 0)
-        return pd.DataFrame({**{c: (at[:, i] + lo[i]).astype("int32") for i, c in enumerate(AXES)}, "label": label[label > 0]})
-
-    return _per_volume(both, flood, "x int, y int, z int, label bigint")
-
-
 def trace_path(vox: DataFrame, ends: DataFrame, least: float = 1 / 60, reward: float = 4.0) -> DataFrame:
     """vol_id, step, x, y, z, cost of the cheapest 26-neighbour path from start to stop, where entering a voxel costs
     max(1 / (reward * v), least) times the step length. ends: vol_id, sx, sy, sz, tx, ty, tz. One volume per group."""

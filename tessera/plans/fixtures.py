@@ -21,6 +21,22 @@ VOX_SQL = """vox AS (
   FROM (SELECT vec_id AS vol_id, unnest(embedding) AS f, unnest(range(len(embedding))) AS p FROM embeddings)
 )"""
 
+def slab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings as one volume: x the vector, y and z its 64 components as 8 x 8."""
+    e = read(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("int").alias("x"), F.posexplode("embedding").alias("p", "f"))
+    return e.select(F.lit(0).cast("long").alias("vol_id"), "x", F.expr("cast(p div 8 as int)").alias("y"), F.expr("cast(p % 8 as int)").alias("z"), F.round((F.col("f").cast("double") + 1) * 100).cast("long").alias("v"))
+
+
+SLAB_SQL = """slab AS (
+  SELECT CAST(0 AS BIGINT) AS vol_id, CAST(vec_id AS INTEGER) AS x, CAST(p // 8 AS INTEGER) AS y, CAST(p % 8 AS INTEGER) AS z, CAST(round((CAST(f AS DOUBLE) + 1) * 100) AS BIGINT) AS v
+  FROM (SELECT vec_id, unnest(embedding) AS f, unnest(range(len(embedding))) AS p FROM embeddings)
+)"""
+#: Bits of the neighbourhood of every voxel of the slab (v > 100 is on), first axis fastest.
+SLAB_CODES_SQL = f"""{SLAB_SQL}, codes AS (
+  SELECT c.vol_id, c.x, c.y, c.z, c.v, sum(CASE WHEN n.v > 100 THEN 1 << CAST((n.x - c.x + 1) + 3 * (n.y - c.y + 1) + 9 * (n.z - c.z + 1) AS BIGINT) ELSE 0 END) AS code
+  FROM slab c JOIN slab n ON n.x BETWEEN c.x - 1 AND c.x + 1 AND n.y BETWEEN c.y - 1 AND c.y + 1 AND n.z BETWEEN c.z - 1 AND c.z + 1 GROUP BY ALL
+)"""
+
 #: Voxels c with the stored voxels n of their 3 x 3 x 3 neighbourhood; g is the centre's value.
 NEIGHBOURS_SQL = f"""{VOX_SQL}, nb AS (
   SELECT c.vol_id, c.x, c.y, c.z, c.v AS g, n.v, n.x - c.x AS dx, n.y - c.y AS dy, n.z - c.z AS dz

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.operators import configuration as C
+from tessera.operators import convolve as K
 from tessera.operators import morphology as M
+from tessera.operators import thinning as S
 from tessera.operators import tracking as R
 from tessera.plans import fixtures as fx
 from tessera.registry import register
@@ -89,6 +92,44 @@ def _watershed(spark, sf_dir):
     return M.watershed(v, seeds, 95)
 
 
+@register("skeletonize_blocks")
+def _skeleton_blocks(spark, sf_dir):
+    """One volume of all embeddings, in blocks smaller than the halo: voxels that stay, and when the others went."""
+    stay, gone = S.thin(fx.slab(spark, sf_dir).withColumn("v", (F.col("v") > 97).cast("int")), block=(64, 8, 4))
+    return stay.withColumn("step", F.lit(0)).unionByName(gone)
+
+
+@register("skeleton_radii")
+def _skeleton_radii(spark, sf_dir):
+    return S.skeleton_radii(*S.thin(fx.slab(spark, sf_dir).withColumn("v", (F.col("v") > 97).cast("int"))))
+
+
+@register("watershed_blocks")
+def _watershed_blocks(spark, sf_dir):
+    v = fx.slab(spark, sf_dir)
+    seeds = K.local_max(v.withColumn("v", F.col("v").cast("double")), 3, 115.0, block=(32, 4, 8)).withColumn("label", F.col("x") * 64 + F.col("y") * 8 + F.col("z") + 1)
+    return M.watershed(v, seeds, 95, block=(32, 4, 8))
+
+
+# faces, opposite faces and rules of the closed table, as SQL on the codes
+_RULES = " OR ".join(f"(c & {m}) = {v}" for m, v in C.table())
+_ON = f"NOT (bit_count(c) <= 2 OR {_RULES})"
+_PAIRS = " OR ".join(f"(c & {p}) = {p}" for p in ((1 << 4) + (1 << 22), (1 << 10) + (1 << 16), (1 << 12) + (1 << 14)))
+_SIX = sum(1 << i for i in (4, 10, 12, 14, 16, 22))
+_OFF = f"bit_count(c) >= 20 OR (({_PAIRS}) AND bit_count(c & {_SIX}) >= 3) OR {_RULES.replace('(c &', '((134217727 - c) &')}"
+
+
+@register("smooth_by_configuration", f"""WITH {fx.SLAB_CODES_SQL}, k AS (SELECT *, CAST(code AS BIGINT) AS c FROM codes)
+SELECT vol_id, x, y, z, CAST(CASE WHEN v > 100 THEN {_ON} ELSE {_OFF} END AS INTEGER) AS v FROM k""")
+def _configuration(spark, sf_dir):
+    return C.smooth_by_configuration(fx.slab(spark, sf_dir).withColumn("v", F.greatest(F.col("v") - 100, F.lit(0))), block=(32, 4, 4))
+
+
+@register("cube_codes_blocks", f"WITH {fx.SLAB_CODES_SQL} SELECT vol_id, x, y, z, CAST(code AS BIGINT) AS v FROM codes")
+def _codes_blocks(spark, sf_dir):
+    return K.cube_codes(fx.slab(spark, sf_dir).withColumn("v", F.greatest(F.col("v") - 100, F.lit(0))), block=(32, 4, 4))
+
+
 @register("trace_path")
 def _trace(spark, sf_dir):
     v = fx.vox(spark, sf_dir)
