@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessera.plans import fixtures as fx
 from tessera.plans.scratch import Scratch
 from tessera.registry import register
-from tessera.sources import slicing, tags, volumes
+from tessera.sources import sliced, slicing, tags, volumes
 
 
 @register("tag_expression", "SELECT printf('tile_%02d_%02d.npy', CAST(n_nationkey AS INTEGER), CAST(n_regionkey AS INTEGER)) AS name, CAST(n_nationkey AS INTEGER) AS X, CAST(n_regionkey AS INTEGER) AS Y FROM nation")
@@ -26,7 +26,7 @@ def _round_trip(fmt: str):
     def run(spark, sf_dir):
         scratch = Scratch(spark, f"volumes-{fmt}")
         files = volumes.encode(fx.vox(spark, sf_dir), fmt, "float32")
-        volumes.write_files(files, f"{scratch.path}/files", lambda v: f"volume_{v}.{fmt}")
+        sliced.write_volumes(files, f"{scratch.path}/files", F.format_string(f"volume_%d.{fmt}", "vol_id"))
         back = volumes.read_volumes(spark, f"{scratch.path}/files/*.{fmt}")
         return back.select(F.regexp_extract("path", r"volume_(\d+)\.", 1).cast("long").alias("vol_id"), "x", "y", "z", F.col("v").cast("long").alias("v"))
 
@@ -37,6 +37,31 @@ for _fmt in ("npy", "tif", "nrrd"):
     register(f"volume_round_trip_{_fmt}", f"WITH {fx.VOX_SQL} SELECT vol_id, x, y, z, v FROM vox")(_round_trip(_fmt))
 
 
+_BOUNDS = {"x": (20, 90), "y": (2, 7), "z": (3, 4)}
+
+
+def _sliced(fmt: str):
+    def run(spark, sf_dir):
+        """All embeddings as one file; a box of it is read by byte ranges."""
+        scratch = Scratch(spark, f"sliced-{fmt}")
+        written = sliced.write_volumes(volumes.encode(fx.slab(spark, sf_dir), fmt, "float32"), f"{scratch.path}/files", F.lit(f"slab.{fmt}"))
+        first = sliced.read_slices(spark, written.first()["path"], _BOUNDS, task_bytes=4096)
+        return first.select("x", "y", "z", F.col("v").cast("long").alias("v"))
+
+    return run
+
+
+for _fmt in ("npy", "tif"):
+    register(f"volume_sliced_read_{_fmt}", f"WITH {fx.SLAB_SQL} SELECT x, y, z, v FROM slab WHERE x >= 20 AND x < 90 AND y >= 2 AND y < 7 AND z = 3")(_sliced(_fmt))
+
+
+@register("volume_headers", "SELECT vec_id AS vol_id, [4, 4, 4]::INTEGER[] AS shape, 'float32' AS dtype FROM embeddings")
+def _headers(spark, sf_dir):
+    scratch = Scratch(spark, "headers")
+    sliced.write_volumes(volumes.encode(fx.vox(spark, sf_dir), "npy", "float32"), f"{scratch.path}/files", F.format_string("volume_%d.npy", "vol_id"))
+    return sliced.headers(spark, f"{scratch.path}/files/*.npy").select(F.regexp_extract("path", r"volume_(\d+)\.", 1).cast("long").alias("vol_id"), "shape", "dtype")
+
+
 @register("tile_columns", "SELECT CAST(p_partkey % 10 AS INTEGER) AS x, CAST(p_partkey // 10 % 10 AS INTEGER) AS y, array_to_string(list(p_name ORDER BY p_partkey // 100), ',') AS paths FROM part GROUP BY ALL")
 def _columns(spark, sf_dir):
     p = fx.read(spark, sf_dir, "part").select((F.col("p_partkey") % 10).cast("int").alias("x"), F.expr("cast(p_partkey div 10 % 10 as int)").alias("y"), F.expr("p_partkey div 100").alias("z"), F.col("p_name").alias("path"))

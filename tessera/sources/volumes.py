@@ -206,7 +206,11 @@ def _rows(batches: Iterator[pa.RecordBatch], decode, bounds) -> Iterator[pa.Reco
 
 
 def catalog(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
-    """path, shape, dtype of volume files."""
+    """path, shape, dtype of volume files: npy and tif by their headers, others are decoded."""
+    if (fmt or format_of(path)) in ("npy", "tif", "tiff"):
+        from tessera.sources.sliced import headers
+
+        return headers(spark, path, fmt)
     decode = DECODERS[fmt or format_of(path)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,7 +235,7 @@ def encode(vox: DataFrame, fmt: str, dtype: str = "float32") -> DataFrame:
 
 
 def write_files(files: DataFrame, folder: str, name: Callable[[object], str]) -> int:
-    """Write (vol_id, content) rows as files; the driver holds one file at a time."""
+    """Write (vol_id, content) rows as files into stores that only Hadoop opens; the driver holds one file at a time. Elsewhere ``sliced.write_volumes`` lets the tasks write."""
     spark = files.sparkSession
     jvm = spark._jvm
     n = 0
@@ -247,9 +251,12 @@ def write_files(files: DataFrame, folder: str, name: Callable[[object], str]) ->
 
 
 def convert(spark: SparkSession, source: str, folder: str, fmt: str, dtype: str = "float32") -> int:
-    """Every file of ``source`` written again in another format under ``folder``, with its own name."""
+    """Every file of ``source`` written again in another format under ``folder``, with its own name; tasks write."""
+    from tessera.sources.sliced import write_volumes
+
     vox = read_volumes(spark, source).withColumnRenamed("path", "vol_id")
-    return write_files(encode(vox, fmt, dtype), folder, lambda p: str(p).rsplit("/", 1)[-1].rsplit(".", 1)[0] + "." + fmt)
+    name = F.concat(F.regexp_extract("vol_id", r"([^/]*)\.[^./]*$", 1), F.lit(f".{fmt}"))
+    return write_volumes(encode(vox, fmt, dtype), folder, name).count()
 
 
 # limits of element types
