@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators import slice_tracing
 from tessera.operators.ordered import smooth
 from tessera.operators.spatial import AXES, best_shift, filter_alignments, overlaps, positions_from_optimization, stitch
 
@@ -128,19 +129,9 @@ def overlay(tiles_vox: DataFrame, positions: DataFrame, colors: DataFrame) -> Da
 
 # slice by slice: a tile whose slices along one axis move for themselves
 def slice_errors(tiles: DataFrame, voxels: DataFrame, pairs: DataFrame, axis: str = "z", max_shift: int = 3) -> DataFrame:
-    """pre, post, s (slice of the overlap along ``axis``), dx, dy, dz, error: the mean squared difference of every shift of post's slice within ``max_shift``
-    across the other two axes. A native join of each voxel with the few shifts that it is compared under."""
-    found = bands(tiles, voxels, pairs)
-    rest = [a for a in AXES if a != axis]
-    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-max_shift, max_shift + 1) for j in range(-max_shift, max_shift + 1)])
-    a = found.filter("side = 0").select("pre", "post", F.col(axis).alias("s"), F.col(rest[0]).alias("p"), F.col(rest[1]).alias("q"), F.col("v").alias("va"))
-    b = found.filter("side = 1").select("pre", "post", F.col(axis).alias("s"), F.col(rest[0]).alias("p"), F.col(rest[1]).alias("q"), F.col("v").alias("vb"))
-    moved = b.withColumn("o", F.explode(steps)).select("pre", "post", "s", (F.col("p") + F.col("o.i")).alias("p"), (F.col("q") + F.col("o.j")).alias("q"), "vb", F.col("o.i").alias("i"), F.col("o.j").alias("j"))
-    both = a.join(moved, ["pre", "post", "s", "p", "q"])
-    d = (F.col("va") - F.col("vb")).cast("double")
-    out = both.groupBy("pre", "post", "s", "i", "j").agg(F.avg(d * d).alias("error"), F.count("*").alias("n"))
-    at = {rest[0]: F.col("i"), rest[1]: F.col("j"), axis: F.lit(0)}
-    return out.select("pre", "post", "s", *[at[x].alias(f"d{x}") for x in AXES], "error", "n")
+    """pre, post, s (slice of the overlap along ``axis``), dx, dy, dz, error, n: the mean squared difference of every shift of post's slice within ``max_shift``
+    across the other two axes. Each voxel travels once."""
+    return slice_tracing.slice_errors(bands(tiles, voxels, pairs), axis, max_shift)
 
 
 def align_slices(errors: DataFrame, least: int = 1) -> DataFrame:
@@ -161,7 +152,10 @@ def smooth_slices(aligned: DataFrame, length: int = 5, window: str = "bartlett")
 def place_slices(tiles: DataFrame, aligned: DataFrame, axis: str = "z", pairs: DataFrame | None = None) -> DataFrame:
     """tile, s (slice of the mosaic along ``axis``), x, y, z: least-squares positions of every slice of every tile. Slices are solved one by one, as
     one group per (slice, component); slices of a tile that no alignment names keep the tile's box."""
-    boxes = pairs if pairs is not None else overlaps(tiles, 64)
+    if pairs is None:
+        widest = tiles.agg(F.max(F.greatest(*[F.col(f"hi{a}") - F.col(f"lo{a}") for a in AXES]))).first()[0]
+        pairs = overlaps(tiles, max(1, int(widest or 1)))
+    boxes = pairs
     at = aligned.join(boxes.select("pre", "post", F.col(f"lo{axis}").alias("_lo")), ["pre", "post"]).withColumn("s", F.col("s") + F.col("_lo"))
     every = tiles.select("tile", *[f"lo{a}" for a in AXES], F.explode(F.sequence(F.col(f"lo{axis}"), F.col(f"hi{axis}") - 1)).alias("s"))
     key = lambda t: F.col("s").cast("long") * (1 << 32) + F.col(t)

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators.components import connected_components
 from tessera.operators.convolve import local_max
+from tessera.operators.distances import distance_transform as distance_transform
 from tessera.operators.flooding import watershed as watershed
 from tessera.operators.thinning import skeletonize as skeletonize
 from tessera.plans.blocks import BLOCK, Shape, box, gather, map_blocks
@@ -135,22 +136,6 @@ def smooth_binary_iterated(vox: DataFrame, iterations: int = 1, low: int = 5, hi
     return vox
 
 
-def _lines(vox: DataFrame, axis: str) -> DataFrame:
-    """d2 along one axis: min over the line of d2(i) + (x - i)^2, in built-in array functions. A line is one row, as long as the volume's extent."""
-    rest = [c for c in ("vol_id", *AXES) if c != axis]
-    lines = vox.groupBy(*rest).agg(F.collect_list(F.struct(F.col(axis).alias("p"), "d2")).alias("l"))
-    least = lambda e: F.array_min(F.transform("l", lambda f: f["d2"] + (e["p"] - f["p"]).cast("double") * (e["p"] - f["p"]).cast("double")))
-    return lines.select(*rest, F.explode(F.transform("l", lambda e: F.struct(e["p"].alias("p"), least(e).alias("d2")))).alias("e")).select("vol_id", *[F.col("e.p").alias(a) if a == axis else F.col(a) for a in AXES], F.col("e.d2").alias("d2"))
-
-
-def distance_transform(vox: DataFrame) -> DataFrame:
-    """vol_id, x, y, z, v: Euclidean distance of foreground voxels to the nearest background voxel; three separable passes. Volumes without background give infinity."""
-    at = vox.select("vol_id", *[F.col(a).cast("int").alias(a) for a in AXES], F.when(F.col("v") > 0, float("inf")).otherwise(0.0).alias("d2"))
-    for a in AXES:
-        at = _lines(at, a)
-    return at.select("vol_id", *AXES, F.sqrt("d2").alias("v"))
-
-
 def _per_volume(vox: DataFrame, function, schema: str) -> DataFrame:
     """function(array, low corner) -> rows, one volume per group: the volume must fit one task."""
 

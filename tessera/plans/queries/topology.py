@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import configuration as C
 from tessera.operators import convolve as K
+from tessera.operators import distances as D
 from tessera.operators import morphology as M
 from tessera.operators import thinning as S
 from tessera.operators import tracking as R
@@ -57,6 +58,23 @@ def _distance(spark, sf_dir):
     return M.distance_transform(fx.vox(spark, sf_dir).withColumn("v", (F.col("v") > 92).cast("int"))).filter(F.col("v") < float("inf")).withColumn("v", F.round("v", 6))
 
 
+_GAP = "sqrt((f.x-b.x)*(f.x-b.x)*0.25 + (f.y-b.y)*(f.y-b.y) + (f.z-b.z)*(f.z-b.z)*4)"
+
+
+@register("distance_anisotropic", f"WITH {fx.SLAB_SQL} SELECT f.vol_id, f.x, f.y, f.z, round(CASE WHEN f.v <= 84 THEN 0 ELSE min({_GAP}) END, 6) AS v FROM slab f JOIN slab b ON b.v <= 84 WHERE f.x < 60 GROUP BY f.vol_id, f.x, f.y, f.z, f.v")
+def _anisotropic(spark, sf_dir):
+    """Distances over the whole slab; the SQL, which compares all pairs, and this report look at its first 60 planes."""
+    got = D.distance_transform(fx.slab(spark, sf_dir).withColumn("v", (F.col("v") > 84).cast("int")), (0.5, 1.0, 2.0))
+    return got.filter("x < 60").withColumn("v", F.round("v", 6))
+
+
+@register("border_distance", f"""WITH {fx.VOX_SQL}, l AS (SELECT *, v > 100 AS id FROM vox), e AS (SELECT DISTINCT a.vol_id, a.x, a.y, a.z FROM l a JOIN l b ON {_FACE} AND a.id <> b.id)
+SELECT f.vol_id, f.x, f.y, f.z, round(min(sqrt((f.x-b.x)*(f.x-b.x) + (f.y-b.y)*(f.y-b.y) + (f.z-b.z)*(f.z-b.z))), 6) AS v FROM l f JOIN e b ON f.vol_id = b.vol_id GROUP BY f.vol_id, f.x, f.y, f.z""")
+def _border_distance(spark, sf_dir):
+    v = fx.vox(spark, sf_dir).select("vol_id", "x", "y", "z", (F.col("v") > 100).alias("id"))
+    return D.border_distance(v).filter(F.col("v") < float("inf")).withColumn("v", F.round("v", 6))
+
+
 @register("reconstruct_dilation")
 def _reconstruct(spark, sf_dir):
     v = fx.vox(spark, sf_dir)
