@@ -184,30 +184,117 @@ def positions_from_tree(alignments: DataFrame, source: int) -> DataFrame:
         done = scratch.save(done.unionByName(front), f"done-{i}")
 
 
-def positions_from_optimization(tiles: DataFrame, alignments: DataFrame, min_quality: float = float("-inf")) -> DataFrame:
+def _tree_start(p: np.ndarray, q: np.ndarray, d: np.ndarray, n: int) -> np.ndarray:
+    """Positions along a spanning tree from node 0, level by level: exact if the alignments agree."""
+    order = np.argsort(np.concatenate([p, q]), kind="stable")
+    other, step = np.concatenate([q, p])[order], np.concatenate([d, -d])[order]
+    begin = np.searchsorted(np.concatenate([p, q])[order], np.arange(n + 1))
+    x, seen, front = np.zeros((n, d.shape[1])), np.zeros(n, bool), np.zeros(1, np.int64)
+    seen[0] = True
+    while len(front):
+        size = begin[front + 1] - begin[front]
+        e = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin[front], size)
+        come = np.repeat(front, size)
+        new, first = np.unique(other[e], return_index=True)
+        first = first[~seen[new]]
+        front = other[e][first]
+        x[front] = x[come[first]] + step[e][first]
+        seen[front] = True
+    return x
+
+
+def solve_layout(p: np.ndarray, q: np.ndarray, d: np.ndarray, n: int, tolerance: float = 1e-10) -> np.ndarray:
+    """Least-squares positions of n connected nodes from x[q] - x[p] = d, node 0 at 0: conjugate gradients on the normal equations, whose matrix is only
+    ever applied edge by edge. Memory: a few numbers for each node and edge."""
+
+    def apply(x: np.ndarray) -> np.ndarray:
+        e = x[q] - x[p]
+        out = np.zeros_like(x)
+        for c in range(x.shape[1]):
+            out[:, c] = np.bincount(q, e[:, c], n) - np.bincount(p, e[:, c], n)
+        return out
+
+    b = np.stack([np.bincount(q, d[:, c], n) - np.bincount(p, d[:, c], n) for c in range(d.shape[1])], axis=1)
+    degree = np.maximum(np.bincount(p, minlength=n) + np.bincount(q, minlength=n), 1)[:, None]
+    x = _tree_start(p, q, d, n)
+    r = b - apply(x)
+    z = r / degree
+    way, rz = z.copy(), (r * z).sum(0)
+    least = tolerance**2 * max(1.0, float((b * b / degree).sum()))
+    for _ in range(10 * n + 100):
+        if rz.sum() <= least:
+            break
+        aw = apply(way)
+        step = rz / np.maximum((way * aw).sum(0), 1e-300)
+        x, r = x + step * way, r - step * aw
+        z = r / degree
+        new = (r * z).sum(0)
+        way, rz = z + new / np.maximum(rz, 1e-300) * way, new
+    return x - x[0]
+
+
+#: Alignments of one component that one task solves; beyond that the matrix-vector product is a distributed aggregation.
+TASK_ALIGNMENTS = 1_000_000
+
+
+def _solve_distributed(edges: DataFrame, scratch: Scratch, tolerance: float = 1e-8, rounds: int = 100_000) -> DataFrame:
+    """component, tile, x, y, z of components that are too large for a task. ``edges``: component, pre, post, dx, dy, dz. Components share the rounds; a round is one
+    join and one aggregation over the edges, and a written table of the nodes."""
+    names = list(AXES)
+    both = edges.select("component", F.col("post").alias("tile"), *[F.col(f"d{a}").cast("double").alias(f"d{a}") for a in names]).unionByName(edges.select("component", F.col("pre").alias("tile"), *[(-F.col(f"d{a}").cast("double")).alias(f"d{a}") for a in names]))
+    near = scratch.save(edges.select(F.col("pre").alias("tile"), F.col("post").alias("other")).unionByName(edges.select(F.col("post").alias("tile"), F.col("pre").alias("other"))), "near")
+    nodes = both.groupBy("component", "tile").agg(F.count("*").cast("double").alias("k"), *[F.sum(f"d{a}").alias(f"r{a}") for a in names])
+    nodes = scratch.save(nodes.select("component", "tile", "k", *[F.lit(0.0).alias(f"x{a}") for a in names], *[f"r{a}" for a in names], *[(F.col(f"r{a}") / F.col("k")).alias(f"w{a}") for a in names]), "cg-0")
+    sums = lambda expr: [F.sum(expr(a)).alias(a) for a in names]
+    rz = {r["component"]: r for r in nodes.groupBy("component").agg(*sums(lambda a: F.col(f"r{a}") * F.col(f"r{a}") / F.col("k"))).collect()}  # a row for each large component
+    start = sum(r[a] for r in rz.values() for a in names)
+    spark = edges.sparkSession
+    numbers = ", ".join(["component bigint", *[f"s{a} double" for a in names]])
+    for i in range(1, rounds + 1):
+        if sum(r[a] for r in rz.values() for a in names) <= tolerance**2 * max(1.0, start):
+            break
+        spread = near.join(nodes.select(F.col("tile").alias("other"), *[F.col(f"w{a}").alias(f"o{a}") for a in names]), "other").groupBy("tile").agg(*[F.sum(f"o{a}").alias(f"o{a}") for a in names])
+        applied = scratch.save(nodes.join(spread, "tile").select(*nodes.columns, *[(F.col("k") * F.col(f"w{a}") - F.col(f"o{a}")).alias(f"a{a}") for a in names]), f"applied-{i}")
+        waw = {r["component"]: r for r in applied.groupBy("component").agg(*sums(lambda a: F.col(f"w{a}") * F.col(f"a{a}"))).collect()}
+        step = spark.createDataFrame([(c, *[rz[c][a] / waw[c][a] if waw[c][a] > 0 else 0.0 for a in names]) for c in rz], numbers)
+        moved = applied.join(F.broadcast(step), "component").select("component", "tile", "k", *[(F.col(f"x{a}") + F.col(f"s{a}") * F.col(f"w{a}")).alias(f"x{a}") for a in names], *[(F.col(f"r{a}") - F.col(f"s{a}") * F.col(f"a{a}")).alias(f"r{a}") for a in names], *[f"w{a}" for a in names])
+        moved = scratch.save(moved, f"moved-{i}")
+        new = {r["component"]: r for r in moved.groupBy("component").agg(*sums(lambda a: F.col(f"r{a}") * F.col(f"r{a}") / F.col("k"))).collect()}
+        turn = spark.createDataFrame([(c, *[new[c][a] / rz[c][a] if rz[c][a] > 0 else 0.0 for a in names]) for c in rz], numbers)
+        nodes = scratch.save(moved.join(F.broadcast(turn), "component").select("component", "tile", "k", *[f"x{a}" for a in names], *[f"r{a}" for a in names], *[(F.col(f"r{a}") / F.col("k") + F.col(f"s{a}") * F.col(f"w{a}")).alias(f"w{a}") for a in names]), f"cg-{i}")
+        scratch.drop(f"cg-{i - 1}", f"applied-{i}", f"moved-{i}")
+        rz = new
+    first = nodes.groupBy("component").agg(F.min_by(F.struct(*[f"x{a}" for a in names]), "tile").alias("o"))
+    return nodes.join(F.broadcast(first), "component").select("component", "tile", *[(F.col(f"x{a}") - F.col(f"o.x{a}")).alias(a) for a in names])
+
+
+def positions_from_optimization(tiles: DataFrame, alignments: DataFrame, min_quality: float = float("-inf"), task_alignments: int = TASK_ALIGNMENTS) -> DataFrame:
     """tile, component, x, y, z: least squares of sum (p_pre + d - p_post)^2 within each component, its first tile at 0.
 
-    Components are solved as Arrow groups: a layout is a mosaic of at most thousands of tiles.
+    Conjugate gradients over the alignments: components of at most ``task_alignments`` in one task each, larger ones as distributed rounds.
     """
+    scratch = Scratch(tiles.sparkSession, "positions")
     parts = layout_components(tiles, alignments, min_quality)
-    good = filter_alignments(alignments, min_quality)
+    good = filter_alignments(alignments, min_quality).filter("pre <> post")
     edges = good.join(parts.select(F.col("tile").alias("pre"), "component"), "pre").select("component", "pre", "post", "dx", "dy", "dz")
+    large = scratch.save(edges.groupBy("component").count().filter(F.col("count") > task_alignments).select("component"), "large")
     alone = parts.select("component", F.col("tile").alias("pre"), F.col("tile").alias("post"), *[F.lit(0.0).alias(f"d{a}") for a in AXES])
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
         ids = np.unique(np.concatenate([rows["pre"], rows["post"]]))
         e = rows[rows["pre"] != rows["post"]]
         p, q = np.searchsorted(ids, e["pre"]), np.searchsorted(ids, e["post"])
-        a = np.zeros((len(e) + 1, len(ids)))
-        a[np.arange(len(e)), q] += 1
-        a[np.arange(len(e)), p] -= 1
-        a[len(e), 0] = 1
-        out = {"component": np.full(len(ids), rows["component"].iloc[0]), "tile": ids}
-        for c in AXES:
-            out[c] = np.linalg.lstsq(a, np.append(e[f"d{c}"].to_numpy(float), 0.0), rcond=None)[0]
-        return pd.DataFrame(out)
-
-    return edges.unionByName(alone).groupBy("component").applyInPandas(solve, "component bigint, tile bigint, x double, y double, z double")
+        x = solve_layout(p, q, e[[f"d{a}" for a in AXES]].to_numpy(float), len(ids)) if len(e) else np.zeros((len(ids), 3))
+        return pd.DataFrame({"component": np.full(len(ids), rows["component"].iloc[0]), "tile": ids, **{a: x[:, i] for i, a in enumerate(AXES)}})
+
+    some = bool(large.take(1))
+    small = edges.unionByName(alone)
+    small = small.join(F.broadcast(large), "component", "left_anti") if some else small
+    out = small.groupBy("component").applyInPandas(solve, "component bigint, tile bigint, x double, y double, z double")
+    if not some:
+        return out
+    big = _solve_distributed(scratch.save(edges.join(F.broadcast(large), "component", "left_semi"), "big"), scratch)
+    return out.unionByName(big)
 
 
 def stitch_weights(shape) -> Column:

@@ -150,6 +150,53 @@ def test_parallel_edges_are_judged_apart(spark):
     assert len(V.trace_veins(g, 1, 1.0).collect()) == len(rows) and g.trace_edges("artery", F.lit(True), 0).count() == len(rows)
 
 
+def _dense(p, q, d, n):
+    a = np.zeros((len(p) + 1, n))
+    a[np.arange(len(p)), q] += 1
+    a[np.arange(len(p)), p] -= 1
+    a[len(p), 0] = 1
+    return np.linalg.lstsq(a, np.vstack([d, np.zeros(d.shape[1])]), rcond=None)[0]
+
+
+def test_conjugate_gradients_are_the_dense_solution():
+    r = np.random.default_rng(4)
+    for n in (1, 2, 5, 40, 120):
+        tree = [(int(r.integers(0, i)), i) for i in range(1, n)]
+        more = [tuple(map(int, r.choice(n, 2, replace=False))) for _ in range(2 * n)] if n > 2 else []
+        p, q = (np.array([e[i] for e in tree + more], int) for i in (0, 1))
+        if not len(p):
+            continue
+        d = r.normal(0, 30, (len(p), 3))
+        assert np.allclose(P.solve_layout(p, q, d, n), _dense(p, q, d, n), atol=1e-6)
+
+
+def test_a_mosaic_of_many_slices():
+    """A grid of 10^5 slices with noise: residuals are at right angles to every move of a slice."""
+    side = 320
+    at = np.arange(side * side).reshape(side, side)
+    p, q = np.concatenate([at[:-1].ravel(), at[:, :-1].ravel()]), np.concatenate([at[1:].ravel(), at[:, 1:].ravel()])
+    d = np.random.default_rng(1).normal(10, 3, (len(p), 3))
+    x = P.solve_layout(p, q, d, side * side, 1e-8)
+    e = x[q] - x[p] - d
+    force = np.stack([np.bincount(q, e[:, c], side * side) - np.bincount(p, e[:, c], side * side) for c in range(3)])
+    assert np.abs(force).max() < 1e-3 and (x[0] == 0).all()
+
+
+@pytest.mark.parametrize("task_alignments", [1_000_000, 6])
+def test_positions_in_tasks_and_in_rounds(spark, task_alignments):
+    r = np.random.default_rng(6)
+    pairs = [(0, 1), (1, 2), (2, 3), (3, 0), (0, 2), (1, 3), (2, 4), (10, 11), (11, 12), (12, 10)]
+    rows = [(a, b, *map(float, r.normal(0, 9, 3)), 1.0) for a, b in pairs]
+    tiles = spark.createDataFrame([(i,) for i in [0, 1, 2, 3, 4, 10, 11, 12, 20]], "tile bigint")
+    df = spark.createDataFrame(rows, "pre bigint, post bigint, dx double, dy double, dz double, quality double")
+    got = {g.tile: (g.component, g.x, g.y, g.z) for g in P.positions_from_optimization(tiles, df, task_alignments=task_alignments).collect()}
+    for ids in ([0, 1, 2, 3, 4], [10, 11, 12]):
+        own = [row for row in rows if row[0] in ids]
+        want = _dense(np.array([ids.index(row[0]) for row in own]), np.array([ids.index(row[1]) for row in own]), np.array([row[2:5] for row in own]), len(ids))
+        assert np.allclose([got[i][1:] for i in ids], want, atol=1e-6) and len({got[i][0] for i in ids}) == 1
+    assert got[20][1:] == (0.0, 0.0, 0.0)
+
+
 def _p(a, b, equal):
     """Two-sided p of a t-test by numerical integration."""
     m, n = len(a), len(b)
