@@ -73,15 +73,11 @@ class ByteBpe:
         return out
 
     def count(self, texts: list[str]) -> list[int]:
-        """Tokens of each text, special strings as one token each (the library's default)."""
-        parts, owner, out = [], [], [0] * len(texts)
-        for i, t in enumerate(texts):
-            cut = self.special.split(t) if self.special is not None and self.special.search(t) else [t]
-            out[i] += len(cut) - 1
-            parts += cut
-            owner += [i] * len(cut)
-        for i, ids in zip(owner, self.encode(parts)):
-            out[i] += len(ids)
+        """Tokens of each text, special strings as one token each (the library's default). The ids of one text are held at a time."""
+        out = []
+        for t in texts:
+            parts = self.special.split(t) if self.special is not None and self.special.search(t) else [t]
+            out.append(len(parts) - 1 + sum(len(ids) for p in parts for ids in self.encode([p])))
         return out
 
 
