@@ -8,13 +8,12 @@ so a place that is not stored hands on none.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.plans.lines import map_lines
+
 AXES = ("x", "y", "z")
 #: Cells (lines times the longest line) that are worked on at a time.
 CELLS = 1 << 20
@@ -61,59 +60,11 @@ def envelope(at: np.ndarray, height: np.ndarray, valid: np.ndarray) -> np.ndarra
     return out
 
 
-def _pass(vox: DataFrame, axis: str, spacing: float) -> DataFrame:
-    """d2 with this axis taken in. vol_id, x, y, z, d2."""
-    rest = [c for c in ("vol_id", *AXES) if c != axis]
-    kind = vox.schema["vol_id"].dataType.simpleString()
-
-    def finish(t: pa.Table, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        size = np.diff(cuts)
-        lo = 0
-        while lo < len(size):
-            hi = lo + 1
-            longest = size[lo]
-            while hi < len(size) and max(longest, size[hi]) * (hi + 1 - lo) <= CELLS:
-                longest = max(longest, size[hi])
-                hi += 1
-            a, b = int(cuts[lo]), int(cuts[hi])
-            part = t.slice(a, b - a)
-            line = np.repeat(np.arange(hi - lo), size[lo:hi])
-            place = np.arange(b - a) - np.repeat(cuts[lo:hi] - a, size[lo:hi])
-            at, height, valid = np.zeros((hi - lo, longest)), np.full((hi - lo, longest), np.inf), np.zeros((hi - lo, longest), bool)
-            at[line, place] = part[axis].to_numpy() * spacing
-            height[line, place] = part["d2"].to_numpy()
-            valid[line, place] = True
-            got = envelope(at, height, valid)[line, place]
-            yield from part.set_column(part.schema.get_field_index("d2"), "d2", pa.array(got)).to_batches()
-            lo = hi
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            t = pa.Table.from_batches([batch])
-            t = (t if held is None else pa.concat_tables([held, t])).combine_chunks()
-            change = np.zeros(t.num_rows - 1, bool)
-            for c in rest:
-                k = t[c].to_numpy()
-                change |= k[1:] != k[:-1]
-            cuts = np.concatenate([[0], np.flatnonzero(change) + 1])
-            if len(cuts) > 1:
-                yield from finish(t, cuts)
-            held = t.slice(int(cuts[-1]))
-        if held is not None:
-            yield from finish(held, np.array([0, held.num_rows]))
-
-    rows = vox.select("vol_id", *AXES, "d2").repartition(*rest).sortWithinPartitions(*rest, axis)
-    return rows.mapInArrow(run, f"vol_id {kind}, x int, y int, z int, d2 double")
-
-
 def distances(vox: DataFrame, spacing: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> DataFrame:
     """vol_id, x, y, z, v: the distance of every stored voxel to the nearest one with ``source`` (boolean); infinity in a volume without any. Null places are left out."""
     at = vox.filter(" and ".join(f"{a} is not null" for a in AXES)).select("vol_id", *[F.col(a).cast("int").alias(a) for a in AXES], F.when(F.coalesce("source", F.lit(False)), 0.0).otherwise(float("inf")).alias("d2"))
     for a, s in zip(AXES, spacing):
-        at = _pass(at, a, float(s))
+        at = map_lines(at, a, "d2", lambda places, heights, valid, s=float(s): envelope(places * s, heights, valid), float("inf"), CELLS)
     return at.select("vol_id", *AXES, F.sqrt("d2").alias("v"))
 
 

@@ -183,8 +183,8 @@ def trace_path(vox: DataFrame, ends: DataFrame, least: float = 1 / 60, reward: f
     return _per_volume(both, search, "step int, x int, y int, z int, cost double")
 
 
-def local_statistic(vox: DataFrame, function, selem: Shape, spacing: Shape, step: Shape = (1, 1, 1)) -> DataFrame:
-    """vol_id, cx, cy, cz, v: an aggregate column of the voxels in a window of size ``selem`` around grid centres every ``spacing``.
+def windows(vox: DataFrame, selem: Shape, spacing: Shape, step: Shape = (1, 1, 1)) -> DataFrame:
+    """``vox`` once for each window (cx, cy, cz) of size ``selem`` around grid centres every ``spacing`` that holds the voxel.
 
     Centre number c sits at c * spacing + spacing // 2. A voxel is sent to the few centres whose
     window holds it; ``step`` takes every n-th voxel only.
@@ -197,8 +197,13 @@ def local_statistic(vox: DataFrame, function, selem: Shape, spacing: Shape, step
         base = s // 2 - n // 2
         first = F.greatest(F.ceil((F.col(a) - base - n + 1) / s), F.lit(0)).cast("int")
         last = F.least(F.floor((F.col(a) - base) / s), F.floor(F.greatest(F.col(f"hi{a}") - s // 2, F.lit(0)) / s)).cast("int")
-        rows = rows.withColumn("_f", first).withColumn("_l", last).filter("_f <= _l").withColumn(f"c{a}", F.explode(F.sequence("_f", "_l"))).drop("_f", "_l")
-    return rows.groupBy("vol_id", *[f"c{a}" for a in AXES]).agg(function.alias("v"))
+        rows = rows.withColumn("_f", first).withColumn("_l", last).filter("_f <= _l").withColumn(f"c{a}", F.explode(F.sequence("_f", "_l"))).drop("_f", "_l", f"hi{a}")
+    return rows
+
+
+def local_statistic(vox: DataFrame, function, selem: Shape, spacing: Shape, step: Shape = (1, 1, 1)) -> DataFrame:
+    """vol_id, cx, cy, cz, v: an aggregate column of the voxels in each of the ``windows``."""
+    return windows(vox, selem, spacing, step).groupBy("vol_id", *[f"c{a}" for a in AXES]).agg(function.alias("v"))
 
 
 def local_percentile(vox: DataFrame, share: float, selem: Shape, spacing: Shape, step: Shape = (1, 1, 1)) -> DataFrame:
@@ -249,24 +254,26 @@ def equalize_local(vox: DataFrame, low: float, high: float, top: float, selem: S
     return vox.join(p0, ["vol_id", *AXES]).join(p1, ["vol_id", *AXES]).select("vol_id", *AXES, (F.col("v") * f).alias("v"))
 
 
-def threshold_isodata(vox: DataFrame) -> DataFrame:
-    """vol_id, level: the largest value t at which t is the middle between the means of v <= t and v > t (rounded down); 1 if there is none."""
-    h = vox.groupBy("vol_id", "v").agg(F.count("*").alias("n"))
-    entries = h.groupBy("vol_id").agg(F.array_sort(F.collect_list(F.struct("v", "n"))).alias("h"))  # at most one entry per grey value
+def threshold_isodata(vox: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """``keys`` (vol_id), level: the largest value t at which t is the middle between the means of v <= t and v > t (rounded down); 1 if there is none."""
+    keys = keys or ["vol_id"]
+    h = vox.groupBy(*keys, "v").agg(F.count("*").alias("n"))
+    entries = h.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("v", "n"))).alias("h"))  # at most one entry per grey value
 
     def level(df):
         for part in df:
             out = []
-            for vol, hist in zip(part["vol_id"], part["h"]):
+            for hist in part["h"]:
                 v, n = np.array([x["v"] for x in hist], float), np.array([x["n"] for x in hist], float)
                 c, s = np.cumsum(n), np.cumsum(n * v)
                 with np.errstate(divide="ignore", invalid="ignore"):
                     mid = (s / c + (s[-1] - s) / (c[-1] - c)) / 2
                 ok = np.flatnonzero((c < c[-1]) & (mid >= v) & (mid < np.append(v[1:], np.inf)))
-                out.append((vol, float(v[ok[-1]]) if len(ok) else 1.0))
-            yield pd.DataFrame(out, columns=["vol_id", "level"])
+                out.append(float(v[ok[-1]]) if len(ok) else 1.0)
+            yield part[keys].assign(level=out)
 
-    return entries.mapInPandas(level, f"vol_id {vox.schema['vol_id'].dataType.simpleString()}, level double")
+    kinds = ", ".join(f"{k} {vox.schema[k].dataType.simpleString()}" for k in keys)
+    return entries.mapInPandas(level, f"{kinds}, level double")
 
 
 def skeleton_ends(skeleton: DataFrame) -> DataFrame:

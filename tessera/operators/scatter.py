@@ -82,6 +82,19 @@ def measure_expression(points: DataFrame, vox: DataFrame, method: str = "max", r
     return near.join(vox, [*keys, *AXES]).groupBy("point_id").agg(_MEASURES[method]("v").alias("v"))
 
 
+def measure_list(points: DataFrame, vox: DataFrame, offsets: DataFrame, method: str = "max", count: str = "count") -> DataFrame:
+    """point_id, v: max, min, mean or sum of the voxels at the first ``count`` (a column of points) of the offsets (dx, dy, dz, rank from 0) around each point; null where none is stored.
+
+    Offsets are a table whose size comes from parameters; it is broadcast.
+    """
+    keys = ["vol_id"] if "vol_id" in vox.columns else []
+    at = points.select("point_id", *keys, *[F.col(a).cast("int").alias(f"p{a}") for a in AXES], F.col(count).alias("_k"))
+    near = at.join(F.broadcast(offsets.select("dx", "dy", "dz", "rank")), F.col("rank") < F.col("_k"))
+    near = near.select("point_id", *keys, *[(F.col(f"p{a}") + F.col(f"d{a}")).alias(a) for a in AXES])
+    found = near.join(vox, [*keys, *AXES]).groupBy("point_id").agg(_MEASURES[method]("v").alias("v"))
+    return points.select("point_id").join(found, "point_id", "left")
+
+
 def measure_radius(points: DataFrame, vox: DataFrame, offsets: DataFrame, value: Column | None = None, fraction: float | None = None, default: float | None = None) -> DataFrame:
     """point_id, radius: distance of the first offset (by rank) whose voxel is at most ``value`` (a column of points), or ``fraction`` of the centre; ``default`` if there is none."""
     keys = ["vol_id"] if "vol_id" in vox.columns else []

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from tessera.operators import connect as C
 from tessera.operators import graph as G
 from tessera.operators import morphology as M
+from tessera.operators import polylines as L
+from tessera.operators import scatter as S
+from tessera.operators import vessel_filters as VF
 from tessera.operators import vessels as V
 from tessera.plans import fixtures as fx
 from tessera.registry import register
@@ -142,6 +145,75 @@ def _branches(spark, sf_dir):
     return V.clean_open_branches(fx.vox(spark, sf_dir).filter("v > 110"), 2)
 
 
+_W = [0.1353352832366127**4, 0.1353352832366127, 1.0, 0.1353352832366127, 0.1353352832366127**4]
+_K = ", ".join(f"({d}, {w / sum(_W)!r}::DOUBLE)" for d, w in zip(range(-2, 3), _W))
+_MIRROR = lambda a: f"CASE WHEN {a} + d < 0 THEN -({a} + d) - 1 WHEN {a} + d > 3 THEN 7 - ({a} + d) ELSE {a} + d END"
+
+
+@register("vessel_deconvolve", f"""WITH {fx.VOX_SQL}, w(d, k) AS (VALUES {_K}), s AS (SELECT *, CASE WHEN v > 110 THEN CAST(v AS DOUBLE) ELSE 0 END AS s FROM vox),
+a AS (SELECT p.vol_id, p.x, p.y, p.z, p.v, sum(q.s * k) AS s FROM s p, w, s q WHERE q.vol_id = p.vol_id AND q.y = p.y AND q.z = p.z AND q.x = {_MIRROR('p.x')} GROUP BY ALL),
+b AS (SELECT p.vol_id, p.x, p.y, p.z, p.v, sum(q.s * k) AS s FROM a p, w, a q WHERE q.vol_id = p.vol_id AND q.x = p.x AND q.z = p.z AND q.y = {_MIRROR('p.y')} GROUP BY ALL)
+SELECT vol_id, x, y, z, round(CASE WHEN v > 110 THEN v ELSE v - least(v, s) END, 6) AS v FROM b""")
+def _deconvolve(spark, sf_dir):
+    v = fx.vox(spark, sf_dir).withColumn("on", F.col("v") > 110)
+    return VF.deconvolve(v, 0.5).withColumn("v", F.round("v", 6))
+
+
+@register("vessel_threshold_adaptive", f"""WITH {fx.VOX_SQL}, g AS (SELECT vol_id, CAST(x // 2 AS INTEGER) AS cx, CAST(y // 2 AS INTEGER) AS cy, CAST(z // 2 AS INTEGER) AS cz, quantile_cont(CAST(v AS DOUBLE), 0.5) AS q FROM vox GROUP BY ALL),
+t AS (SELECT *, greatest(least((x - 1) / 2.0, 1.0), 0.0) AS tx, greatest(least((y - 1) / 2.0, 1.0), 0.0) AS ty, greatest(least((z - 1) / 2.0, 1.0), 0.0) AS tz FROM vox)
+SELECT t.vol_id, x, y, z, v, round(sum(q * (CASE cx WHEN 1 THEN tx ELSE 1 - tx END) * (CASE cy WHEN 1 THEN ty ELSE 1 - ty END) * (CASE cz WHEN 1 THEN tz ELSE 1 - tz END)), 6) AS level
+FROM t JOIN g ON t.vol_id = g.vol_id GROUP BY ALL""")
+def _adaptive(spark, sf_dir):
+    return VF.threshold_adaptive(fx.vox(spark, sf_dir), (2, 2, 2), (2, 2, 2), share=0.5).withColumn("level", F.round("level", 6))
+
+
+@register("vessel_binarize_adaptive")
+def _binarize_adaptive(spark, sf_dir):
+    return VF.binarize_adaptive(fx.slab(spark, sf_dir), (60, 6, 6), (20, 4, 4))
+
+
+@register("vessel_postprocess")
+def _postprocess(spark, sf_dir):
+    return VF.postprocess(fx.slab(spark, sf_dir).withColumn("v", (F.col("v") > 97).cast("int")), 3, block=(64, 8, 8))
+
+
+def _polylines(spark, sf_dir):
+    """Each edge as three points: its ends in the plane z = 0, and a point above their middle."""
+    v, e = fx.graph(spark, sf_dir)
+    at = lambda end: v.select(F.col("vid").alias(end), F.struct("x", "y", F.lit(0.0).alias("z"), F.col("radius").alias("r")).alias(f"_{end}"))
+    both = e.join(at("src"), "src").join(at("dst"), "dst")
+    middle = F.struct(*[((F.col("_src")[c] + F.col("_dst")[c]) / 2 + (5 if c == "z" else 0)).alias(c) for c in ("x", "y", "z", "r")])
+    return both.select("src", "dst", F.array("_src", middle, "_dst").alias("geometry"))
+
+
+@register("edge_polylines_resized", f"""{_G}, p AS (SELECT src, dst, a.x AS ax, a.y AS ay, 0.0::DOUBLE AS az, a.radius AS ar, b.x AS bx, b.y AS b_y, 0.0::DOUBLE AS bz, b.radius AS br FROM edges JOIN vertices a ON src = a.vid JOIN vertices b ON dst = b.vid),
+m AS (SELECT *, (ax + bx) / 2 AS mx, (ay + b_y) / 2 AS m_y, (az + bz) / 2 + 5 AS mz, (ar + br) / 2 AS mr FROM p), k AS (SELECT unnest(range(5)) AS pos)
+SELECT src, dst, CAST(pos AS INTEGER) AS pos, {", ".join(f"round(CASE WHEN pos <= 2 THEN {a} + ({m} - {a}) * pos / 2 ELSE {m} + ({b} - {m}) * (pos - 2) / 2 END, 6) AS {n}" for n, a, m, b in (("x", "ax", "mx", "bx"), ("y", "ay", "m_y", "b_y"), ("z", "az", "mz", "bz"), ("r", "ar", "mr", "br")))} FROM m, k""")
+def _resized(spark, sf_dir):
+    e = L.resize(_polylines(spark, sf_dir), F.lit(5)).select("src", "dst", F.posexplode("geometry").alias("pos", "p"))
+    return e.select("src", "dst", "pos", *[F.round(F.col("p")[c], 6).alias(c) for c in ("x", "y", "z", "r")])
+
+
+@register("edge_polylines_length", f"{_G} SELECT src, dst, round(2 * sqrt(((a.x - b.x) ** 2 + (a.y - b.y) ** 2) / 4 + 25), 6) AS length FROM edges JOIN vertices a ON src = a.vid JOIN vertices b ON dst = b.vid")
+def _polyline_length(spark, sf_dir):
+    return _polylines(spark, sf_dir).select("src", "dst", F.round(L.length(), 6).alias("length"))
+
+
+@register("edge_polylines_from_property", f"{_G} SELECT src, dst, radius AS label, CAST(3 AS INTEGER) AS points FROM edges")
+def _from_property(spark, sf_dir):
+    e = _polylines(spark, sf_dir).join(fx.graph(spark, sf_dir)[1].select("src", "dst", "radius"), ["src", "dst"])
+    marked = L.set_points(e, F.col("radius"), "label")
+    return marked.select("src", "dst", F.array_min(F.transform("geometry", lambda p: p["label"])).alias("label"), F.size("geometry").alias("points"))
+
+
+@register("measure_list", f"""WITH {fx.VOX_SQL}, o(dx, dy, dz, k) AS (VALUES (0, 0, 0, 0), (-1, 0, 0, 1), (0, -1, 0, 2), (0, 0, -1, 3), (0, 0, 1, 4), (0, 1, 0, 5), (1, 0, 0, 6))
+SELECT p.vol_id * 64 + p.x * 16 + p.y * 4 + p.z AS point_id, sum(q.v)::BIGINT AS v FROM vox p, o, vox q WHERE k < p.v % 8 AND q.vol_id = p.vol_id AND q.x = p.x + dx AND q.y = p.y + dy AND q.z = p.z + dz AND p.v % 8 > 0 GROUP BY ALL""")
+def _measure_list(spark, sf_dir):
+    v = fx.vox(spark, sf_dir)
+    points = v.select((F.col("vol_id") * 64 + F.col("x") * 16 + F.col("y") * 4 + F.col("z")).alias("point_id"), "vol_id", "x", "y", "z", (F.col("v") % 8).alias("count"))
+    return S.measure_list(points, v, S.sphere_offsets(spark, (1, 1, 1)), "sum").filter("v is not null")
+
+
 def _broken(spark, sf_dir):
     """Bright voxels are the mask, and their own skeleton."""
     on = F.col("v") > 112
