@@ -23,9 +23,13 @@ def _mean(spark, sf_dir):
     return K.correlate(fx.vox(spark, sf_dir), K.filter_kernel("mean", (3, 3, 3))).withColumn("v", F.round("v", 6))
 
 
-@register("dog_filter")
+_DOG = K.filter_kernel("dog", (3, 3, 3))
+_DOG_AT = " ".join(f"WHEN dx = {i - 1} AND dy = {j - 1} AND dz = {k - 1} THEN {float(_DOG[i, j, k])!r}::DOUBLE" for i in range(3) for j in range(3) for k in range(3))
+
+
+@register("dog_filter", f"{_N} SELECT vol_id, x, y, z, round(greatest(sum(v * CASE {_DOG_AT} END), 0), 6) + 0 AS v FROM nb GROUP BY vol_id, x, y, z")
 def _dog(spark, sf_dir):
-    return K.dog_filter(fx.vox(spark, sf_dir), (3, 3, 3))
+    return K.dog_filter(fx.vox(spark, sf_dir), (3, 3, 3)).withColumn("v", F.round("v", 6) + 0.0)
 
 
 @register("convolve_points", f"{_N} SELECT vol_id, x, y, z, CAST(sum(v) AS DOUBLE) AS v FROM nb WHERE g > 115 GROUP BY vol_id, x, y, z")

@@ -177,7 +177,9 @@ def _components(spark, sf_dir):
     return P.layout_components(_tiles(spark, sf_dir), _alignments(spark, sf_dir))
 
 
-@register("layout_positions_from_tree")
+@register("layout_positions_from_tree", f"""WITH RECURSIVE {_PAIRS}, b AS (SELECT pre AS s, post AS t FROM pairs UNION ALL SELECT post, pre FROM pairs),
+r(tile, steps) AS (SELECT CAST(21 AS BIGINT), 0 UNION SELECT b.t, r.steps + 1 FROM r JOIN b ON b.s = r.tile WHERE r.steps < 80)
+SELECT tile, CAST(tile % 3 - 21 % 3 AS DOUBLE) AS x, CAST(tile % 4 - 21 % 4 AS DOUBLE) AS y, CAST(tile % 5 - 21 % 5 AS DOUBLE) AS z, CAST(min(steps) AS INTEGER) AS steps FROM r GROUP BY tile""")
 def _tree(spark, sf_dir):
     return P.positions_from_tree(_alignments(spark, sf_dir), 21)
 

@@ -85,7 +85,11 @@ _banded("sum_percentile", f"coalesce(sum(v) {_IN}, 0)", "BIGINT")
 _banded("subtract_mean_percentile", f"round(coalesce((g - avg(v) {_IN} + {BINS}) / 2, 0), 6)", "DOUBLE")
 
 
-@register("rank_otsu")
+@register("rank_otsu", f"""WITH {fx.NEIGHBOURS_SQL}, c AS (
+  SELECT vol_id, x, y, z, v, count(*) OVER w AS c, sum(v) OVER w AS s, count(*) OVER k AS n, sum(v) OVER k AS t FROM nb
+  WINDOW k AS (PARTITION BY vol_id, x, y, z), w AS (PARTITION BY vol_id, x, y, z ORDER BY v RANGE UNBOUNDED PRECEDING)),
+o AS (SELECT *, CASE WHEN c < n THEN CAST(c * (n - c) AS DOUBLE) * ((CAST(s AS DOUBLE) / c - CAST(t - s AS DOUBLE) / (n - c)) * (CAST(s AS DOUBLE) / c - CAST(t - s AS DOUBLE) / (n - c))) ELSE -1 END AS score FROM c)
+SELECT vol_id, x, y, z, CAST(CASE WHEN max(score) > 0 THEN first(v ORDER BY score DESC, v) ELSE 0 END AS BIGINT) AS v FROM o GROUP BY vol_id, x, y, z""")
 def _otsu(spark, sf_dir):
     return rank_filter(fx.vox(spark, sf_dir), "otsu", max_bin=BINS)
 
@@ -100,12 +104,14 @@ def _light(spark, sf_dir):
     return rank_filter(fx.vox(spark, sf_dir), "light_sheet_artifact_correction", max_bin=BINS)
 
 
-@register("rank_autolevel_percentile")
+@register("rank_autolevel_percentile", f"""WITH {fx.NEIGHBOURS_SQL}, b AS (SELECT vol_id, x, y, z, g, {_SORTED}[CAST(floor(0.1 * count(*)) AS BIGINT) + 1] AS lo, {_SORTED}[CAST(greatest(1, ceil(0.9 * count(*))) AS BIGINT)] AS hi FROM nb GROUP BY vol_id, x, y, z, g)
+SELECT vol_id, x, y, z, CAST(CASE WHEN hi > lo THEN {BINS - 1} * (least(greatest(g, lo), hi) - lo) // (hi - lo) ELSE 0 END AS BIGINT) AS v FROM b""")
 def _autolevel(spark, sf_dir):
     return rank_filter(fx.vox(spark, sf_dir), "autolevel_percentile", max_bin=BINS, p0=0.1, p1=0.9)
 
 
-@register("rank_enhance_contrast_percentile")
+@register("rank_enhance_contrast_percentile", f"""WITH {fx.NEIGHBOURS_SQL}, b AS (SELECT vol_id, x, y, z, g, {_SORTED}[CAST(greatest(1, ceil(0.1 * count(*))) AS BIGINT)] AS lo, {_SORTED}[CAST(greatest(1, ceil(0.9 * count(*))) AS BIGINT)] AS hi FROM nb GROUP BY vol_id, x, y, z, g)
+SELECT vol_id, x, y, z, CAST(CASE WHEN hi - g < g - lo THEN hi ELSE lo END AS BIGINT) AS v FROM b""")
 def _enhance(spark, sf_dir):
     return rank_filter(fx.vox(spark, sf_dir), "enhance_contrast_percentile", max_bin=BINS, p0=0.1, p1=0.9)
 
