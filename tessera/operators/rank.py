@@ -4,12 +4,14 @@ Every filter looks at the stored voxels of a structure element around each voxel
 (outside and masked voxels don't count) and gives one value per voxel.
 Histogram-type filters have ``max_bin`` bins. Parameters of percentile
 filters are shares (0..1) of the neighbourhood's population. Where a
-neighbourhood is empty the result is 0.
+neighbourhood is empty the result is 0. Box windows are filtered by passes along the axes
+where extrema and sums are enough, and for ranks if they are large; memory doesn't grow with the window then.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -90,6 +92,137 @@ class Neighbourhood:
         return self.where((c >= p0 * n) & (c <= p1 * n))
 
 
+class BoxWindow:
+    """The same facts for box windows of any size, from passes along the axes: a few arrays of the block's size, whatever the window.
+
+    Sums are differences of running sums, extrema are doubled, and ranks come from counts at thresholds on two levels: first of
+    runs of ``fine`` grey values, then inside the run that holds the rank.
+    """
+
+    def __init__(self, values: np.ndarray, stored: np.ndarray, owned: tuple[slice, ...], low: np.ndarray, high: np.ndarray, max_bin: int) -> None:
+        self.values, self.stored, self.owned, self.low, self.high, self.max_bin = values, stored, owned, low, high, max_bin
+        self.g = values[owned]
+        self.n = self._sum(stored.astype(np.int64))
+        self.safe = np.maximum(self.n, 1)
+
+    def _sum(self, a: np.ndarray) -> np.ndarray:
+        for axis in range(3):
+            m = a.shape[axis]
+            run = np.concatenate([np.zeros_like(a.take([0], axis)), np.cumsum(a, axis)], axis)
+            at = np.arange(m)[self.owned[axis]]
+            a = run.take(np.clip(at + self.high[axis] + 1, 0, m), axis) - run.take(np.clip(at + self.low[axis], 0, m), axis)
+        return a
+
+    def _extreme(self, a: np.ndarray, f: Callable, fill: int) -> np.ndarray:
+        for axis in range(3):
+            k = int(self.high[axis] - self.low[axis]) + 1
+            before, after = max(0, -int(self.low[axis])), max(0, int(self.high[axis]))
+            a = np.pad(a, [(before, after) if i == axis else (0, 0) for i in range(3)], constant_values=fill)
+            cut = lambda x, lo, hi, axis=axis: x[tuple(slice(lo, hi) if i == axis else slice(None) for i in range(3))]
+            size = 1
+            while size * 2 <= k:
+                a = f(cut(a, 0, a.shape[axis] - size), cut(a, size, None))
+                size *= 2
+            if k > size:
+                a = f(cut(a, 0, a.shape[axis] - (k - size)), cut(a, k - size, None))
+            first = before + int(self.low[axis])
+            a = a.take(np.arange(self.values.shape[axis])[self.owned[axis]] + first, axis)
+        return np.where(self.n > 0, a, 0)
+
+    @cached_property
+    def _lo(self) -> np.ndarray:
+        return self._extreme(np.where(self.stored, self.values, _BIG), np.minimum, _BIG)
+
+    @cached_property
+    def _hi(self) -> np.ndarray:
+        return self._extreme(np.where(self.stored, self.values, -_BIG), np.maximum, -_BIG)
+
+    @cached_property
+    def _total(self) -> np.ndarray:
+        return self._sum(np.where(self.stored, self.values, 0))
+
+    def lo(self) -> np.ndarray:
+        return self._lo
+
+    def hi(self) -> np.ndarray:
+        return self._hi
+
+    def total(self) -> np.ndarray:
+        return self._total
+
+    def mean(self) -> np.ndarray:
+        return self._total / self.safe
+
+    def std(self) -> np.ndarray:
+        squares = self._sum(np.where(self.stored, self.values**2, 0))
+        return np.sqrt(np.maximum(self.n * squares - self._total**2, 0)) / self.safe
+
+    def below(self, level: int) -> np.ndarray:
+        return self._sum((self.stored & (self.values < level)).astype(np.int64))
+
+    def pick(self, i: np.ndarray) -> np.ndarray:
+        """The value of rank i (from 0) in each window."""
+        rank = np.clip(i, 0, self.safe - 1)
+        out, open_ = np.zeros(self.n.shape, np.int64), self.n > 0
+        if not open_.any():
+            return out
+        first, last = int(self.values[self.stored].min()), int(self.values[self.stored].max())
+        fine = max(1, int(np.sqrt(last - first + 1)))
+        before = np.zeros(self.n.shape, np.int64)
+        for level in range(first, last + 1, fine):
+            upto = self.below(level + fine)
+            here = open_ & (upto > rank)
+            if here.any():  # the run holds the rank of these: its grey values one by one
+                left, under = here.copy(), before
+                for v in range(level, level + fine):
+                    under = self.below(v + 1) if fine > 1 else upto
+                    hit = left & (under > rank)
+                    out[hit] = v
+                    left &= ~hit
+                    if not left.any():
+                        break
+                open_ &= ~here
+                if not open_.any():
+                    break
+            before = upto
+        return out
+
+    def at_share(self, p: float, strict: bool = False) -> np.ndarray:
+        want = p * self.n
+        i = np.floor(want) if strict else np.ceil(want) - 1
+        return self.pick(np.maximum(i, 0).astype(np.int64))
+
+    def sweep(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(value, number of values up to it, their sum) in each window, for every value of the block in order."""
+        for v in np.unique(self.values[self.stored]).tolist():
+            on = self.stored & (self.values <= v)
+            yield v, self._sum(on.astype(np.int64)), self._sum(np.where(on, self.values, 0))
+
+    def band(self, p0: float, p1: float) -> tuple[np.ndarray, np.ndarray]:
+        shape = self.n.shape
+        begun, last = np.zeros(shape, bool), (np.zeros(shape, np.int64), np.zeros(shape, np.int64))
+        base, top = [np.zeros(shape, np.int64) for _ in range(2)], [np.zeros(shape, np.int64) for _ in range(2)]
+        for _, count, total in self.sweep():
+            start = ~begun & (count >= p0 * self.n) & (count > 0)
+            for to, have in zip(base, last):
+                to[start] = have[start]
+            begun |= start
+            inside = begun & (count <= p1 * self.n)
+            for to, have in zip(top, (count, total)):
+                to[inside] = have[inside]
+            last = (count, total)
+        some = begun & (top[0] > base[0])
+        return np.where(some, top[1] - base[1], 0), np.where(some, top[0] - base[0], 0)
+
+    def upto(self, bar: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number, sum) of each window's values that are at most ``bar``."""
+        count, total = np.zeros(self.n.shape, np.int64), np.zeros(self.n.shape, np.int64)
+        for v, c, t in self.sweep():
+            on = bar >= v
+            count[on], total[on] = c[on], t[on]
+        return count, total
+
+
 Filter = Callable[..., np.ndarray]
 
 
@@ -221,6 +354,24 @@ FILTERS: dict[str, tuple[str, Filter]] = {
 }
 
 
+#: Filters that need extrema and sums only, and those that need ranks: box windows are filtered by passes along the axes, the latter from ``LARGE`` cells on.
+BY_SUMS = {"autolevel", "bottomhat", "tophat", "gradient", "mean", "subtract_mean", "maximum", "minimum", "minmax", "enhance_contrast", "pop", "sum", "threshold", "std", "nilblack", "sauvola"}
+BY_RANKS: dict[str, Filter | None] = {
+    "median": None, "percentile": None, "gradient_percentile": None, "autolevel_percentile": None, "enhance_contrast_percentile": None, "threshold_percentile": None,
+    "mean_percentile": None, "pop_percentile": None, "sum_percentile": None, "subtract_mean_percentile": None,
+    "equalize": lambda h: (h.max_bin - 1) * h.upto(h.g)[0] // h.safe,
+    "sum_above_percentile": lambda h, p0=0.5: (lambda a: np.where(h.g <= a, h.g, h.total() - h.upto(a)[1]))(h.at_share(p0)),
+}
+LARGE = 512
+
+
+def _is_box(offsets: np.ndarray) -> bool:
+    if not len(offsets):
+        return False
+    low, high = offsets.min(axis=0), offsets.max(axis=0)
+    return len(np.unique(offsets, axis=0)) == len(offsets) == np.prod(high - low + 1)
+
+
 def rank_filter(vox: DataFrame, name: str, selem: np.ndarray | None = None, mask: DataFrame | None = None, max_bin: int = MAX_BIN, block: Shape = BLOCK, **parameters: float) -> DataFrame:
     """vol_id, x, y, z, v of the named filter. ``selem``: offsets (n x 3), default 3 x 3 x 3; ``mask``: vol_id, x, y, z of the voxels that count."""
     kind, function = FILTERS[name]
@@ -231,7 +382,15 @@ def rank_filter(vox: DataFrame, name: str, selem: np.ndarray | None = None, mask
     if mask is not None:
         vox = vox.join(mask.select("vol_id", "x", "y", "z").distinct(), ["vol_id", "x", "y", "z"], "left_semi")
 
+    axes = _is_box(offsets) and (name in BY_SUMS or (name in BY_RANKS and len(offsets) >= LARGE))
+    by_axes = BY_RANKS.get(name) or function
+
     def kernel(values, stored, _, owned):
+        if axes:
+            got = by_axes(BoxWindow(values, stored, owned, offsets.min(axis=0), offsets.max(axis=0), max_bin), **parameters)
+            whole = np.zeros((*values.shape, *got.shape[3:]), got.dtype)
+            whole[owned] = got
+            return {"v": whole}
         v, s = gather(values, stored, offsets)
         got = function(Neighbourhood(v[owned], s[owned], values[owned], max_bin), **parameters)
         whole = np.zeros((*values.shape, *got.shape[3:]), got.dtype)
