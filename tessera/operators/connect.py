@@ -10,7 +10,6 @@ positive; voxels that are not stored cannot be entered.
 
 from __future__ import annotations
 
-import heapq
 from itertools import product
 
 import numpy as np
@@ -31,48 +30,71 @@ def voxel_cost(score: np.ndarray, stored: np.ndarray, least: float, reward: floa
     return np.where(stored, cost, np.inf)
 
 
+def _flat(a: np.ndarray, fill) -> tuple[np.ndarray, np.ndarray]:
+    """(the array with a border of ``fill``, flattened; what to add to a flat place for a step along each axis)."""
+    wide = np.pad(a, 1, constant_values=fill)
+    return wide.ravel(), np.array([wide.shape[1] * wide.shape[2], wide.shape[2], 1])
+
+
 def cheapest_path(cost: np.ndarray, start: tuple[int, ...], goal: np.ndarray) -> tuple[np.ndarray, float]:
-    """(voxels from start to the cheapest true voxel of ``goal``, total cost); no voxels and infinity if none is reached. Ties go to the smaller position."""
-    best, came, done = {start: 0.0}, {}, set()
-    heap = [(0.0, start)]
-    while heap:
-        c, p = heapq.heappop(heap)
-        if p in done:
-            continue
-        done.add(p)
-        if goal[p]:
-            path = [p]
-            while path[-1] in came:
-                path.append(came[path[-1]])
-            return np.array(path[::-1]), c
-        for d, length in STEPS:
-            q = tuple((d + p).tolist())
-            if min(q) < 0 or any(a >= b for a, b in zip(q, cost.shape)) or q in done:
-                continue
-            new = c + cost[q] * length
-            if new < best.get(q, np.inf):
-                best[q], came[q] = new, p
-                heapq.heappush(heap, (new, q))
-    return np.zeros((0, 3), int), np.inf
+    """(voxels from start to the cheapest true voxel of ``goal``, total cost); no voxels and infinity if none is reached. Of equally cheap goals the first in order counts.
+
+    A wave over arrays: costs are cut into ranges as wide as the cheapest step, and all voxels of the lowest open range are relaxed
+    together, one pass for each of the 26 directions, until the range is settled. It ends with the range that holds the nearest goal.
+    """
+    price, stride = _flat(cost, np.inf)
+    aim, _ = _flat(goal, False)
+    steps = [(int(d @ stride), length) for d, length in STEPS]
+    finite = price[np.isfinite(price)]
+    width = max(float(finite.min()) if len(finite) else 1.0, 1e-9)
+    far, came, open_ = np.full(len(price), np.inf), np.full(len(price), -1), np.zeros(len(price), bool)
+    first = int((np.array(start) + 1) @ stride)
+    far[first], open_[first] = 0.0, True
+    best = 0.0 if aim[first] else np.inf
+    while True:
+        waiting = np.flatnonzero(open_)
+        if not len(waiting) or far[waiting].min() >= best:
+            break
+        top = (np.floor(far[waiting].min() / width) + 1) * width
+        front = waiting[far[waiting] < top]
+        while len(front):
+            open_[front] = False
+            touched = []
+            for step, length in steps:
+                q = front + step
+                new = far[front] + price[q] * length
+                better = new < far[q]
+                q = q[better]
+                far[q], came[q], open_[q] = new[better], front[better], True
+                touched.append(q)
+            q = np.unique(np.concatenate(touched))
+            hit = q[aim[q]]
+            if len(hit):
+                best = min(best, float(far[hit].min()))
+            front = q[far[q] < top]
+    reached = np.flatnonzero(aim & np.isfinite(far))
+    if not len(reached):
+        return np.zeros((0, 3), int), np.inf
+    at = int(reached[far[reached].argmin()])
+    total, path = float(far[at]), [at]
+    while came[path[-1]] >= 0:
+        path.append(int(came[path[-1]]))
+    shape = tuple(n + 2 for n in cost.shape)
+    return np.stack(np.unravel_index(np.array(path[::-1]), shape), axis=1) - 1, total
 
 
 def component_at(mask: np.ndarray, at: tuple[int, ...]) -> np.ndarray:
-    """The 26-connected component of the mask that holds a voxel; empty if the voxel is not in the mask."""
-    got = np.zeros(mask.shape, bool)
-    got[at] = mask[at]
-    size = int(got.sum())
-    while size:
-        for axis in range(3):
-            a = np.moveaxis(got, axis, 0)
-            grown = a.copy()
-            grown[1:] |= a[:-1]
-            grown[:-1] |= a[1:]
-            got = np.moveaxis(grown, 0, axis)
-        got &= mask
-        if (n := int(got.sum())) == size:
-            return got
-        size = n
-    return got
+    """The 26-connected component of the mask that holds a voxel; empty if the voxel is not in the mask. Only the rim of what is found grows."""
+    left, stride = _flat(mask, False)
+    left = left.copy()
+    got = np.zeros(len(left), bool)
+    front = np.array([int((np.array(at) + 1) @ stride)])
+    front = front[left[front]]
+    while len(front):
+        got[front], left[front] = True, False
+        near = np.unique(np.concatenate([front + int(d @ stride) for d, _ in STEPS]))
+        front = near[left[near]]
+    return got.reshape(tuple(n + 2 for n in mask.shape))[1:-1, 1:-1, 1:-1]
 
 
 def nearest(where: np.ndarray, at: np.ndarray) -> np.ndarray | None:
