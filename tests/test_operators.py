@@ -14,7 +14,7 @@ from tessera.operators import scatter as S
 from tessera.operators import spatial as P
 from tessera.operators import tracking as R
 from tessera.operators.graph import Graph
-from tessera.operators import rank as R
+from tessera.operators import rank as RK
 from tessera.operators.rank import FILTERS, rank_filter
 from tessera.sources import slicing, tags, volumes
 
@@ -51,20 +51,20 @@ def test_every_filter_on_flat_and_empty_volumes(spark, name):
     assert rank_filter(flat.limit(0), name, max_bin=16).count() == 0
 
 
-@pytest.mark.parametrize("name", sorted(R.BY_SUMS | set(R.BY_RANKS)))
+@pytest.mark.parametrize("name", sorted(RK.BY_SUMS | set(RK.BY_RANKS)))
 @pytest.mark.parametrize("shape, block", [((3, 3, 3), (64, 64, 32)), ((4, 1, 5), (3, 4, 2))])
 def test_box_windows_by_axes(spark, monkeypatch, name, shape, block):
     """Passes along the axes give what gathered neighbourhoods give, with holes in the volume, even windows and block borders."""
     r = np.random.default_rng(3)
     rows = [(0, x - 2, y, z, int(r.integers(0, 40))) for x in range(8) for y in range(5) for z in range(6) if r.random() > 0.15]
     df = spark.createDataFrame(rows, "vol_id bigint, x int, y int, z int, v int")
-    offsets = R.box(shape)
+    offsets = RK.box(shape)
     parameters = {"p0": 0.2, "p1": 0.7} if name.endswith("_percentile") and not name.startswith(("threshold", "sum_above")) else {}
     got = []
-    for sums, large in ((R.BY_SUMS, 1), (set(), 10**9)):
-        monkeypatch.setattr(R, "BY_SUMS", sums)
-        monkeypatch.setattr(R, "LARGE", large)
-        got.append({(g.x, g.y, g.z): g.v for g in R.rank_filter(df, name, offsets, max_bin=64, block=block, **parameters).collect()})
+    for sums, large in ((RK.BY_SUMS, 1), (set(), 10**9)):
+        monkeypatch.setattr(RK, "BY_SUMS", sums)
+        monkeypatch.setattr(RK, "LARGE", large)
+        got.append({(g.x, g.y, g.z): g.v for g in RK.rank_filter(df, name, offsets, max_bin=64, block=block, **parameters).collect()})
     assert got[0].keys() == got[1].keys() and all(np.allclose(got[0][k], got[1][k]) for k in got[1])
 
 
@@ -72,10 +72,10 @@ def test_windows_of_a_hundred_voxels(spark):
     """One array for each offset would be 10^6 arrays."""
     r = np.random.default_rng(5)
     a = r.integers(0, 200, (40, 40, 3))
-    got = _array(R.rank_filter(_vox(spark, a), "median", R.box((101, 101, 101)), max_bin=256), a.shape)
+    got = _array(RK.rank_filter(_vox(spark, a), "median", RK.box((101, 101, 101)), max_bin=256), a.shape)
     v = np.sort(a.ravel())
     assert (got == v[len(v) // 2]).all()
-    low = _array(R.rank_filter(_vox(spark, a), "minimum", R.box((101, 3, 101))), a.shape)
+    low = _array(RK.rank_filter(_vox(spark, a), "minimum", RK.box((101, 3, 101))), a.shape)
     assert all(low[0, y, 0] == a[:, max(0, y - 1) : y + 2].min() for y in range(40))
 
 
