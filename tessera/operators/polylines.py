@@ -1,7 +1,11 @@
-"""Polylines of edges: arrays of points (structs with x, y, z and other numbers), in built-in array functions. Each edge is a row; nothing is joined or shuffled."""
+"""Polylines of edges: arrays of points (structs with x, y, z and other numbers), in built-in array functions, and in Arrow batches for arc lengths' steps. Each edge is a row; nothing is joined or shuffled but by ``set_geometry``."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,22 +50,36 @@ def length(name: str = "geometry") -> Column:
 
 def resize(edges: DataFrame, count: Column, name: str = "geometry") -> DataFrame:
     """Polylines of ``count`` (at least 2) points at equal steps of arc length; first and last points stay. All numbers of a point are interpolated. A
-    polyline of one point becomes copies of it; empty and null ones stay."""
+    polyline of one point becomes copies of it; empty and null ones stay. Arrow batches of edges: nested lambdas over arrays are evaluated point by point and take far longer."""
     fields = _fields(edges, name)
-    at = edges.withColumns({"_arc": arc_lengths(name), "_n": F.greatest(count.cast("int"), F.lit(2))})
-
-    def point(j: Column) -> Column:
-        t = F.element_at("_arc", -1) * (j - 1) / (F.col("_n") - 1)
-        i = F.greatest(F.lit(1), F.least(F.size(F.filter("_arc", lambda c: c <= t)), F.size(name) - 1))
-        p, q = F.element_at(name, i), F.element_at(name, F.least(i + 1, F.size(name)))
-        span = F.element_at("_arc", F.least(i + 1, F.size(name))) - F.element_at("_arc", i)
-        share = F.when(span > 0, (t - F.element_at("_arc", i)) / span).otherwise(0.0)
-        inner = F.struct(*[(p[c] + (q[c] - p[c]) * share).cast("double").alias(c) for c in fields])
-        end = lambda k: F.struct(*[F.element_at(name, k)[c].cast("double").alias(c) for c in fields])
-        return F.when(j == 1, end(1)).when(j == F.col("_n"), end(-1)).otherwise(inner)
-
-    kind = f"array<struct<{', '.join(f'{c}: double' for c in fields)}>>"
-    return at.withColumn(name, F.when(F.size(name) > 0, F.transform(F.sequence(F.lit(1), "_n"), point)).otherwise(F.col(name).cast(kind))).drop("_arc", "_n")
+    others = [c for c in edges.columns if c != name]
+    kinds = [f"`{c}` {edges.schema[c].dataType.simpleString()}" for c in others]
+    schema = ", ".join([*kinds, f"`{name}` array<struct<{', '.join(f'`{c}`: double' for c in fields)}>>"])
+    k = len(others)
+
+    def one(points: np.ndarray, n: int) -> np.ndarray:
+        if len(points) < 2:
+            return np.repeat(points, n if len(points) else 1, axis=0)
+        place = points[:, [fields.index(c) for c in PLACE]]
+        arc = np.concatenate([[0.0], np.cumsum(np.sqrt((np.diff(place, axis=0) ** 2).sum(1)))])
+        t = np.linspace(0.0, arc[-1], n)
+        return np.stack([np.interp(t, arc, points[:, i]) for i in range(points.shape[1])], axis=1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists, n = batch.column(k), batch.column(k + 1).to_pylist()
+            flat = lists.flatten()
+            numbers = np.column_stack([flat.field(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in fields]) if len(flat) else np.zeros((0, len(fields)))
+            valid = lists.is_valid().to_numpy(zero_copy_only=False)
+            size = np.where(valid, lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), 0)
+            begin = np.concatenate([[0], np.cumsum(size)])
+            got = [one(numbers[begin[i] : begin[i + 1]], n[i]) for i in range(len(size))]
+            every = np.concatenate([np.zeros((0, len(fields))), *got])
+            offsets = np.concatenate([[0], np.cumsum([len(g) for g in got])]).astype(np.int32)
+            points = pa.StructArray.from_arrays([pa.array(every[:, i].copy()) for i in range(len(fields))], fields)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:k], pa.ListArray.from_arrays(pa.array(offsets), points, mask=pa.array(~valid))], [*others, name])
+
+    return edges.select(*others, name, F.greatest(count.cast("int"), F.lit(2)).alias("_n")).mapInArrow(run, schema).select(*edges.columns)
 
 
 def smooth(edges: DataFrame, half: int, name: str = "geometry") -> DataFrame:
