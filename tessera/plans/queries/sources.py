@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.operators.graph import Graph
 from tessera.plans import fixtures as fx
 from tessera.plans.scratch import Scratch
 from tessera.registry import register
-from tessera.sources import sliced, slicing, tags, volumes
+from tessera.sources import graph_files, sliced, slicing, tags, volumes
 
 
 @register("tag_expression", "SELECT printf('tile_%02d_%02d.npy', CAST(n_nationkey AS INTEGER), CAST(n_regionkey AS INTEGER)) AS name, CAST(n_nationkey AS INTEGER) AS X, CAST(n_regionkey AS INTEGER) AS Y FROM nation")
@@ -66,3 +67,20 @@ def _headers(spark, sf_dir):
 def _columns(spark, sf_dir):
     p = fx.read(spark, sf_dir, "part").select((F.col("p_partkey") % 10).cast("int").alias("x"), F.expr("cast(p_partkey div 10 % 10 as int)").alias("y"), F.expr("p_partkey div 100").alias("z"), F.col("p_name").alias("path"))
     return tags.columns_of_tiles(p, ["x", "y"], "z").select("x", "y", F.array_join("paths", ",").alias("paths"))
+
+
+def _graph_file(spark, sf_dir):
+    """The graph of customers, suppliers, nations and regions, written to a file and read again; ``was`` are its own ids."""
+    path = f"{Scratch(spark, 'graph-file').path}/files/graph.gt"
+    graph_files.write_graph(Graph(*fx.graph(spark, sf_dir)), path, ids="was")
+    return graph_files.read_graph(spark, path, 4096).graph
+
+
+@register("graph_file_vertices", f"WITH {fx.GRAPH_SQL} SELECT row_number() OVER (ORDER BY vid) - 1 AS vid, vid AS was, x, y, z, radius, label FROM vertices")
+def _file_vertices(spark, sf_dir):
+    return _graph_file(spark, sf_dir).vertices
+
+
+@register("graph_file_edges", f"WITH {fx.GRAPH_SQL}, n AS (SELECT vid, row_number() OVER (ORDER BY vid) - 1 AS new FROM vertices) SELECT row_number() OVER (ORDER BY a.new, b.new) - 1 AS eid, a.new AS src, b.new AS dst, e.length, e.radius FROM edges e JOIN n a ON e.src = a.vid JOIN n b ON e.dst = b.vid")
+def _file_edges(spark, sf_dir):
+    return _graph_file(spark, sf_dir).edges
