@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,6 +46,34 @@ def smooth(df: DataFrame, keys: list[str], order: str, value: str, length: int =
     return df.withColumns({"_first": first, "_last": last, "_n": n, "_i": i}).withColumn("smooth", total).drop("_first", "_last", "_n", "_i")
 
 
+def smooth_binary(df: DataFrame, keys: list[str], order: str, value: str, width: int = 1) -> DataFrame:
+    """``smooth``: both ends of ``width`` + 1 rows take their median; then stretches between two equal rows at most that far apart take their value, from the widest to the narrowest and along the order.
+
+    What a step changes the next one sees, so a key (a line of slices) is one group; null values belong to no line and stay null."""
+    kept = [c for c in df.columns if c != "smooth"]
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept)
+
+    def line(part):
+        part = part.sort_values(order)
+        here = part[value].notna().to_numpy()
+        x = part.loc[here, value].to_numpy(dtype=float)
+        span = min(width + 1, len(x))
+        if len(x):
+            x[:span] = np.median(x[:span])
+            x[-span:] = np.median(x[-span:])
+        for w in range(span, 1, -1):
+            for i in range(len(x) - w):
+                if x[i] == x[i + w]:
+                    x[i : i + w] = x[i]
+        out = np.full(len(part), np.nan)
+        out[here] = x
+        part = part[kept].assign(smooth=pd.Series(out, index=part.index).astype("Float64"))
+        part["smooth"] = part["smooth"].where(here, pd.NA)
+        return part
+
+    return df.groupBy(*keys).applyInPandas(line, f"{kinds}, smooth double")
+
+
 def runs(df: DataFrame, keys: list[str], order: str, flag: str) -> DataFrame:
     """Gaps and islands: run number of consecutive rows with the same flag."""
     w = Window.partitionBy(*keys).orderBy(order)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.components import connected_components
+from tessera.operators.graph import Graph, greedy_coloring
 from tessera.plans.scratch import Scratch
 
 AXES = ("x", "y", "z")
@@ -314,6 +315,37 @@ def stitch(tiles_vox: DataFrame, positions: DataFrame, method: str = "interpolat
     return at.groupBy(*AXES).agg(value.alias("v"))
 
 
+def stitch_adjusted(tiles_vox: DataFrame, positions: DataFrame, shape) -> DataFrame:
+    """x, y, z, v of the mosaic by interpolation, and in each overlap (the voxels that the same tiles cover) scaled so that its largest value is that of the tiles there."""
+    p = positions.select("tile", *[F.round(a).cast("int").alias(f"p{a}") for a in AXES])
+    at = tiles_vox.withColumn("w", stitch_weights(shape)).join(p, "tile").select("tile", *[(F.col(a) + F.col(f"p{a}")).alias(a) for a in AXES], "v", "w")
+    mixed = at.groupBy(*AXES).agg((F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("v"), F.max("v").alias("_most"), F.array_sort(F.collect_set("tile")).alias("_by"))  # a place has few tiles
+    mixed = Scratch(tiles_vox.sparkSession, "mosaic").save(mixed, "mixed")
+    several = mixed.filter(F.size("_by") > 1)  # a single tile needs no factor
+    factors = several.groupBy("_by").agg(F.max("_most").alias("_m"), F.max("v").alias("_s")).select("_by", F.when(F.col("_s") != 0, F.col("_m") / F.col("_s")).otherwise(1.0).alias("_f"))
+    scaled = several.join(factors, "_by").select(*AXES, (F.col("v") * F.col("_f")).alias("v"))
+    return mixed.filter(F.size("_by") == 1).select(*AXES, F.col("v").cast("double").alias("v")).unionByName(scaled)
+
+
+#: Colors of overlays (red, green, blue) for up to two, up to four, and more colors.
+OVERLAY_COLORS = {
+    2: [(1, 0, 1), (0, 1, 0)],
+    4: [(0.5, 0.5, 0), (0, 0.5, 0.5), (0.5, 0, 0), (0, 0, 0.5)],
+    8: [(0.25, 0, 0), (0, 0.25, 0), (0, 0, 0.25), (0.25, 0.25, 0), (0, 0.25, 0.25), (0.25, 0, 0.25), (0.125, 0.25, 0), (0.125, 0, 0.25)],
+}
+
+
+def layout_coloring(tiles: DataFrame, cell: int, colors: list[tuple[float, float, float]] | None = None) -> DataFrame:
+    """tile, color, red, green, blue: overlapping tiles have different colors, each the first free one in the order of tiles. More colors than the list has repeat it."""
+    pairs = overlaps(tiles, cell).select(F.col("pre").alias("src"), F.col("post").alias("dst")).distinct()
+    numbers = greedy_coloring(Graph(tiles.select(F.col("tile").alias("vid")), pairs)).withColumnRenamed("vid", "tile")
+    n = (numbers.agg(F.max("color")).first()[0] or 0) + 1
+    chosen = colors or next((c for k, c in OVERLAY_COLORS.items() if n <= k), OVERLAY_COLORS[8])
+    table = F.array(*[F.array(*[F.lit(float(v)) for v in c]) for c in chosen])
+    rgb = F.element_at(table, F.col("color") % len(chosen) + 1)
+    return numbers.select("tile", "color", *[rgb[i].alias(name) for i, name in enumerate(("red", "green", "blue"))])
+
+
 def best_shift(pre: np.ndarray, post: np.ndarray, max_shift: int) -> tuple[tuple[int, ...], float]:
     """(shift, quality) of two arrays: the shift with the least mean squared difference of their overlap, by FFT correlations; quality is minus that."""
     a, b = pre.astype(float), post.astype(float)

@@ -127,11 +127,32 @@ def _runs(spark, sf_dir):
     return O.runs(_series(spark, sf_dir), ["user_id"], "event_id", "valid").select("user_id", "event_id", "run")
 
 
-@register("smooth_valid")
+def _valid_sql(length: int, window: str) -> str:
+    weights = O.window_weights(length, window)
+    leads = " + ".join(f"{k!r}::DOUBLE * CASE WHEN i + ({j - length // 2}) < 1 THEN f WHEN i + ({j - length // 2}) > n THEN l ELSE lead(value, {j - length // 2}) OVER w END" for j, k in enumerate(weights))
+    return f"""WITH {_SERIES}, c AS (SELECT *, CASE WHEN lag(valid) OVER (PARTITION BY user_id ORDER BY event_id) IS NOT DISTINCT FROM valid THEN 0 ELSE 1 END AS c FROM s),
+r AS (SELECT *, sum(c) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM c),
+t AS (SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY user_id, run) AS n, first(value) OVER u AS f, last(value) OVER u AS l FROM r
+WINDOW w AS (PARTITION BY user_id, run ORDER BY event_id), u AS (PARTITION BY user_id, run ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+SELECT user_id, event_id, CASE WHEN valid THEN {leads} ELSE value END AS smooth FROM t WINDOW w AS (PARTITION BY user_id, run ORDER BY event_id)"""
+
+
+@register("smooth_valid", _valid_sql(3, "bartlett"))
 def _smooth_valid(spark, sf_dir):
     return O.smooth_valid(_series(spark, sf_dir), ["user_id"], "event_id", "value", "valid", 3).select("user_id", "event_id", "smooth")
 
 
+@register("smooth_valid_wide", f"SELECT user_id, event_id, round(smooth, 6) AS smooth FROM ({_valid_sql(6, 'blackman')})")
+def _smooth_valid_wide(spark, sf_dir):
+    return O.smooth_valid(_series(spark, sf_dir), ["user_id"], "event_id", "value", "valid", 6, "blackman").select("user_id", "event_id", F.round("smooth", 6).alias("smooth"))
+
+
+@register("smooth_binary")
+def _smooth_binary(spark, sf_dir):
+    e = _series(spark, sf_dir).select("user_id", "event_id", F.floor(F.col("value") / 150).cast("double").alias("step"))
+    return O.smooth_binary(e, ["user_id"], "event_id", "step", 3).select("user_id", "event_id", "smooth")
+
+
 @register("interpolate_gaps", f"""WITH {_SERIES}, k AS (SELECT *, last_value(CASE WHEN valid THEN event_id END IGNORE NULLS) OVER b AS ao, last_value(CASE WHEN valid THEN value END IGNORE NULLS) OVER b AS av,
 first_value(CASE WHEN valid THEN event_id END IGNORE NULLS) OVER a AS bo, first_value(CASE WHEN valid THEN value END IGNORE NULLS) OVER a AS bv FROM s
 WINDOW b AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from tessera.functions import fits as L
 from tessera.functions import scalars as X
 from tessera.functions import stats as T
 from tessera.operators import spatial as P
@@ -55,9 +57,17 @@ def _bonferroni(spark, sf_dir):
     return T.correct_p_values(_pvals(spark, sf_dir), method="Bonferroni").withColumn("q", F.round("q", 9))
 
 
-@register("estimate_q_values")
+# the value at the last of 90 levels of the cubic through the shares is a fixed combination of the shares
+_LEVELS = np.arange(90) / 100
+_HAT = np.vander(_LEVELS, 4)[-1] @ np.linalg.pinv(np.vander(_LEVELS, 4))
+_PI0 = " + ".join(f"({w!r}) * avg(CASE WHEN p > {a!r} THEN 1.0::DOUBLE ELSE 0 END) / {1 - a!r}" for w, a in zip(_HAT.tolist(), _LEVELS.tolist()))
+
+
+@register("estimate_q_values", f"""WITH {_P}, f AS (SELECT CASE WHEN count(*) < 100 THEN 1 ELSE {_PI0} END AS f FROM p), g AS (SELECT CASE WHEN f > 1 OR f <= 0 THEN 1 ELSE f END AS pi0 FROM f),
+k AS (SELECT *, count(*) OVER (ORDER BY p) AS rank, count(*) OVER () AS n FROM p), q AS (SELECT *, min(p * n / rank) OVER (ORDER BY p DESC) AS q FROM k)
+SELECT event_id, p, round(least(least(q, 1) * pi0, 1), 9) AS q FROM q, g""")
 def _q(spark, sf_dir):
-    return T.estimate_q_values(_pvals(spark, sf_dir))
+    return T.estimate_q_values(_pvals(spark, sf_dir)).withColumn("q", F.round("q", 9))
 
 
 @register("mid_ranks", "SELECT user_id, event_id, rank() OVER (PARTITION BY user_id ORDER BY round(CAST(value AS DOUBLE))) + (count(*) OVER (PARTITION BY user_id, round(CAST(value AS DOUBLE))) - 1) / 2.0::DOUBLE AS rank FROM events")
@@ -207,3 +217,15 @@ _stitched("max", "max(v)")
 _stitched("min", "min(v)")
 _stitched("mean", "round(avg(v), 6)", 6)
 _stitched("interpolation", "round(sum(v * w)::DOUBLE / sum(w), 6)", 6)
+
+
+@register("flatfield_line_polynomial")
+def _line_polynomial(spark, sf_dir):
+    li = fx.read(spark, sf_dir, "lineitem").select(F.col("l_quantity").cast("int").alias("x"), F.col("l_extendedprice").cast("double").alias("y"))
+    return L.flatfield_line_from_regression(li).withColumn("f", F.round("f", 4))
+
+
+@register("flatfield_line_gaussian")
+def _line_gaussian(spark, sf_dir):
+    counts = fx.vox(spark, sf_dir).groupBy(F.col("v").alias("x")).agg(F.count("*").alias("y"))
+    return L.flatfield_line_from_regression(counts, "gaussian", reverse=True).withColumn("f", F.round("f", 4))
