@@ -2,7 +2,8 @@
 smoothing, skeletons, watersheds, maxima, gridded local statistics, minimum-cost paths.
 
 Neighbour relations are equi-joins on exact coordinates, so nothing wraps at a
-border. Skeletons and watersheds have modules of their own (``thinning``, ``flooding``) and go by this one's name too. The cheapest path of one volume runs in one
+border. They are merged by hint: Spark takes an exploded table for as small as what it is exploded from, and a written one
+for as small as its compressed file, and would broadcast either through the driver. Skeletons and watersheds have modules of their own (``thinning``, ``flooding``) and go by this one's name too. The cheapest path of one volume runs in one
 Arrow group; its docstring says so.
 """
 
@@ -36,9 +37,9 @@ def label_voxels(mask: DataFrame, faces_only: bool = True) -> DataFrame:
     m = scratch.save(mask.select("vol_id", *[F.col(a).cast("int").alias(a) for a in AXES]).distinct().withColumn("node", F.monotonically_increasing_id()), "mask")
     steps = F.array(*[F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy"), F.lit(c).alias("dz")) for a, b, c in (FACES if faces_only else HALF)])
     near = m.withColumn("o", F.explode(steps)).select("vol_id", *[(F.col(a) + F.col(f"o.d{a}")).alias(a) for a in AXES], F.col("node").alias("a"))
-    links = near.join(m.withColumnRenamed("node", "b"), at).select("a", "b")
+    links = near.join(m.withColumnRenamed("node", "b").hint("merge"), at).select("a", "b")
     found = connected_components(links, scratch)
-    return m.join(found, "node", "left").select(*at, F.coalesce("component", "node").alias("label"))
+    return m.join(found.hint("merge"), "node", "left").select(*at, F.coalesce("component", "node").alias("label"))
 
 
 def fill_holes(vox: DataFrame) -> DataFrame:
@@ -47,8 +48,8 @@ def fill_holes(vox: DataFrame) -> DataFrame:
     back = label_voxels(vox.filter("v <= 0"))
     touch = " or ".join(f"{a} = lo{a} or {a} = hi{a}" for a in AXES)
     outside = back.join(ext, "vol_id").filter(touch).select("vol_id", "label").distinct()
-    holes = back.join(outside, ["vol_id", "label"], "left_anti").select("vol_id", *AXES, F.lit(True).alias("hole"))
-    return vox.join(holes, ["vol_id", *AXES], "left").select("vol_id", *AXES, (F.coalesce("hole", F.lit(False)) | (F.col("v") > 0)).cast("int").alias("v"))
+    holes = back.join(outside.hint("merge"), ["vol_id", "label"], "left_anti").select("vol_id", *AXES, F.lit(True).alias("hole"))
+    return vox.join(holes.hint("merge"), ["vol_id", *AXES], "left").select("vol_id", *AXES, (F.coalesce("hole", F.lit(False)) | (F.col("v") > 0)).cast("int").alias("v"))
 
 
 def threshold(vox: DataFrame, level: float, hysteresis: float | None = None, seeds: DataFrame | None = None) -> DataFrame:
@@ -58,9 +59,9 @@ def threshold(vox: DataFrame, level: float, hysteresis: float | None = None, see
         on = start
     else:
         parts = label_voxels(vox.filter(F.col("v") >= hysteresis).select("vol_id", *AXES).unionByName(start))
-        hit = parts.join(start, ["vol_id", *AXES], "left_semi").select("vol_id", "label").distinct()
-        on = parts.join(hit, ["vol_id", "label"], "left_semi").select("vol_id", *AXES)
-    return vox.join(on.distinct().withColumn("on", F.lit(1)), ["vol_id", *AXES], "left").select("vol_id", *AXES, F.coalesce("on", F.lit(-1)).alias("v"))
+        hit = parts.join(start.hint("merge"), ["vol_id", *AXES], "left_semi").select("vol_id", "label").distinct()
+        on = parts.join(hit.hint("merge"), ["vol_id", "label"], "left_semi").select("vol_id", *AXES)
+    return vox.join(on.distinct().withColumn("on", F.lit(1)).hint("merge"), ["vol_id", *AXES], "left").select("vol_id", *AXES, F.coalesce("on", F.lit(-1)).alias("v"))
 
 
 def reconstruct(vox: DataFrame, method: str = "dilation", offsets: np.ndarray | None = None, block: Shape = BLOCK, check: bool = True) -> DataFrame:
@@ -109,13 +110,13 @@ def h_max(vox: DataFrame, h: float, block: Shape = BLOCK) -> DataFrame:
 def find_maxima(vox: DataFrame, h: float | None = None, shape: int = 5, level: float | None = None) -> DataFrame:
     """Local maxima of the (h-max transformed) volume whose own value reaches the level."""
     top = local_max(vox if not h else h_max(vox, h), shape).select("vol_id", *AXES)
-    out = vox.join(top, ["vol_id", *AXES], "left_semi")
+    out = vox.join(top.hint("merge"), ["vol_id", *AXES], "left_semi")
     return out if level is None else out.filter(F.col("v") >= level)
 
 
 def centers_of_maxima(vox: DataFrame, maxima: DataFrame) -> DataFrame:
     """vol_id, x, y, z: intensity-weighted centre of every plateau (26-connected)."""
-    parts = label_voxels(maxima, faces_only=False).join(vox, ["vol_id", *AXES])
+    parts = label_voxels(maxima, faces_only=False).join(vox.hint("merge"), ["vol_id", *AXES])
     return parts.groupBy("vol_id", "label").agg(*[(F.sum(F.col(a) * F.col("v")) / F.sum("v")).alias(a) for a in AXES]).drop("label")
 
 
@@ -282,4 +283,4 @@ def skeleton_ends(skeleton: DataFrame) -> DataFrame:
     steps = F.array(*[F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy"), F.lit(c).alias("dz")) for a, b, c in product((-1, 0, 1), repeat=3) if (a, b, c) != (0, 0, 0)])
     near = s.withColumn("o", F.explode(steps)).select("vol_id", *[(F.col(a) + F.col(f"o.d{a}")).alias(a) for a in AXES])
     degree = near.groupBy("vol_id", *AXES).agg(F.count("*").alias("degree"))
-    return s.join(degree, ["vol_id", *AXES], "left").fillna(0, ["degree"]).filter("degree <= 1")
+    return s.join(degree.hint("merge"), ["vol_id", *AXES], "left").fillna(0, ["degree"]).filter("degree <= 1")
