@@ -97,12 +97,12 @@ def clean_open_branches(skeleton: DataFrame, length: int) -> DataFrame:
     s = skeleton.select(*at).distinct()
     steps = F.array(*[F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy"), F.lit(c).alias("dz")) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) if (a, b, c) != (0, 0, 0)])
     near = lambda df: df.withColumn("_o", F.explode(steps)).select("vol_id", *[(F.col(a) + F.col(f"_o.d{a}")).alias(a) for a in AXES])
-    degree = s.join(near(s).groupBy(*at).agg(F.count("*").alias("degree")), at, "left").fillna(0, ["degree"])
+    degree = s.join(near(s).groupBy(*at).agg(F.count("*").alias("degree")).hint("merge"), at, "left").fillna(0, ["degree"])
     branch = degree.filter("degree >= 3").select(*at)
-    rest = M.label_voxels(s.join(branch, at, "left_anti"), faces_only=False)
-    facts = rest.join(degree, at).join(near(branch).distinct().withColumn("_touch", F.lit(True)), at, "left")
+    rest = M.label_voxels(s.join(branch.hint("merge"), at, "left_anti"), faces_only=False)
+    facts = rest.join(degree.hint("merge"), at).join(near(branch).distinct().withColumn("_touch", F.lit(True)).hint("merge"), at, "left")
     gone = facts.groupBy("vol_id", "label").agg(F.count("*").alias("n"), F.min("degree").alias("least"), F.max(F.coalesce("_touch", F.lit(False))).alias("touch")).filter((F.col("n") <= length) & (F.col("least") <= 1) & F.col("touch"))
-    return s.join(rest.join(gone.select("vol_id", "label"), ["vol_id", "label"], "left_semi").select(*at), at, "left_anti")
+    return s.join(rest.join(gone.select("vol_id", "label").hint("merge"), ["vol_id", "label"], "left_semi").select(*at).hint("merge"), at, "left_anti")
 
 
 #: Names of the bits of a binarisation's status, smallest bit first.
