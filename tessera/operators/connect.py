@@ -2,7 +2,7 @@
 
 An end only looks at the patch of ``radius`` voxels around it. So blocks with a halo of that radius hold all that
 their own ends need: one shuffle of the voxels, whatever the number of ends, and no volume is ever
-whole in a task.
+whole in a task. The patches of a batch are searched side by side in one array.
 
 Entering a voxel costs max(1 / (reward * score), least) times the step's length, and 1 where the score is not
 positive; voxels that are not stored cannot be entered.
@@ -22,6 +22,8 @@ AXES = ("x", "y", "z")
 STEPS = [(np.array(d), sum(c * c for c in d) ** 0.5) for d in product((-1, 0, 1), repeat=3) if any(d)]
 #: Kinds of a connection.
 TO_END, TO_MASK = 1, 2
+#: Cells of patches, with their borders, that are searched side by side.
+CELLS = 1 << 19
 
 
 def voxel_cost(score: np.ndarray, stored: np.ndarray, least: float, reward: float) -> np.ndarray:
@@ -30,71 +32,90 @@ def voxel_cost(score: np.ndarray, stored: np.ndarray, least: float, reward: floa
     return np.where(stored, cost, np.inf)
 
 
-def _flat(a: np.ndarray, fill) -> tuple[np.ndarray, np.ndarray]:
-    """(the array with a border of ``fill``, flattened; what to add to a flat place for a step along each axis)."""
-    wide = np.pad(a, 1, constant_values=fill)
-    return wide.ravel(), np.array([wide.shape[1] * wide.shape[2], wide.shape[2], 1])
+def _flat(a: np.ndarray, fill) -> tuple[np.ndarray, np.ndarray, int]:
+    """(patches, stacked on the first axis, each with a border of ``fill``, flattened; what to add to a flat place for a step along each axis; places of one patch)."""
+    wide = np.pad(a, ((0, 0), (1, 1), (1, 1), (1, 1)), constant_values=fill)
+    return wide.ravel(), np.array([wide.shape[2] * wide.shape[3], wide.shape[3], 1]), int(np.prod(wide.shape[1:]))
 
 
-def cheapest_path(cost: np.ndarray, start: tuple[int, ...], goal: np.ndarray) -> tuple[np.ndarray, float]:
-    """(voxels from start to the cheapest true voxel of ``goal``, total cost); no voxels and infinity if none is reached. Of equally cheap goals the first in order counts.
+def cheapest_paths(cost: np.ndarray, start: np.ndarray, goal: np.ndarray) -> list[tuple[np.ndarray, float]]:
+    """For each patch (first axis of ``cost`` and ``goal``): (voxels from its start to the cheapest true voxel of its goal, total cost); no voxels and infinity if none is reached.
+    Of equally cheap goals the first in order counts.
 
-    A wave over arrays: costs are cut into ranges as wide as the cheapest step, and all voxels of the lowest open range are relaxed
-    together, one pass for each of the 26 directions, until the range is settled. It ends with the range that holds the nearest goal.
+    A wave over arrays: costs are cut into ranges as wide as a patch's cheapest step, and all voxels of its lowest open range are relaxed
+    together, one pass for each of the 26 directions, until the range is settled. A patch ends with the range that holds its nearest goal.
+    The waves of all patches run side by side, and none sees another.
     """
-    price, stride = _flat(cost, np.inf)
-    aim, _ = _flat(goal, False)
+    n = len(cost)
+    price, stride, cells = _flat(cost, np.inf)
+    aim, _, _ = _flat(goal, False)
     steps = [(int(d @ stride), length) for d, length in STEPS]
-    finite = price[np.isfinite(price)]
-    width = max(float(finite.min()) if len(finite) else 1.0, 1e-9)
+    width = np.where(np.isfinite(cost), cost, np.inf).reshape(n, -1).min(axis=1)
+    width = np.maximum(np.where(np.isfinite(width), width, 1.0), 1e-9)
     far, came, open_ = np.full(len(price), np.inf), np.full(len(price), -1), np.zeros(len(price), bool)
-    first = int((np.array(start) + 1) @ stride)
+    first = (np.asarray(start) + 1) @ stride + np.arange(n) * cells
     far[first], open_[first] = 0.0, True
-    best = 0.0 if aim[first] else np.inf
+    best, top, live = np.where(aim[first], 0.0, np.inf), np.zeros(n), np.ones(n, bool)
+    front = np.zeros(0, np.int64)
     while True:
-        waiting = np.flatnonzero(open_)
-        if not len(waiting) or far[waiting].min() >= best:
+        idle = live.copy()
+        idle[front // cells] = False
+        if idle.any():  # their next range
+            waiting = np.flatnonzero(open_)
+            waiting = waiting[idle[waiting // cells]]
+            owner, lowest = waiting // cells, np.full(n, np.inf)
+            np.minimum.at(lowest, owner, far[waiting])
+            live &= ~idle | (lowest < best)
+            idle &= live
+            top[idle] = (np.floor(lowest[idle] / width[idle]) + 1) * width[idle]
+            top[idle] = np.maximum(top[idle], np.nextafter(lowest[idle], np.inf))
+            front = np.sort(np.concatenate([front, waiting[live[owner] & (far[waiting] < top[owner])]]))
+        if not len(front):
             break
-        top = (np.floor(far[waiting].min() / width) + 1) * width
-        front = waiting[far[waiting] < top]
-        while len(front):
-            open_[front] = False
-            touched = []
-            for step, length in steps:
-                q = front + step
-                new = far[front] + price[q] * length
-                better = new < far[q]
-                q = q[better]
-                far[q], came[q], open_[q] = new[better], front[better], True
-                touched.append(q)
-            q = np.unique(np.concatenate(touched))
-            hit = q[aim[q]]
-            if len(hit):
-                best = min(best, float(far[hit].min()))
-            front = q[far[q] < top]
-    reached = np.flatnonzero(aim & np.isfinite(far))
-    if not len(reached):
-        return np.zeros((0, 3), int), np.inf
-    at = int(reached[far[reached].argmin()])
-    total, path = float(far[at]), [at]
-    while came[path[-1]] >= 0:
-        path.append(int(came[path[-1]]))
-    shape = tuple(n + 2 for n in cost.shape)
-    return np.stack(np.unravel_index(np.array(path[::-1]), shape), axis=1) - 1, total
-
-
-def component_at(mask: np.ndarray, at: tuple[int, ...]) -> np.ndarray:
-    """The 26-connected component of the mask that holds a voxel; empty if the voxel is not in the mask. Only the rim of what is found grows."""
-    left, stride = _flat(mask, False)
+        open_[front] = False
+        touched = []
+        for step, length in steps:
+            q = front + step
+            new = far[front] + price[q] * length
+            better = new < far[q]
+            q = q[better]
+            far[q], came[q], open_[q] = new[better], front[better], True
+            touched.append(q)
+        q = np.unique(np.concatenate(touched))
+        hit = q[aim[q]]
+        np.minimum.at(best, hit // cells, far[hit])
+        front = q[far[q] < top[q // cells]]
+    ends = np.where(aim, far, np.inf).reshape(n, cells)
+    last = ends.argmin(axis=1)
+    out, shape = [], tuple(k + 2 for k in cost.shape[1:])
+    for i, (at, total) in enumerate(zip(last.tolist(), ends[np.arange(n), last].tolist())):
+        if total == np.inf:
+            out.append((np.zeros((0, 3), int), np.inf))
+            continue
+        path = [at]
+        while (before := int(came[i * cells + path[-1]])) >= 0:
+            path.append(before - i * cells)
+        out.append((np.stack(np.unravel_index(np.array(path[::-1]), shape), axis=1) - 1, total))
+    return out
+
+
+def cheapest_path(cost: np.ndarray, start: tuple[int, ...], goal: np.ndarray) -> tuple[np.ndarray, float]:
+    """``cheapest_paths`` of one patch."""
+    return cheapest_paths(cost[None], np.array([start]), goal[None])[0]
+
+
+def components_at(mask: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """In each patch the 26-connected component of the mask that holds the patch's voxel ``at``; empty if the voxel is not in the mask. Only the rim of what is found grows."""
+    left, stride, cells = _flat(mask, False)
     left = left.copy()
     got = np.zeros(len(left), bool)
-    front = np.array([int((np.array(at) + 1) @ stride)])
+    front = (np.asarray(at) + 1) @ stride + np.arange(len(mask)) * cells
     front = front[left[front]]
     while len(front):
         got[front], left[front] = True, False
         near = np.unique(np.concatenate([front + int(d @ stride) for d, _ in STEPS]))
         front = near[left[near]]
-    return got.reshape(tuple(n + 2 for n in mask.shape))[1:-1, 1:-1, 1:-1]
+    return got.reshape(len(mask), *(k + 2 for k in mask.shape[1:]))[:, 1:-1, 1:-1, 1:-1]
 
 
 def nearest(where: np.ndarray, at: np.ndarray) -> np.ndarray | None:
@@ -120,43 +141,73 @@ def connect_ends(vox: DataFrame, ends: DataFrame, radius: int = 20, min_quality:
     """
     limit = np.inf if min_quality is None else min_quality
 
-    def connection(cost, mask, skeleton, end, c):
-        local = component_at(mask, tuple(c))
-        if to_ends and (other := nearest(end & ~local & (np.indices(end.shape).T != c).any(-1).T, c)) is not None:
-            goal = np.zeros(end.shape, bool)
-            goal[tuple(other)] = True
-            path, total = cheapest_path(cost, tuple(c.tolist()), goal)
-            if len(path) and total / len(path) < limit:
-                return path, total, TO_END
-        path, total = cheapest_path(cost, tuple(c.tolist()), mask & ~local)
-        if not len(path) or not total / len(path) < limit:
-            return None
-        if to_skeleton and (hit := nearest(skeleton & component_at(mask, tuple(path[-1])), path[-1])) is not None:
-            path = np.concatenate([path, line_of(path[-1], hit)])
-        return path, total, TO_MASK
-
-    def kernel(values, stored, low, owned):
-        mask, skeleton, end = (values[..., i] > 0 for i in (1, 2, 3))
-        cost = voxel_cost(values[..., 0], stored, least, reward)
-        rows, totals = [np.zeros((0, 8), int)], [np.zeros(0)]
-        first = np.array([s.start for s in owned])
-        for c in np.argwhere(end[owned]) + first:
-            lo, hi = np.maximum(c - radius, 0), np.minimum(c + radius + 1, end.shape)
-            patch = tuple(slice(a, b) for a, b in zip(lo, hi))
-            got = connection(cost[patch], mask[patch], skeleton[patch], end[patch], c - lo)
-            if got is not None:
-                path, total, kind = got
-                n = len(path)
-                rows.append(np.column_stack([path + lo + low, np.tile(c + low, (n, 1)), np.arange(n), np.full(n, kind)]))
-                totals.append(np.full(n, total))
-        r = np.concatenate(rows)
-        return {c: r[:, i] for i, c in enumerate((*AXES, "sx", "sy", "sz", "step", "kind"))} | {"cost": np.concatenate(totals)}
+    def connections(cost, mask, skeleton, end, c):
+        """(path, total, kind) or None for each of the patches, ``c`` being their ends."""
+        local = components_at(mask, c)
+        got: list[tuple | None] = [None] * len(c)
+        if to_ends:
+            aim = end & ~local
+            aim[np.arange(len(c)), *c.T] = False
+            goal, some = np.zeros(mask.shape, bool), []
+            for i in np.flatnonzero(aim.any(axis=(1, 2, 3))).tolist():
+                goal[(i, *nearest(aim[i], c[i]))] = True
+                some.append(i)
+            if some:
+                for i, (path, total) in zip(some, cheapest_paths(cost[some], c[some], goal[some])):
+                    if len(path) and total / len(path) < limit:
+                        got[i] = path, total, TO_END
+        rest = [i for i, g in enumerate(got) if g is None]
+        if not rest:
+            return got
+        found = [(i, path, total) for i, (path, total) in zip(rest, cheapest_paths(cost[rest], c[rest], (mask & ~local)[rest])) if len(path) and total / len(path) < limit]
+        if to_skeleton and found:
+            which = [i for i, _, _ in found]
+            aim = skeleton[which] & components_at(mask[which], np.array([path[-1] for _, path, _ in found]))
+            hits = [nearest(a, path[-1]) for a, (_, path, _) in zip(aim, found)]
+            found = [(i, path if hit is None else np.concatenate([path, line_of(path[-1], hit)]), total) for (i, path, total), hit in zip(found, hits)]
+        for i, path, total in found:
+            got[i] = path, total, TO_MASK
+        return got
+
+    def kernel(blocks):
+        """The ends of all blocks of a batch, ``CELLS`` cells of patches at a time (one patch at least)."""
+        layers, todo = [], []
+        for b, (values, stored, low, owned) in enumerate(blocks):
+            mask, skeleton, end = (values[..., i] > 0 for i in (1, 2, 3))
+            layers.append((voxel_cost(values[..., 0], stored, least, reward), mask, skeleton, end))
+            for c in np.argwhere(end[owned]) + np.array([s.start for s in owned]):
+                todo.append((b, c, np.maximum(c - radius, 0), np.minimum(c + radius + 1, end.shape)))
+        rows, totals = [[np.zeros((0, 8), int)] for _ in blocks], [[np.zeros(0)] for _ in blocks]
+        at = 0
+        while at < len(todo):
+            stop, shape = at, np.zeros(3, int)
+            while stop < len(todo) and (stop == at or (stop + 1 - at) * int(np.prod(np.maximum(shape, todo[stop][3] - todo[stop][2]) + 2)) <= CELLS):
+                shape = np.maximum(shape, todo[stop][3] - todo[stop][2])
+                stop += 1
+            part = todo[at:stop]
+            whole = [np.full((len(part), *shape), fill) for fill in (np.inf, False, False, False)]
+            for i, (b, _, lo, hi) in enumerate(part):
+                inside = (i, *(slice(0, int(k)) for k in hi - lo))
+                for to, layer in zip(whole, layers[b]):
+                    to[inside] = layer[tuple(slice(int(p), int(q)) for p, q in zip(lo, hi))]
+            for (b, c, lo, _), got in zip(part, connections(*whole, np.array([c - lo for _, c, lo, _ in part]))):
+                if got is not None:
+                    path, total, kind = got
+                    n, low = len(path), blocks[b][2]
+                    rows[b].append(np.column_stack([path + lo + low, np.tile(c + low, (n, 1)), np.arange(n), np.full(n, kind)]))
+                    totals[b].append(np.full(n, total))
+            at = stop
+        out = []
+        for r, t in zip(rows, totals):
+            r = np.concatenate(r)
+            out.append({c: r[:, i] for i, c in enumerate((*AXES, "sx", "sy", "sz", "step", "kind"))} | {"cost": np.concatenate(t)})
+        return out
 
     at = ["vol_id", *AXES]
     flag = lambda c: F.coalesce(F.col(c).cast("int"), F.lit(0)).cast("double").alias(c)
-    marked = vox.select(*at, F.col("score").cast("double").alias("v"), flag("mask"), flag("skeleton")).join(ends.select(*at).distinct().withColumn("end", F.lit(1.0)), at, "left").fillna(0.0, ["end"])
+    marked = vox.select(*at, F.col("score").cast("double").alias("v"), flag("mask"), flag("skeleton")).join(ends.select(*at).distinct().withColumn("end", F.lit(1.0)).hint("merge"), at, "left").fillna(0.0, ["end"])
     out = {"sx": "int", "sy": "int", "sz": "int", "step": "int", "kind": "int", "cost": "double"}
-    return map_blocks(marked, kernel, out, block, (radius,) * 3, "float64", ("mask", "skeleton", "end"))
+    return map_blocks(marked, kernel, out, block, (radius,) * 3, "float64", ("mask", "skeleton", "end"), many=True)
 
 
 def trace_to_mask(vox: DataFrame, starts: DataFrame, radius: int = 20, least: float = 1 / 60, reward: float = 4.0, block: Shape = BLOCK) -> DataFrame:
