@@ -218,7 +218,7 @@ def grey(vox: DataFrame, offsets: np.ndarray, function, block: Shape = BLOCK) ->
         v, s = gather(values, stored, offsets)
         return {"v": function(np.where(s, v, worst), axis=-1)}
 
-    return map_blocks(vox, run, {"v": "double"}, block, tuple(int(a) for a in np.abs(offsets).max(0)), "float64")
+    return map_blocks(vox, run, {"v": "double"}, block, tuple(int(a) for a in np.abs(offsets).max(0)), "float64", pack=int(np.abs(offsets).max()))
 
 
 def remove_background(vox: DataFrame, shape: tuple[int, int], form: str = "Disk", block: Shape = BLOCK) -> DataFrame:
@@ -226,7 +226,7 @@ def remove_background(vox: DataFrame, shape: tuple[int, int], form: str = "Disk"
     selem = np.argwhere(structure_element(shape, form) > 0) - np.array(shape) // 2
     offsets = np.column_stack([selem, np.zeros(len(selem), int)])
     opened = grey(grey(vox, offsets, np.min, block), -offsets, np.max, block).withColumnRenamed("v", "o")
-    return vox.join(opened, ["vol_id", *AXES]).select("vol_id", *AXES, (F.col("v") - F.least("v", "o")).alias("v"))
+    return vox.join(opened.hint("merge"), ["vol_id", *AXES]).select("vol_id", *AXES, (F.col("v") - F.least("v", "o")).alias("v"))
 
 
 def local_max(vox: DataFrame, shape: int = 3, threshold: float | None = None, block: Shape = BLOCK) -> DataFrame:
@@ -238,7 +238,7 @@ def local_max(vox: DataFrame, shape: int = 3, threshold: float | None = None, bl
         top = np.where(s, v, -np.inf).max(-1)
         return {"v": values.astype(float), "is_max": (values == top) & stored}
 
-    out = map_blocks(vox, run, {"v": "double", "is_max": "boolean"}, block, _halo((shape,) * 3), "float64").filter("is_max").drop("is_max")
+    out = map_blocks(vox, run, {"v": "double", "is_max": "boolean"}, block, _halo((shape,) * 3), "float64", pack=shape // 2).filter("is_max").drop("is_max")
     return out if threshold is None else out.filter(F.col("v") >= threshold)
 
 

@@ -31,3 +31,17 @@ def test_paths_side_by_side():
         alone = C.cheapest_path(cost[i], tuple(start[i]), goal[i])
         assert total == alone[1] and np.array_equal(path, alone[0])
         assert np.array_equal(parts[i], C.components_at(mask[i : i + 1], start[i : i + 1])[0])
+
+
+def test_packed_blocks_give_what_single_ones_give(spark, sf_dir):
+    v = fx.vox(spark, sf_dir).filter("vol_id < 12 and (x + y + z + vol_id) % 7 > 0").withColumn("x", F.col("x") - 2)
+
+    def kernel(values, stored, _, owned):
+        near, there = B.gather(values, stored, B.box())
+        return {"v": np.where(there, near, 0).sum(-1) * 100 + there.sum(-1), "n": np.full(values.shape, values.shape[0])}
+
+    out = {"v": "bigint", "n": "bigint"}
+    got = B.map_blocks(v, kernel, out, (3, 3, 2), pack=1).collect()
+    want = B.map_blocks(v, kernel, out, (3, 3, 2)).collect()
+    key = lambda rows: sorted((r.vol_id, r.x, r.y, r.z, r.v) for r in rows)
+    assert key(got) == key(want) and max(r.n for r in got) > 5 >= max(r.n for r in want)
