@@ -387,14 +387,16 @@ def rank_filter(vox: DataFrame, name: str, selem: np.ndarray | None = None, mask
 
     def kernel(values, stored, _, owned):
         if axes:
+            if isinstance(owned, np.ndarray):  # of packed blocks everything is computed
+                owned = tuple(slice(0, n) for n in values.shape)
             got = by_axes(BoxWindow(values, stored, owned, offsets.min(axis=0), offsets.max(axis=0), max_bin), **parameters)
             whole = np.zeros((*values.shape, *got.shape[3:]), got.dtype)
             whole[owned] = got
             return {"v": whole}
         v, s = gather(values, stored, offsets)
         got = function(Neighbourhood(v[owned], s[owned], values[owned], max_bin), **parameters)
-        whole = np.zeros((*values.shape, *got.shape[3:]), got.dtype)
+        whole = np.zeros((*values.shape, *got.shape[values[owned].ndim :]), got.dtype)
         whole[owned] = got
         return {"v": whole}
 
-    return map_blocks(vox.select("vol_id", "x", "y", "z", F.col("v").cast("long").alias("v")), kernel, {"v": kind}, block, halo)
+    return map_blocks(vox.select("vol_id", "x", "y", "z", F.col("v").cast("long").alias("v")), kernel, {"v": kind}, block, halo, pack=max(halo))
