@@ -94,7 +94,7 @@ def reconstruct(vox: DataFrame, method: str = "dilation", offsets: np.ndarray |
     i = 0
     while True:
         i += 1
-        now = scratch.save(map_blocks(now, kernel, {"v": "double", "mask": "double", "changed": "bigint"}, block, halo, "float64", ("mask",)), str(i))
+        now = scratch.save(map_blocks(now, kernel, {"v": "double", "mask": "double", "changed": "bigint"}, block, halo, "float64", ("mask",), pack=max(halo)), str(i))
         scratch.drop(str(i - 1))
         if not now.filter("changed = 1").limit(1).count():
             return now.select("vol_id", *AXES, "v")
@@ -128,7 +128,7 @@ def smooth_by_counting(vox: DataFrame, low: int = 5, high: int = 10, block: Shap
         n = ((v > 0) & s).sum(-1)
         return {"v": np.where(n >= high, 1, np.where(n < low, 0, (values > 0).astype(np.int64)))}
 
-    return map_blocks(vox, kernel, {"v": "bigint"}, block)
+    return map_blocks(vox, kernel, {"v": "bigint"}, block, pack=1)
 
 
 def smooth_binary_iterated(vox: DataFrame, iterations: int = 1, low: int = 5, high: int = 10, block: Shape = BLOCK) -> DataFrame:
