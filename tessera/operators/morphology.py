@@ -27,6 +27,8 @@ from tessera.plans.scratch import Scratch
 
 AXES = ("x", "y", "z")
 FACES = [(1, 0, 0), (0, 1, 0), (0, 0, 1)]
+#: Steps to the 26 neighbours and their lengths.
+MOVES = [(*d, sum(c * c for c in d) ** 0.5) for d in product((-1, 0, 1), repeat=3) if any(d)]
 HALF = [d for d in product((-1, 0, 1), repeat=3) if d > (0, 0, 0)]
 
 
@@ -160,6 +162,8 @@ def trace_path(vox: DataFrame, ends: DataFrame, least: float = 1 / 60, reward: f
     def search(a: np.ndarray, lo: np.ndarray, df: pd.DataFrame) -> pd.DataFrame:
         r = df.iloc[0]
         start, stop = (tuple(int(r[f"{e}{c}"] - lo[i]) for i, c in enumerate(AXES)) for e in "st")
+        nx, ny, nz = a.shape
+        price = np.maximum(np.where(a > 0, 1 / (reward * np.where(a > 0, a, 1)), 1.0), least).tolist()
         cost, came, heap = {start: 0.0}, {}, [(0.0, start)]
         while heap:
             c, p = heapq.heappop(heap)
@@ -167,13 +171,14 @@ def trace_path(vox: DataFrame, ends: DataFrame, least: float = 1 / 60, reward: f
                 break
             if c > cost[p]:
                 continue
-            for d in product((-1, 0, 1), repeat=3):
-                q = tuple(x + y for x, y in zip(p, d))
-                if any(d) and all(0 <= x < m for x, m in zip(q, a.shape)):
-                    step = max(1 / (reward * a[q]) if a[q] > 0 else 1.0, least) * sum(x * x for x in d) ** 0.5
-                    if c + step < cost.get(q, np.inf) - 1e-12:
-                        cost[q], came[q] = c + step, p
-                        heapq.heappush(heap, (c + step, q))
+            x, y, z = p
+            for dx, dy, dz, length in MOVES:
+                i, j, k = x + dx, y + dy, z + dz
+                if 0 <= i < nx and 0 <= j < ny and 0 <= k < nz:
+                    q, new = (i, j, k), c + price[i][j][k] * length
+                    if new < cost.get(q, np.inf) - 1e-12:
+                        cost[q], came[q] = new, p
+                        heapq.heappush(heap, (new, q))
         path, p = [stop], stop
         while p != start and p in came:
             p = came[p]
