@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.fm_index import FMIndex
-from tessera.llm.shared import Scratch
+from tessera.llm.shared import Scratch, arrow_rows
 from tessera.llm.textkernel import column_bytes, mix64, shingles, slices, tidied, word_hashes, words
 
 SPAN = 13
@@ -60,6 +60,9 @@ RUN = 256
 PIECE = 12
 #: Texts from which an anchor is hot.
 HOT = 1_000
+#: Bytes of text that are cut into words at a time (or one longer text), and rows of an Arrow batch.
+SLICE_BYTES = 1 << 18
+BATCH_ROWS = 1_000
 #: Hot windows that a task remembers; forgotten together when there are more.
 REMEMBERED = 200_000
 
@@ -100,7 +103,7 @@ def shared_anchors(docs: DataFrame, span: int, anchor: int) -> DataFrame:
         for batch in batches:
             data, offsets = column_bytes(batch.column(1))
             key = batch.column(0).to_numpy()
-            for lo, hi in slices(offsets):
+            for lo, hi in slices(offsets, SLICE_BYTES):
                 o = offsets[lo : hi + 1]
                 *_, owner, _, best = window_anchors(data[o[0] : o[-1]], o - o[0], span, anchor)
                 edge, _ = _segments(owner, best)
@@ -121,7 +124,7 @@ def own_anchors(docs: DataFrame, anchors: DataFrame, span: int, anchor: int) ->
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = column_bytes(batch.column(2))
-            for lo, hi in slices(offsets):
+            for lo, hi in slices(offsets, SLICE_BYTES):
                 o = offsets[lo : hi + 1]
                 *_, owner, _, best = window_anchors(data[o[0] : o[-1]], o - o[0], span, anchor)
                 pairs = np.unique(np.stack([owner, best.view(np.int64)], axis=1), axis=0)
@@ -184,7 +187,7 @@ def segments(docs: DataFrame, span: int, anchor: int, allowed: tuple[np.ndarray,
         for batch in batches:
             data, offsets = column_bytes(batch.column(2))
             key_of = batch.column(0).to_numpy()
-            for lo, hi in slices(offsets):
+            for lo, hi in slices(offsets, SLICE_BYTES):
                 o = offsets[lo : hi + 1]
                 part = data[o[0] : o[-1]]
                 starts, ends, h, first, owner, at, best = window_anchors(part, o - o[0], span, anchor)
@@ -396,16 +399,17 @@ def _numbered(docs: DataFrame, key: str, text: str, *more) -> DataFrame:
 
 def _hits(base: DataFrame, scratch: Scratch, span: int, anchor: int, broadcast_anchors: int, sources: bool) -> DataFrame:
     usable = base.filter("key is not null").select("key", "tid", "text")
-    anchors = scratch.save(shared_anchors(usable, span, anchor), "anchors")
-    if anchors.count() <= broadcast_anchors:
-        got = anchors.toArrow()
-        a = got["anchor"].to_numpy() if got.num_rows else np.zeros(0, np.int64)
-        hot = got["hot"].to_numpy(zero_copy_only=False) if got.num_rows else np.zeros(0, bool)
-        order = np.argsort(a)
-        parts = segments(usable, span, anchor, (a[order], hot[order]))
-    else:
-        parts = segments(own_anchors(usable, anchors, span, anchor), span, anchor, None)
-    hits = scratch.save(covered(parts, span, sources), "hits")
+    with arrow_rows(base.sparkSession, BATCH_ROWS):
+        anchors = scratch.save(shared_anchors(usable, span, anchor), "anchors")
+        if anchors.count() <= broadcast_anchors:
+            got = anchors.toArrow()
+            a = got["anchor"].to_numpy() if got.num_rows else np.zeros(0, np.int64)
+            hot = got["hot"].to_numpy(zero_copy_only=False) if got.num_rows else np.zeros(0, bool)
+            order = np.argsort(a)
+            parts = segments(usable, span, anchor, (a[order], hot[order]))
+        else:
+            parts = segments(own_anchors(usable, anchors, span, anchor), span, anchor, None)
+        hits = scratch.save(covered(parts, span, sources), "hits")
     scratch.drop("anchors")
     return hits
 
