@@ -113,3 +113,15 @@ def test_equal_windows_have_equal_anchors_and_hashes():
             for i in range(s, s + n):
                 assert seen.setdefault(t[i : i + 400], (a, h[i], k[i])) == (a, h[i], k[i])
     assert len({v[1:] for v in seen.values()}) == len(seen)
+
+
+def test_open_segments_of_an_anchor_are_joined_in_place(spark, monkeypatch):
+    """An anchor with very many different segments is no join partition of its own."""
+    keys = []
+    join = suffix_dedup.join_hot
+    monkeypatch.setattr(suffix_dedup, "join_hot", lambda rows, facts, key, *more: keys.append(key) or join(rows, facts, key, *more))
+    common = "q" * 40 + "shared passage of one anchor " * 14
+    rows = [(i, f"{i:04d}" * 4 + common + f"{i:04d}" * 4) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = _got(suffix_dedup.dedup_bytes(df, digest_only=True))
+    assert "anchor" in keys and got == _brute(rows)
