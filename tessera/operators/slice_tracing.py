@@ -1,17 +1,24 @@
 """Shifts of slices along a stack: errors of all shifts, slices that show something, and the best path through them.
 
-Slices of an overlap travel as rows and are compared as arrays, one (pair, slice) at a time. A pair's table of errors (slices times
+Slices of an overlap travel as rows and are compared as arrays, small ones of many pairs side by side. A pair's table of errors (slices times
 shifts) is traced by dynamic programming: the least sum of errors and of steps between neighbouring slices.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.plans.runs import whole_groups
+
 AXES = ("x", "y", "z")
+#: Cells of a side of slices that are compared in one array, shifts included; a larger slice has an array of its own.
+CELLS = 1 << 18
 
 
 def normalize(bands: DataFrame, clip: tuple[float | None, float | None] | None = None, axis: str = "z") -> DataFrame:
@@ -46,38 +53,51 @@ def foreground(bands: DataFrame, valid_range: tuple[float | None, float | None],
 
 def slice_errors(bands: DataFrame, axis: str = "z", max_shift: int = 3) -> DataFrame:
     """pre, post, s, dx, dy, dz, error, n: the mean squared difference of a slice of the first side and the shifted slice of the second one over
-    the n voxels that both hold. Each voxel is sent once; a task compares one slice of a pair at a time."""
+    the n voxels that both hold. Each voxel is sent once; small slices are compared in packs of at most ``CELLS`` cells, a larger one by itself."""
     rest = [a for a in AXES if a != axis]
-    shifts = [(i, j) for i in range(-max_shift, max_shift + 1) for j in range(-max_shift, max_shift + 1)]
-
-    def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        p, q = (rows[a].to_numpy() for a in rest)
-        p, q = p - p.min(), q - q.min()
-        shape = (int(p.max()) + 1 + 2 * max_shift, int(q.max()) + 1 + 2 * max_shift)
-        sides = []
-        for side in (0, 1):
-            of = (rows["side"] == side).to_numpy()
-            v, on = np.zeros(shape), np.zeros(shape, bool)
-            at = (p[of] + max_shift, q[of] + max_shift)
-            v[at], on[at] = rows["v"].to_numpy(float)[of], True
-            sides.append((v, on))
-        (a, has_a), (b, has_b) = sides
-        inner = (slice(max_shift, shape[0] - max_shift), slice(max_shift, shape[1] - max_shift))
-        out = []
+    m = max_shift
+    shifts = [(i, j) for i in range(-m, m + 1) for j in range(-m, m + 1)]
+    keys = ["pre", "post", axis]
+
+    def compare(columns: dict[str, np.ndarray], cuts: np.ndarray, shape: np.ndarray, low: np.ndarray) -> pa.RecordBatch:
+        """All shifts of the slices in rows cuts[0]..cuts[-1], in one array."""
+        first, rows, n = cuts[:-1], slice(int(cuts[0]), int(cuts[-1])), len(cuts) - 1
+        k = np.repeat(np.arange(n), np.diff(cuts))
+        at = [columns[a][rows] - low[k, i] for i, a in enumerate(rest)]
+        size = shape.max(axis=0)
+        values, stored = np.zeros((2, n, *(size + 2 * m))), np.zeros((2, n, *(size + 2 * m)), bool)
+        place = (columns["side"][rows], k, at[0] + m, at[1] + m)
+        values[place], stored[place] = columns["v"][rows], True
+        inner = (slice(None), slice(m, m + int(size[0])), slice(m, m + int(size[1])))
+        a, has_a = values[0][inner], stored[0][inner]
+        found = []
         for i, j in shifts:
-            moved = tuple(slice(s.start - d, s.stop - d) for s, d in zip(inner, (i, j)))
-            both = has_a[inner] & has_b[moved]
-            n = int(both.sum())
-            if n:
-                d = a[inner][both] - b[moved][both]
-                out.append((i, j, float(d @ d) / n, n))
-        got = pd.DataFrame(out, columns=["i", "j", "error", "n"]).astype({"i": "int32", "j": "int32", "error": "float64", "n": "int64"})
-        step = {rest[0]: got["i"], rest[1]: got["j"], axis: np.int32(0)}
-        key = {c: rows[c].iloc[0] for c in ("pre", "post")}
-        return pd.DataFrame({**key, "s": rows[axis].iloc[0], **{f"d{a}": step[a] for a in AXES}, "error": got["error"], "n": got["n"]}) if len(got) else pd.DataFrame(columns=["pre", "post", "s", "dx", "dy", "dz", "error", "n"])
-
-    schema = "pre bigint, post bigint, s int, dx int, dy int, dz int, error double, n bigint"
-    return bands.select("pre", "post", "side", *[F.col(a).cast("int").alias(a) for a in AXES], F.col("v").cast("double").alias("v")).groupBy("pre", "post", axis).applyInPandas(compare, schema)
+            moved = (slice(None), *(slice(s.start - d, s.stop - d) for s, d in zip(inner[1:], (i, j))))
+            both = has_a & stored[1][moved]
+            count = both.sum(axis=(1, 2))
+            d = np.where(both, a - values[1][moved], 0.0)
+            some = np.flatnonzero(count)
+            found.append((some, np.full(len(some), i), np.full(len(some), j), (d * d).sum(axis=(1, 2))[some] / count[some], count[some]))
+        which, i, j, error, count = (np.concatenate(x) for x in zip(*found))
+        step = {rest[0]: i, rest[1]: j, axis: np.zeros(len(i), np.int64)}
+        names = [columns[c][first][which] for c in keys]
+        return pa.RecordBatch.from_arrays([pa.array(names[0]), pa.array(names[1]), pa.array(names[2]), *[pa.array(step[a].astype(np.int32)) for a in AXES], pa.array(error), pa.array(count)], ["pre", "post", "s", "dx", "dy", "dz", "error", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns, cuts in whole_groups(batches, keys):
+            low, high = (np.stack([f.reduceat(columns[a], cuts[:-1]) for a in rest], axis=1) for f in (np.minimum, np.maximum))
+            shape = (high - low + 1).astype(np.int64)
+            at = 0
+            while at < len(shape):
+                stop, size = at, np.zeros(2, np.int64)
+                while stop < len(shape) and (stop == at or (stop + 1 - at) * int((np.maximum(size, shape[stop]) + 2 * m).prod()) <= CELLS):
+                    size = np.maximum(size, shape[stop])
+                    stop += 1
+                yield compare(columns, cuts[at : stop + 1], shape[at:stop], low[at:stop])
+                at = stop
+
+    rows = bands.select("pre", "post", F.col("side").cast("int").alias("side"), *[F.col(a).cast("int").alias(a) for a in AXES], F.col("v").cast("double").alias("v"))
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "pre bigint, post bigint, s int, dx int, dy int, dz int, error double, n bigint")
 
 
 def best_path(errors: np.ndarray, shifts: np.ndarray, gaps: np.ndarray, penalty: float) -> np.ndarray:
