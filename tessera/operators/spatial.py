@@ -6,11 +6,13 @@ from math import ceil
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.components import connected_components
 from tessera.operators.graph import Graph, greedy_coloring
+from tessera.plans.runs import whole_groups
 from tessera.plans.scratch import Scratch
 
 AXES = ("x", "y", "z")
@@ -144,11 +146,12 @@ def overlaps(tiles: DataFrame, cell: int) -> DataFrame:
     t = tiles
     for a in AXES:
         t = t.withColumn(f"c{a}", F.explode(F.sequence(F.floor(F.col(f"lo{a}") / cell), F.floor((F.col(f"hi{a}") - 1) / cell))))
-    left, right = t.alias("p"), t.alias("q")
+    left, right = t.alias("p"), t.hint("merge").alias("q")  # many cells for a tile, so the size on disk of the tiles says little
     on = [F.col(f"p.c{a}") == F.col(f"q.c{a}") for a in AXES] + [F.col("p.tile") < F.col("q.tile")]
     box = [F.greatest(F.col(f"p.lo{a}"), F.col(f"q.lo{a}")).alias(f"lo{a}") for a in AXES] + [F.least(F.col(f"p.hi{a}"), F.col(f"q.hi{a}")).alias(f"hi{a}") for a in AXES]
-    pairs = left.join(right, on).select(F.col("p.tile").alias("pre"), F.col("q.tile").alias("post"), *box)
-    return pairs.filter(" and ".join(f"lo{a} < hi{a}" for a in AXES)).distinct()
+    pairs = left.join(right, on).select(F.col("p.tile").alias("pre"), F.col("q.tile").alias("post"), *box, *[F.col(f"p.c{a}").alias(f"_c{a}") for a in AXES])
+    met = [f"lo{a} < hi{a} and _c{a} = floor(lo{a} / {cell})" for a in AXES]  # of the cells of a pair, that of its box's low corner
+    return pairs.filter(" and ".join(met)).drop(*[f"_c{a}" for a in AXES]).distinct()
 
 
 def filter_alignments(alignments: DataFrame, min_quality: float = float("-inf"), max_quality: float | None = None) -> DataFrame:
@@ -185,13 +188,13 @@ def positions_from_tree(alignments: DataFrame, source: int) -> DataFrame:
         done = scratch.save(done.unionByName(front), f"done-{i}")
 
 
-def _tree_start(p: np.ndarray, q: np.ndarray, d: np.ndarray, n: int) -> np.ndarray:
-    """Positions along a spanning tree from node 0, level by level: exact if the alignments agree."""
+def _tree_start(p: np.ndarray, q: np.ndarray, d: np.ndarray, n: int, roots: np.ndarray) -> np.ndarray:
+    """Positions along spanning trees from the roots, level by level: exact if the alignments agree."""
     order = np.argsort(np.concatenate([p, q]), kind="stable")
     other, step = np.concatenate([q, p])[order], np.concatenate([d, -d])[order]
     begin = np.searchsorted(np.concatenate([p, q])[order], np.arange(n + 1))
-    x, seen, front = np.zeros((n, d.shape[1])), np.zeros(n, bool), np.zeros(1, np.int64)
-    seen[0] = True
+    x, seen, front = np.zeros((n, d.shape[1])), np.zeros(n, bool), roots
+    seen[roots] = True
     while len(front):
         size = begin[front + 1] - begin[front]
         e = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin[front], size)
@@ -204,34 +207,41 @@ def _tree_start(p: np.ndarray, q: np.ndarray, d: np.ndarray, n: int) -> np.ndarr
     return x
 
 
-def solve_layout(p: np.ndarray, q: np.ndarray, d: np.ndarray, n: int, tolerance: float = 1e-10) -> np.ndarray:
-    """Least-squares positions of n connected nodes from x[q] - x[p] = d, node 0 at 0: conjugate gradients on the normal equations, whose matrix is only
-    ever applied edge by edge. Memory: a few numbers for each node and edge."""
+def solve_layouts(p: np.ndarray, q: np.ndarray, d: np.ndarray, part: np.ndarray, tolerance: float = 1e-10) -> np.ndarray:
+    """Least-squares positions from x[q] - x[p] = d of nodes in components (``part``: ascending numbers from 0, one for each node), each component's first node at 0: conjugate
+    gradients on the normal equations, whose matrix is only ever applied edge by edge. Components have steps of their own and share the passes. Memory: a few numbers for each node and edge."""
+    n, roots = len(part), np.flatnonzero(np.diff(part, prepend=-1))
+    total = lambda x: np.stack([np.bincount(part, x[:, c], len(roots)) for c in range(x.shape[1])], axis=1)
 
     def apply(x: np.ndarray) -> np.ndarray:
         e = x[q] - x[p]
-        out = np.zeros_like(x)
-        for c in range(x.shape[1]):
-            out[:, c] = np.bincount(q, e[:, c], n) - np.bincount(p, e[:, c], n)
-        return out
+        return np.stack([np.bincount(q, e[:, c], n) - np.bincount(p, e[:, c], n) for c in range(x.shape[1])], axis=1)
 
     b = np.stack([np.bincount(q, d[:, c], n) - np.bincount(p, d[:, c], n) for c in range(d.shape[1])], axis=1)
     degree = np.maximum(np.bincount(p, minlength=n) + np.bincount(q, minlength=n), 1)[:, None]
-    x = _tree_start(p, q, d, n)
+    x = _tree_start(p, q, d, n, roots)
     r = b - apply(x)
     z = r / degree
-    way, rz = z.copy(), (r * z).sum(0)
-    least = tolerance**2 * max(1.0, float((b * b / degree).sum()))
-    for _ in range(10 * n + 100):
-        if rz.sum() <= least:
+    way, rz = z.copy(), total(r * z)
+    least = tolerance**2 * np.maximum(1.0, total(b * b / degree).sum(axis=1))
+    most = 10 * np.bincount(part, minlength=len(roots)) + 100
+    for i in range(int(most.max(initial=0))):
+        open_ = (rz.sum(axis=1) > least) & (i < most)
+        if not open_.any():
             break
         aw = apply(way)
-        step = rz / np.maximum((way * aw).sum(0), 1e-300)
+        step = np.where(open_[:, None], rz / np.maximum(total(way * aw), 1e-300), 0.0)[part]
         x, r = x + step * way, r - step * aw
         z = r / degree
-        new = (r * z).sum(0)
-        way, rz = z + new / np.maximum(rz, 1e-300) * way, new
-    return x - x[0]
+        new = total(r * z)
+        turn = np.where(open_[:, None], new / np.maximum(rz, 1e-300), 0.0)  # a component that is done stays where it is
+        way, rz = z + turn[part] * way, np.where(open_[:, None], new, 0.0)
+    return x - x[roots[part]]
+
+
+def solve_layout(p: np.ndarray, q: np.ndarray, d: np.ndarray, n: int, tolerance: float = 1e-10) -> np.ndarray:
+    """``solve_layouts`` of n connected nodes."""
+    return solve_layouts(p, q, d, np.zeros(n, np.int64), tolerance)
 
 
 #: Alignments of one component that one task solves; beyond that the matrix-vector product is a distributed aggregation.
@@ -281,17 +291,27 @@ def positions_from_optimization(tiles: DataFrame, alignments: DataFrame, min_qua
     large = scratch.save(edges.groupBy("component").count().filter(F.col("count") > task_alignments).select("component"), "large")
     alone = parts.select("component", F.col("tile").alias("pre"), F.col("tile").alias("post"), *[F.lit(0.0).alias(f"d{a}") for a in AXES])
 
-    def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        ids = np.unique(np.concatenate([rows["pre"], rows["post"]]))
-        e = rows[rows["pre"] != rows["post"]]
-        p, q = np.searchsorted(ids, e["pre"]), np.searchsorted(ids, e["post"])
-        x = solve_layout(p, q, e[[f"d{a}" for a in AXES]].to_numpy(float), len(ids)) if len(e) else np.zeros((len(ids), 3))
-        return pd.DataFrame({"component": np.full(len(ids), rows["component"].iloc[0]), "tile": ids, **{a: x[:, i] for i, a in enumerate(AXES)}})
+    def solve(batches):
+        """Whole components; small ones share an array."""
+        for rows, cuts in whole_groups(batches, ["component"]):
+            pre, post = rows["pre"], rows["post"]
+            component = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+            order = np.lexsort((np.concatenate([pre, post]), np.concatenate([component, component])))
+            ids, part = np.concatenate([pre, post])[order], np.concatenate([component, component])[order]
+            new = np.ones(len(ids), bool)
+            new[1:] = (ids[1:] != ids[:-1]) | (part[1:] != part[:-1])
+            number = np.empty(len(ids), np.int64)
+            number[order] = np.cumsum(new) - 1
+            ids, part, e = ids[new], part[new], pre != post
+            d = np.stack([rows[f"d{a}"][e] for a in AXES], axis=1).astype(float)
+            x = solve_layouts(number[: len(pre)][e], number[len(pre) :][e], d, part)
+            yield pa.RecordBatch.from_arrays([pa.array(rows["component"][cuts[:-1]][part]), pa.array(ids), *[pa.array(x[:, i].copy()) for i in range(3)]], ["component", "tile", *AXES])
 
     some = bool(large.take(1))
     small = edges.unionByName(alone)
     small = small.join(F.broadcast(large), "component", "left_anti") if some else small
-    out = small.groupBy("component").applyInPandas(solve, "component bigint, tile bigint, x double, y double, z double")
+    small = small.select(*[F.col(c).cast("bigint") for c in ("component", "pre", "post")], *[F.col(f"d{a}").cast("double").alias(f"d{a}") for a in AXES])
+    out = small.repartition("component").sortWithinPartitions("component").mapInArrow(solve, "component bigint, tile bigint, x double, y double, z double")
     if not some:
         return out
     big = _solve_distributed(scratch.save(edges.join(F.broadcast(large), "component", "left_semi"), "big"), scratch)

@@ -37,3 +37,39 @@ def test_slices_are_compared_in_packs(spark, monkeypatch, cells):
                 if side == 0 and other is not None:
                     want.setdefault((p, s, i, j), []).append((v - other) ** 2)
     assert {(g.pre, g.s, g.dx, g.dy): (round(g.error, 9), g.n) for g in got.collect()} == {k: (round(float(np.mean(v)), 9), len(v)) for k, v in want.items()}
+
+
+def test_components_are_solved_side_by_side(spark):
+    r = np.random.default_rng(5)
+    p, q, d, part, parts = [], [], [], [], []
+    for k, n in enumerate([1, 4, 30, 2, 1, 12]):
+        a = [i for i in range(1, n)] + (r.integers(0, n, 2 * n).tolist() if n > 2 else [])
+        b = [int(r.integers(0, i)) for i in range(1, n)] + (r.integers(0, n, 2 * n).tolist() if n > 2 else [])
+        e = np.array([(x, y) for x, y in zip(a, b) if x != y], int).reshape(-1, 2)
+        shift = r.normal(size=(len(e), 3))
+        parts.append((len(part), n, e, shift))
+        p += (e[:, 0] + len(part)).tolist()
+        q += (e[:, 1] + len(part)).tolist()
+        d += shift.tolist()
+        part += [k] * n
+    got = P.solve_layouts(np.array(p), np.array(q), np.array(d), np.array(part))
+    for first, n, e, shift in parts:
+        m = np.zeros((len(e), n))
+        m[np.arange(len(e)), e[:, 1]] += 1
+        m[np.arange(len(e)), e[:, 0]] -= 1
+        want = np.linalg.lstsq(m, shift, rcond=None)[0] if len(e) else np.zeros((n, 3))
+        assert np.allclose(got[first : first + n], want - want[0], atol=1e-7)
+    tiles = spark.range(5).select(F.col("id").alias("tile"))
+    pairs = spark.createDataFrame([(0, 1, 1.0, 0.0, 0.0, 1.0), (3, 4, 2.0, 0.0, 0.0, 1.0)], "pre long, post long, dx double, dy double, dz double, quality double")
+    out = P.positions_from_optimization(tiles, pairs)
+    assert "FlatMapGroupsInPandas" not in _plan(out)
+    assert sorted((r.tile, r.component, round(r.x, 9)) for r in out.collect()) == [(0, 0, 0.0), (1, 0, 1.0), (2, 2, 0.0), (3, 3, 0.0), (4, 3, 2.0)]
+
+
+def test_overlaps_broadcast_no_cells(spark):
+    tiles = _boxes(spark, 60, 1)
+    got = P.overlaps(tiles, 8)
+    assert "Broadcast" not in _plan(got)
+    rows = tiles.collect()
+    want = {(a.tile, b.tile, *[f(a[f"{n}{x}"], b[f"{n}{x}"]) for x in "xyz" for n, f in (("lo", max), ("hi", min))]) for a in rows for b in rows if a.tile < b.tile and all(max(a[f"lo{x}"], b[f"lo{x}"]) < min(a[f"hi{x}"], b[f"hi{x}"]) for x in "xyz")}
+    assert sorted(tuple(r) for r in got.select("pre", "post", *[f"{n}{x}" for x in "xyz" for n in ("lo", "hi")]).collect()) == sorted(want)
