@@ -73,3 +73,19 @@ def test_overlaps_broadcast_no_cells(spark):
     rows = tiles.collect()
     want = {(a.tile, b.tile, *[f(a[f"{n}{x}"], b[f"{n}{x}"]) for x in "xyz" for n, f in (("lo", max), ("hi", min))]) for a in rows for b in rows if a.tile < b.tile and all(max(a[f"lo{x}"], b[f"lo{x}"]) < min(a[f"hi{x}"], b[f"hi{x}"]) for x in "xyz")}
     assert sorted(tuple(r) for r in got.select("pre", "post", *[f"{n}{x}" for x in "xyz" for n in ("lo", "hi")]).collect()) == sorted(want)
+
+
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_embedding_joins_by_equality(spark, few):
+    tiles = _boxes(spark, 12, 2)
+    got = pipelines.embedding(tiles, few)
+    assert "NestedLoop" not in _plan(got) and "CartesianProduct" not in _plan(got)
+    rows, want = tiles.collect(), {}
+    cuts = {x: sorted({r[f"{n}{x}"] for r in rows for n in ("lo", "hi")}) for x in "xyz"}
+    for r in rows:
+        parts = [[(a, b) for a, b in zip(cuts[x], cuts[x][1:]) if r[f"lo{x}"] <= a and b <= r[f"hi{x}"]] for x in "xyz"]
+        for i in parts[0]:
+            for j in parts[1]:
+                for k in parts[2]:
+                    want.setdefault((*i, *j, *k), []).append(r.tile)
+    assert {tuple(r[f"{n}{x}"] for x in "xyz" for n in ("lo", "hi")): r.tiles for r in got.collect()} == want
