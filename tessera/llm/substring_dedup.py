@@ -16,7 +16,7 @@ and each stretch of windows with one anchor (a segment) goes to one shard.
    up to ``BROADCAST_ANCHORS`` (checked), and beyond that joined to the texts. Of equal segments
    met together only those of the smallest key are sent; the others repeat it, whatever else is found. A
    hot anchor (more than ``HOT`` texts) sends its windows one by one to the shards of their hashes, so no
-   shard holds all of them, and each task remembers the hot windows it has sent.
+   shard holds all of them, and each task remembers the hot windows it has sent. What repeats others and follows on each other in a text is one row.
 3. Shard: segments of one anchor are ranked by key. For every bit of the rank, the
    segments with a 0 there are put into an FM-index and the ones with a 1 are streamed through it by
    backward search; only ranks that agree above that bit can match (the index's letters are pairs of that group and a word).
@@ -159,6 +159,13 @@ def _one_spaced(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple
     return out.tobytes(), begin
 
 
+def _joined(which: np.ndarray, owner: np.ndarray, at: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of windows, ascending by their first one, that follow on each other in one text: the first of each chain, and the window after its last."""
+    new = np.concatenate([[True], (owner[1:] != owner[:-1]) | (at[1:] != (at + run)[:-1])])[: len(which)]
+    last = np.append(np.flatnonzero(new)[1:], len(which))[: new.sum()] - 1
+    return which[new], (at + run)[last]
+
+
 def segments(docs: DataFrame, span: int, anchor: int, allowed: tuple[np.ndarray, np.ndarray] | None) -> DataFrame:
     """Segments with a shared anchor (words; ``allowed``: sorted anchors and their hot flags, or the row's own column ``anchors``), and
     runs that are known to repeat a smaller key (end, source)."""
@@ -224,7 +231,9 @@ def segments(docs: DataFrame, span: int, anchor: int, allowed: tuple[np.ndarray,
                 none = pa.nulls(len(go), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(shard[go].view(np.int64)), pa.array(key[go]), tid.take(pa.array(go)), pa.array(start[go].astype(np.int32)), pa.array([body[i] for i in go.tolist()], pa.binary()), none, pa.nulls(len(go), pa.int64())], schema=_PARTS)
                 go = np.flatnonzero(again)
-                end = (start[go] + run[go] + span - 1).astype(np.int32)
+                go = go[np.argsort(at[edge[go]], kind="stable")]
+                go, end = _joined(go, owner[edge[go]], at[edge[go]], run[go])
+                end = (end - first[owner[edge[go]]] + span - 1).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(mix64(key[go]).view(np.int64)), pa.array(key[go]), tid.take(pa.array(go)), pa.array(start[go].astype(np.int32)), pa.nulls(len(go), pa.binary()), pa.array(end), pa.array(least[go])], schema=_PARTS)
 
     return docs.mapInArrow(tidied(emit), _ddl(_PARTS))
