@@ -26,9 +26,8 @@ def _slice(spark, sf_dir):
 def _round_trip(fmt: str):
     def run(spark, sf_dir):
         scratch = Scratch(spark, f"volumes-{fmt}")
-        files = volumes.encode(fx.vox(spark, sf_dir), fmt, "float32")
-        sliced.write_volumes(files, f"{scratch.path}/files", F.format_string(f"volume_%d.{fmt}", "vol_id"))
-        back = volumes.read_volumes(spark, f"{scratch.path}/files/*.{fmt}")
+        written = volumes.write(fx.vox(spark, sf_dir), f"{scratch.path}/files", fmt, F.format_string(f"volume_%d.{fmt}", "vol_id"))
+        back = volumes.read_listed(written, fmt)
         return back.select(F.regexp_extract("path", r"volume_(\d+)\.", 1).cast("long").alias("vol_id"), "x", "y", "z", F.col("v").cast("long").alias("v"))
 
     return run
@@ -45,7 +44,7 @@ def _sliced(fmt: str):
     def run(spark, sf_dir):
         """All embeddings as one file; a box of it is read by byte ranges."""
         scratch = Scratch(spark, f"sliced-{fmt}")
-        written = sliced.write_volumes(volumes.encode(fx.slab(spark, sf_dir), fmt, "float32"), f"{scratch.path}/files", F.lit(f"slab.{fmt}"))
+        written = volumes.write(fx.slab(spark, sf_dir), f"{scratch.path}/files", fmt, F.lit(f"slab.{fmt}"))
         first = sliced.read_slices(spark, written.first()["path"], _BOUNDS, task_bytes=4096)
         return first.select("x", "y", "z", F.col("v").cast("long").alias("v"))
 
@@ -59,8 +58,8 @@ for _fmt in ("npy", "tif"):
 @register("volume_headers", "SELECT vec_id AS vol_id, [4, 4, 4]::INTEGER[] AS shape, 'float32' AS dtype FROM embeddings")
 def _headers(spark, sf_dir):
     scratch = Scratch(spark, "headers")
-    sliced.write_volumes(volumes.encode(fx.vox(spark, sf_dir), "npy", "float32"), f"{scratch.path}/files", F.format_string("volume_%d.npy", "vol_id"))
-    return sliced.headers(spark, f"{scratch.path}/files/*.npy").select(F.regexp_extract("path", r"volume_(\d+)\.", 1).cast("long").alias("vol_id"), "shape", "dtype")
+    written = volumes.write(fx.vox(spark, sf_dir), f"{scratch.path}/files", "npy", F.format_string("volume_%d.npy", "vol_id"))
+    return sliced.headers_of(written, "npy").select(F.regexp_extract("path", r"volume_(\d+)\.", 1).cast("long").alias("vol_id"), "shape", "dtype")
 
 
 @register("tile_columns", "SELECT CAST(p_partkey % 10 AS INTEGER) AS x, CAST(p_partkey // 10 % 10 AS INTEGER) AS y, array_to_string(list(p_name ORDER BY p_partkey // 100), ',') AS paths FROM part GROUP BY ALL")
