@@ -1,8 +1,8 @@
 """Reconnecting broken vessels: an end of a skeleton is traced to the nearest unconnected end, or else to the mask.
 
-An end only looks at the patch of ``radius`` voxels around it. So blocks with a halo of that radius hold all that
-their own ends need: one shuffle of the voxels, whatever the number of ends, and no volume is ever
-whole in a task. The patches of a batch are searched side by side in one array.
+An end only looks at the patch of ``radius`` voxels around it. So a voxel is sent to the blocks that hold an end of their own near it, and nowhere
+else: one join of the voxels with the list of such blocks and one shuffle, whatever the number of ends, and no volume is ever whole in a task. The ends travel
+with the voxels as rows of their own. Blocks share arrays, and the patches of a batch are searched side by side.
 
 Entering a voxel costs max(1 / (reward * score), least) times the step's length, and 1 where the score is not
 positive; voxels that are not stored cannot be entered.
@@ -10,13 +10,15 @@ positive; voxels that are not stored cannot be entered.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import product
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.plans.blocks import BLOCK, Shape, map_blocks
+from tessera.plans.blocks import BLOCK, Shape, whole_blocks
 
 AXES = ("x", "y", "z")
 STEPS = [(np.array(d), sum(c * c for c in d) ** 0.5) for d in product((-1, 0, 1), repeat=3) if any(d)]
@@ -24,6 +26,10 @@ STEPS = [(np.array(d), sum(c * c for c in d) ** 0.5) for d in product((-1, 0, 1)
 TO_END, TO_MASK = 1, 2
 #: Cells of patches, with their borders, that are searched side by side.
 CELLS = 1 << 19
+#: Cells of blocks that share an array (one block at least), and rows that are looked at together.
+SHARED, ROWS = 1 << 21, 1 << 16
+#: Bits of a row's mark: in the mask, in the skeleton, and a row that stands for an end instead of a voxel.
+MASK, SKELETON, END = 1, 2, 4
 
 
 def voxel_cost(score: np.ndarray, stored: np.ndarray, least: float, reward: float) -> np.ndarray:
@@ -87,16 +93,15 @@ def cheapest_paths(cost: np.ndarray, start: np.ndarray, goal: np.ndarray) -> lis
         front = q[far[q] < top[q // cells]]
     ends = np.where(aim, far, np.inf).reshape(n, cells)
     last = ends.argmin(axis=1)
-    out, shape = [], tuple(k + 2 for k in cost.shape[1:])
-    for i, (at, total) in enumerate(zip(last.tolist(), ends[np.arange(n), last].tolist())):
-        if total == np.inf:
-            out.append((np.zeros((0, 3), int), np.inf))
-            continue
-        path = [at]
-        while (before := int(came[i * cells + path[-1]])) >= 0:
-            path.append(before - i * cells)
-        out.append((np.stack(np.unravel_index(np.array(path[::-1]), shape), axis=1) - 1, total))
-    return out
+    at, back = np.arange(n) * cells + last, []
+    while (at >= 0).any():  # all patches step by step back to their starts
+        back.append(at)
+        at = np.where(at >= 0, came[at], -1)
+    back = np.array(back)
+    length = (back >= 0).sum(axis=0)
+    places = np.stack(np.unravel_index(np.maximum(back, 0) % cells, tuple(k + 2 for k in cost.shape[1:])), axis=2) - 1
+    totals = ends[np.arange(n), last].tolist()
+    return [(np.zeros((0, 3), int), np.inf) if total == np.inf else (places[: length[i], i][::-1], total) for i, total in enumerate(totals)]
 
 
 def cheapest_path(cost: np.ndarray, start: tuple[int, ...], goal: np.ndarray) -> tuple[np.ndarray, float]:
@@ -130,6 +135,26 @@ def line_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.rint(a + (b - a) * (np.arange(1, n + 1) / n)[:, None]).astype(int) if n else np.zeros((0, 3), int)
 
 
+def near_ends(vox: DataFrame, ends: DataFrame, radius: int, block: Shape) -> DataFrame:
+    """vol_id, bx, by, bz, x, y, z, v, mark: voxels and ends (rows of their own) of what the ends of each block may see, sent to that block only."""
+    kind = vox.schema["vol_id"].dataType.simpleString()
+    place = ["vol_id", *[F.col(a).cast("int").alias(a) for a in AXES]]
+    block_of = lambda p: [F.floor(F.col(a) / s).cast("int").alias(p + a) for a, s in zip(AXES, block)]
+    flag = lambda c, bit: F.when(F.col(c).cast("int") > 0, bit).otherwise(0)
+    given = " and ".join(f"{c} is not null" for c in ("vol_id", *AXES))
+    tips = ends.select(F.col("vol_id").cast(kind).alias("vol_id"), *place[1:]).filter(given).distinct()
+    rows = vox.select(*place, F.col("score").cast("double").alias("v"), (flag("mask", MASK) + flag("skeleton", SKELETON)).alias("mark")).filter(given).filter("v is not null")
+    rows = rows.unionByName(tips.select("*", F.lit(0.0).alias("v"), F.lit(END).alias("mark"))).select("*", *block_of("o"))
+    # blocks that hold ends, by the blocks whose voxels those ends may see
+    bounds = [f(a).alias(n + a) for a in AXES for n, f in (("lo", F.min), ("hi", F.max))]
+    near = tips.select("*", *block_of("b")).groupBy("vol_id", "bx", "by", "bz").agg(*bounds)
+    for a, size in zip(AXES, block):
+        near = near.withColumn(f"lo{a}", F.col(f"lo{a}") - radius).withColumn(f"hi{a}", F.col(f"hi{a}") + radius)
+        near = near.withColumn(f"o{a}", F.explode(F.sequence(F.floor(F.col(f"lo{a}") / size).cast("int"), F.floor(F.col(f"hi{a}") / size).cast("int"))))
+    sent = rows.join(near.hint("merge"), ["vol_id", "ox", "oy", "oz"]).filter(" and ".join(f"{a} between lo{a} and hi{a}" for a in AXES))
+    return sent.select("vol_id", "bx", "by", "bz", *AXES, "v", "mark")
+
+
 def connect_ends(vox: DataFrame, ends: DataFrame, radius: int = 20, min_quality: float | None = 15.0, to_ends: bool = True, to_skeleton: bool = True, least: float = 1 / 60, reward: float = 4.0, block: Shape = BLOCK) -> DataFrame:
     """vol_id, x, y, z, sx, sy, sz, step, kind, cost: the voxels of the connection of each end (sx, sy, sz).
 
@@ -169,45 +194,71 @@ def connect_ends(vox: DataFrame, ends: DataFrame, radius: int = 20, min_quality:
             got[i] = path, total, TO_MASK
         return got
 
-    def kernel(blocks):
-        """The ends of all blocks of a batch, ``CELLS`` cells of patches at a time (one patch at least)."""
-        layers, todo = [], []
-        for b, (values, stored, low, owned) in enumerate(blocks):
-            mask, skeleton, end = (values[..., i] > 0 for i in (1, 2, 3))
-            layers.append((voxel_cost(values[..., 0], stored, least, reward), mask, skeleton, end))
-            for c in np.argwhere(end[owned]) + np.array([s.start for s in owned]):
-                todo.append((b, c, np.maximum(c - radius, 0), np.minimum(c + radius + 1, end.shape)))
-        rows, totals = [[np.zeros((0, 8), int)] for _ in blocks], [[np.zeros(0)] for _ in blocks]
-        at = 0
-        while at < len(todo):
-            stop, shape = at, np.zeros(3, int)
-            while stop < len(todo) and (stop == at or (stop + 1 - at) * int(np.prod(np.maximum(shape, todo[stop][3] - todo[stop][2]) + 2)) <= CELLS):
-                shape = np.maximum(shape, todo[stop][3] - todo[stop][2])
-                stop += 1
-            part = todo[at:stop]
-            whole = [np.full((len(part), *shape), fill) for fill in (np.inf, False, False, False)]
-            for i, (b, _, lo, hi) in enumerate(part):
-                inside = (i, *(slice(0, int(k)) for k in hi - lo))
-                for to, layer in zip(whole, layers[b]):
-                    to[inside] = layer[tuple(slice(int(p), int(q)) for p, q in zip(lo, hi))]
-            for (b, c, lo, _), got in zip(part, connections(*whole, np.array([c - lo for _, c, lo, _ in part]))):
-                if got is not None:
-                    path, total, kind = got
-                    n, low = len(path), blocks[b][2]
-                    rows[b].append(np.column_stack([path + lo + low, np.tile(c + low, (n, 1)), np.arange(n), np.full(n, kind)]))
-                    totals[b].append(np.full(n, total))
-            at = stop
-        out = []
-        for r, t in zip(rows, totals):
-            r = np.concatenate(r)
-            out.append({c: r[:, i] for i, c in enumerate((*AXES, "sx", "sy", "sz", "step", "kind"))} | {"cost": np.concatenate(t)})
-        return out
-
-    at = ["vol_id", *AXES]
-    flag = lambda c: F.coalesce(F.col(c).cast("int"), F.lit(0)).cast("double").alias(c)
-    marked = vox.select(*at, F.col("score").cast("double").alias("v"), flag("mask"), flag("skeleton")).join(ends.select(*at).distinct().withColumn("end", F.lit(1.0)).hint("merge"), at, "left").fillna(0.0, ["end"])
-    out = {"sx": "int", "sy": "int", "sz": "int", "step": "int", "kind": "int", "cost": "double"}
-    return map_blocks(marked, kernel, out, block, (radius,) * 3, "float64", ("mask", "skeleton", "end"), many=True)
+    def patches(cut: np.ndarray, at: np.ndarray, number: np.ndarray, value: np.ndarray, mark: np.ndarray, low: np.ndarray, shape: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """(row of an end, its connections' voxels and their rows' ends, steps, kinds and costs) of blocks in one array, ``CELLS`` cells of patches at a time (one patch at least)."""
+        cells = shape.prod(axis=1)
+        stride = np.stack([shape[:, 1] * shape[:, 2], shape[:, 2], np.ones(len(shape), int)], axis=1)
+        base = np.cumsum(cells) - cells
+        k = np.repeat(np.arange(len(shape)), np.diff(cut))
+        place = base[k] + ((at - low[k]) * stride[k]).sum(axis=1)
+        voxel, tip = np.flatnonzero(mark < END), np.flatnonzero(mark >= END)
+        cost, stored, mask, skeleton, end = np.full(cells.sum(), np.inf), *np.zeros((4, cells.sum()), bool)
+        stored[place[voxel]] = True
+        cost[place[voxel]] = voxel_cost(value[voxel], True, least, reward)
+        mask[place[voxel]], skeleton[place[voxel]] = mark[voxel] & MASK > 0, mark[voxel] & SKELETON > 0
+        tip = tip[stored[place[tip]]]
+        end[place[tip]] = True
+        tip = tip[(at[tip] // np.array(block) == number[tip]).all(axis=1)]
+        k = k[tip]
+        c = at[tip] - low[k]
+        first = np.maximum(c - radius, 0)
+        wide = np.minimum(c + radius + 1, shape[k]) - first
+        sizes, start = wide.tolist(), 0
+        while start < len(tip):
+            stop, most = start, [0, 0, 0]
+            while stop < len(tip):
+                more = [max(a, b) for a, b in zip(most, sizes[stop])]
+                if stop > start and (stop + 1 - start) * (more[0] + 2) * (more[1] + 2) * (more[2] + 2) > CELLS:
+                    break
+                stop, most = stop + 1, more
+            part = slice(start, stop)
+            inside, there = True, base[k[part], None, None, None]
+            for i, steps in enumerate(np.ix_(*map(np.arange, most))):
+                inside = inside & (steps < wide[part, i, None, None, None])
+                there = there + (first[part, i, None, None, None] + steps) * stride[k[part], i, None, None, None]
+            there[~inside] = 0
+            layers = [np.where(inside, cost[there], np.inf), *(layer[there] & inside for layer in (mask, skeleton, end))]
+            found = [(i, *got) for i, got in enumerate(connections(*layers, (c - first)[part])) if got is not None]
+            if found:
+                which, paths, totals, kinds = zip(*found)
+                n = [len(p) for p in paths]
+                row = np.repeat(np.array(which) + start, n)
+                step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                yield tip[row], np.concatenate(paths) + (first + low[k])[row], at[tip[row]], step, np.repeat(kinds, n), np.repeat(totals, n)
+            start = stop
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, cuts in whole_blocks(batches, ROWS):
+            vol = rows["vol_id"].combine_chunks()
+            at, number = (np.stack([rows[p + a].to_numpy() for a in AXES], axis=1).astype(np.int64) for p in ("", "b"))
+            value, mark = rows["v"].to_numpy(), rows["mark"].to_numpy()
+            low = np.minimum.reduceat(at, cuts[:-1])
+            shape = np.maximum.reduceat(at, cuts[:-1]) - low + 1
+            total = np.cumsum(shape.prod(axis=1))
+            i = 0
+            while i < len(total):
+                j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + SHARED, side="right")))
+                s = slice(int(cuts[i]), int(cuts[j]))
+                for row, path, start, step, kind, cost in patches(cuts[i : j + 1], at[s], number[s], value[s], mark[s], low[i:j], shape[i:j]):
+                    ints = [*path.T, *start.T, step, kind]
+                    yield pa.RecordBatch.from_arrays([vol.take(pa.array(row + s.start)), *[pa.array(c.astype(np.int32)) for c in ints], pa.array(cost)], names)
+                i = j
+
+    names = ["vol_id", *AXES, "sx", "sy", "sz", "step", "kind", "cost"]
+    kind = vox.schema["vol_id"].dataType.simpleString()
+    keys = ["vol_id", "bx", "by", "bz"]
+    sent = near_ends(vox, ends, radius, block).repartition(*keys).sortWithinPartitions(*keys)
+    return sent.mapInArrow(run, f"vol_id {kind}, " + ", ".join(f"{c} int" for c in names[1:-1]) + ", cost double")
 
 
 def trace_to_mask(vox: DataFrame, starts: DataFrame, radius: int = 20, least: float = 1 / 60, reward: float = 4.0, block: Shape = BLOCK) -> DataFrame:

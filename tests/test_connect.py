@@ -95,6 +95,24 @@ def test_traces_to_the_mask_and_lines_to_the_skeleton(spark):
     assert sorted(r.x for r in added.collect()) == list(range(n))
 
 
+def test_voxels_go_only_to_blocks_with_an_end_near_them(spark):
+    rows = [(v, x, y, z, 1.0, x == 3, False) for v in range(3) for x in range(4) for y in range(4) for z in range(4)]
+    rows += [(3, x, 0, 0, 1.0, False, False) for x in range(-40, 40)]
+    vox = spark.createDataFrame(rows, AT + ", score double, mask boolean, skeleton boolean")
+    ends = spark.createDataFrame([(0, 0, 0, 0), (1, 0, 0, 0), (3, 1, 0, 0), (None, 0, 0, 0)], AT)
+    sent = [tuple(r) for r in C.near_ends(vox, ends, 3, (64, 64, 32)).select("vol_id", "bx", "by", "bz", "x").collect()]
+    assert {r[:4] for r in sent} == {(0, 0, 0, 0), (1, 0, 0, 0), (3, 0, 0, 0)}
+    # each voxel once, and a row for the end; of the line only what the end sees, in the block beside its own too
+    assert [sum(r[0] == v for r in sent) for v in (0, 1, 3)] == [65, 65, 8]
+    assert sorted({r[4] for r in sent if r[0] == 3}) == list(range(-2, 5))
+
+
+def test_scores_that_are_no_number_cost_one(spark):
+    vox = spark.createDataFrame([(0, x, 0, 0, float("nan") if x == 1 else 1.0, x == 3, False) for x in range(4)], AT + ", score double, mask boolean, skeleton boolean")
+    got = C.trace_to_mask(vox, spark.createDataFrame([(0, 0, 0, 0)], AT)).collect()
+    assert sorted(r.x for r in got) == [0, 1, 2, 3] and got[0].cost == pytest.approx(1.5)
+
+
 def test_corrections_of_one_family_and_of_many(spark):
     r = np.random.default_rng(4)
     p = np.concatenate([np.round(r.random(400), 3), np.ones(300), r.random(300) * 1e-6])
