@@ -5,6 +5,7 @@ import itertools
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.operators import configuration as C
 from tessera.operators import flooding, thinning
@@ -215,3 +216,33 @@ def test_smoothing_by_blocks(spark, block):
     codes = {(r.x, r.y, r.z): r.v for r in cube_codes(df, block=block).collect()}
     wide = np.pad(a > 0, 1)
     assert codes == {(x, y, z): N.to_code(wide[x : x + 3, y : y + 3, z : z + 3]) for x, y, z in np.ndindex(a.shape)}
+
+
+def test_thinning_sends_voxels_to_active_blocks_only(spark):
+    block, at = (64, 8, 4), "vol_id bigint, x int, y int, z int"
+    rows = [(0, x, y, z) for x in range(0, 256, 3) for y in range(8) for z in range(8)] + [(1, -1, -9, 70)]
+    own = [F.floor(F.col(a) / s).cast("int").alias(f"o{a}") for a, s in zip("xyz", block)]
+    vox = spark.createDataFrame(rows, at).select("*", *own)
+    seen = {(v, bx, by, bz) for v, *p in rows for bx, by, bz in itertools.product(*(range((c - 13) // s, (c + 13) // s + 1) for c, s in zip(p, block)))}
+    assert {tuple(r) for r in thinning.seers(vox, block).collect()} == seen
+    near = spark.createDataFrame([(0, x, 0, z, 1, 0, 0) for x in range(4) for z in range(2)], "vol_id bigint, ox int, oy int, oz int, bx int, by int, bz int")
+    for few in (True, False):
+        sent = [tuple(r) for r in thinning.sent_to(vox, near, block, few).collect()]
+        assert sorted(sent) == sorted((0, 1, 0, 0, x, y, z) for v, x, y, z in rows if v == 0 and 64 - 13 <= x < 128 + 13)
+
+
+def test_no_mask_deletes_what_a_few_cells_rule_out():
+    r = np.random.default_rng(0)
+    hits = 0
+    for share in (0.1, 0.25, 0.5, 0.75):
+        on = np.pad(r.random((20, 20, 20)) < share, 1)
+        flat, strides = on.ravel(), np.array([22 * 22, 22, 1])
+        at = np.flatnonzero(on)
+        for offsets in thinning._OFFSETS:
+            steps = (offsets @ strides).tolist()
+            codes = sum(flat[at + s].astype(np.int64) << k for k, s in enumerate(steps))
+            goes = at[thinning.deletable(codes)]
+            hits += len(goes)
+            some = thinning.may_go(flat, at, steps)
+            assert set(goes.tolist()) <= set(some.tolist()) and len(some) == len(set(some.tolist())) <= 0.95 * len(at)
+    assert hits > 100
