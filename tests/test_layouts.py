@@ -13,6 +13,7 @@ from tessera.operators import morphology as M
 from tessera.operators import spatial as P
 from tessera.operators import vessels as V
 from tessera.plans import group_reports as R
+from tessera.plans.pipelines import vessel_graph
 
 TILES = "tile bigint, lox int, loy int, loz int, hix int, hiy int, hiz int"
 
@@ -83,6 +84,44 @@ def test_skeletons_of_volumes_stay_apart(spark):
     assert g.vertices.count() == 4 and g.edges.count() == 1
 
 
+def test_skeletons_beyond_21_bits_an_axis(spark):
+    """Places that packing can't hold: too far along x, equal when packed, or next to each other only when packed."""
+    n = 1 << 21
+    shape = [(0, 0, 0), (1, 1, 0), (2, 2, 1), (2, 2, 2), (4, 0, 0)]
+    voxels = lambda places: spark.createDataFrame([(*p, 1) for p in places], "x int, y int, z int, v int")
+
+    def edges(g):
+        at = {r.vid: (r.x, r.y, r.z) for r in g.vertices.collect()}
+        return len(at), sorted(tuple(sorted((at[e.src], at[e.dst]))) for e in g.edges.collect())
+
+    def moved(x, y, z):
+        return [(a + x, b + y, c + z) for a, b, c in shape]
+
+    want = [(shape[i], shape[i + 1]) for i in range(3)]
+    for by in ((0, 0, 0), (n, 0, 0), (-2 * n, 0, 0), (5, n, -n), (2**31 - 5, 0, 0)):
+        got = edges(G.graph_from_skeleton(voxels(moved(*by))))
+        assert got == (5, [tuple(tuple(c + d for c, d in zip(p, by)) for p in e) for e in want])
+    for places in ([(0, n, 0), (1, 0, 0)], [(0, 0, n), (0, 1, 0)], [(0, n - 1, 0), (1, 0, 0)]):
+        assert edges(G.graph_from_skeleton(voxels(places))) == (2, [])
+
+
+def test_vessel_graph_far_along_an_axis(spark):
+    """The same vessels give the same graph wherever they lie."""
+    on = {(x, 2, 2) for x in range(1, 30)} | {(12, y, 2) for y in range(2, 14)} | {(x, 13, 2) for x in range(12, 22)}
+    rows = [(x, y, z, int((x, y, z) in on)) for x in range(31) for y in range(15) for z in range(5)]
+
+    def found(by):
+        binary = spark.createDataFrame([(0, x + by, y, z, v) for x, y, z, v in rows], "vol_id bigint, x int, y int, z int, v int")
+        g = vessel_graph(binary)
+        vertices = g.vertices.collect()
+        at = {r.vid: (round(r.x - by, 6), round(r.y, 6), round(r.z, 6)) for r in vertices}
+        return sorted((*at[r.vid], r.radius) for r in vertices), sorted((at[e.src], at[e.dst], e.length, e.n_edges) for e in g.edges.collect())
+
+    near = found(0)
+    assert len(near[0]) == 4 and len(near[1]) == 3 and all(v[3] >= 1.0 for v in near[0])
+    assert found(3_000_000) == near
+
+
 def test_reconstruction_of_fractions_ends(spark):
     rng = np.random.default_rng(4)
     mask = rng.random((9, 5, 4))

@@ -34,6 +34,37 @@ def test_distances_as_brute_force(spark, monkeypatch, spacing, cells):
     assert D.distance_transform(spark.createDataFrame(rows, VOX).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("spacing", [(1.0, 1.0, 1.0), (0.5, 2.0, 3.25)])
+def test_distances_of_lines_in_parts(spark, spacing):
+    """Long lines are cut: sources in few parts, in a part without any of its own, on bounds of parts; a volume that lies far off, and one without sources."""
+    r = np.random.default_rng(5)
+    rows = [(0, x - 13, y - 5, z, float(r.random() > 0.02)) for x in range(40) for y in range(11) for z in range(3)]
+    rows += [(1, x + 900, y, 0, float((x, y) != (9, 2))) for x in range(10) for y in range(9)] + [(2, x, 0, 0, 1.0) for x in range(17)] + [(3, x, 0, 0, float(x % 8 != 7)) for x in range(24)]
+    vox = spark.createDataFrame(rows, VOX).select("vol_id", "x", "y", "z", (F.col("v") <= 0).alias("source"))
+    got = {(g.vol_id, g.x, g.y, g.z): g.v for g in D.distances(vox.repartition(3), spacing, part=4).collect()}
+    want = {}
+    for vol in range(4):
+        own = [q for q in rows if q[0] == vol]
+        want |= {(vol, *p): d for p, d in _brute([q[1:4] for q in own], [q[1:4] for q in own if q[4] <= 0], spacing).items()}
+    assert len(got) == len(rows) and got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_parts_hand_on_what_is_lowest_outside():
+    """The lowest of a part's parabolas outside of it are the lowest of those that it hands on, at any heights."""
+    r = np.random.default_rng(6)
+    at = np.sort(r.choice(60, (40, 12)), axis=1) + np.arange(12) * 1.0
+    for height in (np.zeros((40, 12)), r.integers(0, 900, (40, 12)).astype(float)):
+        height = np.where(r.random((40, 12)) < 0.3, np.inf, height)
+        valid = r.random((40, 12)) < 0.9
+        height[0], valid[1] = np.inf, False
+        kept = D.outside(at, height, valid)
+        for i in range(40):
+            own = at[i][valid[i]]
+            beyond = [x for x in range(-40, 140) if not len(own) or x < own.min() or x > own.max()]
+            lowest = lambda h: [(np.where(valid[i], h[i], np.inf) + (at[i] - x) ** 2).min() for x in beyond]  # noqa: B023, E731
+            assert np.array_equal(lowest(height), lowest(kept))
+
+
 def test_envelope_is_the_lowest_of_all_parabolas():
     r = np.random.default_rng(3)
     at = np.sort(r.choice(400, (30, 25)), axis=1) + np.arange(25) * 0.5
